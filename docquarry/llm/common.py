@@ -58,3 +58,35 @@ def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
         x ^= x >> np.uint64(31)
         x *= np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(32))
+
+
+class WordRows(dict):
+    """Words to rows of one array, made in batches; emptied between texts once ``limit`` words are held."""
+
+    def __init__(self, make: Callable[[list[str]], np.ndarray], limit: int = 300_000):
+        super().__init__()
+        self._make, self._limit = make, limit
+        self._fresh: list[str] = []
+        self._rows: np.ndarray | None = None
+
+    def __missing__(self, word):
+        self[word] = at = len(self)
+        self._fresh.append(word)
+        return at
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """One row for each word, in order; ``words`` isn't empty."""
+        if len(self) >= self._limit:
+            self.clear()
+            self._rows = None
+        at = np.array([self[w] for w in words])
+        if self._fresh:
+            new, n = self._make(self._fresh), len(self) - len(self._fresh)
+            if self._rows is None or len(self) > len(self._rows):
+                grown = np.empty((2 * len(self) + 1024, *new.shape[1:]), new.dtype)
+                if n:
+                    grown[:n] = self._rows[:n]
+                self._rows = grown
+            self._rows[n : n + len(new)] = new
+            self._fresh = []
+        return self._rows[at]

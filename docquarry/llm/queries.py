@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import bpe, quality, simhash
+from docquarry.llm import bpe, langid, quality, sharding, simhash, toxicity
 from docquarry.session import prepare, table
 
 
@@ -14,6 +14,15 @@ def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(prepare(spark), sf_dir, "documents"), bpe.default_path(), keep="digests")
 
 
+def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(prepare(spark), sf_dir, "documents"))
+
+
 QUALITY_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -26,9 +35,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
 
 
+def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded_digest(table(prepare(spark), sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_automaton": op2_bpe_automaton,
+    "op3_toxicity_ftrl": op3_toxicity_ftrl,
+    "op4_language_codes": op4_language_codes,
     "op8_quality_rules": op8_quality_rules,
+    "op10_histogram_shards": op10_histogram_shards,
     "op9_simhash": op9_simhash,
 }
 
