@@ -36,16 +36,17 @@ def build(name: str = "docquarry", master: str = "local[*]", **conf: str) -> Spa
     return prepare(builder.getOrCreate())
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the cluster names.
-
-    The folder of ``spark.checkpoint.dir`` is used as it is; a temporary one is
-    set only in sessions that name none, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in sessions that name none, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder that the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
