@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.llm import bpe, langid, quality, sharding, simhash, toxicity
+from docquarry.llm import bpe, chat, decontaminate, langid, licenses, quality, sharding, simhash, toxicity, warc
 from docquarry.session import prepare, table
 
 
+def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(prepare(spark), sf_dir, "conversations"))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(prepare(spark), sf_dir, "documents"), bpe.default_path(), keep="digests")
 
@@ -23,6 +27,19 @@ def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(prepare(spark), sf_dir, "documents"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(prepare(spark), sf_dir, "pages")))
+
+
+def op6_decontamination_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), decontaminate.items_of(table(spark, sf_dir, "benchmark")))
+
+
+def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(prepare(spark), sf_dir, "documents"))
+
+
 QUALITY_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -40,9 +57,13 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_snapshots": op1_chat_snapshots,
     "op2_bpe_automaton": op2_bpe_automaton,
     "op3_toxicity_ftrl": op3_toxicity_ftrl,
     "op4_language_codes": op4_language_codes,
+    "op5_warc_derivatives": op5_warc_derivatives,
+    "op6_decontamination_wand": op6_decontamination_wand,
+    "op7_license_diagonals": op7_license_diagonals,
     "op8_quality_rules": op8_quality_rules,
     "op10_histogram_shards": op10_histogram_shards,
     "op9_simhash": op9_simhash,
@@ -82,4 +103,69 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL}
+OP1_SQL = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text,
+    '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS shown,
+    coalesce('=' || role, '-') || chr(1) || coalesce('=' || text, '-') || chr(2) AS mark
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT conv_id, shown, row_number() OVER w AS pos, string_agg(mark, '') OVER w AS prefix
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT conv_id, max(pos) AS n_turns, max_by(prefix, pos) AS whole FROM p GROUP BY 1),
+one AS (SELECT whole, n_turns, min(conv_id) AS conv_id FROM c GROUP BY 1, 2),
+inner_ AS (SELECT DISTINCT prefix FROM p JOIN c USING (conv_id) WHERE pos < n_turns)
+SELECT conv_id, n_turns::BIGINT AS n_turns, ((pos - 1) // 256)::BIGINT AS part, string_agg(shown, '' ORDER BY pos) AS text
+FROM one JOIN p USING (conv_id) WHERE whole NOT IN (SELECT prefix FROM inner_) GROUP BY 1, 2, 3
+"""
+
+
+def _sql_id(kind: str, url: str, payload: str) -> str:
+    h = f"md5('{kind}' || chr(10) || coalesce({url}, '') || chr(10) || coalesce({payload}, ''))"
+    cuts = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"('<urn:uuid:' || {cuts} || '>')"
+
+
+def _sql_unescape(text: str) -> str:
+    for name, char in warc.ENTITIES:
+        quoted = char.replace("'", "''")
+        text = f"replace({text}, '{name}', '{quoted}')"
+    piece = "regexp_extract(p, '^([0-9]{1,6});', 1)"
+    code = f"coalesce(try_cast({piece} AS INTEGER), 0)"
+    decoded = f"CASE WHEN {code} > 0 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}) || regexp_replace(p, '^[0-9]+;', '') ELSE '&#' || p END"
+    pieces = f"string_split({text}, '&#')"
+    return f"replace({pieces}[1] || coalesce(array_to_string(list_transform({pieces}[2:], lambda p: {decoded}), ''), ''), '&amp;', '&')"
+
+
+def _sql_text(html: str) -> str:
+    text = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
+    for name in warc.HIDDEN:
+        text = rf"regexp_replace({text}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', '', 'g')"
+    text = rf"regexp_replace({text}, '[\s\x0B]+', ' ', 'g')"
+    text = rf"regexp_replace({text}, '(?i)</?(?:{warc.BREAKING})\b[^>]*>', chr(10), 'g')"
+    return f"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
+
+
+OP5_SQL = rf"""
+WITH r AS (
+  SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, {_sql_id("response", "url", "html")} AS refers_to FROM pages),
+bare AS (SELECT *, {_sql_text("payload")} AS stripped, regexp_extract(payload, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS raw_title FROM r),
+t AS (
+  SELECT *, {_sql_unescape("stripped")} AS plain, {_sql_unescape("trim(regexp_replace(raw_title, '[\\s\\x0B]+', ' ', 'g'))")} AS title,
+    {_sql_id("metadata", "target_uri", "refers_to")} AS m, {_sql_id("conversion", "target_uri", "refers_to")} AS c
+  FROM bare),
+b AS (
+  SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(plain, '[ \t\r]*\n[ \t\r\n]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS conversion,
+    'title: ' || title || chr(13) || chr(10) || 'language: ' || regexp_extract(payload, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) || chr(13) || chr(10)
+      || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\b[^>]*\bhref=')) || chr(13) || chr(10) || 'source-content-length: ' || strlen(payload) || chr(13) || chr(10) AS metadata
+  FROM t),
+d AS (
+  SELECT *, 'metadata' AS record_type, m AS record_id, c AS concurrent_to, 'application/warc-fields' AS content_type, metadata AS block FROM b
+  UNION ALL SELECT *, 'conversion', c, m, 'text/plain; charset=utf-8', conversion FROM b)
+SELECT page_id, record_type, record_id, refers_to, concurrent_to, target_uri, '{warc.CRAWL_DATE}' AS warc_date, content_type,
+  'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload) || chr(13) || chr(10) AS source_headers,
+  'sha256:' || sha256(payload) AS payload_digest, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length, block
+FROM d
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat_snapshots": OP1_SQL, "op5_warc_derivatives": OP5_SQL, "op8_quality_rules": OP8_SQL}
