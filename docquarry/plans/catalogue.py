@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from docquarry.plans import search, tenancy, texts
+
+QUERIES = search.QUERIES | texts.QUERIES | tenancy.QUERIES
+ORACLE_SQL = search.ORACLE_SQL | texts.ORACLE_SQL | tenancy.ORACLE_SQL
