@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docquarry.plans import search, tenancy, texts
+from docquarry.plans import live, search, tenancy, texts
 
-QUERIES = search.QUERIES | texts.QUERIES | tenancy.QUERIES
-ORACLE_SQL = search.ORACLE_SQL | texts.ORACLE_SQL | tenancy.ORACLE_SQL
+QUERIES = search.QUERIES | texts.QUERIES | tenancy.QUERIES | live.QUERIES
+ORACLE_SQL = search.ORACLE_SQL | texts.ORACLE_SQL | tenancy.ORACLE_SQL | live.ORACLE_SQL
