@@ -41,7 +41,7 @@ def chunks_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages parsed to blocks and cut to chunks."""
-    pages = S.html_documents(table(prepare(spark), sf_dir, "pages")).withColumnRenamed("page_id", "doc_id")
+    pages = S.html_documents(table(prepare(spark), sf_dir, "pages", spread=True)).withColumnRenamed("page_id", "doc_id")
     header = lambda b: F.when(b["kind"] == "table", S.table_header(b["text"]))
     block = lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["section"].alias("section"), header(b).alias("table_header"), F.lit(False).alias("atomic"), F.lit(None).cast("int").alias("slide"))
     return C.assemble(pages.select("doc_id", F.transform("blocks", block).alias("blocks")))
@@ -83,12 +83,12 @@ def row_serialise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of blocks of each kind of every page, and whether its first heading is its title."""
-    blocks = S.html_blocks(table(prepare(spark), sf_dir, "pages"))
+    blocks = S.html_blocks(table(prepare(spark), sf_dir, "pages", spread=True))
     return blocks.groupBy("page_id").agg(F.count(F.when(F.col("kind") == "heading", 1)).alias("headings"), F.count(F.when(F.col("kind") == "list", 1)).alias("lists"))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.html_blocks(table(prepare(spark), sf_dir, "pages"))
+    return S.html_blocks(table(prepare(spark), sf_dir, "pages", spread=True))
 
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
