@@ -43,6 +43,7 @@ class Automaton:
     cuts: list[dict[int, int]] = field(default_factory=lambda: [{}])
     left: dict[int, int] = field(default_factory=dict)
     rank: dict[int, int] = field(default_factory=dict)
+    never: set[int] = field(default_factory=set)  # merged tokens whose parts never come to stand side by side
     known: dict[int, bool] = field(default_factory=dict)
 
     def cut_at(self, state: int, token: int) -> int:
@@ -58,7 +59,7 @@ class Automaton:
 
     def has_arc(self, state: int, token: int, at: int = NEVER - 1) -> bool:
         """Whether the arc exists just after the merge of rank ``at``."""
-        while self.cut_at(state, token) > at:
+        while token not in self.never and self.cut_at(state, token) > at:
             if token not in self.left:
                 return True
             at, token = self.rank[token], self.left[token]
@@ -84,6 +85,9 @@ def compile_merges(n_base: list[int], merges: list[tuple[int, int, int]]) -> Aut
         if w in auto.left:
             raise ValueError(f"token {w} has two merges")
         auto.left[w], auto.rank[w], auto.target[w] = u, rank, auto.target[v]
+        if u in auto.never or not auto.has_arc(s, v):
+            auto.never.add(w)
+            continue
         sharing[auto.target[v]] += 1
         if sharing[s] == 1:
             auto.cuts[s].setdefault(v, rank)
