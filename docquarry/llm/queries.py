@@ -15,45 +15,45 @@ def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(prepare(spark), sf_dir, "documents"), bpe.default_path(), keep="digests")
+    return bpe.encode(table(prepare(spark), sf_dir, "documents", spread=True), bpe.default_path(), keep="digests")
 
 
 def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "labels"))
 
 
 def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(prepare(spark), sf_dir, "documents"))
+    return langid.identify(table(prepare(spark), sf_dir, "documents", spread=True))
 
 
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.responses(table(prepare(spark), sf_dir, "pages")))
+    return warc.derivatives(warc.responses(table(prepare(spark), sf_dir, "pages", spread=True)))
 
 
 def op6_decontamination_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), decontaminate.items_of(table(spark, sf_dir, "benchmark")))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", spread=True), decontaminate.items_of(table(spark, sf_dir, "benchmark")))
 
 
 def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(prepare(spark), sf_dir, "documents"))
+    return licenses.scan(table(prepare(spark), sf_dir, "documents", spread=True))
 
 
 QUALITY_COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    docs = table(prepare(spark), sf_dir, "documents", spread=True).select("doc_id", "text")
     return quality.apply_rules(docs).select(*QUALITY_COLUMNS)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+    return simhash.near_duplicates(table(prepare(spark), sf_dir, "documents", spread=True))
 
 
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.sharded_digest(table(prepare(spark), sf_dir, "documents"))
+    return sharding.sharded_digest(table(prepare(spark), sf_dir, "documents", spread=True))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
