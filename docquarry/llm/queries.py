@@ -127,22 +127,16 @@ def _sql_id(kind: str, url: str, payload: str) -> str:
 
 
 def _sql_unescape(text: str) -> str:
-    for name, char in warc.ENTITIES:
-        quoted = char.replace("'", "''")
-        text = f"replace({text}, '{name}', '{quoted}')"
-    piece = "regexp_extract(p, '^([0-9]{1,6});', 1)"
-    code = f"coalesce(try_cast({piece} AS INTEGER), 0)"
-    decoded = f"CASE WHEN {code} > 0 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}) || regexp_replace(p, '^[0-9]+;', '') ELSE '&#' || p END"
-    pieces = f"string_split({text}, '&#')"
-    return f"replace({pieces}[1] || coalesce(array_to_string(list_transform({pieces}[2:], lambda p: {decoded}), ''), ''), '&amp;', '&')"
+    code = "coalesce(try_cast(regexp_extract(p, '^#([0-9]{1,6});', 1) AS INTEGER), 0)"
+    named = " ".join(f"WHEN starts_with(p, '{name}') THEN '{char.replace(chr(39), chr(39) * 2)}' || substr(p, {len(name) + 1})" for name, char in warc.ENTITIES)
+    number = f"WHEN starts_with(p, '#') THEN CASE WHEN {code} > 0 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}) || regexp_replace(p, '^#[0-9]+;', '') ELSE '&' || p END"
+    pieces = f"string_split({text}, '&')"
+    return f"({pieces}[1] || coalesce(array_to_string(list_transform({pieces}[2:], lambda p: CASE {number} {named} ELSE '&' || p END), ''), ''))"
 
 
 def _sql_text(html: str) -> str:
-    text = f"regexp_replace({html}, '(?s)<!--.*?-->', '', 'g')"
-    for name in warc.HIDDEN:
-        text = rf"regexp_replace({text}, '(?is)<{name}\b[^>]*>.*?</{name}\s*>', '', 'g')"
-    text = rf"regexp_replace({text}, '[\s\x0B]+', ' ', 'g')"
-    text = rf"regexp_replace({text}, '(?i)</?(?:{warc.BREAKING})\b[^>]*>', chr(10), 'g')"
+    text = f"regexp_replace({html}, '{warc.NO_TEXT}', '', 'g')"
+    text = rf"regexp_replace({text}, '(?i)</?(?:{warc.BREAKING})\b[^>]*>', chr(1), 'g')"
     return f"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
 
 
@@ -155,7 +149,7 @@ t AS (
     {_sql_id("metadata", "target_uri", "refers_to")} AS m, {_sql_id("conversion", "target_uri", "refers_to")} AS c
   FROM bare),
 b AS (
-  SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(plain, '[ \t\r]*\n[ \t\r\n]*', chr(10), 'g'), '[ \t]+', ' ', 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS conversion,
+  SELECT *, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(plain, '[ \t\n\x0B\f\r]{{2,}}|[\t\n\x0B\f\r]', ' ', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '') AS conversion,
     'title: ' || title || chr(13) || chr(10) || 'language: ' || regexp_extract(payload, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) || chr(13) || chr(10)
       || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\b[^>]*\bhref=')) || chr(13) || chr(10) || 'source-content-length: ' || strlen(payload) || chr(13) || chr(10) AS metadata
   FROM t),

@@ -17,13 +17,13 @@ CRAWL_DATE = "2024-01-01T00:00:00Z"
 #: Elements whose content is no text, and elements that end a line.
 HIDDEN = ("script", "style", "noscript", "template", "svg")
 BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&laquo;", "«"), ("&raquo;", "»"), ("&euro;", "€"), ("&apos;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"))
+ENTITIES = (("amp;", "&"), ("nbsp;", " "), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("apos;", "'"), ("copy;", "©"), ("reg;", "®"), ("middot;", "·"), ("hellip;", "…"), ("ndash;", "–"), ("mdash;", "—"), ("laquo;", "«"), ("raquo;", "»"), ("euro;", "€"))
 
 
 def record_id(kind: str, url: Column, payload: Column) -> Column:
     """A urn:uuid made from what the record is of, so that a rerun names it the same."""
     h = F.md5(F.concat(F.lit(kind + "\n"), F.coalesce(url, F.lit("")), F.lit("\n"), F.coalesce(payload, F.lit(""))))
-    return F.concat(F.lit("<urn:uuid:"), *[x for a, n, sep in ((1, 8, "-"), (9, 4, "-"), (13, 4, "-"), (17, 4, "-"), (21, 12, ">")) for x in (F.substring(h, a, n), F.lit(sep))])
+    return F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
@@ -46,28 +46,32 @@ def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
 
 def unescape(text: Column) -> Column:
     """Named entities of the list and decimal references, each decoded once; others stay."""
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    pieces = F.split(text, "&#")
-    number = lambda p: F.regexp_extract(p, r"^([0-9]{1,6});", 1)
-    code = lambda p: number(p).cast("int")
-    usable = lambda p: (number(p) != "") & (code(p) > 0) & ~code(p).between(0xD800, 0xDFFF)
-    char = lambda p: F.decode(F.unhex(F.lpad(F.hex(code(p).cast("long")), 8, "0")), "UTF-32")
-    decoded = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.when(usable(p), F.concat(char(p), F.regexp_replace(p, r"^[0-9]+;", ""))).otherwise(F.concat(F.lit("&#"), p)))
-    whole = F.concat(F.element_at(pieces, 1), F.array_join(decoded, ""))
-    return F.replace(F.when(text.contains("&#"), whole).otherwise(text), F.lit("&amp;"), F.lit("&"))
+    pieces = F.split(text, "&")
+
+    def decode(p: Column) -> Column:
+        number = F.regexp_extract(p, r"^#([0-9]{1,6});", 1)
+        code = number.try_cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        usable = (code > 0) & ~code.between(0xD800, 0xDFFF)
+        out = F.when(p.startswith("#"), F.when(usable, F.concat(char, F.substring(p, F.length(number) + 3, F.length(p)))).otherwise(F.concat(F.lit("&"), p)))
+        for name, char in ENTITIES:
+            out = out.when(p.startswith(name), F.concat(F.lit(char), F.substring(p, F.lit(len(name) + 1), F.length(p))))
+        return out.otherwise(F.concat(F.lit("&"), p))
+
+    rest = F.transform(F.slice(pieces, 2, F.size(pieces)), decode)
+    return F.when(text.contains("&"), F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(text)
+
+
+#: What is no text: comments and hidden elements, whichever begins first.
+NO_TEXT = "(?is)<(?:!--.*?--|" + "|".join(rf"{name}\b[^>]*>.*?</{name}\s*" for name in HIDDEN) + ")>"
 
 
 def plain_text(html: Column) -> Column:
     """Visible text: one line a block, white space collapsed, no empty lines."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for name in HIDDEN:
-        text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
-    text = F.regexp_replace(text, r"[\s]+", " ")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\n")
+    text = F.regexp_replace(F.regexp_replace(html, NO_TEXT, ""), rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\x01")
     text = unescape(F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", ""))
-    text = F.regexp_replace(text, r"[ \t\r]*\n[ \t\r\n]*", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"^[ \n]+|[ \n]+$", ""))
+    text = F.regexp_replace(text, r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]", " ")
+    return F.array_join(F.filter(F.transform(F.split(text, "\x01"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def derivatives(records: DataFrame) -> DataFrame:
@@ -80,7 +84,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     payload, source = F.col("payload"), F.col("record_id")
     title = unescape(F.trim(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"[\s]+", " ")))
     lang = F.regexp_extract(payload, r"(?i)<html\b[^>]*\blang=\"([^\"]*)\"", 1)
-    links = F.size(F.regexp_extract_all(payload, F.lit(r"(?i)<a\b[^>]*\bhref="), F.lit(0)))
+    links = F.regexp_count(payload, F.lit(r"(?i)<a\b[^>]*\bhref="))
     fields = F.concat(F.lit("title: "), title, F.lit(f"{CRLF}language: "), lang, F.lit(f"{CRLF}outlinks: "), links.cast("string"), F.lit(f"{CRLF}source-content-length: "), F.octet_length(payload).cast("string"), F.lit(CRLF))
     made = records.withColumns({"__meta": fields, "__text": plain_text(payload), "__m": record_id("metadata", F.col("target_uri"), source), "__c": record_id("conversion", F.col("target_uri"), source)})
     row = lambda kind, me, other, mime, block: F.struct(F.lit(kind).alias("record_type"), F.col(me).alias("record_id"), F.col(other).alias("concurrent_to"), F.lit(mime).alias("content_type"), F.col(block).alias("block"))
