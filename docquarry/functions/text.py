@@ -1,4 +1,4 @@
-"""Column expressions over text: token estimates, sentences, terms."""
+"""Column expressions over text: token estimates, sentences, terms. White space is Unicode's throughout."""
 
 from __future__ import annotations
 
@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 # fixed values: characters and tokens of a word, sentence boundary
 CHARS_PER_TOKEN = 3.5
 TOKENS_PER_WORD = 1.3
-SENTENCE_BOUNDARY = r"(?<=[.!?])\s+(?=[A-Z0-9])|\n{2,}"
+SENTENCE_BOUNDARY = r"(?U)(?<=[.!?])\s+(?=[A-Z0-9])|\n{2,}"
 
 
 def token_count(text: Column) -> Column:
     """The larger of two estimates, by characters and by words; 0 for empty, else 1 at least."""
     by_chars = F.length(text) / F.lit(CHARS_PER_TOKEN)
-    by_words = F.regexp_count(text, F.lit(r"\S+")) * F.lit(TOKENS_PER_WORD)
+    by_words = F.regexp_count(text, F.lit(r"(?U)\S+")) * F.lit(TOKENS_PER_WORD)
     size = F.ceil(F.greatest(by_chars, by_words)).cast("int")
     return F.when(F.length(text) > 0, F.greatest(F.lit(1), size)).otherwise(F.lit(0))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def sentences(text: Column) -> Column:
@@ -29,7 +29,7 @@ def sentences(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
 def terms(text: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.ranges import change_numbers, row_numbers
+
 WORKING = ("parsing", "profiling", "chunking", "embedding", "pending")
 
 
@@ -105,11 +107,9 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def version_chain(docs: DataFrame) -> DataFrame:
     """(document_id, version, superseded): uploads of one file name in order; new bytes make a new version."""
-    side = Window.partitionBy("workspace_id", "filename").orderBy("document_id")
     hashed = docs.select("workspace_id", "filename", "document_id", F.sha2(F.col("content"), 256).alias("h"))
-    changed = (F.lag("h").over(side).isNull() | (F.lag("h").over(side) != F.col("h"))).cast("int")
-    numbered = hashed.withColumn("n", F.sum(changed).over(side))
-    return numbered.select("document_id", F.concat(F.lit("v"), F.col("n").cast("string")).alias("version"), (F.lead("document_id").over(side).isNotNull()).alias("superseded"))
+    numbered = change_numbers(hashed, ("workspace_id", "filename"), ("document_id",), "h", "n", "superseded")
+    return numbered.select("document_id", F.concat(F.lit("v"), F.col("n").cast("string")).alias("version"), "superseded")
 
 
 def next_version(label: Column) -> Column:
@@ -121,5 +121,5 @@ def next_version(label: Column) -> Column:
 def pending_batches(chunks: DataFrame, vectors: DataFrame, size: int = 32) -> DataFrame:
     """(document_id, batch): chunks without a vector, in batches within each workspace."""
     left = chunks.join(vectors.select("document_id"), "document_id", "left_anti")
-    n = F.row_number().over(Window.partitionBy("workspace_id").orderBy("document_id"))
-    return left.select("workspace_id", "document_id", F.floor((n - 1) / size).cast("long").alias("batch"))
+    numbered = row_numbers(left.select("workspace_id", "document_id"), ("workspace_id",), ("document_id",))
+    return numbered.select("workspace_id", "document_id", F.floor((F.col("n") - 1) / size).cast("long").alias("batch"))

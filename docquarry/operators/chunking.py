@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.packing import group_ends, grouped, pack_ends, tail_count, tail_units
-from docquarry.functions.text import CHARS_PER_TOKEN, TOKENS_PER_WORD, sentences, token_count, words
+from docquarry.functions.text import CHARS_PER_TOKEN, TOKENS_PER_WORD, sentences, strip, token_count, words
 
 # fixed values: default sizes, sentence boundary, step markers and the mark of a continued procedure
 TARGET, OVERLAP_RATIO, CEILING = 500, 0.15, 8192
@@ -247,7 +247,7 @@ def assemble(docs: DataFrame, id_col: str = "doc_id", target: int = TARGET, rati
 
 def paragraphs(docs: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:
     """(doc_id, blocks) of plain texts: a paragraph ends at a blank line."""
-    cut = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    cut = F.filter(F.transform(F.split(F.coalesce(text_col, F.lit("")), r"(?U)\n\s*\n"), strip), lambda p: p != "")
     none = F.lit(None).cast("string")
     block = lambda p: F.struct(F.lit("text").alias("kind"), p.alias("text"), none.alias("section"), none.alias("table_header"), F.lit(False).alias("atomic"), F.lit(None).cast("int").alias("slide"))
     return docs.select(F.col(id_col).alias("doc_id"), F.transform(cut, block).alias("blocks"))

@@ -144,7 +144,7 @@ class _Blocks(HTMLParser):
         elif tag == "br":
             self.text.append("\n")
         elif tag == "tr":
-            self.text.append("\n|")
+            self.text.append("\n| ")
 
     def handle_endtag(self, tag):
         if tag in self.SKIP:
