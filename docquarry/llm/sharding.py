@@ -26,7 +26,9 @@ from docquarry.llm.common import Batches
 from docquarry.session import cut_lineage
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
-PROBES = 128  # candidates for each open splitter and round
+PROBES = 128  # candidates for each open splitter and round, if not too many are open
+MAX_CANDIDATES = 1 << 18  # of one round, for all splitters
+MAX_PARTS = 1 << 14
 Key = tuple[int, int]
 
 
@@ -49,15 +51,16 @@ def _between(a: int, b: int, n: int) -> list[int]:
     return list(range(a + step, b, step)) + [b]
 
 
-def _candidates(s: Splitter) -> list[Key]:
+def _candidates(s: Splitter, n: int) -> list[Key]:
+    """Boundaries to probe in the bracket, about n; between hashes first, between ids where one hash is left."""
     (h0, d0), (h1, d1) = s.lo, s.hi
     if h0 == h1:
-        return [(h0, d) for d in _between(d0, d1, PROBES)]
+        return [(h0, d) for d in _between(d0, d1, n)]
     if h1 - h0 > 1 or d1 == LOW:
-        inner = [(h, LOW) for h in _between(h0, h1, PROBES)]
+        inner = [(h, LOW) for h in _between(h0, h1, n)]
         if len(inner) > 1 or d0 == LOW and h1 - h0 > 1:
             return inner
-    return [(h0, d) for d in _between(d0, HIGH, PROBES)] + ([(h1, LOW)] if d1 != LOW else [])
+    return [(h0, d) for d in _between(d0, HIGH, n)] + ([(h1, LOW)] if d1 != LOW else [])
 
 
 def _counts(slim: DataFrame, keys: list[Key]) -> list[tuple[int, int, Key, Key]]:
@@ -103,8 +106,8 @@ def _counts(slim: DataFrame, keys: list[Key]) -> list[tuple[int, int, Key, Key]]
 def find_splitters(slim: DataFrame, goals: list[tuple[float, float]], max_rounds: int = 40) -> tuple[list[Key], list[int]]:
     """Splitter keys for (bytes below, slack) goals, ascending, and the rows below each.
 
-    slim: (h, d, size). What a round brings to the driver has PROBES rows at
-    most for each open splitter. A splitter that no key can settle (rows with
+    slim: (h, d, size). What a round brings to the driver has MAX_CANDIDATES
+    rows at most. A splitter that no key can settle (rows with
     equal keys can't be cut) takes the nearest boundary there is.
     """
     open_ = splitters = [Splitter(goal, slack) for goal, slack in goals]
@@ -113,7 +116,8 @@ def find_splitters(slim: DataFrame, goals: list[tuple[float, float]], max_rounds
     for s in splitters:
         s.hi_bytes = total
     for _ in range(max_rounds):
-        keys = sorted({k for s in open_ for k in _candidates(s)})
+        probes = max(2, min(PROBES, MAX_CANDIDATES // max(1, len(open_))))
+        keys = sorted({k for s in open_ for k in _candidates(s, probes)})
         if not keys:
             break
         gaps = _counts(slim, keys)
@@ -185,7 +189,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     })
     slim = cut_lineage(keyed.select(F.col("__h").alias("h"), F.col("__d").alias("d"), "size"))
     total = slim.agg(F.sum("size")).first()[0] or 0
-    per = max(1, -(-total // (shards * part_bytes)))
+    per = max(1, min(MAX_PARTS // shards, -(-total // (shards * part_bytes))))
     share = total / shards
     goals = [(total * i / (shards * per), share * slack if i % per == 0 else share / per * 0.1) for i in range(1, shards * per)]
     keys, rows = find_splitters(slim, goals)
