@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators import answers as A
 from docquarry.operators import catalog as C
 from docquarry.operators import jobs as J
 from docquarry.plans import model
@@ -114,6 +115,37 @@ def pending_embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.pending_batches(model.documents(spark, sf_dir).select("document_id", "workspace_id"), model.vectors(spark, sf_dir))
 
 
+def workspace_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each workspace says to a greeting."""
+    docs = model.documents(spark, sf_dir)
+    state = C.corpus_state(docs).withColumn("names", F.filter(F.split("ready_names", ","), lambda x: x != ""))
+    best = C.top_values(_values(spark, sf_dir).where("kind = 'topic'"), 8, ("workspace_id",))
+    topics = best.groupBy("workspace_id").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("t")).select("workspace_id", F.col("t.value").alias("topics"))
+    both = state.join(topics, "workspace_id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
+    return both.select("workspace_id", A.overview(F.lit("greeting"), F.col("names"), F.col("topics"), F.col("processing")).alias("reply"))
+
+
+def upload_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploads of at most 2,000 bytes, of which some have no supported type."""
+    docs = model.documents(spark, sf_dir)
+    mime = F.when(F.col("document_id") % 4 > 0, "text/plain")
+    return docs.select("document_id", F.coalesce(A.reject_reason(F.octet_length("content"), mime, 2000), F.lit("taken")).alias("verdict"), A.question_ok(F.col("content"), F.lit(8)).alias("could_be_question"))
+
+
+def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose tags hold a type and two of their first words."""
+    docs = model.documents(spark, sf_dir)
+    tags = F.struct(F.col("status").alias("document_type"), F.slice(F.split(F.lower("content"), "[^a-z]+"), 1, 30).alias("topics"))
+    return docs.withColumn("tags", tags).where(A.has_tags(F.col("tags"), {"document_type": "ready", "topics": ["the", "and"]})).select("document_id")
+
+
+def embed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the offline stand-in for all documents without one, and their length."""
+    docs = model.documents(spark, sf_dir).join(model.vectors(spark, sf_dir).select("document_id"), "document_id", "left_anti")
+    made = A.embed_texts(docs, "document_id", "content", A.offline_embedder(64), 64)
+    return made.select("document_id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
+
+
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.job_states(model.job_log(spark, sf_dir)).select("job_id", "status", "attempts")
 
@@ -147,7 +179,7 @@ def retry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", J.retryable(F.col("code"), F.col("message")).alias("again"), F.coalesce(F.round(J.server_delay(F.col("message")), 4), F.lit(-1.0)).alias("wait"), J.backoff(F.col("event_id") % 8 + 1).alias("local_wait"))
 
 
-QUERIES = {f.__name__: f for f in (status_counts, workspace_cards, document_list, corpus_state, top_values, vocabulary, spellings, history, session_join, content_hash, exact_dedup, version_chain, cascade_delete, delete_documents, chunk_upsert, pending_embedding_batches, job_states, stalled_jobs, claim_order, pending_jobs, progress_pct, retry_rules)}
+QUERIES = {f.__name__: f for f in (status_counts, workspace_cards, document_list, corpus_state, top_values, vocabulary, spellings, history, session_join, content_hash, exact_dedup, version_chain, cascade_delete, delete_documents, chunk_upsert, pending_embedding_batches, workspace_replies, upload_guards, tag_filter, embed_pending, job_states, stalled_jobs, claim_order, pending_jobs, progress_pct, retry_rules)}
 
 _WORKING = ", ".join(f"'{s}'" for s in C.WORKING)
 _D = f"WITH {model.DOCUMENTS_SQL}"
@@ -162,6 +194,8 @@ _COUNTS = f"count(*)::BIGINT AS total, count(*) FILTER (status = 'ready') AS rea
 _J = """WITH j AS (SELECT user_id AS job_id, max_by(event_type, (ts, event_id)) AS last, max(ts) AS heartbeat_at, min(ts) AS created_at, count(*) FILTER (event_type = 'error') AS attempts FROM events GROUP BY 1),
 states AS (SELECT *, CASE last WHEN 'purchase' THEN 'succeeded' WHEN 'signup' THEN 'pending' WHEN 'error' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE 'running' END AS status FROM j)"""
 
+_LIST = lambda c, n: f"CASE WHEN len({c}) > {n} THEN array_to_string({c}[1:{n}], ', ') || ', and ' || (len({c}) - {n}) || ' more' WHEN len({c}) > 1 THEN array_to_string({c}[:-2], ', ') || ' and ' || {c}[-1] ELSE {c}[1] END"
+
 ORACLE_SQL = {
     "status_counts": f"{_D}, s AS (SELECT workspace_id, status, count(*) AS n FROM docs GROUP BY 1, 2), b AS (SELECT workspace_id, string_agg(status || '=' || n, ',' ORDER BY status) AS by_status FROM s GROUP BY 1) SELECT workspace_id, {_COUNTS}, any_value(by_status) AS by_status FROM docs JOIN b USING (workspace_id) GROUP BY 1",
     "workspace_cards": f"""{_V}, c AS (SELECT workspace_id, {_COUNTS} FROM docs GROUP BY 1), k AS (SELECT workspace_id, count(*) AS chunks FROM chunks GROUP BY 1),
@@ -186,6 +220,14 @@ FROM (SELECT workspace_id, 'd' AS k FROM docs UNION ALL SELECT workspace_id, 'c'
     "delete_documents": f"{_D} SELECT filename, count(*) AS n FROM docs WHERE status <> 'failed' GROUP BY 1",
     "chunk_upsert": f"{_C} SELECT document_id, workspace_id, (CASE WHEN tag = 3 THEN 30 ELSE tag END)::INT AS tag FROM chunks UNION ALL SELECT document_id + 10000000, workspace_id, 30 FROM chunks WHERE tag = 3",
     "pending_embedding_batches": f"{_D} SELECT workspace_id, document_id, ((row_number() OVER (PARTITION BY workspace_id ORDER BY document_id) - 1) // 32)::BIGINT AS batch FROM docs WHERE document_id NOT IN (SELECT vec_id FROM embeddings)",
+    "workspace_replies": f"""{_V}, r AS (SELECT workspace_id, list_sort(list_distinct(list(filename) FILTER (status = 'ready'))) AS names, count(*) FILTER (status IN ({_WORKING})) AS processing FROM docs GROUP BY 1),
+t AS (SELECT workspace_id, list(value ORDER BY rank) AS topics FROM ranked WHERE kind = 'topic' AND rank <= 8 GROUP BY 1),
+b AS (SELECT workspace_id, coalesce(names, []) AS names, coalesce(topics, []) AS topics, processing FROM r LEFT JOIN t USING (workspace_id))
+SELECT workspace_id, 'Hi. ' || CASE WHEN len(names) = 0 THEN CASE WHEN processing > 0 THEN processing || ' document(s) are in work.' ELSE 'There are no documents yet.' END
+ELSE 'This workspace has ' || len(names) || CASE WHEN len(names) = 1 THEN ' document: ' ELSE ' documents: ' END || {_LIST("names", 5)} || '.' || CASE WHEN len(topics) > 0 THEN ' Topics: ' || {_LIST("topics", 6)} || '.' ELSE '' END || CASE WHEN processing > 0 THEN ' In work: ' || processing || '.' ELSE '' END END AS reply FROM b""",
+    "upload_guards": "SELECT doc_id AS document_id, CASE WHEN strlen(text) > 2000 THEN 'too large' WHEN strlen(text) = 0 THEN 'empty' WHEN doc_id % 4 = 0 THEN 'unsupported type' ELSE 'taken' END AS verdict, length(trim(text)) BETWEEN 1 AND 4000 AS could_be_question FROM documents",
+    "tag_filter": f"{_D} SELECT document_id FROM docs WHERE status = 'ready' AND list_has_all(regexp_split_to_array(lower(content), '[^a-z]+')[1:30], ['the', 'and'])",
+    "embed_pending": f"{_D} SELECT document_id, 64 AS width, 1.0::DOUBLE AS length FROM docs WHERE document_id NOT IN (SELECT vec_id FROM embeddings)",
     "job_states": f"{_J} SELECT job_id, status, attempts FROM states",
     "stalled_jobs": f"{_J} SELECT job_id, attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS next_status FROM states WHERE status = 'running' AND heartbeat_at < TIMESTAMP '{AS_OF}' - INTERVAL 3600 SECOND",
     "claim_order": f"{_J} SELECT job_id, attempts + 1 AS attempts FROM states WHERE status = 'pending' ORDER BY created_at, job_id LIMIT 20",
