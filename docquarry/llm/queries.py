@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, chat, decontaminate, langid, licenses, quality, sharding, simhash, toxicity, warc
 from docquarry.session import prepare, table
@@ -33,7 +34,8 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return decontaminate.contaminated(table(spark, sf_dir, "documents", spread=True), decontaminate.items_of(table(spark, sf_dir, "benchmark")))
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents", spread=True), decontaminate.items_of(table(spark, sf_dir, "benchmark")))
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
 
 
 def op7_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,4 +164,71 @@ SELECT page_id, record_type, record_id, refers_to, concurrent_to, target_uri, '{
 FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_snapshots": OP1_SQL, "op5_warc_derivatives": OP5_SQL, "op8_quality_rules": OP8_SQL}
+_TEMPLATES = ", ".join(f"({i}, '{label}', {whole}, '{text}')" for i, (label, text, whole) in enumerate([(k, v, "true") for k, v in licenses.PHRASES.items()] + [(k, v, "false") for k, v in licenses.TEMPLATES]))
+
+OP7_SQL = rf"""
+WITH t AS (SELECT i AS template, label, whole, string_split(words, ' ') AS w FROM (VALUES {_TEMPLATES}) AS v(i, label, whole, words)),
+tg AS (
+  SELECT template, label, whole, len(w) - 2 AS grams, p - 1 AS position, array_to_string(w[p:p + 2], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - 1)) AS p FROM t)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, p - 1 AS place, array_to_string(w[p:p + 2], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - 1)) AS p FROM d)),
+lines AS (
+  SELECT doc_id, template, label, whole, grams, place - position AS diagonal, list(DISTINCT position) AS seen, min(place) AS start
+  FROM g JOIN tg USING (gram) GROUP BY ALL),
+fresh AS (SELECT *, whole OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.GAP}, true) AS f FROM lines),
+runs AS (SELECT *, sum(f::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM fresh),
+m AS (
+  SELECT doc_id, template, label, whole, grams, run, min(start) AS start, len(list_distinct(flatten(list(seen))))::DOUBLE / grams AS coverage
+  FROM runs GROUP BY doc_id, template, label, whole, grams, run),
+k AS (SELECT *, whole AND coverage >= 1 AS phrase, NOT whole AND coverage >= CASE WHEN grams < {licenses.SHORT} THEN 1.0 ELSE {licenses.COVERAGE} END AS notice FROM m),
+r AS (
+  SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
+    coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (phrase)), ','), '') AS base_labels,
+    coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (phrase OR notice)), ','), '') AS labels, max(coverage) AS score
+  FROM k GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+OP6_SQL = rf"""
+WITH s AS (
+  SELECT item_id, text, list_filter(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len({_WORDS.format("x")}) > 0) AS parts, {_WORDS.format("text")} AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+i AS (
+  SELECT item_id, w, CASE WHEN len(parts) > 1 THEN {_WORDS.format("array_to_string(parts[:-2], ' ')")} ELSE w[:len(w) - len(w) // 3] END AS question,
+    CASE WHEN len(parts) > 1 THEN {_WORDS.format("parts[-1]")} ELSE w[len(w) - len(w) // 3 + 1:] END AS answer
+  FROM s WHERE len(w) > 0),
+n AS (SELECT count(*) AS items, avg(len(w)) AS mean_len, greatest(32, max(len(w))) AS stride FROM i),
+tf AS (SELECT item_id, len(w) AS size, term, count(*) AS f FROM (SELECT item_id, w, unnest(w) AS term FROM i) GROUP BY item_id, w, term),
+df AS (SELECT term, count(*) AS n FROM tf GROUP BY 1),
+raw AS (
+  SELECT item_id, term, ln(1 + (items - df.n + 0.5) / (df.n + 0.5)) * f * {decontaminate.K1 + 1} / (f + {decontaminate.K1} * (1 - {decontaminate.B} + {decontaminate.B} * size / mean_len)) AS x
+  FROM tf JOIN df USING (term), n),
+impact AS (SELECT item_id, term, x / sum(x) OVER (PARTITION BY item_id) AS x FROM raw),
+d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, start, w[start + 1:start + 2 * stride] AS w FROM (SELECT doc_id, w, stride, unnest(range(0, len(w), stride)) AS start FROM d, n)),
+bag AS (SELECT doc_id, start, term, count(*) AS f FROM (SELECT doc_id, start, unnest(w) AS term FROM p) GROUP BY ALL),
+hit AS (SELECT doc_id, start, item_id, sum(x) AS score FROM bag JOIN impact USING (term) GROUP BY ALL HAVING sum(x) >= {decontaminate.THRESHOLD} - 1e-9),
+side AS (
+  SELECT item_id, kind, term, count(*) AS f FROM (
+    SELECT item_id, 'q' AS kind, unnest(question) AS term FROM i UNION ALL SELECT item_id, 'a', unnest(answer) FROM i) GROUP BY ALL),
+ov AS (
+  SELECT doc_id, start, item_id, score, kind, sum(least(side.f, coalesce(bag.f, 0)))::DOUBLE / sum(side.f) AS share
+  FROM hit JOIN side USING (item_id) LEFT JOIN bag USING (doc_id, start, term) GROUP BY ALL),
+ok AS (
+  SELECT doc_id, start, item_id, score, coalesce(max(share) FILTER (kind = 'q'), 1) AS q, coalesce(max(share) FILTER (kind = 'a'), 1) AS a FROM ov GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(score, 6) DESC, start) AS k FROM ok WHERE q >= {decontaminate.OVERLAP} AND a >= {decontaminate.OVERLAP})
+SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap, start AS first_word FROM best WHERE k = 1
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_snapshots": OP1_SQL,
+    "op5_warc_derivatives": OP5_SQL,
+    "op6_decontamination_wand": OP6_SQL,
+    "op7_license_diagonals": OP7_SQL,
+    "op8_quality_rules": OP8_SQL,
+}
