@@ -36,7 +36,9 @@ def duck():
 def same_rows(got, want) -> None:
     """Two pandas frames with the same rows in any order, columns by name."""
     assert sorted(got.columns) == sorted(want.columns)
+    import pandas as pd
+
     names = sorted(got.columns)
-    plain = lambda v: None if v is None or v != v else (int(v) if isinstance(v, float) and v.is_integer() else v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else (int(v) if isinstance(v, float) and v.is_integer() else v)
     rows = lambda df: sorted((tuple(plain(v) for v in r) for r in df[names].astype(object).itertuples(index=False, name=None)), key=repr)
     assert rows(got) == rows(want)
