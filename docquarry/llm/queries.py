@@ -137,15 +137,15 @@ def _sql_unescape(text: str) -> str:
 
 
 def _sql_text(html: str) -> str:
-    text = f"regexp_replace({html}, '{warc.NO_TEXT}', '', 'g')"
-    text = rf"regexp_replace({text}, '(?i)</?(?:{warc.BREAKING})\b[^>]*>', chr(1), 'g')"
-    return f"regexp_replace({text}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
+    text = rf"regexp_replace({html}, '(?i)</?(?:{warc.BREAKING})\b[^<>]*>', chr(1), 'g')"
+    return f"regexp_replace({text}, '<[a-zA-Z/!?][^<>]*>', '', 'g')"
 
 
 OP5_SQL = rf"""
 WITH r AS (
   SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, {_sql_id("response", "url", "html")} AS refers_to FROM pages),
-bare AS (SELECT *, {_sql_text("payload")} AS stripped, regexp_extract(payload, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS raw_title FROM r),
+shown AS (SELECT *, regexp_replace(payload, '{warc.NO_TEXT}', '', 'g') AS visible FROM r),
+bare AS (SELECT *, {_sql_text("visible")} AS stripped, regexp_extract(payload, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS raw_title FROM shown),
 t AS (
   SELECT *, {_sql_unescape("stripped")} AS plain, {_sql_unescape("trim(regexp_replace(raw_title, '[\\s\\x0B]+', ' ', 'g'))")} AS title,
     {_sql_id("metadata", "target_uri", "refers_to")} AS m, {_sql_id("conversion", "target_uri", "refers_to")} AS c
@@ -153,7 +153,7 @@ t AS (
 b AS (
   SELECT *, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(plain, '[ \t\n\x0B\f\r]{{2,}}|[\t\n\x0B\f\r]', ' ', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '') AS conversion,
     'title: ' || title || chr(13) || chr(10) || 'language: ' || regexp_extract(payload, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) || chr(13) || chr(10)
-      || 'outlinks: ' || len(regexp_extract_all(payload, '(?i)<a\b[^>]*\bhref=')) || chr(13) || chr(10) || 'source-content-length: ' || strlen(payload) || chr(13) || chr(10) AS metadata
+      || 'outlinks: ' || len(regexp_extract_all(visible, '(?i)<a\b[^<>]*\bhref=')) || chr(13) || chr(10) || 'source-content-length: ' || strlen(payload) || chr(13) || chr(10) AS metadata
   FROM t),
 d AS (
   SELECT *, 'metadata' AS record_type, m AS record_id, c AS concurrent_to, 'application/warc-fields' AS content_type, metadata AS block FROM b

@@ -45,7 +45,10 @@ def responses(pages: DataFrame, date: str = CRAWL_DATE) -> DataFrame:
 
 
 def unescape(text: Column) -> Column:
-    """Named entities of the list and decimal references, each decoded once; others stay."""
+    """Named entities of the list and decimal references, each decoded once; others stay.
+
+    The argument is read more than once, so it should be a column and not a costly expression.
+    """
     pieces = F.split(text, "&")
 
     def decode(p: Column) -> Column:
@@ -66,10 +69,28 @@ def unescape(text: Column) -> Column:
 NO_TEXT = "(?is)<(?:!--.*?--|" + "|".join(rf"{name}\b[^>]*>.*?</{name}\s*" for name in HIDDEN) + ")>"
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: one line a block, white space collapsed, no empty lines."""
-    text = F.regexp_replace(F.regexp_replace(html, NO_TEXT, ""), rf"(?i)</?(?:{BREAKING})\b[^>]*>", "\x01")
-    text = unescape(F.regexp_replace(text, r"<[a-zA-Z/!?][^>]*>", ""))
+def markup(html: Column) -> Column:
+    """What comes before the first < of a page without its hidden parts, and what follows each."""
+    return F.split(F.regexp_replace(html, NO_TEXT, ""), "<")
+
+
+def without_tags(pieces: Column) -> Column:
+    """Text of ``markup`` with a mark where a block begins or ends.
+
+    A tag ends at the first > and holds no other <; a < that begins no tag is text.
+    """
+
+    def text_of(p: Column) -> Column:
+        after = F.substring(p, F.locate(">", p) + 1, F.length(p))
+        broken = F.when(p.rlike(rf"^(?i)/?(?:{BREAKING})\b"), F.concat(F.lit("\x01"), after)).otherwise(after)
+        return F.when(p.rlike("^[a-zA-Z/!?][^>]*>"), broken).otherwise(F.concat(F.lit("<"), p))
+
+    rest = F.transform(F.slice(pieces, 2, F.size(pieces)), text_of)
+    return F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))
+
+
+def lines(text: Column) -> Column:
+    """One line a block, white space collapsed, no empty lines."""
     text = F.regexp_replace(text, r"[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]", " ")
     return F.array_join(F.filter(F.transform(F.split(text, "\x01"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
@@ -79,14 +100,15 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     (page_id, record_type, record_id, refers_to, concurrent_to, target_uri, warc_date, content_type,
     source_headers, payload_digest, block_digest, content_length, block). Empty payloads give empty
-    texts. A null target stays null, and null pages have records too.
+    texts. A null target stays null, and null pages have records too. Outlinks are the anchors that aren't hidden.
     """
     payload, source = F.col("payload"), F.col("record_id")
-    title = unescape(F.trim(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"[\s]+", " ")))
+    title = F.trim(F.regexp_replace(F.regexp_extract(payload, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), r"[\s]+", " "))
     lang = F.regexp_extract(payload, r"(?i)<html\b[^>]*\blang=\"([^\"]*)\"", 1)
-    links = F.regexp_count(payload, F.lit(r"(?i)<a\b[^>]*\bhref="))
-    fields = F.concat(F.lit("title: "), title, F.lit(f"{CRLF}language: "), lang, F.lit(f"{CRLF}outlinks: "), links.cast("string"), F.lit(f"{CRLF}source-content-length: "), F.octet_length(payload).cast("string"), F.lit(CRLF))
-    made = records.withColumns({"__meta": fields, "__text": plain_text(payload), "__m": record_id("metadata", F.col("target_uri"), source), "__c": record_id("conversion", F.col("target_uri"), source)})
+    links = F.size(F.filter("__markup", lambda p: p.rlike(r"^(?i)a\b[^>]*\bhref=")))
+    fields = F.concat(F.lit("title: "), unescape(F.col("__title")), F.lit(f"{CRLF}language: "), lang, F.lit(f"{CRLF}outlinks: "), links.cast("string"), F.lit(f"{CRLF}source-content-length: "), F.octet_length(payload).cast("string"), F.lit(CRLF))
+    bare = records.withColumn("__markup", markup(payload)).withColumns({"__bare": without_tags(F.col("__markup")), "__title": title})
+    made = bare.withColumns({"__meta": fields, "__text": lines(unescape(F.col("__bare"))), "__m": record_id("metadata", F.col("target_uri"), source), "__c": record_id("conversion", F.col("target_uri"), source)})
     row = lambda kind, me, other, mime, block: F.struct(F.lit(kind).alias("record_type"), F.col(me).alias("record_id"), F.col(other).alias("concurrent_to"), F.lit(mime).alias("content_type"), F.col(block).alias("block"))
     both = F.array(row("metadata", "__m", "__c", "application/warc-fields", "__meta"), row("conversion", "__c", "__m", "text/plain; charset=utf-8", "__text"))
     out = made.withColumn("__d", F.explode(both))
