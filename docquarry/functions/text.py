@@ -37,8 +37,10 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def term_frequency(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == term))
+def term_frequency(lowered: Column, term: str) -> Column:
+    """How often a term of letters and digits stands in a lower-case text, as ``terms`` would cut it."""
+    edge = r"[\p{L}\p{N}]"
+    return F.regexp_count(lowered, F.lit(rf"\Q{term}\E(?<!{edge}\Q{term}\E)(?!{edge})"))
 
 
 def slug_ok(slug: Column) -> Column:

@@ -63,18 +63,19 @@ def text_scores(docs: DataFrame, must: Sequence[str], must_not: Sequence[str] =
     The score is the weighted frequency of the terms: those of the header count more than the body's.
     Texts without a term as a substring are dropped before any is cut into terms.
     """
-    header, body = terms(F.coalesce(header_col, F.lit(""))), terms(F.coalesce(body_col, F.lit("")))
-    lowered = F.concat_ws(" ", F.lower(header_col), F.lower(body_col))
+    sides = [F.lower(F.coalesce(c, F.lit(""))) for c in (header_col, body_col)]
     words = [t.lower() for t in must] + [w for p in phrases for w in p.lower().split()]
-    likely = reduce(lambda a, b: a & b, [lowered.contains(w) for w in words], F.lit(True))
-    cut = docs.where(likely).withColumns({"__h": header, "__b": body})
-    count = lambda side, t: term_frequency(F.col(side), t)
-    holds = [(count("__h", t) + count("__b", t)) > 0 for t in must]
-    lacks = [(count("__h", t) + count("__b", t)) == 0 for t in must_not]
-    joined = F.concat(F.lit(" "), F.array_join("__b", " "), F.lit(" "))
+    likely = reduce(lambda a, b: a & b, [F.concat_ws(" ", *sides).contains(w) for w in words], F.lit(True))
+    # counted once a row; filters above read the counts and not the texts
+    counts = {t: F.struct(*[term_frequency(side, t.lower()) for side in sides]) for t in (*must, *must_not)}
+    found = docs.where(likely).withColumn("__n", F.array(*[F.struct(c["col1"].alias("h"), c["col2"].alias("b")) for c in counts.values()]) if counts else F.array())
+    at = {t: F.col("__n")[i] for i, t in enumerate(counts)}
+    total = lambda t: at[t]["h"] + at[t]["b"]
+    joined = F.concat(F.lit(" "), F.array_join(terms(sides[1]), " "), F.lit(" "))
     stands = [joined.contains(f" {' '.join(p.lower().split())} ") for p in phrases]
-    score = sum((count("__h", t) * HEADER_WEIGHT + count("__b", t) * BODY_WEIGHT for t in must), F.lit(0.0))
-    return cut.where(reduce(lambda a, b: a & b, holds + lacks + stands, F.lit(True))).withColumn("text_score", score).drop("__h", "__b")
+    rules = [total(t) > 0 for t in must] + [total(t) == 0 for t in must_not] + stands
+    score = sum((at[t]["h"] * HEADER_WEIGHT + at[t]["b"] * BODY_WEIGHT for t in must), F.lit(0.0))
+    return found.where(reduce(lambda a, b: a & b, rules, F.lit(True))).withColumn("text_score", score).drop("__n")
 
 
 def text_pool(docs: DataFrame, must: Sequence[str], k: int, id_col: str = "document_id", **more) -> DataFrame:
