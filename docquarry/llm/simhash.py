@@ -218,7 +218,7 @@ def near_links(distinct: DataFrame, radius: int = 2, tile_rows: int = 32_768) ->
     return dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, links: DataFrame | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     component_id is the smallest doc_id reachable over links of at most
@@ -226,10 +226,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space, have fingerprint zero and are linked like any other; repeated rows
     and repeated ids stay as they are; where a whole component has null ids,
     component_id is null. An empty table gives an empty result. Other columns are ignored.
+    ``links`` are more links (u, v) between fingerprints of these rows.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
     classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(near_links(classes, radius))
+    near = near_links(classes, radius)
+    roots = connected_components(near if links is None else near.union(links))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = cut_lineage(rooted)
     best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -237,13 +239,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, links: DataFrame | None = None) -> DataFrame:
     """All columns of the documents that come first in their group.
 
     Rows without an id stay. Of rows that repeat both the id and the text of a
     group's first document one stays.
     """
-    found = near_duplicates(docs, id_col, text_col, radius).where("doc_id = component_id")
+    found = near_duplicates(docs, id_col, text_col, radius, links).where("doc_id = component_id")
     kept = cut_lineage(found.groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")))
     out = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
     if not kept.where("__rows > 1").isEmpty():
