@@ -41,9 +41,9 @@ def vocabulary(counts: DataFrame, by: Sequence[str]) -> DataFrame:
 def distinct_spellings(values: Column, most: int = 12) -> Column:
     """Trimmed non-empty values, each once whatever its case, first spelling and order kept, ``most`` at most."""
     clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
-    lowered = F.transform(clean, lambda v: F.lower(v))
-    first = F.filter(clean, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
-    return F.slice(first, 1, most)
+    both = F.transform(clean, lambda v: F.struct(v.alias("v"), F.lower(v).alias("l")))
+    # the array of one binds the words, so that they are made once for a text
+    return F.transform(F.array(both), lambda b: F.transform(F.slice(F.array_distinct(b["l"]), 1, most), lambda x: F.element_at(b["v"], F.array_position(b["l"], x).cast("int"))))[0]
 
 
 def workspace_cards(workspaces: DataFrame, docs: DataFrame, chunks: DataFrame, messages: DataFrame, topics: DataFrame) -> DataFrame:
