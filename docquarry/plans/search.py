@@ -89,6 +89,12 @@ def message_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", "turn", F.coalesce(R.message_kind(F.concat(first, F.lit("!"))), F.lit("question")).alias("first_kind"), F.coalesce(R.message_kind(F.col("role")), F.lit("question")).alias("role_kind"))
 
 
+def message_kinds_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole chat turn by kind."""
+    chats = table(prepare(spark), sf_dir, "conversations")
+    return chats.select("conv_id", "turn", F.coalesce(R.message_kind(F.col("text")), F.lit("question")).alias("kind"))
+
+
 def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answers(spark, sf_dir)
     return rows.select("conv_id", "turn", R.answer_state(F.col("answer"), F.col("n_results") - 3).alias("refused"))
@@ -102,7 +108,7 @@ def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("event_id", R.lenient_object(raw, "k long")["k"].alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, text_topk, text_phrase_topk, hybrid_rrf, hybrid_filtered, text_only, citations, sources_list, sources_list_whole, message_kinds, answer_states, lenient_json)}
+QUERIES = {f.__name__: f for f in (vector_topk, text_topk, text_phrase_topk, hybrid_rrf, hybrid_filtered, text_only, citations, sources_list, sources_list_whole, message_kinds, message_kinds_whole, answer_states, lenient_json)}
 
 _TERMS_SQL = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _BASE = f"""WITH {model.DOCUMENTS_SQL},
@@ -157,6 +163,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY document_i
 SELECT workspace_id, string_agg('[' || rank || '] ' || filename || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS sources FROM r WHERE rank <= 8 GROUP BY 1""",
     "message_kinds": f"""SELECT conv_id, turn, (SELECT {_KIND} FROM (SELECT {_KEY("split_part(text, ' ', 1) || '!'")} AS key)) AS first_kind,
 (SELECT {_KIND} FROM (SELECT {_KEY("role")} AS key)) AS role_kind FROM conversations""",
+    "message_kinds_whole": f"SELECT conv_id, turn, (SELECT {_KIND} FROM (SELECT {_KEY('text')} AS key)) AS kind FROM conversations",
     "answer_states": f"WITH {_ANSWERS} SELECT conv_id, turn, n_results - 3 = 0 OR trim(answer) = '' OR contains(lower(answer), 'not in the documents') AS refused FROM a",
     "lenient_json": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
 }
