@@ -109,11 +109,12 @@ OP1_SQL = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text,
     '<|im_start|>' || coalesce(role, 'user') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS shown,
-    coalesce('=' || role, '-') || chr(1) || coalesce('=' || text, '-') || chr(2) AS mark
+    coalesce('=' || role, '-') || chr(1) || coalesce('=' || text, '-') || chr(2) AS mark,
+    sha256(coalesce(sha256(role), '-') || coalesce(sha256(text), '-')) AS digest
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
   SELECT conv_id, shown, row_number() OVER w AS pos, string_agg(mark, '') OVER w AS prefix
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 c AS (SELECT conv_id, max(pos) AS n_turns, max_by(prefix, pos) AS whole FROM p GROUP BY 1),
 one AS (SELECT whole, n_turns, min(conv_id) AS conv_id FROM c GROUP BY 1, 2),
 inner_ AS (SELECT DISTINCT prefix FROM p JOIN c USING (conv_id) WHERE pos < n_turns)

@@ -1,9 +1,12 @@
-import gzip
 import glob
+import gzip
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import chat, warc
+from tests.conftest import SF
 
 SCHEMA = "conv_id long, turn long, role string, text string, part int"
 
@@ -25,6 +28,57 @@ def test_snapshots_collapse(spark):
     assert chat.format_chats(turns(spark, [])).collect() == []
 
 
+def by_hand(rows):
+    """The same by plain Python over (conv_id, turn, role, text)."""
+    import hashlib
+
+    sha = lambda x: "-" if x is None else hashlib.sha256(x.encode()).hexdigest()
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "", hashlib.sha256((sha(r[1]) + sha(r[2])).encode()).digest())
+    chats = {}
+    for conv, *turn in rows:
+        if conv is not None:
+            chats.setdefault(conv, set()).add(tuple(turn))
+    lists = {c: [t[1:] for t in sorted(v, key=order)] for c, v in chats.items()}
+    out = {}
+    for c, own in lists.items():
+        longer = any(len(o) > len(own) and o[: len(own)] == own for o in lists.values())
+        equal = any(d < c and o == own for d, o in lists.items())
+        if not longer and not equal:
+            out[c] = (len(own), "".join(f"<|im_start|>{'user' if r is None else r}\n{t or ''}<|im_end|>\n" for r, t in own))
+    return out
+
+
+@pytest.mark.parametrize("long_rows, max_ids", [(1024, 1000), (3, 1000), (3, 0)])
+def test_against_plain_python(spark, long_rows, max_ids):
+    rng = random.Random(3)
+    rows = []
+    for conv in range(60):
+        n, seed = rng.randrange(1, 9), rng.randrange(4)
+        rows += [(conv, t if rng.random() < 0.95 else rng.choice([None, 0, 1]), ("user", "assistant", None)[(t + seed) % 3], f"{seed} {t}" if t < 4 or rng.random() < 0.7 else None) for t in range(n)]
+    rows += [(77, 0, "user", "again")] * 40 + [(78, 0, "user", "b"), (78, 0, "user", "a"), (79, 0, "user", "a"), (80, 0, "user", "b"), (None, 1, "user", "x")]
+    parts = {}
+    for r in chat.format_chats(turns(spark, rows), turns_per_part=3, long_rows=long_rows, max_long_ids=max_ids).collect():
+        assert (r.conv_id, r.part) not in parts
+        parts[r.conv_id, r.part] = r
+    got = {c: (parts[c, 0].n_turns, "".join(parts[c, p].text for p in range((parts[c, 0].n_turns + 2) // 3))) for c, _ in parts}
+    assert got == by_hand(rows) and len(parts) == sum((n + 2) // 3 for n, _ in got.values())
+
+
+def test_texts_are_exchanged_once(spark):
+    """No exchange of turns before the one that rendering needs carries texts."""
+    import re
+
+    from docquarry.session import table
+
+    chats = table(spark, SF, "conversations")
+    plan = chat._plain(chats).groupBy("conv_id", "turn", "role", chat._mark().alias("mark")).agg(F.count("*").alias("n"))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange.*text#", text)
+    made = chat.format_chats(chats)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in made.splitlines() if "Join" in x]
+    assert any("LeftAnti" in x for x in joins)
+
+
 def test_one_long_conversation_over_many_partitions(spark):
     long = spark.range(4000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
     snapshot = long.where("turn < 3000").withColumn("conv_id", F.lit(2).cast("long"))
