@@ -123,16 +123,21 @@ FROM one JOIN p USING (conv_id) WHERE whole NOT IN (SELECT prefix FROM inner_) G
 """
 
 
-def _sql_id(kind: str, url: str, payload: str) -> str:
-    h = f"md5('{kind}' || chr(10) || coalesce({url}, '') || chr(10) || coalesce({payload}, ''))"
+def _sql_id(kind: str, *of: str) -> str:
+    parts = "".join(f" || chr(10) || coalesce({c}::VARCHAR, '')" for c in of)
+    h = f"md5('{kind}'{parts})"
     cuts = " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
     return f"('<urn:uuid:' || {cuts} || '>')"
 
 
+_NAMED = "MAP {" + ", ".join(f"""'{name}': '{chars.replace("'", "''")}'""" for name, chars in warc.NAMED.items()) + "}"
+
+
 def _sql_unescape(text: str) -> str:
-    code = "coalesce(try_cast(regexp_extract(p, '^#([0-9]{1,6});', 1) AS INTEGER), 0)"
-    named = " ".join(f"WHEN starts_with(p, '{name}') THEN '{char.replace(chr(39), chr(39) * 2)}' || substr(p, {len(name) + 1})" for name, char in warc.ENTITIES)
-    number = f"WHEN starts_with(p, '#') THEN CASE WHEN {code} > 0 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}) || regexp_replace(p, '^#[0-9]+;', '') ELSE '&' || p END"
+    decimal, hexa, name = (f"regexp_extract(p, '{x}', 1)" for x in ("^#0*([0-9]{1,8});", "^#[xX]0*([0-9a-fA-F]{1,8});", "^([a-zA-Z][a-zA-Z0-9]*);"))
+    code = f"coalesce(try_cast({decimal} AS BIGINT), try_cast('0x' || nullif({hexa}, '') AS BIGINT), 0)"
+    number = f"WHEN starts_with(p, '#') THEN CASE WHEN {code} BETWEEN 1 AND 1114111 AND {code} NOT BETWEEN 55296 AND 57343 THEN chr({code}::INT) || regexp_replace(p, '^#[^;]*;', '') ELSE '&' || p END"
+    named = f"WHEN named.refs[{name}] IS NOT NULL THEN named.refs[{name}] || regexp_replace(p, '^[^;]*;', '')"
     pieces = f"string_split({text}, '&')"
     return f"({pieces}[1] || coalesce(array_to_string(list_transform({pieces}[2:], lambda p: CASE {number} {named} ELSE '&' || p END), ''), ''))"
 
@@ -143,17 +148,18 @@ def _sql_text(html: str) -> str:
 
 
 OP5_SQL = rf"""
-WITH r AS (
-  SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, {_sql_id("response", "url", "html")} AS refers_to FROM pages),
+WITH named AS (SELECT {_NAMED} AS refs),
+r AS (
+  SELECT page_id, url AS target_uri, coalesce(html, '') AS payload, {_sql_id("response", "page_id", "url", "html")} AS refers_to FROM pages),
 shown AS (SELECT *, regexp_replace(payload, '{warc.NO_TEXT}', '', 'g') AS visible FROM r),
 bare AS (SELECT *, {_sql_text("visible")} AS stripped, regexp_extract(payload, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1) AS raw_title FROM shown),
 t AS (
   SELECT *, {_sql_unescape("stripped")} AS plain, {_sql_unescape("trim(regexp_replace(raw_title, '[\\s\\x0B]+', ' ', 'g'))")} AS title,
     {_sql_id("metadata", "target_uri", "refers_to")} AS m, {_sql_id("conversion", "target_uri", "refers_to")} AS c
-  FROM bare),
+  FROM bare, named),
 b AS (
   SELECT *, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(plain, '[ \t\n\x0B\f\r]{{2,}}|[\t\n\x0B\f\r]', ' ', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '') AS conversion,
-    'title: ' || title || chr(13) || chr(10) || 'language: ' || regexp_extract(payload, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) || chr(13) || chr(10)
+    'title: ' || title || chr(13) || chr(10) || 'language: ' || coalesce(nullif(regexp_extract(payload, '(?i)<html\b[^>]*\blang=(?:"([^"]*)"|''([^'']*)'')', 1), ''), regexp_extract(payload, '(?i)<html\b[^>]*\blang=(?:"([^"]*)"|''([^'']*)'')', 2)) || chr(13) || chr(10)
       || 'outlinks: ' || len(regexp_extract_all(visible, '(?i)<a\b[^<>]*\bhref=')) || chr(13) || chr(10) || 'source-content-length: ' || strlen(payload) || chr(13) || chr(10) AS metadata
   FROM t),
 d AS (
