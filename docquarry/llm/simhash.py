@@ -48,13 +48,14 @@ _SPACES = {c: " " for c in range(0x09, 0x0E)}
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row; fp is the signed view of the fingerprint."""
+    """(doc_id, h, fp): one row per input row; h is a hash of the text, fp the signed view of the fingerprint."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         fps = np.array([fingerprint_text(t) for t in cols["text"]], dtype=np.uint64)
-        return {"doc_id": cols["doc_id"], "fp": fps.view(np.int64)}
+        return {"doc_id": cols["doc_id"], "h": cols["h"], "fp": fps.view(np.int64)}
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id long, fp long", run)
+    text = F.col(text_col).cast("string")
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")), "doc_id long, h long, fp long", run)
 
 
 def _tile_key(fps: np.ndarray) -> np.ndarray:
@@ -132,6 +133,8 @@ def near_links(distinct: DataFrame, radius: int = 2, tile_rows: int = 32_768) ->
     chunks = np.zeros(BASE ** len(LANES), np.int32)
     for row in sizes:
         chunks[row.k] = -(-row.n // tile_rows)
+    if chunks.max(initial=0) >= 1 << 16:
+        raise ValueError("a tile has over 65,535 chunks: raise tile_rows")
     sent, near = spark.sparkContext.broadcast(chunks), _offsets(radius)
     weight = [BASE ** (len(LANES) - 1 - i) for i in range(len(LANES))]
     span = 1 << 16
@@ -218,7 +221,15 @@ def near_links(distinct: DataFrame, radius: int = 2, tile_rows: int = 32_768) ->
     return dealt.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, links: DataFrame | None = None) -> DataFrame:
+def _components(prints: DataFrame, radius: int, links: DataFrame | None) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of checkpointed rows (doc_id, h, fp)."""
+    classes = cut_lineage(prints.select("fp").distinct())
+    near = near_links(classes, radius)
+    roots = connected_components(near if links is None else near.union(links))
+    return cut_lineage(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row.
 
     component_id is the smallest doc_id reachable over links of at most
@@ -226,28 +237,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space, have fingerprint zero and are linked like any other; repeated rows
     and repeated ids stay as they are; where a whole component has null ids,
     component_id is null. An empty table gives an empty result. Other columns are ignored.
-    ``links`` are more links (u, v) between fingerprints of these rows.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    classes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    near = near_links(classes, radius)
-    roots = connected_components(near if links is None else near.union(links))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = cut_lineage(rooted)
-    best = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = _components(prints, radius, None)
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    best = rooted.join(first, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(best, "root").select("fp", "component_id")
     return prints.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, links: DataFrame | None = None) -> DataFrame:
-    """All columns of the documents that come first in their group.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, links: DataFrame | None = None, prints: DataFrame | None = None) -> DataFrame:
+    """One row of each group, with all columns: the smallest id's, nulls last, of equal ids the smallest text hash's.
 
-    Rows without an id stay. Of rows that repeat both the id and the text of a
-    group's first document one stays.
+    Rows without an id take part like all others. Of rows that repeat both the id and the text of a group's first one stays.
+    ``links`` are more links (u, v) between fingerprints of these rows; ``prints`` are checkpointed rows (doc_id, h, fp) of
+    these rows, where they are at hand.
     """
-    found = near_duplicates(docs, id_col, text_col, radius, links).where("doc_id = component_id")
-    kept = cut_lineage(found.groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__rows")))
-    out = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    if not kept.where("__rows > 1").isEmpty():
-        out = out.dropDuplicates([id_col, text_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    prints = cut_lineage(fingerprints(docs, id_col, text_col)) if prints is None else prints
+    rooted = _components(prints, radius, links)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    first = prints.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    best = rooted.join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = best.select(F.col("first.doc_id").alias("__kept"), F.col("first.h").alias("__h"))
+    # how many rows are equal to a kept one in id and text
+    equal = prints.groupBy("doc_id", "h").agg(F.count("*").alias("__rows")).where("__rows > 1")
+    again = equal.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("h") == F.col("__h")), "left_semi")
+    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__h")), "left_semi")
+    return out if again.isEmpty() else out.dropDuplicates([id_col, text_col])

@@ -80,6 +80,44 @@ def test_links_are_all_near_copies(spark):
     words = [f"w{i}" for i in range(60)]
     texts = [" ".join(words[: at] + [f"y{at}"] + words[at + 1 :]) for at in rng.sample(range(60), 30)]
     signed = {int(np.uint64(simhash.fingerprint_text(t)).astype(np.int64)): shingles(t) for t in texts}
-    links = nearcopies.near_copy_links(fixtures.docs(spark, texts)).collect()
+    docs = fixtures.docs(spark, texts)
+    links = nearcopies.near_copy_links(docs, nearcopies.sketches(docs)).collect()
     assert links and all(len(signed[r.u] & signed[r.v]) >= 0.8 * len(signed[r.u] | signed[r.v]) for r in links)
-    assert nearcopies.near_copy_links(fixtures.empty(spark)).collect() == []
+    none = fixtures.empty(spark)
+    assert nearcopies.near_copy_links(none, nearcopies.sketches(none)).collect() == []
+
+
+def cloud(size, edits, seed):
+    """Near copies of one text, each with some words changed for good and some by itself."""
+    rng = random.Random(seed)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(150)]]
+    while len(texts) < size:
+        words = list(rng.choice(texts))
+        for _ in range(rng.randrange(1, edits)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(5000)}"
+        texts.append(words)
+    return [" ".join(words) for words in texts]
+
+
+def test_large_group_costs_its_size(spark, monkeypatch):
+    """A cloud of copies of copies: the groups of all pairs, from a number of candidates that grows with the group."""
+    texts = cloud(700, 6, 1) + [" ".join(f"p{i}" for i in range(60)) + " " + " ".join(f"q{n} {i}" for i in range(20)) for n in range(300)]
+    seen = []
+    verified = nearcopies._verified
+    monkeypatch.setattr(nearcopies, "_verified", lambda pairs, sets: seen.append(pairs.count()) or verified(pairs, sets))
+    got = kept(spark, fixtures.docs(spark, texts, first=0))
+    want = set(brute_roots(texts))
+    assert want <= got and len(got - want) <= 0.01 * len(texts), (len(got), len(want))
+    assert seen[0] < 20 * len(texts)
+
+
+def test_forest_of_distances():
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 64, (40, 3), dtype=np.uint64)
+    words[20:] = words[:20]
+    words[20:, 0] ^= np.uint64(1 << 7)
+    a, b = nearcopies.candidates(words, 26)
+    assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} == {(i, i + 20) for i in range(20)}
+    same = np.repeat(words[:1], 3000, axis=0)
+    a, b = nearcopies.candidates(same, 26)
+    assert len(np.unique(simhash.forest(3000, a, b))) == 1 and len(a) < 6000

@@ -3,11 +3,11 @@
 import pytest
 
 import corpus_pipeline
-from docquarry.llm import bpe, decontaminate, langid, simhash, toxicity
+from docquarry.llm import bpe, decontaminate, langid, toxicity
 from docquarry.session import table
 from tests.conftest import SF
 from tests.llm import fixtures
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_nearcopies import brute_roots
 
 
 def test_run_equals_the_rules(spark):
@@ -18,7 +18,7 @@ def test_run_equals_the_rules(spark):
     left = docs.where(docs.doc_id.isin(sorted(sure)))
     toxic = {r.doc_id for r in toxicity.toxicity(left, labels).collect() if r.predicted}
     ids = sorted(sure - toxic)
-    roots = brute_components([brute_print(texts[i]) for i in ids], 2)
+    roots = brute_roots([texts[i] for i in ids])
     first = {ids[r] for r in roots}
     plain = lambda t: f" {' '.join(decontaminate.words_of(t))} "
     items = [plain(r.text) for r in bench.collect()]
@@ -36,6 +36,7 @@ def test_stages_take_odd_rows_and_keep_columns(spark, make):
 
 def test_near_dedup_keeps_one_of_each(spark):
     docs = table(spark, SF, "documents")
-    rows = simhash.near_duplicates(docs).collect()
+    texts = dict(sorted((r.doc_id, r.text) for r in docs.collect()))
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
-    assert kept == {r.component_id for r in rows}
+    ids = list(texts)
+    assert kept == {ids[r] for r in brute_roots(list(texts.values()))}

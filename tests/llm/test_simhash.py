@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import Row
 
 from docquarry.llm import simhash
 from tests.conftest import SF
@@ -67,6 +68,8 @@ def test_odd_rows(spark):
     kept = simhash.keep_one_of_each(fixtures.odd(spark))
     assert kept.columns == fixtures.odd(spark).columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9]
+    repeated = spark.createDataFrame([(3, "gamma"), (4, "alpha"), (4, "gamma"), (None, "alpha"), (None, "beta"), (None, "beta"), (3, "gamma")], "doc_id long, text string")
+    assert sorted(map(str, simhash.keep_one_of_each(repeated).collect())) == sorted(map(str, [Row(doc_id=3, text="gamma"), Row(doc_id=4, text="alpha"), Row(doc_id=None, text="beta")]))
 
 
 def test_empty(spark):
