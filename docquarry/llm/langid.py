@@ -25,7 +25,8 @@ DIM_BITS = 16
 ORDERS = (1, 2, 3, 4)
 #: About this many documents of each language, picked by a hash of their id, are learned from.
 EXAMPLES_PER_LANGUAGE = 1_500
-MAX_LANGUAGES = 256
+#: Languages whose counts one task holds before it hands them on.
+HELD_LANGUAGES = 64
 UNDETERMINED = "und"
 #: Loss units between the two nearest codewords below which a text is ambiguous.
 AMBIGUOUS_GAP = 0.02
@@ -69,7 +70,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Bounded by 2**DIM_BITS x code width, whatever the corpus."""
+    """Bounded by 2**DIM_BITS x code width, which grows with the logarithm of the number of languages."""
 
     languages: list[str]
     codes: np.ndarray  # languages x bits
@@ -80,34 +81,42 @@ class Model:
 def train(docs: DataFrame, per_language: int = EXAMPLES_PER_LANGUAGE) -> Model:
     """Learned from text and non-null language of the documents that aren't held out.
 
-    Counts of n-grams are summed on the executors; at most 2**DIM_BITS rows a language come back.
+    Equal texts of a language count once, so the sample is bounded whatever repeats. Counts of n-grams are summed on the
+    executors; at most 2**DIM_BITS rows a language come back.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1))
-    found = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    found = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(found)
     if not languages:
         return Model([], codewords(0), np.zeros((1 << DIM_BITS, 1), np.float32), np.ones(1))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, per_language / found[k]) * (1 << 30))))])
-    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 30))
-    sample = usable.where(spread < F.element_at(share, F.col("lang"))).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11)), F.lit(1 << 30))
+    sample = usable.where(spread < F.element_at(share, F.col("lang"))).select("lang", "text", F.xxhash64("text").alias("h")).dropDuplicates(["lang", "h"]).select("lang", "text")
     at = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Batches) -> Batches:
-        total = np.zeros((len(at), 1 << DIM_BITS), np.int64)
+        total: dict[int, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            rows = [(i, (some := np.nonzero(n)[0]), n[some]) for i, n in total.items()]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*((np.full(len(f), i), f, n) for i, f, n in rows), strict=True)], names=["i", "f", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if words := _words(text.lower()):
-                    total[at[lang]] += np.bincount(word_grams(words)[0], minlength=1 << DIM_BITS)
-        i, f = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(f), pa.array(total[i, f])], names=["i", "f", "n"])
-
-    table = np.zeros((len(languages), 1 << DIM_BITS))
+                    if at[lang] not in total and len(total) >= HELD_LANGUAGES:
+                        yield told()
+                        total.clear()
+                    grams = np.bincount(word_grams(words)[0], minlength=1 << DIM_BITS)
+                    total[at[lang]] = total[at[lang]] + grams if at[lang] in total else grams
+        if total:
+            yield told()
+
+    table = np.zeros((len(languages), 1 << DIM_BITS), np.float32)
     got = sample.mapInArrow(count, "i long, f long, n long").groupBy("i", "f").agg(F.sum("n").alias("n")).toPandas()
-    table[got["i"].to_numpy(np.int64), got["f"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
+    table[got["i"].to_numpy(np.int64), got["f"].to_numpy(np.int64)] = got["n"].to_numpy(np.float32)
     # each language counts alike in the two sides of a bit
-    rates = table / np.maximum(1.0, table.sum(axis=1, keepdims=True))
+    rates = table / np.maximum(1.0, table.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32)
     codes, smooth = codewords(len(languages)), 1e-6
     weights = np.zeros((1 << DIM_BITS, codes.shape[1]), np.float32)
     reliability = np.ones(codes.shape[1])
@@ -115,7 +124,7 @@ def train(docs: DataFrame, per_language: int = EXAMPLES_PER_LANGUAGE) -> Model:
         side = codes[:, b] > 0
         if side.all() or not side.any():
             continue
-        weights[:, b] = np.log((rates[side].mean(axis=0) + smooth) / (rates[~side].mean(axis=0) + smooth))
+        weights[:, b] = np.log((rates[side].mean(axis=0, dtype=np.float64) + smooth) / (rates[~side].mean(axis=0, dtype=np.float64) + smooth))
         # separation of the two sides' mean evidence, in the units of the loss
         reliability[b] = max(0.1, float((rates[side] @ weights[:, b]).mean() - (rates[~side] @ weights[:, b]).mean()) / 2)
     return Model(languages, codes, weights, reliability / reliability.max())
@@ -138,7 +147,7 @@ class Classifier:
         m = self.model
         words = _words((text or "").lower())
         if not words or not m.languages:
-            return UNDETERMINED, 0.0, True
+            return UNDETERMINED, 0.0, not words
         total = self.evidence.rows(words).sum(axis=0, dtype=np.float64)
         bits = total[:-1] / max(1.0, total[-1])
         loss = (np.log1p(np.exp(-m.codes * bits * 4)) * m.reliability).sum(axis=1) / m.reliability.sum()
@@ -152,7 +161,7 @@ def identify(docs: DataFrame, per_language: int = EXAMPLES_PER_LANGUAGE) -> Data
     """(doc_id, held_out, lang_pred, score, ambiguous), one row per input row.
 
     lang_pred is a learned language, or "und" with score 0 where the text is null or has no
-    letter, or where there was nothing to learn from. Ties go to the language that sorts first. Texts are
+    letter, or where there was nothing to learn from; only the former is ambiguous. Ties go to the language that sorts first. Texts are
     read whole; language, source and id are no inputs of a prediction; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))
@@ -170,7 +179,10 @@ def identify(docs: DataFrame, per_language: int = EXAMPLES_PER_LANGUAGE) -> Data
 
 
 def keep_identified(docs: DataFrame, per_language: int = EXAMPLES_PER_LANGUAGE) -> DataFrame:
-    """The documents with a language that isn't ambiguous, with all their columns; nothing is shuffled."""
+    """The documents with a language that isn't ambiguous, with all their columns; nothing is shuffled.
+
+    Where there was nothing to learn from, all that have a letter stay.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, per_language))
     at = docs.columns.index("text")
 

@@ -21,6 +21,10 @@ from docquarry.llm.common import Batches, WordRows, crc_mod, map_rows, mix
 DIM_BITS = 22
 #: At most about this many labelled rows are learned from; they are picked by a hash of their id.
 MAX_EXAMPLES = 8_000
+#: Of an example with more features than this, those of the smallest numbers are learned from; it bounds what the learning task holds.
+MAX_FEATURES = 16_384
+#: Without examples every text scores as this bias does, 0.25.
+UNKNOWN = float(np.log(1 / 3))
 STEMS = (5, 7)
 _words = regex.compile(r"[\p{L}\p{N}]+").findall
 
@@ -88,20 +92,24 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: f
 def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights from the labelled rows that aren't held out, a bounded sample of them.
 
-    Features are made where the texts are; one task then learns from the
-    sample's features in hash order, so the same rows give the same weights. Rows with null labels or
-    ids are left out; of ids with several rows or labels all pairs count. Without examples all scores are 0.5.
+    An id is one example: of several labels the highest counts, of several texts the one of the smallest hash, so that
+    the sample is bounded whatever repeats. Features are made where the texts are, MAX_FEATURES of an example at most; one task then
+    learns from them in hash order, so the same rows give the same weights. Rows with null labels or
+    ids are left out. Without examples all scores are 0.25.
     """
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)).select("doc_id", "toxic")
+    nothing = np.zeros(0, np.int64), np.zeros(0), UNKNOWN
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 5) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     count = usable.count()
     if not count:
-        return np.zeros(0, np.int64), np.zeros(0), 0.0
+        return nothing
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 30))
     picked = usable.where(spread < int(min(1.0, max_examples / count) * (1 << 30))).withColumn("spread", spread)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hit = texts.join(F.broadcast(picked), "doc_id")  # about max_examples rows
+    sample = hit.groupBy("doc_id", "spread", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def feature_rows(cols: dict[str, list]) -> dict[str, list]:
-        return {"spread": cols["spread"], "y": [float(x > 0) for x in cols["toxic"]], "x": [features(t).astype(np.int32) for t in cols["text"]]}
+        return {"spread": cols["spread"], "y": [float(x > 0) for x in cols["toxic"]], "x": [features(t)[:MAX_FEATURES].astype(np.int32) for t in cols["text"]]}
 
     rows = map_rows(sample.select("spread", "toxic", "text"), "spread long, y double, x array<int>", feature_rows)
 
@@ -118,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
 
     got = rows.repartition(1).sortWithinPartitions("spread", "y", F.size("x")).mapInArrow(learn, "f long, w double").toPandas()
     if not len(got):
-        return np.zeros(0, np.int64), np.zeros(0), 0.0
+        return nothing
     f, w = got["f"].to_numpy(), got["w"].to_numpy()
     return f[f >= 0], w[f >= 0], float(w[f < 0][0])
 

@@ -1,5 +1,7 @@
 """Learned operators: held-out accuracy, and defined results for odd rows."""
 
+import math
+import random
 import zlib
 
 import numpy as np
@@ -40,8 +42,8 @@ def test_toxicity_odd_rows(spark):
     assert len({r.score for r in rows if r.doc_id in (1, 2, 3)}) == 1
     assert toxicity.toxicity(fixtures.empty(spark), labels).collect() == []
     none = toxicity.toxicity(fixtures.docs(spark, ["a b"]), labels.limit(0)).collect()
-    assert [(r.score, r.predicted) for r in none] == [(0.5, 1)]
-    kept = toxicity.keep_clean(fixtures.odd(spark), labels.limit(0), threshold=0.6)
+    assert [(round(r.score, 9), r.predicted) for r in none] == [(0.25, 0)]
+    kept = toxicity.keep_clean(fixtures.odd(spark), labels.limit(0))
     assert kept.count() == 11 and kept.columns == fixtures.odd(spark).columns
 
 
@@ -61,6 +63,88 @@ def test_ftrl_learns_and_is_sparse():
     assert 3 in f and len(f) < 500
 
 
+def plain_ftrl(rows, labels, alpha=1.0, beta=1.0, l1=4.0, l2=1.0, epochs=3):
+    """The same learner a coordinate at a time, as published; the bias has neither penalty."""
+    z, n = {}, {}
+    weight = lambda i: 0.0 if i != "bias" and abs(z.get(i, 0.0)) <= l1 else -(z.get(i, 0.0) - (0 if i == "bias" else math.copysign(l1, z[i]))) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + (0 if i == "bias" else l2))
+    for _ in range(epochs):
+        for x, y in zip(rows, labels, strict=True):
+            w = {i: weight(i) for i in [*x, "bias"]}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, wi in w.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * wi
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z if i == "bias" or weight(i)}
+
+
+def test_ftrl_equals_the_plain_learner():
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 300, 40)) for _ in range(200)]
+    labels = np.array([float(5 in r or 9 in r) for r in rows])
+    f, w, bias = toxicity.ftrl(rows, labels)
+    want = plain_ftrl([r.tolist() for r in rows], labels)
+    assert bias == pytest.approx(want.pop("bias")) and dict(zip(f.tolist(), w, strict=True)) == pytest.approx(want)
+
+
+def test_scores_equal_plain_sums(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    f, w, bias = toxicity.train(docs, labels)
+    weights = dict(zip(f.tolist(), w, strict=True))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score(docs, (f, w, bias)).collect():
+        assert r.score == pytest.approx(1 / (1 + math.exp(-bias - sum(weights.get(i, 0.0) for i in toxicity.features(texts[r.doc_id]).tolist()))), abs=1e-5)
+
+
+def test_repeated_ids_are_one_example(spark):
+    texts = [(i, f"kind words {i}" if i % 2 else f"vile words {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2 == 0) for i in range(60)], "doc_id long, toxic boolean").selectExpr("doc_id", "cast(toxic as int) AS toxic")
+    once = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    again = toxicity.train(spark.createDataFrame(texts * 5 + [(None, "x")], "doc_id long, text string"), labels.union(labels))
+    assert all(np.array_equal(a, b) for a, b in zip(once, again, strict=True)) and len(once[0])
+
+
+def plain_language(model, text):
+    """Loss-weighted decoding an n-gram at a time."""
+    grams = [int(g) for w in langid._words((text or "").lower()) for g in langid.word_grams([w])[0]]
+    if not grams:
+        return "und"
+    bits = [sum(float(model.weights[g, b]) for g in grams) / len(grams) for b in range(model.codes.shape[1])]
+    loss = [sum(r * math.log1p(math.exp(-c * b * 4)) for c, b, r in zip(code, bits, model.reliability, strict=True)) for code in model.codes.tolist()]
+    return model.languages[min(range(len(loss)), key=loss.__getitem__)]
+
+
+def test_language_equals_plain_decoding(spark):
+    docs = table(spark, SF, "documents").limit(150)
+    model = langid.train(docs)
+    texts = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert got == {i: plain_language(model, t) for i, (t, _) in texts.items()}
+    # and each bit's weights are the log ratio of the two sides' mean rates
+    counts = {k: np.zeros(1 << langid.DIM_BITS) for k in model.languages}
+    for text in {(lang, t) for i, (t, lang) in texts.items() if zlib.crc32(str(i).encode()) % 3 != 1}:
+        for w in langid._words(text[1].lower()):
+            np.add.at(counts[text[0]], langid.word_grams([w])[0], 1)
+    rates = np.array([counts[k] / counts[k].sum() for k in model.languages])
+    for b, code in enumerate(model.codes.T):
+        want = np.log((rates[code > 0].mean(axis=0) + 1e-6) / (rates[code < 0].mean(axis=0) + 1e-6))
+        assert np.allclose(model.weights[:, b], want, atol=1e-3)
+
+
+def test_nothing_to_learn_from(spark):
+    none = spark.createDataFrame([(1, "some words", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.keep_identified(none).collect()] == [1]
+    assert {(r.lang_pred, r.score) for r in langid.identify(none).collect()} == {("und", 0.0)}
+
+
+def test_hundreds_of_languages_and_repeated_ids(spark):
+    rng = random.Random(2)
+    letters = {k: rng.sample("abcdefghijklmnopqrstuvwxyz", 8) for k in range(300)}
+    rows = [(i if i % 9 else None, " ".join("".join(rng.choices(letters[k], k=5)) for _ in range(60)), f"l{k:03}") for i, k in enumerate(list(range(300)) * 4)]
+    got = langid.identify(spark.createDataFrame(rows * 2, "doc_id long, text string, lang string")).toPandas()
+    assert len(got) == 2400 and got.lang_pred.nunique() > 250
+
+
 def test_language_on_held_out_rows(spark):
     docs = table(spark, SF, "documents")
     got = langid.identify(docs).toPandas()
