@@ -2,38 +2,46 @@
 
 Test items are the indexed documents. A term's impact on an item is its BM25
 weight divided by the item's own full score, so one threshold fits all items:
-a passage's score for an item is the share of the item it covers. Training
-texts are cut into overlapping passages, each long enough to hold any item.
+a passage's score for an item is the share of the item it covers. Items are classed by
+length, and training texts are cut for each class into overlapping passages just long enough to hold any item of it.
 For a passage, the sums of the terms' largest impacts, then of their largest
 impacts in each block of items, are upper bounds; blocks that can't reach the
 threshold are skipped. In the blocks left, cursors over the postings advance
 by WAND pivots and items are scored. All items at or above the threshold are
 then verified: enough of the question's words and of the answer's words must
-stand in the passage.
+stand together in a window of one and a half times the item's own length.
 
-The index is cut into shards of bounded size, each broadcast and run against
-all texts, so a larger benchmark costs more passes, not a larger broadcast.
+The index is built by Spark, in shards of bounded size, a task a shard. Shards of INDEX_BYTES together are
+broadcast at once and run in one pass over the texts; a larger benchmark costs more passes, not a larger broadcast.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import map_rows
+from docquarry.session import cut_lineage
 
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 4
 THRESHOLD = 0.7  # share of an item's own score
 OVERLAP = 0.8  # of the question's words, and of the answer's
-#: Items and characters of one index shard, which is what is broadcast at once.
+#: Words of the items of the first class of lengths; each class holds items up to twice as long as the one before.
+LEAST_STRIDE = 64
+#: About as many items and characters of items make one index shard.
 SHARD_ITEMS, SHARD_CHARS = 4_000, 8 << 20
+#: Bytes of pickled shards that are broadcast at once.
+INDEX_BYTES = 64 << 20
 #: Sums of (segment, block) are kept in an array up to this many cells, sorted beyond.
 DENSE_CELLS = 4_000_000
 _words = regex.compile(r"[\p{L}\p{N}]+").findall
@@ -71,10 +79,15 @@ class Index:
     stride: int  # words; a passage is two strides long
 
 
+def stride_of(n_words: int) -> int:
+    """Longest item of the class that an item of so many words is in."""
+    return max(LEAST_STRIDE, 1 << max(0, n_words - 1).bit_length())
+
+
 def build_index(items: list[tuple[int, str, str]], df: dict[str, int], n_items: int, mean_len: float, stride: int) -> Index:
-    """items: (id, question, answer); df, n_items and mean_len are of the whole benchmark."""
+    """items: (id, question, answer) of one class; df, n_items and mean_len are of the whole benchmark."""
     bags = [Counter(words_of(q)) + Counter(words_of(a)) for _, q, a in items]
-    idf = {t: math.log(1 + (n_items - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    idf = {t: math.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) for t in set().union(*bags)}
     postings: dict[str, list[tuple[int, float]]] = {}
     for i, bag in enumerate(bags):
         size = sum(bag.values())
@@ -197,45 +210,93 @@ def passages_of(index: Index, words: list[str], threshold: float) -> list[tuple[
     return out
 
 
-def _share(side: Counter, bag: Counter) -> float:
-    total = sum(side.values())
-    return sum(min(n, bag[w]) for w, n in side.items()) / total if total else 1.0
-
+def best_window(words: list[str], question: Counter, answer: Counter, overlap: float) -> tuple[int, int, float, float] | None:
+    """(words found, start, share of the question, share of the answer) of the best window with enough of both.
 
-def matches(index: Index, text: str | None, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, float, float, float, int]]:
-    """(item id, score, question overlap, answer overlap, first word): the best verified passage of each item."""
-    words = words_of(text)
-    best: dict[int, tuple[float, float, float, int]] = {}
+    A window is one and a half times as long as the item and begins at a word of it; of equal ones the first counts.
+    """
+    n_question, n_answer = question.total(), answer.total()
+    span = (3 * (n_question + n_answer) + 1) // 2
+    places = [i for i, w in enumerate(words) if w in question or w in answer]
+    held: Counter = Counter()
+    in_question = in_answer = end = 0
+    best = None
+    for at in places:
+        while end < len(places) and places[end] < at + span:
+            w = words[places[end]]
+            in_question += held[w] < question[w]
+            in_answer += held[w] < answer[w]
+            held[w] += 1
+            end += 1
+        q, a = in_question / n_question if n_question else 1.0, in_answer / n_answer if n_answer else 1.0
+        if q >= overlap and a >= overlap and (best is None or in_question + in_answer > best[0]):
+            best = in_question + in_answer, at, q, a
+        w = words[at]
+        held[w] -= 1
+        in_question -= held[w] < question[w]
+        in_answer -= held[w] < answer[w]
+    return best
+
+
+def matches(index: Index, words: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP) -> list[tuple[int, float, float, float, int]]:
+    """(item id, score, question overlap, answer overlap, first word): the best verified window of each item."""
+    best: dict[int, tuple[int, int, float, float, float]] = {}
     for i, score, at in passages_of(index, words, threshold):
-        bag = Counter(words[at : at + 2 * index.stride])
-        question, answer = (_share(side, bag) for side in index.sides[i])
-        if question >= overlap and answer >= overlap and (i not in best or score > best[i][0] + 1e-9):
-            best[i] = (score, question, answer, at)
-    return [(index.ids[i], *x) for i, x in sorted(best.items())]
+        found = best_window(words[at : at + 2 * index.stride], *index.sides[i], overlap)
+        if found:
+            n, start, question, answer = found
+            rank = (n, -(at + start), round(score, 6), question, answer)
+            best[i] = max(best.get(i, rank), rank)
+    return [(index.ids[i], score, question, answer, -start) for i, (_, start, score, question, answer) in sorted(best.items())]
 
 
-def index_shards(items: DataFrame) -> list[Index]:
-    """Indexes over (item_id, question, answer); a test set is read by the driver shard by shard.
+def index_shards(items: DataFrame) -> DataFrame:
+    """(shard, bytes, index): pickled indexes over (item_id, question, answer), each built in a task of its own.
 
-    Items with null ids or without a word are left out. Rows that repeat an id are items of their own.
+    Items with null ids or without a word are left out; rows equal in all three columns are one item; rows that repeat an id
+    otherwise are items of their own.
     """
-    rows = [(r[0], r[1] or "", r[2] or "") for r in items.select("item_id", "question", "answer").where("item_id IS NOT NULL").orderBy("item_id", "question", "answer").toLocalIterator()]
-    rows = [r for r in rows if words_of(r[1]) or words_of(r[2])]
-    df, sizes = Counter(), []
-    for _, q, a in rows:
-        words = words_of(q) + words_of(a)
-        df.update(set(words))
-        sizes.append(len(words))
-    shards: list[list] = []
-    chars = 0
-    for row in rows:
-        if not shards or len(shards[-1]) >= SHARD_ITEMS or chars > SHARD_CHARS:
-            shards.append([])
-            chars = 0
-        shards[-1].append(row)
-        chars += len(row[1]) + len(row[2])
-    stride = max([32, *sizes])
-    return [build_index(s, df, len(rows), sum(sizes) / len(rows), stride) for s in shards]
+    rows = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer")).distinct()
+
+    def cut(cols: dict[str, list]) -> dict[str, list]:
+        bags = [Counter(words_of(q)) + Counter(words_of(a)) for q, a in zip(cols["question"], cols["answer"], strict=True)]
+        return cols | {"terms": [list(b) for b in bags], "n_words": [b.total() for b in bags], "stride": [stride_of(b.total()) for b in bags]}
+
+    sized = map_rows(rows, "item_id long, question string, answer string, terms array<string>, n_words long, stride long", cut).where("n_words > 0")
+    sized = cut_lineage(sized)
+    chars = F.length("question") + F.length("answer")
+    classes = sized.groupBy("stride").agg(F.count("*").alias("n"), F.sum(chars).alias("chars"), F.sum("n_words").alias("words")).collect()  # one row a class of lengths
+    n_items, n_words = sum(r.n for r in classes), sum(r.words for r in classes)
+    if not n_items:
+        return items.sparkSession.createDataFrame([], "shard string, bytes long, index binary")
+    shards = F.create_map(*[F.lit(x) for r in classes for x in (r.stride, max(1, -(-r.n // SHARD_ITEMS), -(-r.chars // SHARD_CHARS)))])
+    named = sized.withColumn("shard", F.concat_ws("/", "stride", F.pmod(F.xxhash64("item_id", "question", "answer"), F.element_at(shards, F.col("stride")))))
+    df = named.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    needed = named.select("shard", F.explode("terms").alias("term")).distinct().join(df, "term")
+    both = named.select("shard", "item_id", "question", "answer", "stride", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("df"))
+    both = both.unionByName(needed.select("shard", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("string").alias("question"), F.lit(None).cast("string").alias("answer"), F.lit(None).cast("long").alias("stride"), "term", "df"))
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["term"].isna()].sort_values(["item_id", "question", "answer"])
+        known = rows[rows["term"].notna()]
+        index = build_index([(int(i), q, a) for i, q, a in zip(own["item_id"], own["question"], own["answer"], strict=True)], dict(zip(known["term"], known["df"], strict=True)), n_items, n_words / n_items, int(own["stride"].iloc[0]))
+        data = pickle.dumps(index)
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "bytes": [len(data)], "index": [data]})
+
+    return cut_lineage(both.groupBy("shard").applyInPandas(build, "shard string, bytes long, index binary"))
+
+
+def index_groups(items: DataFrame) -> Iterator[list[Index]]:
+    """Indexes in groups that fit into one broadcast; the driver holds a group at a time."""
+    held, size = [], 0
+    for row in index_shards(items).orderBy("shard").toLocalIterator():
+        if held and size + row.bytes > INDEX_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(pickle.loads(bytes(row["index"])))
+        size += row.bytes
+    if held:
+        yield held
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -257,11 +318,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in index_shards(items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for group in index_groups(items):
+        sent = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(cols: dict[str, list], sent=sent) -> dict[str, list]:
-            found = [(doc, *m) for doc, text in zip(cols["doc_id"], cols["text"], strict=True) for m in matches(sent.value, text, threshold, overlap)]
+            cut = [(doc, words_of(text)) for doc, text in zip(cols["doc_id"], cols["text"], strict=True)]
+            found = [(doc, *m) for doc, words in cut for index in sent.value for m in matches(index, words, threshold, overlap)]
             return dict(zip(("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"), zip(*found, strict=True) if found else [()] * 6, strict=True))
 
         out = out.unionByName(map_rows(rows, schema, run))
@@ -273,12 +335,13 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = TH
     import pyarrow as pa
 
     at = docs.columns.index("text")
-    for index in index_shards(items):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for group in index_groups(items):
+        sent = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches, sent=sent):
             for batch in batches:
-                yield batch.filter(pa.array([not matches(sent.value, t, threshold, overlap) for t in batch.column(at).to_pylist()], pa.bool_()))
+                texts = map(words_of, batch.column(at).to_pylist())
+                yield batch.filter(pa.array([not any(matches(index, words, threshold, overlap) for index in sent.value) for words in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

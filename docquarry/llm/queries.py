@@ -209,27 +209,31 @@ i AS (
   SELECT item_id, w, CASE WHEN len(parts) > 1 THEN {_WORDS.format("array_to_string(parts[:-2], ' ')")} ELSE w[:len(w) - len(w) // 3] END AS question,
     CASE WHEN len(parts) > 1 THEN {_WORDS.format("parts[-1]")} ELSE w[len(w) - len(w) // 3 + 1:] END AS answer
   FROM s WHERE len(w) > 0),
-n AS (SELECT count(*) AS items, avg(len(w)) AS mean_len, greatest(32, max(len(w))) AS stride FROM i),
+n AS (SELECT count(*) AS items, avg(len(w)) AS mean_len FROM i),
+st AS (SELECT item_id, greatest({decontaminate.LEAST_STRIDE}, pow(2, ceil(log2(len(w)))))::BIGINT AS stride, (3 * len(w) + 1) // 2 AS span, w AS own FROM i),
 tf AS (SELECT item_id, len(w) AS size, term, count(*) AS f FROM (SELECT item_id, w, unnest(w) AS term FROM i) GROUP BY item_id, w, term),
 df AS (SELECT term, count(*) AS n FROM tf GROUP BY 1),
 raw AS (
   SELECT item_id, term, ln(1 + (items - df.n + 0.5) / (df.n + 0.5)) * f * {decontaminate.K1 + 1} / (f + {decontaminate.K1} * (1 - {decontaminate.B} + {decontaminate.B} * size / mean_len)) AS x
   FROM tf JOIN df USING (term), n),
-impact AS (SELECT item_id, term, x / sum(x) OVER (PARTITION BY item_id) AS x FROM raw),
+impact AS (SELECT item_id, stride, term, x / sum(x) OVER (PARTITION BY item_id) AS x FROM raw JOIN st USING (item_id)),
 d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
-p AS (SELECT doc_id, start, w[start + 1:start + 2 * stride] AS w FROM (SELECT doc_id, w, stride, unnest(range(0, len(w), stride)) AS start FROM d, n)),
-bag AS (SELECT doc_id, start, term, count(*) AS f FROM (SELECT doc_id, start, unnest(w) AS term FROM p) GROUP BY ALL),
-hit AS (SELECT doc_id, start, item_id, sum(x) AS score FROM bag JOIN impact USING (term) GROUP BY ALL HAVING sum(x) >= {decontaminate.THRESHOLD} - 1e-9),
+p AS (SELECT doc_id, stride, start, w[start + 1:start + 2 * stride] AS w FROM (SELECT doc_id, w, stride, unnest(range(0, len(w), stride)) AS start FROM d, (SELECT DISTINCT stride FROM st))),
+bag AS (SELECT DISTINCT doc_id, stride, start, unnest(w) AS term FROM p),
+hit AS (SELECT doc_id, stride, start, item_id, sum(x) AS score FROM bag JOIN impact USING (stride, term) GROUP BY ALL HAVING sum(x) >= {decontaminate.THRESHOLD} - 1e-9),
+pos AS (SELECT doc_id, stride, start, item_id, score, span, own, w, unnest(range(0, len(w))) AS o FROM hit JOIN p USING (doc_id, stride, start) JOIN st USING (item_id, stride)),
+win AS (SELECT doc_id, stride, start, item_id, score, o, unnest(w[o + 1:o + span]) AS term FROM pos WHERE list_contains(own, w[o + 1])),
+held AS (SELECT doc_id, stride, start, item_id, score, o, term, count(*) AS f FROM win GROUP BY ALL),
 side AS (
   SELECT item_id, kind, term, count(*) AS f FROM (
     SELECT item_id, 'q' AS kind, unnest(question) AS term FROM i UNION ALL SELECT item_id, 'a', unnest(answer) FROM i) GROUP BY ALL),
-ov AS (
-  SELECT doc_id, start, item_id, score, kind, sum(least(side.f, coalesce(bag.f, 0)))::DOUBLE / sum(side.f) AS share
-  FROM hit JOIN side USING (item_id) LEFT JOIN bag USING (doc_id, start, term) GROUP BY ALL),
-ok AS (
-  SELECT doc_id, start, item_id, score, coalesce(max(share) FILTER (kind = 'q'), 1) AS q, coalesce(max(share) FILTER (kind = 'a'), 1) AS a FROM ov GROUP BY ALL),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(score, 6) DESC, start) AS k FROM ok WHERE q >= {decontaminate.OVERLAP} AND a >= {decontaminate.OVERLAP})
-SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap, start AS first_word FROM best WHERE k = 1
+total AS (SELECT item_id, coalesce(sum(f) FILTER (kind = 'q'), 0) AS nq, coalesce(sum(f) FILTER (kind = 'a'), 0) AS na FROM side GROUP BY 1),
+got AS (
+  SELECT doc_id, stride, start, item_id, score, o, coalesce(sum(least(side.f, held.f)) FILTER (kind = 'q'), 0) AS q, coalesce(sum(least(side.f, held.f)) FILTER (kind = 'a'), 0) AS a
+  FROM held JOIN side USING (item_id, term) GROUP BY ALL),
+ok AS (SELECT doc_id, item_id, score, start + o AS place, q + a AS n, CASE WHEN nq > 0 THEN q::DOUBLE / nq ELSE 1 END AS q, CASE WHEN na > 0 THEN a::DOUBLE / na ELSE 1 END AS a FROM got JOIN total USING (item_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, place, round(score, 6) DESC) AS k FROM ok WHERE q >= {decontaminate.OVERLAP} AND a >= {decontaminate.OVERLAP})
+SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap, place AS first_word FROM best WHERE k = 1
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -14,7 +14,7 @@ def make_index(texts):
         words = D.words_of(q) + D.words_of(a)
         df.update(set(words))
         sizes.append(len(words))
-    return D.build_index(items, df, len(items), sum(sizes) / len(items), max(32, *sizes))
+    return D.build_index(items, df, len(items), sum(sizes) / len(items), D.stride_of(max(sizes)))
 
 
 def brute(index, words, threshold):
@@ -67,12 +67,54 @@ def test_answer_must_stand_too(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 1)]
 
 
+def test_scattered_words_are_no_match_whatever_else_is_tested(spark):
+    """Passages and windows go by an item's own length, not by the longest item's."""
+    item = (1, "what is the capital of france", "paris")
+    scattered = " ".join(w + " filler" * 150 for w in "what is the capital of france paris".split())
+    texts = [scattered, "so what is the capital of france then paris", " ".join("what is the capital of france paris".split()[::-1])]
+    long = (2, " ".join(f"l{i}" for i in range(650)), " ".join(f"m{i}" for i in range(50)))
+    for items in ([item], [item, long]):
+        df = spark.createDataFrame(items, "item_id long, question string, answer string")
+        assert {(r.doc_id, r.item_id) for r in D.contaminated(fixtures.docs(spark, texts), df).collect()} == {(2, 1), (3, 1)}
+    whole = fixtures.docs(spark, ["x " * 333 + f"{long[1]} {long[2]}" + " y" * 500])
+    assert [(r.item_id, r.first_word) for r in D.contaminated(whole, df).collect()] == [(2, 333)]
+
+
+def test_window_equals_trying_all():
+    rng = random.Random(8)
+    for _ in range(300):
+        question, answer = Counter(rng.choices("abcdef", k=rng.randrange(0, 6))), Counter(rng.choices("efgh", k=rng.randrange(0, 4)))
+        words = rng.choices("abcdefghxyz", k=rng.randrange(0, 40))
+        span = (3 * (question.total() + answer.total()) + 1) // 2
+        tried = []
+        for at in range(len(words)):
+            if words[at] in question or words[at] in answer:
+                bag = Counter(words[at : at + span])
+                q, a = (sum(min(n, bag[w]) for w, n in side.items()) for side in (question, answer))
+                shares = q / question.total() if question else 1.0, a / answer.total() if answer else 1.0
+                if min(shares) >= 0.8:
+                    tried.append((q + a, -at, *shares))
+        want = max(tried, default=None)
+        got = D.best_window(words, question, answer, 0.8)
+        assert got == (want and (want[0], -want[1], *want[2:]))
+
+
+def test_index_groups_are_bounded(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"question {i} a b c d e f", f"answer {i}") for i in range(50)], "item_id long, question string, answer string")
+    monkeypatch.setattr(D, "SHARD_ITEMS", 5)
+    monkeypatch.setattr(D, "INDEX_BYTES", 1)
+    groups = list(D.index_groups(items))
+    assert len(groups) > 5 and all(len(g) == 1 for g in groups) and sorted(i for g in groups for i in g[0].ids) == list(range(50))
+    got = D.contaminated(fixtures.docs(spark, ["question 7 a b c d e f answer 7", "no"]), items).collect()
+    assert (1, 7) in {(r.doc_id, r.item_id) for r in got} and {r.doc_id for r in got} == {1}
+
+
 def test_odd_rows_and_shards(spark, monkeypatch):
     texts = ["alpha beta gamma delta epsilon. zeta eta", "one two three four five six. seven eight"]
     items = D.items_of(spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, None), (None, "x y"), (2, texts[1])], "item_id long, text string"))
     monkeypatch.setattr(D, "SHARD_ITEMS", 1)
     got = D.contaminated(fixtures.docs(spark, [f"pre {t} post" for t in texts] + [texts[0]]), items).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (2, 2), (3, 1)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (3, 1)]
     assert D.contaminated(fixtures.odd(spark), items).collect() == []
     assert D.contaminated(fixtures.empty(spark), items).collect() == []
     nothing = items.limit(0)
