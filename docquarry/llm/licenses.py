@@ -4,7 +4,8 @@ All rolling word k-grams of a text are hashed. A hash that a template also has
 at some position votes for the diagonal "place in the text minus place in the
 template". Spark joins the hashes to the template positions and counts the
 votes by diagonal; neighbouring diagonals, which an inserted or left-out
-word makes, are merged; a merged run is a match if enough of the template stands in it.
+word makes, are merged; a merged run's span is then verified: it must not be much longer than the template, and
+enough of the template must stand in it in the template's order.
 
 Only hashes that a small bit table of the templates may hold leave the Python
 task, with the words they stand for; the join then compares hash and words,
@@ -32,6 +33,8 @@ GAP = 4
 COVERAGE = 0.6
 #: Templates of fewer k-grams differ from one another by a word and must be covered whole.
 SHORT = 12
+#: A span may be so many times as long as its template.
+STRETCH = 1.5
 _words = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
 #: Phrases that count wherever they stand whole.
@@ -41,7 +44,7 @@ PHRASES = {
     "cc-by-nc": "cc by nc",
 }
 
-#: Notices that are matched by coverage; (label, words).
+#: Notices and license texts that are matched by coverage; (label, words).
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
@@ -59,6 +62,14 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "has waived all copyright and related or neighboring rights to this work worldwide"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("gpl-3", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 )
 
 
@@ -121,7 +132,11 @@ def votes(docs: DataFrame, templates: list) -> DataFrame:
 
 
 def spans(found: DataFrame, templates: list) -> DataFrame:
-    """(row, template, label, whole, grams, start, stop, coverage) of merged, verified runs of diagonals; stop is the last word."""
+    """(row, template, label, whole, grams, start, stop, coverage) of merged runs of diagonals; stop is the last word.
+
+    coverage is the share of the template's k-grams that stand in the span with rising positions, 0 where the span is
+    longer than STRETCH templates.
+    """
     spark = found.sparkSession
     schema = "hash long, gram string, template int, label string, whole boolean, position int, grams int"
     positions = F.broadcast(spark.createDataFrame(templates, schema))  # fixed size: the templates above
@@ -133,10 +148,14 @@ def spans(found: DataFrame, templates: list) -> DataFrame:
     # a phrase's diagonals are places of their own; others join the run before them if near
     fresh = F.col("whole") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(side) > GAP, F.lit(True))
     runs = lines.withColumn("run", F.sum(fresh.cast("long")).over(side))
-    merged = runs.groupBy("row", "template", "label", "whole", "grams", "run").agg(
-        F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.min("start").alias("start"), (F.max("stop") + K - 1).alias("stop")
+    # a position on a diagonal is a place in the text
+    at = F.transform("seen", lambda p: F.struct((F.col("diagonal") + p).alias("place"), p.alias("position")))
+    merged = runs.withColumn("at", at).groupBy("row", "template", "label", "whole", "grams", "run").agg(
+        F.array_sort(F.flatten(F.collect_list("at"))).alias("at"), F.min("start").alias("start"), (F.max("stop") + K - 1).alias("stop")
     )
-    covered = F.size("seen") / F.col("grams")
+    rising = F.filter("at", lambda x, i: (i == 0) | (x["position"] > F.get("at", i - 1)["position"]))
+    fits = F.col("stop") - F.col("start") + 1 <= (F.col("grams") + K - 1) * STRETCH
+    covered = F.when(fits, F.size(F.array_distinct(F.transform(rising, lambda x: x["position"]))) / F.col("grams")).otherwise(F.lit(0.0))
     return merged.select("row", "template", "label", "whole", "grams", "start", "stop", covered.alias("coverage"))
 
 
@@ -145,7 +164,7 @@ def scan(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
 
     n_base counts the places of whole phrases; first_word and last_word are their smallest and largest
     start, null if there is none. labels adds those of notices covered by ``coverage`` or more.
-    score is the best coverage of any template, phrases included. Null, empty and word-free texts have no
+    score is the best verified coverage of any template, phrases included. Null, empty and word-free texts have no
     labels (empty strings) and score 0. Rows that repeat an id stay apart; other columns are ignored.
     """
     templates = template_rows()

@@ -185,9 +185,12 @@ lines AS (
   FROM g JOIN tg USING (gram) GROUP BY ALL),
 fresh AS (SELECT *, whole OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.GAP}, true) AS f FROM lines),
 runs AS (SELECT *, sum(f::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM fresh),
-m AS (
-  SELECT doc_id, template, label, whole, grams, run, min(start) AS start, len(list_distinct(flatten(list(seen))))::DOUBLE / grams AS coverage
+z AS (
+  SELECT doc_id, template, label, whole, grams, run, min(start) AS start, list_sort(flatten(list(list_transform(seen, lambda p: {{'place': diagonal + p, 'pos': p}})))) AS spots
   FROM runs GROUP BY doc_id, template, label, whole, grams, run),
+m AS (
+  SELECT *, CASE WHEN spots[-1].place - spots[1].place + 3 <= (grams + 2) * {licenses.STRETCH}
+    THEN len(list_distinct(list_transform(list_filter(spots, lambda x, i: i = 1 OR x.pos > spots[i - 1].pos), lambda x: x.pos)))::DOUBLE / grams ELSE 0 END AS coverage FROM z),
 k AS (SELECT *, whole AND coverage >= 1 AS phrase, NOT whole AND coverage >= CASE WHEN grams < {licenses.SHORT} THEN 1.0 ELSE {licenses.COVERAGE} END AS notice FROM m),
 r AS (
   SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,

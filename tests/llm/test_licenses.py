@@ -40,6 +40,19 @@ def test_cases(spark):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def test_order_and_length_of_spans_are_verified(spark):
+    """A template's k-grams in another order, or drawn out without end, are no license; edited and whole ones are."""
+    mit = L.TEMPLATES[0][1].split(" ")
+    backwards = " ".join(" ".join(mit[p : p + 3]) for p in range(len(mit) - 3, -1, -1))
+    drawn_out = " ".join(" ".join(mit[p : p + 3]) + " w x y z" for p in range(len(mit) - 2))
+    whole = next(text for label, text in L.TEMPLATES if label == "zlib")
+    edited = whole.split(" ")
+    edited[30:32] = ["some", "new", "words"]
+    rows = {r.doc_id: r for r in L.scan(fixtures.docs(spark, [backwards, drawn_out, whole, " ".join(edited)])).collect()}
+    assert [rows[i].labels for i in (1, 2, 3, 4)] == ["", "", "zlib", "zlib"]
+    assert rows[1].score < 0.6 and rows[3].score == 1.0 and 0.9 < rows[4].score < 1.0
+
+
 def test_odd_rows(spark):
     rows = L.scan(fixtures.odd(spark)).collect()
     assert len(rows) == 11 and {r.labels for r in rows} == {""}
