@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -37,13 +38,23 @@ def build(name: str = "docquarry", master: str = "local[*]", **conf: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only in sessions that name none, as in tests."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on one machine, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file system layer, wherever it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder that the cluster names."""
     shared_folder(df.sparkSession)
@@ -53,7 +64,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A given table; ``spread`` deals the rows of an input with fewer splits than cores to all of them.
 
-    That is for small inputs with costly rows only: where there are splits enough nothing is shuffled.
+    That is for small inputs with costly rows only: where there are splits enough nothing is shuffled. The rows are
+    the same either way.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
