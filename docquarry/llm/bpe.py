@@ -31,6 +31,31 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import Memo, map_rows
 
 NEVER = 1 << 60
+#: Words of more bytes than this aren't remembered.
+MEMO_BYTES = 256
+
+# fixed values: letters and numbers that are younger than the library's Unicode tables, as first and last code points
+YOUNG_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959),
+    (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5),
+    (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+YOUNG_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+# fixed values: lower case of letters that are younger than Python's tables, as first, last and lower first code points
+YOUNG_CASES = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_LOWER = {c: c - first + lower for first, last, lower in YOUNG_CASES for c in range(first, last + 1)} | {ord("Σ"): "σ"}
+
+
+def _without(kind: str, young: tuple[tuple[int, int], ...]) -> str:
+    """A character class of the regex library without the code points that the tokenizers library doesn't know."""
+    ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in young)
+    return rf"[\p{{{kind}}}--[{ranges}]]"
 
 
 @dataclass
@@ -105,7 +130,8 @@ class WordTokenizer:
     """A word-level BPE file: NFC, lower case, words without white space, </w> on a word's last byte."""
 
     #: fixed values of the file format: its word pattern and the byte-to-letter table's printable ranges
-    PATTERN = r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+"
+    LETTER, NUMBER = _without("L", YOUNG_LETTERS), _without("N", YOUNG_NUMBERS)
+    PATTERN = rf"{LETTER}+|{NUMBER}|'(?:s|t|re|ve|m|ll|d)|(?:(?!{LETTER}|{NUMBER})\S)+"
     PRINTABLE = ((33, 126), (161, 172), (174, 255))
 
     def __init__(self, spec: dict):
@@ -136,9 +162,10 @@ class WordTokenizer:
                     self.final.append(-1)
                 node = step
             (self.final if last else self.inside)[node] = i
-        self.words = regex.compile(self.PATTERN).findall
+        self.words = regex.compile(self.PATTERN, regex.V1).findall
+        self.ascii_words = regex.compile(r"[a-zA-Z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zA-Z0-9]+").findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.memo = Memo(lambda word: np.array(self.encode_word(word.encode("utf-8", "surrogatepass")), "<u4").tobytes())
+        self.memo = Memo(self._word)
 
     def encode_word(self, word: bytes) -> list[int]:
         """The one accepted path that spells the word; longer labels are tried first.
@@ -178,10 +205,16 @@ class WordTokenizer:
         return out
 
     def _piece(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case is by letter, without the final form
         memo = self.memo
-        return b"".join([memo[w] for w in self.words(text.lower())])
+        if text.isascii():
+            words = self.ascii_words(text.lower())
+        else:
+            # lower case is by letter, without the final form of sigma
+            words = self.words(unicodedata.normalize("NFC", text).translate(_LOWER).lower())
+        return b"".join([memo[w] if len(w) <= MEMO_BYTES else self._word(w) for w in words])
+
+    def _word(self, word: str) -> bytes:
+        return np.array(self.encode_word(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as the file's own library gives them without added tokens; special tokens in the text count as such."""
@@ -195,9 +228,9 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    """One compiled automaton for each Python worker and vocabulary file."""
-    with open(path, encoding="utf-8") as file:
+def tokenizer(path: str | None = None) -> WordTokenizer:
+    """One compiled automaton for each Python worker and vocabulary file; without a path the file installed where the worker runs."""
+    with open(path or default_path(), encoding="utf-8") as file:
         return WordTokenizer(json.load(file))
 
 
@@ -207,12 +240,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: str = "all") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: str = "all") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and for keep="all" the ids and the decoded text.
 
     One row per input row. Null texts count as empty: no ids, an empty decoded
     text. Texts are encoded whole; repeated rows and ids stay; other columns
-    are ignored. The vocabulary file is installed with the library on each executor.
+    are ignored. Each executor opens the vocabulary file that is installed there, or the one at ``path``.
     """
     more = keep == "all"
 
@@ -234,7 +267,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), schema, run)
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """The input with ``decoded``, the text of the arc labels; null ids give null."""
 
     def run(cols: dict[str, list]) -> dict[str, list]:

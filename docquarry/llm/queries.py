@@ -16,7 +16,7 @@ def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(prepare(spark), sf_dir, "documents", spread=True), bpe.default_path(), keep="digests")
+    return bpe.encode(table(prepare(spark), sf_dir, "documents", spread=True), keep="digests")
 
 
 def op3_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,14 @@ def test_cases(library, text):
     same(library, text)
 
 
+def test_every_code_point(library):
+    """Each is split, lower-cased and encoded as the library does, between a letter and a digit."""
+    texts = [f"a{chr(c)}B 1{chr(c)}" for c in range(0x40000) if not 0xD800 <= c < 0xE000]
+    own = bpe.tokenizer(PATH)
+    wrong = [t[1] for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if own.encode(t).tolist() != e.ids]
+    assert not wrong, (len(wrong), wrong[:20])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abcdeinorst' -.éü0\n", max_size=60))
 def test_any_text(text):
