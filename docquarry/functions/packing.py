@@ -7,23 +7,44 @@ its units.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _end(total: np.ndarray, start: int, limit: float) -> int:
+    """Where a greedy group from ``start`` ends (exclusive); ``total`` is the running sum of the costs."""
+    before = total[start - 1] if start else 0
+    return max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
+
+
 def group_ends(costs: np.ndarray, limit: int) -> list[int]:
     """Ends (exclusive) of greedy groups of at most ``limit``; a larger unit stands alone."""
-    total = np.cumsum(costs)
-    ends: list[int] = []
-    start = 0
-    while start < len(total):
-        before = total[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
-        ends.append(end)
-        start = end
-    return ends
+    total, ends = np.cumsum(costs), [0]
+    while ends[-1] < len(total):
+        ends.append(_end(total, ends[-1], limit))
+    return ends[1:]
+
+
+def chunk_ranges(costs: np.ndarray, alone: np.ndarray, limit: int, repeat: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:
+    """Ranges of units that make a chunk each: an ``alone`` unit by itself, others greedily up to the limit.
+
+    ``repeat(lo, hi)`` is what the chunk after lo..hi begins with again, and returns its cost. Nothing is repeated next to an alone unit.
+    """
+    total, walls = np.cumsum(costs), np.append(np.nonzero(alone)[0], len(costs))
+    at = spent = 0
+    for wall in walls.tolist():
+        while at < wall:
+            end = min(_end(total, at, limit - spent), wall)
+            yield at, end
+            spent = repeat(at, end) if end < wall else 0
+            at = end
+        if wall < len(costs):
+            yield wall, wall + 1
+        at, spent = wall + 1, 0
 
 
 def tail_units(costs: np.ndarray, budget: int) -> int:

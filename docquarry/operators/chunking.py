@@ -1,22 +1,23 @@
 """Chunking: sentence parts, table and procedure parts, and the assembly of blocks to chunks.
 
 A document's blocks are an array of (kind, text, section, table_header, atomic,
-slide) in its row. Sizes and sentence splits are JVM expressions. What is sequential, where a
-chunk ends and what it repeats of the last one, is a walk over one
-document's pieces inside an Arrow task.
+slide, page) in its row. What can be a column expression is one; where a chunk of a document ends, which depends on what it
+repeats of the last one, is found in the sizes of its pieces inside an Arrow task.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquarry.functions.packing import group_ends, grouped, pack_ends, tail_count, tail_units
+from docquarry.functions.packing import chunk_ranges, group_ends, grouped, pack_ends, tail_count, tail_units
 from docquarry.functions.text import CHARS_PER_TOKEN, TOKENS_PER_WORD, sentences, strip, token_count, words
 
 # fixed values: default sizes, sentence boundary, step markers and the mark of a continued procedure
@@ -24,6 +25,8 @@ TARGET, OVERLAP_RATIO, CEILING = 500, 0.15, 8192
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])|\n{2,}")
 STEP_MARKERS = (r"^\s*(\d{1,3})\s*[.)\]]\s+\S", r"(?i)^\s*step\s+(\d{1,3})\b", r"^\s*\(\s*(\d{1,3})\s*\)\s+\S")
 CONTINUED = "(procedure continued)"
+#: A line's begin before a step marker.
+STEP_BEGIN = re.compile(r"(?m)^(?=[^\S\n]*(?:\d{1,3}[^\S\n]*[.)\]][^\S\n]+\S|(?i:step)[^\S\n]+\d{1,3}\b|\([^\S\n]*\d{1,3}[^\S\n]*\)[^\S\n]+\S))")
 STEP_KINDS = ("list", "text", "code", "table")
 
 
@@ -80,113 +83,107 @@ def procedures(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def count(text: str) -> int:
-    """token_count for the walk inside tasks."""
+    """token_count inside tasks."""
     return max(1, math.ceil(max(len(text) / CHARS_PER_TOKEN, len(text.split()) * TOKENS_PER_WORD))) if text else 0
 
 
 def _step(text: str) -> int | None:
-    """step_number for the walk inside tasks."""
+    """step_number inside tasks."""
     first = text.lstrip().split("\n", 1)[0]
     found = [m for m in (re.match(p, first) for p in STEP_MARKERS) if m]
     return int(found[0][1]) if found else None
 
 
-def _cut(units: list[str], limit: int, glue: str) -> list[str]:
-    ends = group_ends([count(u) + count(glue) for u in units], limit)
-    return [glue.join(units[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-
-
 def _sentences(text: str) -> list[str]:
     return [s.strip() for s in SENTENCE_END.split(text) if s.strip()]
 
 
+def _steps(text: str) -> list[str]:
+    return [s.rstrip() for s in STEP_BEGIN.split(text) if s.strip()]
+
+
+#: How texts are cut: into units of a level, each joined again by its glue; a unit over the limit is cut by the next level.
+WORD_LEVEL = (str.split, " ")
+PROSE = ((_sentences, " "), WORD_LEVEL)
+ROWS = ((str.splitlines, "\n"), WORD_LEVEL)
+STEPS = ((_steps, "\n"), *PROSE)
+
+
+def cut(text: str, limit: int, levels: Sequence[tuple[Callable[[str], list[str]], str]]) -> list[str]:
+    """The text in parts of at most ``limit`` tokens, a joining glue counted with each unit; a word over the limit stands alone."""
+    (units_of, glue), *finer = levels
+    units = []
+    for unit in units_of(text):
+        units += (cut(unit, limit, finer) if finer and count(unit) > limit else None) or [unit]
+    ends = group_ends(np.array([count(u) + count(glue) for u in units], np.int64), limit)
+    return [glue.join(units[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def prose_parts(text: str, limit: int) -> list[str]:
-    """Sentences packed to the limit; a sentence over it is packed by words first."""
-    units = [u for s in _sentences(text) for u in (_cut(s.split(), limit, " ") if count(s) > limit else [s])]
-    return _cut(units, limit, " ") or [text]
-
-
-def table_parts(text: str, header: str | None, limit: int) -> list[str]:
-    """Rows packed under the header, which every part repeats."""
-    top = f"{header}\n" if header else ""
-    room = max(1, limit - count(top))
-    lines = text.splitlines()[len(header.splitlines()) if header else 0 :]
-    rows = [r for line in lines for r in (_cut(line.split(), room, " ") or [line] if count(line) > room else [line])]
-    return [top + part for part in _cut(rows, room, "\n")] or [text]
-
-
-def procedure_parts(text: str, limit: int) -> list[str]:
-    """Steps packed to the limit; parts after the first say that they go on."""
-    steps: list[list[str]] = [[]]
-    for line in text.splitlines():
-        if steps[-1] and any(re.match(p, line) for p in STEP_MARKERS):
-            steps.append([])
-        steps[-1].append(line)
-    whole = [s for s in ("\n".join(x).rstrip() for x in steps) if s.strip()]
-    if len(whole) < 2:
-        return prose_parts(text, limit)
-    room = max(1, limit - count(CONTINUED) - 1)
-    parts = _cut([u for s in whole for u in (prose_parts(s, room) if count(s) > room else [s])], room, "\n")
-    return parts[:1] + [f"{CONTINUED}\n{p}" for p in parts[1:]]
-
-
-def _pieces(block: dict, target: int, ceiling: int) -> Iterator[tuple[str, bool]]:
-    """(text, alone) of a block: alone pieces are chunks of their own."""
-    text, size = block["text"], count(block["text"])
-    if block["kind"] == "table" and block["table_header"]:
-        yield from ((p, True) for p in table_parts(text, block["table_header"], target)) if size > target else [(text, False)]
+    return cut(text, limit, PROSE) or [text]
+
+
+def framed_parts(text: str, limit: int, levels: Sequence, first: str, later: str) -> list[str]:
+    """Parts that leave room for the line which the later ones begin with."""
+    parts = cut(text, max(1, limit - count(later)), levels)
+    return [(later if i else first) + part for i, part in enumerate(parts)]
+
+
+@dataclass
+class Piece:
+    """A block, or a part of one too large to be left whole; alone ones are chunks of their own."""
+
+    text: str
+    alone: bool
+    block: dict
+
+
+def pieces_of(block: dict, target: int, ceiling: int) -> list[Piece]:
+    text, header = block["text"], block["table_header"] if block["kind"] == "table" else None
+    size = count(text)
+    if size <= (ceiling if block["atomic"] and not header else target):
+        return [Piece(text, False, block)]
+    if header:
+        body = "\n".join(text.splitlines()[len(header.splitlines()) :])
+        parts = framed_parts(body, target, ROWS, f"{header}\n", f"{header}\n") or [text]
     elif block["atomic"]:
-        yield from ((p, True) for p in procedure_parts(text, ceiling)) if size > ceiling else [(text, False)]
+        parts = framed_parts(text, ceiling, STEPS, "", f"{CONTINUED}\n") if len(_steps(text)) > 1 else prose_parts(text, ceiling)
     else:
-        yield from ((p, False) for p in prose_parts(text, target)) if size > target else [(text, False)]
+        parts = prose_parts(text, target)
+    return [Piece(part, block["atomic"] or header is not None, block) for part in parts if part.strip()]
 
 
-def _walk(blocks: list[dict], target: int, overlap: int, ceiling: int) -> Iterator[tuple[str, str | None]]:
-    """(content, section) of a document's chunks in order."""
-    held: list[str] = []
-    held_size, section, carry = 0, None, ""
+def _contents(blocks: list[dict], target: int, overlap: int, ceiling: int) -> Iterator[tuple[str, dict]]:
+    """(content, first block) of a document's chunks in order; texts are joined once a range is known."""
+    pieces = [p for block in blocks for p in pieces_of(block, target, ceiling)]
+    content = again = ""
 
-    def close(keep: bool) -> Iterator[tuple[str, str | None]]:
-        nonlocal held, held_size, carry
-        content, held, held_size = "\n\n".join(held).strip(), [], 0
-        if content:
-            yield from ((p, section) for p in ([content] if count(content) <= ceiling else prose_parts(content, ceiling)))
-            units = _sentences(content)
-            n = tail_units([count(u) for u in units], overlap) if keep else 0
-            carry = " ".join(units[len(units) - n :]) if n else ""
+    def repeat(lo: int, hi: int) -> int:
+        """The last sentences of the chunk before, which the next one begins with."""
+        nonlocal again
+        units = _sentences(content)
+        again = " ".join(units[len(units) - tail_units(np.array([count(u) for u in units], np.int64), overlap) :])
+        return count(again)
 
+    sizes, alone = np.array([count(p.text) for p in pieces], np.int64), np.array([p.alone for p in pieces], bool)
+    for lo, hi in chunk_ranges(sizes, alone, target, repeat):
+        content = "\n\n".join([*filter(None, [again]), *(p.text for p in pieces[lo:hi])]).strip()
+        again = ""
+        yield content, pieces[lo].block
+
+
+def _slides(blocks: list[dict]) -> Iterator[tuple[str, dict]]:
+    """(content, first block with a section) of each slide."""
+    slides: dict[int, list[dict]] = {}
     for block in blocks:
-        for text, alone in _pieces(block, target, ceiling):
-            if not text.strip():
-                continue
-            if alone or held and held_size + count(text) > target:
-                yield from close(not alone)
-            if alone:
-                carry = ""
-            if not held:
-                section = block["section"]
-                if carry:
-                    held, held_size, carry = [carry], count(carry), ""
-            held.append(text)
-            held_size += count(text)
-            if alone:
-                yield from close(False)
-    yield from close(False)
-
-
-def _slides(blocks: list[dict], ceiling: int) -> Iterator[tuple[str, str | None]]:
-    """One chunk a slide, cut only over the ceiling."""
-    by: dict[int, list[dict]] = {}
-    for block in blocks:
-        by.setdefault(block["slide"] or 0, []).append(block)
-    for rows in by.values():
-        content = "\n\n".join(r["text"] for r in rows).strip()
-        section = next((r["section"] for r in rows if r["section"]), None)
-        yield from ((p, section) for p in ([content] if count(content) <= ceiling else prose_parts(content, ceiling)))
+        slides.setdefault(block["slide"] or 0, []).append(block)
+    for own in slides.values():
+        yield "\n\n".join(b["text"] for b in own).strip(), next((b for b in own if b["section"]), own[0])
 
 
-BLOCKS = "array<struct<kind:string,text:string,section:string,table_header:string,atomic:boolean,slide:int>>"
-FIELDS = ("kind", "text", "section", "table_header", "atomic", "slide")
+KINDS = {"kind": "string", "text": "string", "section": "string", "table_header": "string", "atomic": "boolean", "slide": "int", "page": "int"}
+FIELDS = tuple(KINDS)
+BLOCKS = f"array<struct<{','.join(f'{k}:{v}' for k, v in KINDS.items())}>>"
 
 
 def _merge_steps(blocks: list[dict]) -> list[dict]:
@@ -217,17 +214,19 @@ def _merge_steps(blocks: list[dict]) -> list[dict]:
 
 def gather(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Block rows to one row a document with its blocks in order, for block tables; parsers make such rows without a shuffle."""
-    rows = F.array_sort(F.collect_list(F.struct("block_no", *FIELDS)))
-    return blocks.groupBy(id_col).agg(rows.alias("b")).select(id_col, F.transform("b", lambda x: F.struct(*[x[f].alias(f) for f in FIELDS])).alias("blocks"))
+    rows = F.array_sort(F.collect_list(F.struct("block_no", *(f for f in FIELDS if f in blocks.columns))))
+    return blocks.groupBy(id_col).agg(rows.alias("blocks"))
 
 
 def assemble(docs: DataFrame, id_col: str = "doc_id", target: int = TARGET, ratio: float = OVERLAP_RATIO, ceiling: int = CEILING) -> DataFrame:
-    """(doc_id, ordinal, section, content, token_count) from rows (doc_id, blocks).
+    """(doc_id, ordinal, section, content, token_count, page, slide) from rows (doc_id, blocks).
 
     Every document is cut where its row is; nothing is shuffled. Blank blocks are dropped; documents
-    without blocks have no chunks; documents with slides get one chunk a slide.
+    without blocks have no chunks; documents with slides get one chunk a slide. A chunk has the section, page and slide of its
+    first block; the page of a slide is its number. Fields that the blocks lack count as null.
     """
-    rows = docs.select(id_col, F.col("blocks").cast(BLOCKS).alias("blocks"))
+    have = docs.schema["blocks"].dataType.elementType.names
+    rows = docs.select(id_col, F.transform("blocks", lambda b: F.struct(*[(b[f] if f in have else F.lit(None)).cast(k).alias(f) for f, k in KINDS.items()])).alias("blocks"))
     kind = dict(rows.dtypes)[id_col]
     overlap = int(target * ratio)
 
@@ -235,14 +234,15 @@ def assemble(docs: DataFrame, id_col: str = "doc_id", target: int = TARGET, rati
         for batch in batches:
             out: list[tuple] = []
             for doc, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                have = [b for b in blocks or () if b["text"] and b["text"].strip()]
-                made = _slides(have, ceiling) if any(b["slide"] is not None for b in have) else _walk(_merge_steps(have), target, overlap, ceiling)
-                out += [(doc, i, section, content, count(content)) for i, (content, section) in enumerate(made)]
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            types = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[id_col, "ordinal", "section", "content", "token_count"])
-
-    return rows.mapInArrow(run, f"{id_col} {kind}, ordinal int, section string, content string, token_count int")
+                held = [b for b in blocks or () if b["text"] and b["text"].strip()]
+                made = _slides(held) if any(b["slide"] is not None for b in held) else _contents(_merge_steps(held), target, overlap, ceiling)
+                parts = [(p, b) for content, b in made for p in ([content] if count(content) <= ceiling else prose_parts(content, ceiling))]
+                out += [(doc, i, b["section"], p, count(p), b["slide"] if b["page"] is None else b["page"], b["slide"]) for i, (p, b) in enumerate(parts)]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            types = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[id_col, "ordinal", "section", "content", "token_count", "page", "slide"])
+
+    return rows.mapInArrow(run, f"{id_col} {kind}, ordinal int, section string, content string, token_count int, page int, slide int")
 
 
 def paragraphs(docs: DataFrame, id_col: str = "document_id", text_col: str = "content") -> DataFrame:

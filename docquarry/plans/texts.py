@@ -36,7 +36,7 @@ def tail_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut to chunks of about 500 tokens with overlap."""
-    return C.assemble(C.paragraphs(model.documents(spark, sf_dir)))
+    return C.assemble(C.paragraphs(model.documents(spark, sf_dir))).drop("page", "slide")
 
 
 def chunks_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def chunks_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = S.html_documents(table(prepare(spark), sf_dir, "pages", spread=True)).withColumnRenamed("page_id", "doc_id")
     header = lambda b: F.when(b["kind"] == "table", S.table_header(b["text"]))
     block = lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["section"].alias("section"), header(b).alias("table_header"), F.lit(False).alias("atomic"), F.lit(None).cast("int").alias("slide"))
-    return C.assemble(pages.select("doc_id", F.transform("blocks", block).alias("blocks")))
+    return C.assemble(pages.select("doc_id", F.transform("blocks", block).alias("blocks"))).drop("page", "slide")
 
 
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,14 +128,14 @@ def procedure_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def procedure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.assemble(C.gather(_steps(spark, sf_dir)), target=60, ceiling=200)
+    return C.assemble(C.gather(_steps(spark, sf_dir)), target=60, ceiling=200).drop("page", "slide")
 
 
 def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of each brand as a pipe table, cut to parts that repeat the header."""
     rows = S.markdown_table(table(prepare(spark), sf_dir, "part"), "p_brand", "p_partkey", ["p_partkey", "p_name", "p_type", "p_size"])
     blocks = rows.select(F.col("p_brand").alias("doc_id"), F.lit(0).alias("block_no"), F.lit("table").alias("kind"), "text", F.col("p_brand").alias("section"), S.table_header(F.col("text")).alias("table_header"), F.lit(False).alias("atomic"), F.lit(None).cast("int").alias("slide"))
-    return C.assemble(C.gather(blocks), target=200)
+    return C.assemble(C.gather(blocks), target=200).drop("page", "slide")
 
 
 def slide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

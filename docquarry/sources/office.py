@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators.chunking import BLOCKS, FIELDS
+from docquarry.operators.chunking import BLOCKS, FIELDS, KINDS
 from docquarry.sources import formats as S
 
 # fixed values: name spaces of the formats, delimiters that are tried, most characters of a cell
@@ -44,7 +44,7 @@ def _grid(rows: Iterator[list[str]]) -> tuple[str, str]:
 
 
 def _block(kind: str, text: str, section: str | None, header: str | None = None, slide: int | None = None) -> dict:
-    return dict(zip(FIELDS, (kind, text, section, header, False, slide), strict=True))
+    return dict(zip(FIELDS, (kind, text, section, header, False, slide, None), strict=True))
 
 
 def _docx(data: zipfile.ZipFile) -> Iterator[dict]:
@@ -94,7 +94,7 @@ def _pptx(data: zipfile.ZipFile) -> Iterator[dict]:
 def office_blocks(files: DataFrame, id_col: str = "path") -> DataFrame:
     """(id, blocks, error) of rows (id, content, mime_type); a broken file has no blocks and says why, and stops no other."""
     kinds = {S.DOCX: _docx, S.PPTX: _pptx}
-    block = pa.struct([(f, pa.bool_() if f == "atomic" else pa.int32() if f == "slide" else pa.string()) for f in FIELDS])
+    block = pa.struct([(f, {"boolean": pa.bool_(), "int": pa.int32(), "string": pa.string()}[k]) for f, k in KINDS.items()])
 
     def run(batches):
         for batch in batches:
