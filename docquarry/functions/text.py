@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ def terms(text: Column) -> Column:
 def term_frequency(lowered: Column, term: str) -> Column:
     """How often a term of letters and digits stands in a lower-case text, as ``terms`` would cut it."""
     edge = r"[\p{L}\p{N}]"
-    return F.regexp_count(lowered, F.lit(rf"\Q{term}\E(?<!{edge}\Q{term}\E)(?!{edge})"))
+    plain = re.sub(r"([^\w\s])", r"\\\1", term)
+    return F.regexp_count(lowered, F.lit(rf"(?<!{edge}){plain}(?!{edge})"))
 
 
 def slug_ok(slug: Column) -> Column:

@@ -43,6 +43,11 @@ def question_ok(question: Column, top_k: Column) -> Column:
     return F.length(F.trim(question)).between(1, MAX_QUESTION) & top_k.between(1, MAX_TOP_K)
 
 
+def may_act(role: Column, action: Column) -> Column:
+    """Administrators may do all; readers may ask and search."""
+    return F.coalesce((role == "admin") | action.isin("ask", "search", "read"), F.lit(False))
+
+
 def has_tags(tags: Column, wanted: dict[str, str | Sequence[str]]) -> Column:
     """Containment: a scalar must be equal, a list must be a subset of the array; keys are and-ed, an empty list always holds."""
     cond = F.lit(True)

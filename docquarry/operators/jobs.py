@@ -10,7 +10,10 @@ MAX_ATTEMPTS = 3
 TIMEOUT_SECONDS = 3600
 RETRYABLE_STATUS = (408, 429, 500, 502, 503, 504)
 RETRYABLE_TEXT = ("rate limit", "resource exhausted", "resource_exhausted", "deadline exceeded", "unavailable", "internal error", "overloaded", "timeout", "connection reset")
+RETRYABLE_TYPES = ("ReadError", "WriteError", "ConnectError", "CloseError", "ConnectTimeout", "ReadTimeout", "WriteTimeout", "PoolTimeout", "NetworkError", "ProxyError", "RemoteProtocolError", "TransportError", "ServerDisconnectedError", "IncompleteRead", "TimeoutError", "ConnectionError", "OSError")
+RATE_LIMIT_STATUS, RATE_LIMIT_TEXT = 429, ("resource_exhausted", "resource exhausted")
 MAX_SERVER_DELAY = 65.0
+SERVER_JITTER, LOCAL_JITTER, FAIL_FAST_SECONDS = (0.5, 2.0), (0.5, 1.5), 8.0
 STAGE_PROGRESS = {"parse": 10, "profile": 25, "chunk": 40, "write": 50}
 
 
@@ -42,9 +45,28 @@ def progress(done: Column, total: Column) -> Column:
     return (F.lit(50) + F.floor(F.when(total > 0, done * 50 / total).otherwise(F.lit(50)))).cast("int")
 
 
-def retryable(code: Column, message: Column) -> Column:
+def retryable(code: Column, message: Column, types: Column | None = None) -> Column:
+    """Whether to try again: by reply code, by text, or by the names of the error's class and its parents (an array)."""
     text = F.lower(F.coalesce(message, F.lit("")))
-    return F.coalesce(code.isin(*RETRYABLE_STATUS), F.lit(False)) | text.rlike("|".join(RETRYABLE_TEXT))
+    known = F.lit(False) if types is None else F.coalesce(F.arrays_overlap(types, F.array(*map(F.lit, RETRYABLE_TYPES))), F.lit(False))
+    return F.coalesce(code.isin(*RETRYABLE_STATUS), F.lit(False)) | known | text.rlike("|".join(RETRYABLE_TEXT))
+
+
+def rate_limited(code: Column, message: Column) -> Column:
+    """Whether a reply says that the quota is used up, which the bare word quota doesn't."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    return F.coalesce(code == RATE_LIMIT_STATUS, F.lit(False)) | text.rlike("|".join(RATE_LIMIT_TEXT))
+
+
+def retry_wait(attempt: Column, server: Column, chance: Column, interactive: bool = False) -> Column:
+    """Seconds until the next attempt, null where there is none.
+
+    ``chance`` (0 to 1) spreads the wait: added to what the server asked for, else multiplied with the local backoff. A caller
+    who waits for the answer gives up where it would take over FAIL_FAST_SECONDS.
+    """
+    spread = lambda lo, hi: F.lit(lo) + (hi - lo) * chance
+    wait = F.coalesce(server + spread(*SERVER_JITTER), backoff(attempt) * spread(*LOCAL_JITTER))
+    return F.when(wait <= FAIL_FAST_SECONDS, wait) if interactive else wait
 
 
 def server_delay(message: Column) -> Column:

@@ -35,15 +35,18 @@ def row_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
 
 
 def change_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str = "n", more: str = "has_next") -> DataFrame:
-    """The rows with the number of changes of ``value`` up to them in their group, the first row counted, and whether a row follows."""
+    """The rows with the number of changes of ``value`` up to them in their group, the first row counted, and whether a row follows.
+
+    A null value is a value like any other.
+    """
     placed = in_ranges(df, group, order)
     side = Window.partitionBy("__part", *group).orderBy(*order)
-    changed = F.lag(value).over(side).isNotNull() & (F.lag(value).over(side) != F.col(value))
+    changed = F.lag(F.lit(1)).over(side).isNotNull() & ~F.lag(value).over(side).eqNullSafe(F.col(value))
     local = placed.withColumns({"__inner": changed.cast("long"), "__last": F.lead(F.lit(1)).over(side).isNull()})
     local = local.withColumn("__sum", F.sum("__inner").over(side))
-    parts = local.groupBy("__part", *group).agg(F.sum("__inner").alias("__changes"), F.min_by(value, F.struct(*order)).alias("__first"), F.max_by(value, F.struct(*order)).alias("__end"))
+    parts = local.groupBy("__part", *group).agg(F.sum("__inner").alias("__changes"), F.min_by(F.struct(value), F.struct(*order)).alias("__first"), F.max_by(F.struct(value), F.struct(*order)).alias("__end"))
     ordered = Window.partitionBy(*group).orderBy("__part")
-    edge = parts.withColumn("__edge", F.coalesce((F.lag("__end").over(ordered) != F.col("__first")).cast("long"), F.lit(1))).withColumn("__more", F.lead("__part").over(ordered).isNotNull())
+    edge = parts.withColumn("__edge", F.when(F.lag("__part").over(ordered).isNull(), F.lit(1)).otherwise((~F.lag("__end").over(ordered).eqNullSafe(F.col("__first"))).cast("long"))).withColumn("__more", F.lead("__part").over(ordered).isNotNull())
     upto = F.sum(F.col("__edge") + F.col("__changes")).over(ordered) - F.col("__changes")
     edge = edge.withColumn("__upto", upto).select("__part", *group, "__upto", "__more")
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("__part", *group)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -60,7 +61,8 @@ def vector_pool(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
 def text_scores(docs: DataFrame, must: Sequence[str], must_not: Sequence[str] = (), phrases: Sequence[str] = (), header_col: str = "header", body_col: str = "content") -> DataFrame:
     """Rows that hold all terms and phrases and none of the excluded terms, with ``text_score``.
 
-    The score is the weighted frequency of the terms: those of the header count more than the body's.
+    The score is the weighted frequency of the terms: those of the header count more than the body's. A phrase counts as a
+    term of the body.
     Texts without a term as a substring are dropped before any is cut into terms.
     """
     sides = [F.lower(F.coalesce(c, F.lit(""))) for c in (header_col, body_col)]
@@ -72,9 +74,14 @@ def text_scores(docs: DataFrame, must: Sequence[str], must_not: Sequence[str] =
     at = {t: F.col("__n")[i] for i, t in enumerate(counts)}
     total = lambda t: at[t]["h"] + at[t]["b"]
     joined = F.concat(F.lit(" "), F.array_join(terms(sides[1]), " "), F.lit(" "))
-    stands = [joined.contains(f" {' '.join(p.lower().split())} ") for p in phrases]
+    shown = [f" {' '.join(p.lower().split())} " for p in phrases]
+    stands = [joined.contains(p) for p in shown]
     rules = [total(t) > 0 for t in must] + [total(t) == 0 for t in must_not] + stands
     score = sum((at[t]["h"] * HEADER_WEIGHT + at[t]["b"] * BODY_WEIGHT for t in must), F.lit(0.0))
+    if not must:
+        # white space is doubled, so that a phrase which ends where the next begins counts twice
+        wide = F.replace(joined, F.lit(" "), F.lit("  "))
+        score = sum(((F.size(F.split(wide, re.escape(p.replace(" ", "  ")[1:-1]))) - 1) * BODY_WEIGHT for p in shown), F.lit(0.0))
     return found.where(reduce(lambda a, b: a & b, rules, F.lit(True))).withColumn("text_score", score).drop("__n")
 
 
@@ -83,11 +90,11 @@ def text_pool(docs: DataFrame, must: Sequence[str], k: int, id_col: str = "docum
     return best.withColumn("text_rank", F.row_number().over(Window.orderBy(F.desc("text_score"), id_col)))
 
 
-def fuse(vector: DataFrame | None, text: DataFrame, k: int, id_col: str = "document_id") -> DataFrame:
+def fuse(vector: DataFrame | None, text: DataFrame, k: int, id_col: str = "document_id", order: Sequence[str] | None = None) -> DataFrame:
     """Reciprocal rank fusion of two ranked pools; a missing half adds nothing. Without a query vector it is the text half alone."""
     part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + F.col(rank)), F.lit(0.0))
     both = text.select(id_col, "text_rank").withColumn("vec_rank", F.lit(None).cast("int")) if vector is None else vector.select(id_col, "vec_rank").join(text.select(id_col, "text_rank"), id_col, "full")
-    return both.withColumn("score", part("vec_rank") + part("text_rank")).orderBy(F.desc("score"), id_col).limit(k)
+    return both.withColumn("score", part("vec_rank") + part("text_rank")).orderBy(F.desc("score"), *(order or (id_col,))).limit(k)
 
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, query: Sequence[float] | None, must: Sequence[str], k: int = 8, where: Column | None = None, tags: Column | None = None) -> DataFrame:
@@ -115,6 +122,22 @@ def citations(answers: DataFrame, answer_col: str, count_col: str, id_cols: Sequ
     return answers.select(*id_cols, F.posexplode(inside).alias("rank", "number"))
 
 
+def cited_sources(cited: DataFrame, results: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Citations (group, ..., rank, number) with the result rows (group, rank, ...) that they name; the first result is number 1."""
+    named = results.withColumnRenamed("rank", "number")
+    return cited.join(named, [*group_cols, "number"])
+
+
+def answer(results: DataFrame, replies: DataFrame, group_cols: Sequence[str], refusal: str) -> DataFrame:
+    """(group, text, refused) of each asked group: its reply, or the refusal where nothing was found or the reply says so.
+
+    results: (group, rank, ...), no rows where nothing was found; replies: (group, reply), a row a group that was asked.
+    """
+    found = results.groupBy(*group_cols).agg(F.count("*").alias("__n"))
+    rows = replies.join(found, list(group_cols), "left").withColumn("refused", answer_state(F.col("reply"), F.coalesce("__n", F.lit(0))))
+    return rows.select(*group_cols, F.when(F.col("refused"), refusal).otherwise(F.trim("reply")).alias("text"), "refused")
+
+
 def source_list(results: DataFrame, group_cols: Sequence[str]) -> DataFrame:
     """One numbered text of sources a group, from (rank, filename, section, content) rows of bounded groups."""
     entry = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("filename"), F.when(F.col("section") != "", F.concat(F.lit(" > "), F.col("section"))).otherwise(F.lit("")), F.lit("\n"), F.col("content"))

@@ -21,6 +21,18 @@ def test_numbers_equal_windows(spark, parts):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("parts", ["1", "16"])
+def test_null_values_change_like_any_other(spark, parts):
+    """Nulls are one value, inside a partition and across its border."""
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    for value in (F.lit(None).cast("string"), F.when(F.col("id") % 10 < 5, "a")):
+        df = spark.range(40).select(F.lit("g").alias("g"), F.col("id").alias("o"), value.alias("v"))
+        got = {r.o: r.n for r in R.change_numbers(df, ("g",), ("o",), "v").collect()}
+        values = [r.v for r in df.orderBy("o").collect()]
+        assert [got[i] for i in range(40)] == [1 + sum(a != b for a, b in zip(values[:i], values[1 : i + 1], strict=True)) for i in range(40)]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "g string, o long, v string")
     assert R.row_numbers(none, ("g",), ("o",)).collect() == [] == R.change_numbers(none, ("g",), ("o",), "v").collect()
