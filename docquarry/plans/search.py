@@ -68,28 +68,13 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered sources of each workspace's eight newest documents."""
-    docs = _docs(spark, sf_dir).where("status = 'ready'")
-    order = F.row_number().over(R.Window.partitionBy("workspace_id").orderBy(F.desc("document_id")))
-    best = docs.withColumn("rank", order).where("rank <= 8").withColumn("section", F.lit("")).withColumn("content", F.substring("content", 1, 200))
-    return R.source_list(best, ("workspace_id",))
-
-
-def sources_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with whole texts."""
+    """Numbered sources of each workspace's eight newest documents, with whole texts."""
     docs = _docs(spark, sf_dir).where("status = 'ready'")
     order = F.row_number().over(R.Window.partitionBy("workspace_id").orderBy(F.desc("document_id")))
     return R.source_list(docs.withColumn("rank", order).where("rank <= 8").withColumn("section", F.lit("")), ("workspace_id",))
 
 
 def message_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat turns, and their first words as messages of their own, by kind."""
-    chats = table(prepare(spark), sf_dir, "conversations")
-    first = F.split_part(F.col("text"), F.lit(" "), F.lit(1))
-    return chats.select("conv_id", "turn", F.coalesce(R.message_kind(F.concat(first, F.lit("!"))), F.lit("question")).alias("first_kind"), F.coalesce(R.message_kind(F.col("role")), F.lit("question")).alias("role_kind"))
-
-
-def message_kinds_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each whole chat turn by kind."""
     chats = table(prepare(spark), sf_dir, "conversations")
     return chats.select("conv_id", "turn", F.coalesce(R.message_kind(F.col("text")), F.lit("question")).alias("kind"))
@@ -108,7 +93,7 @@ def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("event_id", R.lenient_object(raw, "k long")["k"].alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, text_topk, text_phrase_topk, hybrid_rrf, hybrid_filtered, text_only, citations, sources_list, sources_list_whole, message_kinds, message_kinds_whole, answer_states, lenient_json)}
+QUERIES = {f.__name__: f for f in (vector_topk, text_topk, text_phrase_topk, hybrid_rrf, hybrid_filtered, text_only, citations, sources_list, message_kinds, answer_states, lenient_json)}
 
 _TERMS_SQL = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _BASE = f"""WITH {model.DOCUMENTS_SQL},
@@ -157,13 +142,8 @@ f AS (SELECT conv_id, turn, number, min(i) AS i FROM n WHERE number BETWEEN 1 AN
 SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1)::INT AS rank, number FROM f""",
     "sources_list": f"""WITH {model.DOCUMENTS_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY document_id DESC) AS rank FROM docs WHERE status = 'ready')
-SELECT workspace_id, string_agg('[' || rank || '] ' || filename || chr(10) || left(content, 200), chr(10) || chr(10) ORDER BY rank) AS sources FROM r WHERE rank <= 8 GROUP BY 1""",
-    "sources_list_whole": f"""WITH {model.DOCUMENTS_SQL},
-r AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY document_id DESC) AS rank FROM docs WHERE status = 'ready')
 SELECT workspace_id, string_agg('[' || rank || '] ' || filename || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS sources FROM r WHERE rank <= 8 GROUP BY 1""",
-    "message_kinds": f"""SELECT conv_id, turn, (SELECT {_KIND} FROM (SELECT {_KEY("split_part(text, ' ', 1) || '!'")} AS key)) AS first_kind,
-(SELECT {_KIND} FROM (SELECT {_KEY("role")} AS key)) AS role_kind FROM conversations""",
-    "message_kinds_whole": f"SELECT conv_id, turn, (SELECT {_KIND} FROM (SELECT {_KEY('text')} AS key)) AS kind FROM conversations",
+    "message_kinds": f"SELECT conv_id, turn, (SELECT {_KIND} FROM (SELECT {_KEY('text')} AS key)) AS kind FROM conversations",
     "answer_states": f"WITH {_ANSWERS} SELECT conv_id, turn, n_results - 3 = 0 OR trim(answer) = '' OR contains(lower(answer), 'not in the documents') AS refused FROM a",
     "lenient_json": "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events",
 }

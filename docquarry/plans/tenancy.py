@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import answers as A
 from docquarry.operators import catalog as C
 from docquarry.operators import jobs as J
+from docquarry.operators.ranges import row_numbers
 from docquarry.plans import model
 from docquarry.session import prepare, table
 
@@ -61,28 +62,15 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first words, once whatever their case."""
-    docs = model.documents(spark, sf_dir)
-    some = F.slice(F.split("content", "[ \n]+"), 1, 40)
-    return docs.select("document_id", F.array_join(C.distinct_spellings(some), ",").alias("words"))
-
-
-def spellings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twelve distinct words of each whole document, once whatever their case."""
     docs = model.documents(spark, sf_dir)
     return docs.select("document_id", F.array_join(C.distinct_spellings(F.split("content", "[ \n]+")), ",").alias("words"))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat history with an explicit number, the two turns of an exchange in order."""
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(prepare(spark), sf_dir, "conversations").where("role <> 'system'").select("conv_id", n.alias("n"), "role", F.substring("text", 1, 80).alias("shown"))
-
-
-def history_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with whole turns."""
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(prepare(spark), sf_dir, "conversations").where("role <> 'system'").select("conv_id", n.alias("n"), "role", F.col("text").alias("shown"))
+    """Chat history with an explicit number, the two turns of an exchange in order; a conversation may span tasks."""
+    turns = table(prepare(spark), sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", F.col("text").alias("shown"))
+    return row_numbers(turns, ("conv_id",), ("turn",)).select("conv_id", F.col("n").cast("int").alias("n"), "role", "shown")
 
 
 def session_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,13 +133,6 @@ def upload_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose tags hold a type and two of their first words."""
-    docs = model.documents(spark, sf_dir)
-    tags = F.struct(F.col("status").alias("document_type"), F.slice(F.split(F.lower("content"), "[^a-z]+"), 1, 30).alias("topics"))
-    return docs.withColumn("tags", tags).where(A.has_tags(F.col("tags"), {"document_type": "ready", "topics": ["the", "and"]})).select("document_id")
-
-
-def tag_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose tags hold a type and two of the words of their whole text."""
     docs = model.documents(spark, sf_dir)
     tags = F.struct(F.col("status").alias("document_type"), F.split(F.lower("content"), "[^a-z]+").alias("topics"))
@@ -198,7 +179,7 @@ def retry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", J.retryable(F.col("code"), F.col("message")).alias("again"), F.coalesce(F.round(J.server_delay(F.col("message")), 4), F.lit(-1.0)).alias("wait"), J.backoff(F.col("event_id") % 8 + 1).alias("local_wait"))
 
 
-QUERIES = {f.__name__: f for f in (status_counts, workspace_cards, document_list, corpus_state, top_values, vocabulary, spellings, spellings_whole, history, history_whole, session_join, content_hash, exact_dedup, version_chain, cascade_delete, delete_documents, chunk_upsert, pending_embedding_batches, workspace_replies, upload_guards, tag_filter, tag_filter_whole, embed_pending, job_states, stalled_jobs, claim_order, pending_jobs, progress_pct, retry_rules)}
+QUERIES = {f.__name__: f for f in (status_counts, workspace_cards, document_list, corpus_state, top_values, vocabulary, spellings, history, session_join, content_hash, exact_dedup, version_chain, cascade_delete, delete_documents, chunk_upsert, pending_embedding_batches, workspace_replies, upload_guards, tag_filter, embed_pending, job_states, stalled_jobs, claim_order, pending_jobs, progress_pct, retry_rules)}
 
 _WORKING = ", ".join(f"'{s}'" for s in C.WORKING)
 _D = f"WITH {model.DOCUMENTS_SQL}"
@@ -224,14 +205,10 @@ SELECT c.*, coalesce(chunks, 0)::BIGINT AS chunks, last_question, coalesce(topic
     "corpus_state": f"{_D} SELECT workspace_id, count(*) FILTER (status = 'ready') AS n_ready, coalesce(array_to_string(list_sort(list_distinct(list(filename) FILTER (status = 'ready'))), ','), '') AS ready_names, count(*) FILTER (status IN ({_WORKING})) AS processing FROM docs GROUP BY 1",
     "top_values": f"{_V} SELECT workspace_id, kind, value, n, rank::INT AS rank FROM ranked WHERE rank <= 3",
     "vocabulary": f"{_V} SELECT workspace_id, kind, string_agg(value || '=' || n, ',' ORDER BY value) AS counts FROM vals GROUP BY 1, 2",
-    "spellings": r"""WITH w AS (SELECT doc_id AS document_id, unnest(regexp_split_to_array(text, '[ \n]+')[1:40]) AS v, generate_subscripts(regexp_split_to_array(text, '[ \n]+')[1:40], 1) AS i FROM documents),
-f AS (SELECT document_id, lower(v) AS l, min_by(v, i) AS v, min(i) AS i FROM w WHERE v <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY i) AS k FROM f)
-SELECT document_id, string_agg(v, ',' ORDER BY k) AS words FROM r WHERE k <= 12 GROUP BY 1""",
-    "history": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS n, role, left(text, 80) AS shown FROM conversations WHERE role <> 'system'",
-    "spellings_whole": r"""WITH w AS (SELECT doc_id AS document_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS v, generate_subscripts(regexp_split_to_array(text, '[ \n]+'), 1) AS i FROM documents),
+    "spellings": r"""WITH w AS (SELECT doc_id AS document_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS v, generate_subscripts(regexp_split_to_array(text, '[ \n]+'), 1) AS i FROM documents),
 f AS (SELECT document_id, lower(v) AS l, min_by(v, i) AS v, min(i) AS i FROM w WHERE v <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY i) AS k FROM f)
 SELECT document_id, string_agg(v, ',' ORDER BY k) AS words FROM r WHERE k <= 12 GROUP BY 1""",
-    "history_whole": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS n, role, text AS shown FROM conversations WHERE role <> 'system'",
+    "history": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS n, role, text AS shown FROM conversations WHERE role <> 'system'",
     "session_join": f"SELECT event_id, user_id, c_name AS username FROM events JOIN customer ON user_id = c_custkey WHERE ts + INTERVAL 12 HOUR > TIMESTAMP '{AS_OF}'",
     "content_hash": "SELECT doc_id AS document_id, sha256(text) AS file_hash, strlen(text)::INT AS size_bytes FROM documents",
     "exact_dedup": f"{_D}, h AS (SELECT workspace_id, document_id, status, sha256(content) AS file_hash FROM docs), f AS (SELECT workspace_id, file_hash, min(document_id) AS first_id FROM h WHERE status = 'ready' GROUP BY 1, 2) SELECT document_id, file_hash, coalesce(first_id, -1) AS first_id, coalesce(first_id < document_id, false) AS duplicate FROM h LEFT JOIN f USING (workspace_id, file_hash)",
@@ -249,8 +226,7 @@ b AS (SELECT workspace_id, coalesce(names, []) AS names, coalesce(topics, []) AS
 SELECT workspace_id, 'Hi. ' || CASE WHEN len(names) = 0 THEN CASE WHEN processing > 0 THEN processing || ' document(s) are in work.' ELSE 'There are no documents yet.' END
 ELSE 'This workspace has ' || len(names) || CASE WHEN len(names) = 1 THEN ' document: ' ELSE ' documents: ' END || {_LIST("names", 5)} || '.' || CASE WHEN len(topics) > 0 THEN ' Topics: ' || {_LIST("topics", 6)} || '.' ELSE '' END || CASE WHEN processing > 0 THEN ' In work: ' || processing || '.' ELSE '' END END AS reply FROM b""",
     "upload_guards": "SELECT doc_id AS document_id, CASE WHEN strlen(text) > 2000 THEN 'too large' WHEN strlen(text) = 0 THEN 'empty' WHEN doc_id % 4 = 0 THEN 'unsupported type' ELSE 'taken' END AS verdict, length(trim(text)) BETWEEN 1 AND 4000 AS could_be_question FROM documents",
-    "tag_filter": f"{_D} SELECT document_id FROM docs WHERE status = 'ready' AND list_has_all(regexp_split_to_array(lower(content), '[^a-z]+')[1:30], ['the', 'and'])",
-    "tag_filter_whole": f"{_D} SELECT document_id FROM docs WHERE status = 'ready' AND list_has_all(regexp_split_to_array(lower(content), '[^a-z]+'), ['the', 'and'])",
+    "tag_filter": f"{_D} SELECT document_id FROM docs WHERE status = 'ready' AND list_has_all(regexp_split_to_array(lower(content), '[^a-z]+'), ['the', 'and'])",
     "embed_pending": f"{_D} SELECT document_id, 64 AS width, 1.0::DOUBLE AS length FROM docs WHERE document_id NOT IN (SELECT vec_id FROM embeddings)",
     "job_states": f"{_J} SELECT job_id, status, attempts FROM states",
     "stalled_jobs": f"{_J} SELECT job_id, attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS next_status FROM states WHERE status = 'running' AND heartbeat_at < TIMESTAMP '{AS_OF}' - INTERVAL 3600 SECOND",

@@ -55,13 +55,7 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contextual_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = model.documents(spark, sf_dir)
-    head = E.context_header(F.col("filename"), F.array("workspace_id", F.lit("")), F.when(F.col("document_id") % 3 > 0, F.substring("content", 1, 40)))
-    return docs.select("document_id", head.alias("header"))
-
-
-def contextual_header_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the description's 200 characters."""
+    """Document, path and the 200 characters that a description may have."""
     docs = model.documents(spark, sf_dir)
     head = E.context_header(F.col("filename"), F.array("workspace_id", F.lit("")), F.when(F.col("document_id") % 3 > 0, F.substring("content", 1, 200)))
     return docs.select("document_id", head.alias("header"))
@@ -150,7 +144,7 @@ def section_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.section_digest(rows, budget=300, sections=3).select("doc_id", "section_no", "digest", "omitted")
 
 
-QUERIES = {f.__name__: f for f in (token_estimate, sentence_split, pack_groups, word_fallback, tail_overlap, chunks_prose, chunks_html, chunk_counts, contextual_header, contextual_header_whole, embedding_text, mime_detect, row_serialise, html_headings, html_blocks, markdown_blocks, heading_tree, procedure_groups, procedure_chunks, table_chunks, slide_chunks, section_digest)}
+QUERIES = {f.__name__: f for f in (token_estimate, sentence_split, pack_groups, word_fallback, tail_overlap, chunks_prose, chunks_html, chunk_counts, contextual_header, embedding_text, mime_detect, row_serialise, html_headings, html_blocks, markdown_blocks, heading_tree, procedure_groups, procedure_chunks, table_chunks, slide_chunks, section_digest)}
 
 
 def _tokens(c: str) -> str:
@@ -181,8 +175,7 @@ w AS (SELECT document_id, sentence_no, list_transform(list_filter(regexp_split_t
 SELECT document_id, sentence_no::INT AS sentence_no, len(sizes)::INT AS n_words, len({_FOLD.format(costs="list_transform(sizes, lambda z: z + 1)", limit=60)})::INT AS n_parts FROM w""",
     "tail_overlap": f"{_S}, k AS (SELECT document_id, units, {_TAIL}.n AS n FROM t) SELECT document_id, n::INT AS n_kept, {_tokens('o')} AS tokens FROM (SELECT *, coalesce(array_to_string(units[len(units) - n + 1:], ' '), '') AS o FROM k)",
     "chunk_counts": f"{_GROUPS}, c AS (SELECT document_id, count(*) AS n, max(list_sum(g)) AS m FROM p GROUP BY 1) SELECT document_id, filename, coalesce(n, 0)::BIGINT AS n_chunks, coalesce(m, 0)::INT AS largest FROM docs LEFT JOIN c USING (document_id)",
-    "contextual_header_whole": f"WITH {model.DOCUMENTS_SQL} SELECT document_id, filename || ' > ' || workspace_id || CASE WHEN document_id % 3 > 0 AND trim(left(content, 200)) <> '' THEN ' - ' || trim(left(content, 200)) ELSE '' END AS header FROM docs",
-    "contextual_header": f"WITH {model.DOCUMENTS_SQL} SELECT document_id, filename || ' > ' || workspace_id || CASE WHEN document_id % 3 > 0 AND trim(left(content, 40)) <> '' THEN ' - ' || trim(left(content, 40)) ELSE '' END AS header FROM docs",
+    "contextual_header": f"WITH {model.DOCUMENTS_SQL} SELECT document_id, filename || ' > ' || workspace_id || CASE WHEN document_id % 3 > 0 AND trim(left(content, 200)) <> '' THEN ' - ' || trim(left(content, 200)) ELSE '' END AS header FROM docs",
     "embedding_text": f"WITH {model.DOCUMENTS_SQL} SELECT document_id, sha256(CASE WHEN document_id % 2 = 0 THEN filename || ' > ' || workspace_id || chr(10) || chr(10) || content ELSE content END) AS text_hash FROM docs",
     "mime_detect": r"""SELECT 'page' AS origin, page_id AS id, CASE WHEN regexp_matches(lower(html), '^\s*(<!doctype html|<html|<\?xml-stylesheet)') THEN 'text/html' ELSE 'text/plain' END AS mime FROM pages
 UNION ALL SELECT 'document', doc_id, CASE WHEN doc_id % 11 = 0 THEN 'application/pdf' WHEN doc_id % 7 = 0 THEN 'text/markdown' WHEN doc_id % 5 = 0 THEN 'text/markdown' WHEN doc_id % 5 = 1 THEN 'text/csv' ELSE 'text/plain' END FROM documents""",

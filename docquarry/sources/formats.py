@@ -31,16 +31,35 @@ def extension_type(filename: Column) -> Column:
     return F.coalesce(*[F.when(ext == e, F.lit(t)) for e, t in EXTENSIONS.items()])
 
 
+def zip_folders(content: Column) -> Column:
+    """First-level folder names in the directory of a ZIP column, none where there is no readable one.
+
+    The end record (PK 05 06, at least 22 bytes before the end) names the directory's size and place; each of its
+    entries (PK 01 02) has 46 bytes before its name. Expressions over its bytes as hexadecimal digits; only ZIPs are read.
+    """
+    number = lambda digits, at, n: F.conv(F.concat(*[F.substring(digits, at + 2 * k, 2) for k in reversed(range(n))]), 16, 10).cast("long")
+    # the end record may be followed by a comment of 65,535 bytes
+    end = F.hex(F.substring(content, F.greatest(F.lit(1), F.octet_length(content) - 65_556), 65_557))
+    record = F.regexp_extract(end, "^(?:..)*(504B0506.{36})", 1)
+    directory = F.hex(F.substring(content, (number(record, F.lit(33), 4) + 1).cast("int"), number(record, F.lit(25), 4).cast("int")))
+    entries = F.split(directory, "504B0102")
+    name = lambda e: F.decode(F.unhex(F.substring(e, F.lit(85), (number(e, F.lit(49), 2) * 2).cast("int"))), "ISO-8859-1")
+    folder = lambda e: F.regexp_extract(name(e), "^([^/]+)/", 1)
+    found = F.array_distinct(F.transform(F.filter(entries, lambda e: F.length(e) > 84), folder))
+    return F.when(F.hex(F.substring(content, 1, 4)).startswith("504B0304") & (record != ""), found).otherwise(F.array().cast("array<string>"))
+
+
 def detect_mime(content: Column, filename: Column, declared: Column) -> Column:
     """The type of a binary column by its first bytes, with the declared type or extension as a hint; null is a reject.
 
-    Only a ZIP's first 64 KB are looked through for its folder names.
+    A ZIP's folder names are read from its directory, which stands at its end.
     """
     hint = F.coalesce(declared_type(declared), extension_type(filename))
     head = F.hex(F.substring(content, 1, 8192))
     opening = F.lower(F.regexp_replace(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), r"^\s+", ""))
-    names = F.decode(F.substring(content, 1, 65_536), "ISO-8859-1")
-    zipped = F.when(names.contains("word/"), DOCX).when(names.contains("ppt/"), PPTX).when(names.contains("xl/"), XLSX).otherwise(hint)
+    folders = zip_folders(content)
+    holds = lambda name: F.array_contains(folders, name)
+    zipped = F.when(holds("word"), DOCX).when(holds("ppt"), PPTX).when(holds("xl"), XLSX).otherwise(hint)
     return (
         F.when(head.startswith("25504446"), PDF)
         .when(head.startswith("504B0304"), zipped)

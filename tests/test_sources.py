@@ -32,6 +32,21 @@ def test_mime(spark):
     assert got == [want for *_, want in CASES]
 
 
+def test_zip_directories_are_read_at_their_end(spark):
+    """A large first entry, names inside stored content and a comment don't mislead."""
+    rows = []
+    for i, (first, name, want) in enumerate([("docs/big.bin", "word/document.xml", S.DOCX), ("note.txt", "xl/workbook.xml", S.XLSX), ("word.txt", "readme", None)]):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_STORED) as z:
+            z.writestr(first, b"ppt/ word/ xl/ " * 20_000)
+            z.writestr(name, "x")
+            z.comment = b"made by hand"
+        rows.append((i, bytearray(data.getvalue()), want))
+    rows.append((9, bytearray(b"PK\x03\x04 cut off word/"), None))
+    df = spark.createDataFrame(rows, "i int, content binary, want string")
+    assert all(r.want == r.got for r in df.select("want", S.detect_mime(F.col("content"), F.lit("a.zip"), F.lit(None).cast("string")).alias("got")).collect())
+
+
 def test_files_of_a_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.md").write_text("# x")
