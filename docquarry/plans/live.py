@@ -23,7 +23,7 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = I.source(prepare(spark), f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.col("text").alias("content"))
     folder = I.fresh_folder(spark, "chunks")
     I.chunk_stream(docs, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("document_id", "ordinal", "content", "token_count")
+    return I.latest_chunks(spark, f"{folder}/out").select("document_id", "ordinal", "content", "token_count")
 
 
 QUERIES = {f.__name__: f for f in (stream_job_states, stream_chunks)}

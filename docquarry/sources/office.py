@@ -1,25 +1,31 @@
-"""Blocks of DOCX and PPTX files, and rows of delimited files."""
+"""Blocks of files by their type: a registry of parsers, the office and tabular formats, and delimited files as tables."""
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators.chunking import BLOCKS, FIELDS, KINDS
+from docquarry.operators.chunking import BLOCKS, FIELDS, KINDS, gather
 from docquarry.sources import formats as S
 
 # fixed values: name spaces of the formats, delimiters that are tried, most characters of a cell
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DELIMITERS = (",", ";", "\t", "|")
 CELL_CHARS = 2000
+SAMPLE_CHARS = 8192
 
 
 def decode_text(content: Column) -> Column:
@@ -91,9 +97,131 @@ def _pptx(data: zipfile.ZipFile) -> Iterator[dict]:
             yield _block("slide_notes", f"Speaker notes: {text}", section, slide=n)
 
 
-def office_blocks(files: DataFrame, id_col: str = "path") -> DataFrame:
+def _row_line(columns: list[str], cells: list[str]) -> str:
+    """``serialise_row`` inside tasks."""
+    named = [(c.strip(), v.strip()) for c, v in zip(columns, cells, strict=False)]
+    return " | ".join(f"{c}: {v if len(v) <= CELL_CHARS else v[:CELL_CHARS] + '...'}" for c, v in named if c and v and v.lower() not in ("nan", "none"))
+
+
+def _sheet(name: str | None, rows: Iterable[list[str]]) -> Iterator[dict]:
+    """A heading for a named sheet, then each row with a cell as an atomic block; the first row names the columns."""
+    rows = iter(rows)
+    columns = next(rows, None)
+    if columns is None:
+        return
+    if name:
+        yield _block("heading", name, name)
+    for cells in rows:
+        if line := _row_line(columns, cells):
+            yield _block("table", line, name) | {"atomic": True}
+
+
+def _column(reference: str) -> int:
+    """Number from 0 of a cell's column letters."""
+    n = 0
+    for c in re.match("[A-Z]*", reference)[0]:
+        n = n * 26 + ord(c) - 64
+    return n - 1
+
+
+def _cells(row: ElementTree.Element, shared: list[str]) -> list[str]:
+    """Values of a row as text: shared, inline and formula strings, truth values, numbers as they are stored."""
+    out: list[str] = []
+    for c in row.findall(f"{X}c"):
+        at = _column(c.get("r", "")) if c.get("r") else len(out)
+        out += [""] * (at - len(out) + 1)
+        kind, v = c.get("t"), c.findtext(f"{X}v") or ""
+        out[at] = shared[int(v)] if kind == "s" and v else _joined(c, f"{X}t") if kind == "inlineStr" else {"1": "True", "0": "False"}.get(v, v) if kind == "b" else v
+    return out
+
+
+def _xlsx(data: zipfile.ZipFile) -> Iterator[dict]:
+    """Sheets in the workbook's order; a sheet's rows are read one after another. Dates stay numbers."""
+    shared: list[str] = []
+    if "xl/sharedStrings.xml" in data.namelist():
+        shared = ["".join(t.text or "" for t in si.iter(f"{X}t")) for si in ElementTree.fromstring(data.read("xl/sharedStrings.xml")).findall(f"{X}si")]
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(data.read("xl/_rels/workbook.xml.rels"))}
+    for sheet in ElementTree.fromstring(data.read("xl/workbook.xml")).iter(f"{X}sheet"):
+        path = links[sheet.get(f"{R}id")].lstrip("/")
+        with data.open(path if path.startswith("xl/") else f"xl/{path}") as file:
+
+            def rows(file=file) -> Iterator[list[str]]:
+                for _, node in ElementTree.iterparse(file):
+                    if node.tag == f"{X}row":
+                        yield _cells(node, shared)
+                        node.clear()
+
+            yield from _sheet(sheet.get("name"), rows())
+
+
+def _zipped(read: Callable[[zipfile.ZipFile], Iterator[dict]]) -> Callable[[bytes], list[dict]]:
+    def parse(content: bytes) -> list[dict]:
+        with zipfile.ZipFile(io.BytesIO(content)) as data:
+            return list(read(data))
+
+    return parse
+
+
+def _text(content: bytes) -> str:
+    """``decode_text`` inside tasks."""
+    try:
+        return content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return content.decode("latin-1")
+
+
+def _csv(content: bytes) -> list[dict]:
+    text = _text(content)
+    return list(_sheet(None, csv.reader(io.StringIO(text, newline=""), delimiter=sniff_delimiter(text[:SAMPLE_CHARS]))))
+
+
+def _plain(content: bytes) -> list[dict]:
+    return [_block("text", p.strip(), None) for p in re.split(r"\n\s*\n", _text(content)) if p.strip()]
+
+
+def _html(content: bytes) -> list[dict]:
+    parser = S._Blocks()
+    parser.feed(_text(content))
+    parser.close()
+    parser.flush()
+    return [_block(kind, text, section or None) for kind, _, text, section in parser.out]
+
+
+class Registry:
+    """Which parser reads a type: exactly one each."""
+
+    def __init__(self):
+        self._parsers: dict[str, Callable[[bytes], list[dict]]] = {}
+
+    def register(self, types: Iterable[str], parser: Callable[[bytes], list[dict]]) -> None:
+        """Claims types for a parser (bytes to blocks); a claim of nothing, or of a type that has one, is an error."""
+        claimed = list(types)
+        if not claimed:
+            raise ValueError("a parser must claim a type")
+        if taken := [t for t in claimed if t in self._parsers]:
+            raise ValueError(f"already claimed: {', '.join(taken)}")
+        self._parsers |= dict.fromkeys(claimed, parser)
+
+    def supports(self, mime: str) -> bool:
+        return mime in self._parsers
+
+    def get(self, mime: str) -> Callable[[bytes], list[dict]]:
+        if mime not in self._parsers:
+            raise LookupError(f"no parser for {mime}; there are {', '.join(sorted(self._parsers))}")
+        return self._parsers[mime]
+
+
+def default_registry() -> Registry:
+    """Parsers of all types that are read in a task; markdown is read by ``parse_files`` as a table of lines."""
+    made = Registry()
+    for types, parser in (((S.DOCX,), _zipped(_docx)), ((S.PPTX,), _zipped(_pptx)), ((S.XLSX,), _zipped(_xlsx)), ((S.CSV,), _csv), ((S.TXT,), _plain), ((S.HTML,), _html)):
+        made.register(types, parser)
+    return made
+
+
+def office_blocks(files: DataFrame, id_col: str = "path", registry: Registry | None = None) -> DataFrame:
     """(id, blocks, error) of rows (id, content, mime_type); a broken file has no blocks and says why, and stops no other."""
-    kinds = {S.DOCX: _docx, S.PPTX: _pptx}
+    parsers = registry or default_registry()
     block = pa.struct([(f, {"boolean": pa.bool_(), "int": pa.int32(), "string": pa.string()}[k]) for f, k in KINDS.items()])
 
     def run(batches):
@@ -101,14 +229,13 @@ def office_blocks(files: DataFrame, id_col: str = "path") -> DataFrame:
             blocks, errors = [], []
             for content, mime in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 made, error = [], None
-                try:
-                    if mime in kinds:
-                        with zipfile.ZipFile(io.BytesIO(content or b"")) as data:
-                            made = list(kinds[mime](data))
-                    else:
-                        error = "unsupported type"
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as broken:
-                    error = f"{type(broken).__name__}: {broken}"[:200]
+                if not parsers.supports(mime):
+                    error = "unsupported type"
+                else:
+                    try:
+                        made = parsers.get(mime)(content or b"")
+                    except (zipfile.BadZipFile, KeyError, IndexError, ValueError, csv.Error, ElementTree.ParseError) as broken:
+                        error = f"{type(broken).__name__}: {broken}"[:200]
                 blocks.append(made)
                 errors.append(error)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blocks, pa.list_(block)), pa.array(errors, pa.string())], names=[id_col, "blocks", "error"])
@@ -117,19 +244,44 @@ def office_blocks(files: DataFrame, id_col: str = "path") -> DataFrame:
     return files.select(id_col, "content", "mime_type").mapInArrow(run, f"{id_col} {kind}, blocks {BLOCKS}, error string")
 
 
+def parse_files(files: DataFrame, id_col: str = "path") -> DataFrame:
+    """(id, blocks, error) of files of any supported type, each read by the one parser of its type."""
+    md = files.where(F.col("mime_type") == S.MD).select(F.col(id_col).alias("doc_id"), decode_text(F.col("content")).alias("text"))
+    none = {"table_header": F.when(F.col("kind") == "table", S.table_header(F.col("text"))), "atomic": F.lit(False), "slide": F.lit(None).cast("int"), "page": F.lit(None).cast("int")}
+    blocks = gather(S.markdown_blocks(md).withColumns(none), "doc_id")
+    read = md.select("doc_id").join(blocks, "doc_id", "left").select(F.col("doc_id").alias(id_col), F.transform(F.coalesce("blocks", F.array()), lambda b: F.struct(*[b[f].cast(k).alias(f) for f, k in KINDS.items()])).alias("blocks"), F.lit(None).cast("string").alias("error"))
+    return office_blocks(files.where(F.coalesce(F.col("mime_type"), F.lit("")) != S.MD), id_col).unionByName(read)
+
+
+def sheet_counts(parsed: DataFrame, id_col: str = "path") -> DataFrame:
+    """(id, sheet, n): rows of each sheet of tabular files; a file without named sheets is sheet1."""
+    rows = parsed.select(id_col, F.explode("blocks").alias("b")).where("b.atomic AND b.kind = 'table'")
+    return rows.groupBy(id_col, F.coalesce("b.section", F.lit("sheet1")).alias("sheet")).agg(F.count("*").alias("n"))
+
+
 def sniff_delimiter(sample: str) -> str:
-    """The delimiter that cuts the sample's first lines into the same number of cells, most cells first; a comma if none does."""
-    lines = [x for x in sample.splitlines()[:20] if x.strip()]
-    even = {d: len(lines[0].split(d)) for d in DELIMITERS if lines and len({len(x.split(d)) for x in lines}) == 1}
-    best = max(even, key=even.get, default=",")
-    return best if even.get(best, 1) > 1 else ","
+    """The delimiter that cuts the sample's first rows, quotes heeded, into the same number of cells, most cells first; a comma if none does."""
+    best, wide = ",", 1
+    for delimiter in DELIMITERS:
+        rows = list(islice(csv.reader(io.StringIO(sample, newline=""), delimiter=delimiter), 20))
+        # the last row of a full sample may be cut off
+        rows = [r for r in (rows[:-1] if len(sample) >= SAMPLE_CHARS and len(rows) > 1 else rows) if any(c.strip() for c in r)]
+        widths = {len(r) for r in rows}
+        if len(widths) == 1 and (found := widths.pop()) > wide:
+            best, wide = delimiter, found
+    return best
+
 
+def read_delimited(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A delimited file with a header row; delimiter and encoding are told from its first 8,192 characters, which is all the driver reads.
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file with a header row; the delimiter is told from its first 8,192 characters, which is all the driver reads."""
+    Quoted cells may hold line ends, which needs each file in one task; files without such cells can be split by
+    ``multi_line=False``.
+    """
     head = spark.read.text(path, wholetext=False).limit(40).collect()
-    sample = "\n".join(r.value for r in head)[:8192].removeprefix("﻿")
-    return spark.read.csv(path, header=True, sep=sniff_delimiter(sample), multiLine=False, encoding="UTF-8")
+    sample = "\n".join(r.value for r in head)[:SAMPLE_CHARS].removeprefix("\ufeff")
+    encoding = "ISO-8859-1" if "\ufffd" in sample else "UTF-8"
+    return spark.read.csv(path, header=True, sep=sniff_delimiter(sample), multiLine=multi_line, encoding=encoding, escape='"')
 
 
 def row_blocks(rows: DataFrame, sheet: str | None = None) -> DataFrame:

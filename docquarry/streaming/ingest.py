@@ -7,10 +7,13 @@ each micro-batch under its own number, so that a batch run again replaces what i
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docquarry.operators import chunking as C
 from docquarry.operators import jobs as J
@@ -26,50 +29,67 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFra
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(glob)
 
 
+def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The document's last row of this batch, if its content isn't what was seen last; the state is one digest a document."""
+    rows = pd.concat(list(frames))
+    last = rows.sort_values(["seq", "digest"]).iloc[[-1]]
+    digest = str(last["digest"].iloc[0])
+    if not state.exists or state.get[0] != digest:
+        state.update((digest,))
+        yield last[["document_id", "content"]]
+
+
 def chunk_stream(docs: DataFrame, out: str, checkpoint: str, target: int = C.TARGET) -> StreamingQuery:
-    """Documents (document_id, content) to chunk files; documents that have chunks from an earlier run are left out.
+    """Documents (document_id, content[, seq]) to chunk files; a document that comes again is cut again only if its content changed.
 
-    A batch's chunks go to its own folder, so a crash between writing and committing leaves no doubles.
+    Spark's state store holds one digest a document, so a batch costs its own rows and not all that was written before. Of a
+    document's rows in one batch that of the largest seq counts. A batch's documents and chunks go to its own folder, so a crash
+    between writing and committing leaves no doubles; ``latest_chunks`` reads the newest of each document.
     """
+    seq = F.col("seq").cast("long") if "seq" in docs.columns else F.lit(0).cast("long")
+    keyed = docs.select(F.col("document_id").cast("long").alias("document_id"), F.coalesce(F.col("content"), F.lit("")).alias("content"), seq.alias("seq")).withColumn("digest", F.sha2("content", 256))
+    changed = keyed.groupBy("document_id").applyInPandasWithState(_changed, "document_id long, content string", "digest string", "append", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["document_id"])
-        if number and (done := _written(spark, out, number)) is not None:
-            fresh = fresh.join(done, "document_id", "left_anti")
-        chunks = C.assemble(C.paragraphs(fresh), target=target)
-        chunks.withColumnRenamed("doc_id", "document_id").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        held = batch.persist()
+        held.select("document_id").write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+        chunks = C.assemble(C.paragraphs(held), target=target)
+        chunks.withColumnRenamed("doc_id", "document_id").write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        held.unpersist()
 
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changed.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _written(spark: SparkSession, out: str, before: int) -> DataFrame | None:
-    """Ids that earlier batches wrote."""
-    try:
-        return spark.read.option("basePath", out).parquet(out).where(F.col("batch") < before).select("document_id").distinct()
-    except Exception as missing:  # nothing was written yet
-        if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
-            return None
-        raise
+def latest_chunks(spark: SparkSession, out: str) -> DataFrame:
+    """Chunks of each document's newest content."""
+    newest = spark.read.parquet(f"{out}/documents").groupBy("document_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/chunks").join(newest, ["document_id", "batch"]).drop("batch")
 
 
-def state_stream(log: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def state_stream(log: DataFrame, out: str, checkpoint: str, compact_every: int = 20) -> StreamingQuery:
     """Event log (job_id, ts, event, event_id) to the jobs' latest states, one row a job in Spark's state store.
 
-    Each batch writes the states that it changed; the newest row of a job holds.
+    Each batch writes the states that it changed; every ``compact_every`` batches all latest states are written as one
+    snapshot, so that readers need the newest snapshot and what came after it.
     """
     states = J.job_states(log)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/kind=change/batch={number}")
+        if number and number % compact_every == 0:
+            latest_states(batch.sparkSession, out, number).write.mode("overwrite").parquet(f"{out}/kind=snapshot/batch={number}")
 
     return states.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_states(spark: SparkSession, out: str) -> DataFrame:
+def latest_states(spark: SparkSession, out: str, upto: int | None = None) -> DataFrame:
+    """The newest state of each job; only the last snapshot and later changes are read."""
     rows = spark.read.parquet(out)
-    names = [c for c in rows.columns if c not in ("job_id", "version", "batch")]
-    best = rows.groupBy("job_id").agg(F.max_by(F.struct(*names), "version").alias("s"))
+    rows = rows if upto is None else rows.where((F.col("batch") <= upto) & ~((F.col("kind") == "snapshot") & (F.col("batch") == upto)))
+    base = rows.where("kind = 'snapshot'").agg(F.max("batch")).first()[0]
+    rows = rows if base is None else rows.where(((F.col("kind") == "snapshot") & (F.col("batch") == base)) | ((F.col("kind") == "change") & (F.col("batch") > base)))
+    names = [c for c in rows.columns if c not in ("job_id", "kind", "batch")]
+    best = rows.groupBy("job_id").agg(F.max_by(F.struct(*names), "batch").alias("s"))
     return best.select("job_id", "s.*")
 
 

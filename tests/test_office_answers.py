@@ -47,6 +47,48 @@ def test_office_files(spark):
     assert chunks.where("doc_id = 'b'").count() == 2
 
 
+XML = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+BOOK = f'<workbook xmlns="{XML}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Prices" r:id="r2"/><sheet name="Empty" r:id="r1"/></sheets></workbook>'
+RELS = '<Relationships><Relationship Id="r1" Target="worksheets/sheet2.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet1.xml"/></Relationships>'
+SHEET = f'<worksheet xmlns="{XML}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>cost</t></is></c></row><row><c r="A2" t="str"><v>tea</v></c><c r="B2"><v>9</v></c><c r="C2"><v>1.5</v></c></row><row><c r="A3"><v></v></c></row><row><c r="A4" t="b"><v>1</v></c><c r="C4" t="s"><v>1</v></c></row></sheetData></worksheet>'
+
+
+def test_every_type_has_one_parser(spark):
+    xlsx = packed({"xl/workbook.xml": BOOK, "xl/_rels/workbook.xml.rels": RELS, "xl/worksheets/sheet1.xml": SHEET, "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{XML}"/>', "xl/sharedStrings.xml": f'<sst xmlns="{XML}"><si><r><t>na</t></r><r><t>me</t></r></si><si><t>none</t></si></sst>'})
+    rows = [
+        ("x", xlsx, S.XLSX), ("c", bytearray("k;v\n1;\"two\nlines\"\n;\n".encode()), S.CSV), ("l", bytearray("k,v\né,2".encode("latin-1")), S.CSV), ("t", bytearray(b"one\n\n two \n"), S.TXT), ("h", bytearray(b"<h1>T</h1><p>x"), S.HTML),
+        ("m", bytearray(b"# T\n\n| a |\n|---|\n| 1 |"), S.MD), ("e", bytearray(b""), S.MD), ("z", bytearray(b"%PDF"), S.PDF), ("n", None, None), ("b", packed({"xl/workbook.xml": BOOK}), S.XLSX),
+    ]
+    parsed = O.parse_files(spark.createDataFrame(rows, "path string, content binary, mime_type string"))
+    got = {r.path: r for r in parsed.collect()}
+    shown = {k: [(b.kind, b.text, b.section, b.atomic) for b in r.blocks] for k, r in got.items()}
+    assert shown["x"] == [("heading", "Prices", "Prices", False), ("table", "name: tea | cost: 1.5", "Prices", True), ("table", "name: True", "Prices", True)]
+    assert shown["c"] == [("table", "k: 1 | v: two\nlines", None, True)] and shown["l"] == [("table", "k: é | v: 2", None, True)]
+    assert shown["t"] == [("text", "one", None, False), ("text", "two", None, False)] and shown["h"] == [("heading", "T", "T", False), ("text", "x", "T", False)]
+    assert shown["m"] == [("heading", "T", "T", False), ("table", "| a |\n|---|\n| 1 |", "T", False)] and got["m"].blocks[1].table_header == "| a |\n|---|"
+    assert shown["e"] == shown["z"] == shown["n"] == [] and got["e"].error is None and got["z"].error == got["n"].error == "unsupported type" and got["b"].error.startswith("KeyError")
+    assert {(r.path, r.sheet): r.n for r in O.sheet_counts(parsed).collect()} == {("x", "Prices"): 2, ("c", "sheet1"): 1, ("l", "sheet1"): 1}
+    assert C.assemble(parsed.withColumnRenamed("path", "doc_id")).count() >= 6
+
+
+def test_a_type_is_claimed_once():
+    registry = O.default_registry()
+    assert registry.supports(S.XLSX) and not registry.supports(S.PDF)
+    for types in ([], [S.PDF, S.CSV]):
+        with pytest.raises(ValueError):
+            registry.register(types, lambda content: [])
+    registry.register([S.PDF], lambda content: [])
+    assert registry.get(S.PDF)(b"") == []
+    with pytest.raises(LookupError):
+        registry.get(S.DOC)
+
+
+def test_delimited_files_with_quoted_line_ends(spark, tmp_path):
+    (tmp_path / "q.csv").write_bytes("name,note\nJosé,\"two\nlines, \"\"quoted\"\"\"\n".encode("latin-1"))
+    rows = O.read_delimited(spark, str(tmp_path / "q.csv")).collect()
+    assert [tuple(r) for r in rows] == [("José", 'two\nlines, "quoted"')]
+
+
 @pytest.mark.parametrize(("text", "sep"), [("a,b\n1,2", ","), ("a;b\n1,5;2", ";"), ("a\tb\n1\t2", "\t"), ("a|b|c\n1|2|3", "|"), ("one\ntwo", ","), ("", ",")])
 def test_delimiters(spark, tmp_path, text, sep):
     assert O.sniff_delimiter(text) == sep

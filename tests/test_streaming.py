@@ -12,14 +12,20 @@ def test_ingest_resumes_and_never_doubles(spark, tmp_path):
     docs = spark.range(60).select(F.col("id").alias("document_id"), F.concat(F.lit("Text number "), F.col("id").cast("string"), F.lit(". It goes on.")).alias("content"))
     docs.where("document_id < 30").coalesce(1).write.parquet(src)
     I.chunk_stream(I.source(spark, src, 1), out, mark).awaitTermination()
-    assert spark.read.parquet(out).select("document_id").distinct().count() == 30
+    assert I.latest_chunks(spark, out).select("document_id").distinct().count() == 30
     docs.where("document_id >= 20").repartition(3).write.mode("append").parquet(src)
     I.chunk_stream(I.source(spark, src, 1), out, mark).awaitTermination()
-    got = spark.read.parquet(out).select("document_id", "ordinal", "content").collect()
-    want = C.assemble(C.paragraphs(docs)).select("doc_id", "ordinal", "content").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    shown = lambda: sorted(map(tuple, I.latest_chunks(spark, out).select("document_id", "ordinal", "content").collect()))
+    want = sorted(map(tuple, C.assemble(C.paragraphs(docs)).select("doc_id", "ordinal", "content").collect()))
+    assert shown() == want and spark.read.parquet(f"{out}/documents").count() == 60
     I.chunk_stream(I.source(spark, src, 1), out, mark).awaitTermination()
-    assert spark.read.parquet(out).count() == len(want)
+    assert shown() == want
+    # new content replaces the old chunks, old content comes back, and an empty text has none
+    for content in ("New words.", "", "Text number 5. It goes on."):
+        docs.where("document_id = 5").withColumn("content", F.lit(content)).coalesce(1).write.mode("append").parquet(src)
+        I.chunk_stream(I.source(spark, src, 1), out, mark).awaitTermination()
+        assert [c for d, _, c in shown() if d == 5] == [content] * bool(content)
+    assert shown() == want and spark.read.parquet(f"{out}/documents").count() == 63
 
 
 def test_states_follow_the_log(spark, tmp_path):
@@ -27,7 +33,8 @@ def test_states_follow_the_log(spark, tmp_path):
     log = spark.range(300).select((F.col("id") % 7).alias("job_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("id"))).alias("ts"), F.element_at(F.array(*[F.lit(x) for x in ("signup", "view", "error", "click", "purchase")]), (F.col("id") * 3 % 5 + 1).cast("int")).alias("event"), F.col("id").alias("event_id"))
     for lo, hi in ((0, 100), (100, 300)):
         log.where(f"event_id >= {lo} AND event_id < {hi}").coalesce(1).write.mode("append").parquet(src)
-        I.state_stream(I.source(spark, src, 1), out, mark).awaitTermination()
+        I.state_stream(I.source(spark, src, 1), out, mark, compact_every=1).awaitTermination()
+    assert spark.read.parquet(out).where("kind = 'snapshot'").count() == 7
     got = I.latest_states(spark, out).select("job_id", "status", "attempts").collect()
     want = J.job_states(log).select("job_id", "status", "attempts").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
