@@ -196,3 +196,33 @@ SELECT doc_id, section_no, digest, greatest(total - 3, 0)::BIGINT AS omitted FRO
 ORACLE_SQL["heading_tree"] = """WITH h AS (SELECT conv_id, -1 AS turn, 'chat ' || conv_id AS line FROM conversations GROUP BY 1, 2, 3
 UNION ALL SELECT conv_id, turn, '  ' || role || ' ' || turn FROM conversations)
 SELECT conv_id AS doc_id, string_agg(line, chr(10) ORDER BY turn) AS tree FROM h GROUP BY 1"""
+
+_MD = r"""WITH body AS (SELECT conv_id AS doc_id, turn, '## ' || role || ' ' || turn || chr(10) || chr(10) || CASE WHEN turn % 4 = 3 THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END AS t FROM conversations),
+md AS (SELECT doc_id, '# chat ' || doc_id || chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY turn) AS text FROM body GROUP BY 1),
+line AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS n FROM md),
+f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence, sum(regexp_matches(line, '^\s*(```|~~~)')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS fences FROM line),
+t AS (SELECT *, fences % 2 = 1 OR fence AS code, regexp_extract(line, '^(#{1,6})\s+(.+?)\s*#*\s*$', 2) AS title FROM f),
+l AS (SELECT *, CASE WHEN NOT code AND title <> '' THEN length(regexp_extract(line, '^(#{1,6})\s', 1)) END AS level FROM t),
+k AS (SELECT *, CASE WHEN code THEN 'code' WHEN level IS NOT NULL THEN 'heading' WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^\s*\|.*\|\s*$') THEN 'table' ELSE 'text' END AS kind FROM l),
+o AS (SELECT *, lag(kind) OVER w AS before FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+b AS (SELECT *, sum((code AND fence AND fences % 2 = 1 OR before IS NULL OR kind <> before OR kind = 'heading')::INT) OVER w AS block, MARKS FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, concat_ws(' > ', LIVE) AS section FROM b),
+g AS (SELECT doc_id, block, kind, string_agg(line, chr(10) ORDER BY n) AS lines, any_value(level) AS level, first(title ORDER BY n) AS title, first(section ORDER BY n) AS section FROM s WHERE kind <> 'blank' GROUP BY 1, 2, 3)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1)::INT AS block_no, kind, level::INT AS level, CASE WHEN kind = 'heading' THEN title ELSE lines END AS text, section FROM g"""
+_MARKS = ", ".join(f"last_value(CASE WHEN level = {k} THEN n END IGNORE NULLS) OVER w AS n{k}, last_value(CASE WHEN level = {k} THEN title END IGNORE NULLS) OVER w AS t{k}" for k in range(1, 7))
+_LIVE = ", ".join(f"CASE WHEN n{k} > greatest({', '.join(['-1', *(f'coalesce(n{j}, -1)' for j in range(1, k))])}) THEN t{k} END" for k in range(1, 7))
+_HEADER = "'| p_partkey | p_name | p_type | p_size |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)"
+_PACK_ROWS = (
+    "list_reduce(list_transform(rows, lambda r: {'groups': [r.line], 'total': r.cost}), lambda a, x: CASE WHEN a.total + x.total > room THEN {'groups': list_concat(a.groups, x.groups), 'total': x.total} "
+    "ELSE {'groups': list_concat(a.groups[:-2], [a.groups[-1] || chr(10) || x.groups[1]]), 'total': a.total + x.total} END).groups"
+)
+ORACLE_SQL |= {
+    "markdown_blocks": _MD.replace("MARKS", _MARKS).replace("LIVE", _LIVE),
+    "html_headings": """SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')) <> ''))::BIGINT AS headings,
+len(regexp_extract_all(html, '(?i)</(?:ul|ol)>'))::BIGINT AS lists FROM pages""",
+    "table_chunks": f"""WITH r AS (SELECT p_brand, p_partkey, '| ' || p_partkey || ' | ' || p_name || ' | ' || p_type || ' | ' || p_size || ' |' AS line FROM part),
+b AS (SELECT p_brand, list({{'line': line, 'cost': {_tokens("line")} + 1}} ORDER BY p_partkey) AS rows, {_HEADER} || string_agg(line, chr(10) ORDER BY p_partkey) AS whole, greatest(1, 200 - {_tokens("(" + _HEADER + ")")}) AS room FROM r GROUP BY 1),
+p AS (SELECT p_brand, CASE WHEN {_tokens("whole")} <= 200 THEN [whole] ELSE list_transform({_PACK_ROWS}, lambda x: {_HEADER} || x) END AS parts FROM b),
+c AS (SELECT p_brand, unnest(parts) AS content, generate_subscripts(parts, 1) - 1 AS ordinal FROM p)
+SELECT p_brand AS doc_id, ordinal::INT AS ordinal, p_brand AS section, content, {_tokens("content")} AS token_count FROM c""",
+}
