@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: limits of requests and uploads
 MAX_QUESTION, MAX_TOP_K, MIN_PASSWORD, MIN_USERNAME = 4000, 50, 8, 2
 SECTION_BATCH, EMBED_BATCH = 25, 32
+regex_terms = regex.compile(r"[\p{L}\p{N}]+").findall
 
 
 def listing(items: Column, most: int) -> Column:
@@ -57,12 +60,15 @@ def has_tags(tags: Column, wanted: dict[str, str | Sequence[str]]) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def offline_embedder(dim: int) -> Callable[[list[str]], np.ndarray]:
-    """Unit vectors drawn by a hash of each text: the same text, the same vector. A stand-in without meaning."""
+def hashing_embedder(dim: int) -> Callable[[list[str]], np.ndarray]:
+    """Unit vectors of hashed term counts: texts with the same words are near each other. A text without a term is a zero vector."""
 
     def embed(texts: list[str]) -> np.ndarray:
-        rows = np.stack([np.random.default_rng(int.from_bytes(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:8], "big")).standard_normal(dim) for t in texts])
-        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        rows = np.zeros((len(texts), dim))
+        for row, text in zip(rows, texts, strict=True):
+            for term, n in Counter(regex_terms(text.lower())).items():
+                row[int(hashlib.md5(term.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dim] += n
+        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
     return embed
 

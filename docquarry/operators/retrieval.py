@@ -58,6 +58,52 @@ def vector_pool(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
     return near.withColumn("vec_rank", F.row_number().over(Window.orderBy("distance", id_col)))
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "document_id", block: int = 1024) -> DataFrame:
+    """(query_id, id, distance, rank): the k nearest vectors of every query (query_id, embedding), exactly, equal distances by id.
+
+    Queries go out in broadcast blocks of bounded size, each a pass over the vectors: a matrix product an Arrow batch, of which a
+    task keeps its k best a query. Vectors that are null, zero or of another width take no part.
+    """
+    out, held = [], []
+
+    def search(rows: list) -> DataFrame:
+        ids = np.array([r[0] for r in rows], np.int64)
+        q = np.array([r[1] for r in rows], np.float64)
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+
+        def run(batches):
+            ids, q = sent.value
+            best_d, best_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+            for batch in batches:
+                rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i is not None and v is not None and len(v) == q.shape[1] and any(v)]
+                if not rows:
+                    continue
+                m = np.array([v for _, v in rows], np.float64)
+                d = np.hstack([best_d, 1.0 - q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T])
+                i = np.hstack([best_i, np.broadcast_to(np.array([i for i, _ in rows], np.int64), (len(ids), len(rows)))])
+                order = np.lexsort((i, d), axis=1)[:, :k]
+                best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            n = best_d.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(best_d.ravel())], names=["query_id", id_col, "distance"])
+
+        return vectors.select(F.col(id_col).cast("long"), "embedding").mapInArrow(run, f"query_id long, {id_col} long, distance double")
+
+    width = None
+    for row in queries.where("query_id IS NOT NULL AND embedding IS NOT NULL").select("query_id", "embedding").orderBy("query_id").toLocalIterator():
+        width = width or len(row.embedding)
+        if len(row.embedding) == width and any(row.embedding):
+            held.append(row)
+        if len(held) == block:
+            out.append(search(held))
+            held = []
+    if held:
+        out.append(search(held))
+    if not out:
+        return vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(id_col).cast("long"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).where("false")
+    every = reduce(DataFrame.unionByName, out)
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", id_col))).where(F.col("rank") <= k)
+
+
 def text_scores(docs: DataFrame, must: Sequence[str], must_not: Sequence[str] = (), phrases: Sequence[str] = (), header_col: str = "header", body_col: str = "content") -> DataFrame:
     """Rows that hold all terms and phrases and none of the excluded terms, with ``text_score``.
 

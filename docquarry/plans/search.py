@@ -28,6 +28,14 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.select("document_id", "vec_rank", F.round("distance", 6).alias("distance"))
 
 
+def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id divides by 50."""
+    vectors = model.vectors(spark, sf_dir)
+    queries = vectors.where(F.col("document_id") % 50 == 0).select(F.col("document_id").alias("query_id"), "embedding")
+    found = R.nearest(queries, vectors, 10)
+    return found.select("query_id", "document_id", "rank", F.abs(F.round("distance", 6)).alias("distance"))
+
+
 def text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = R.text_pool(_docs(spark, sf_dir), TERMS, R.pool_size(K))
     return pool.select("document_id", "text_rank", F.round("text_score", 6).alias("text_score"))
@@ -93,7 +101,7 @@ def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("event_id", R.lenient_object(raw, "k long")["k"].alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, text_topk, text_phrase_topk, hybrid_rrf, hybrid_filtered, text_only, citations, sources_list, message_kinds, answer_states, lenient_json)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_batch, text_topk, text_phrase_topk, hybrid_rrf, hybrid_filtered, text_only, citations, sources_list, message_kinds, answer_states, lenient_json)}
 
 _TERMS_SQL = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _BASE = f"""WITH {model.DOCUMENTS_SQL},
@@ -130,6 +138,9 @@ _KEY = lambda c: rf"trim(regexp_replace(regexp_replace(lower({c}), '[^\p{{L}}\p{
 
 ORACLE_SQL = {
     "vector_topk": f"{_BASE} SELECT vec_id AS document_id, row_number() OVER (ORDER BY {_DISTANCE}, vec_id)::INT AS vec_rank, round({_DISTANCE}, 6) AS distance FROM embeddings ORDER BY vec_rank LIMIT 20",
+    "vector_topk_batch": """WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS document_id, 1 - list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), document_id)::INT AS rank FROM d)
+SELECT query_id, document_id, rank, abs(round(distance, 6)) AS distance FROM r WHERE rank <= 10""",
     "text_topk": f"{_BASE} SELECT document_id, row_number() OVER (ORDER BY {_SCORE} DESC, document_id)::INT AS text_rank, round({_SCORE}, 6) AS text_score FROM tok WHERE {_MUST} ORDER BY text_rank LIMIT 32",
     "text_phrase_topk": f"""{_BASE} SELECT document_id, row_number() OVER (ORDER BY {_tf("of")} DESC, document_id)::INT AS text_rank, round({_tf("of")}, 6) AS text_score FROM tok
 WHERE (list_contains(h, 'of') OR list_contains(b, 'of')) AND NOT (list_contains(h, 'src3') OR list_contains(b, 'src3')) AND contains(' ' || array_to_string(b, ' ') || ' ', ' of the ') ORDER BY text_rank LIMIT 20""",

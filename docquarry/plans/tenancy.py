@@ -140,10 +140,10 @@ def tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of the offline stand-in for all documents without one, and their length."""
+    """Vectors of hashed term counts for all documents without one: their width, largest part and sum."""
     docs = model.documents(spark, sf_dir).join(model.vectors(spark, sf_dir).select("document_id"), "document_id", "left_anti")
-    made = A.embed_texts(docs, "document_id", "content", A.offline_embedder(64), 64)
-    return made.select("document_id", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
+    made = A.embed_texts(docs, "document_id", "content", A.hashing_embedder(64), 64)
+    return made.select("document_id", F.size("embedding").alias("width"), F.round(F.array_max("embedding").cast("double"), 4).alias("largest"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +227,10 @@ SELECT workspace_id, 'Hi. ' || CASE WHEN len(names) = 0 THEN CASE WHEN processin
 ELSE 'This workspace has ' || len(names) || CASE WHEN len(names) = 1 THEN ' document: ' ELSE ' documents: ' END || {_LIST("names", 5)} || '.' || CASE WHEN len(topics) > 0 THEN ' Topics: ' || {_LIST("topics", 6)} || '.' ELSE '' END || CASE WHEN processing > 0 THEN ' In work: ' || processing || '.' ELSE '' END END AS reply FROM b""",
     "upload_guards": "SELECT doc_id AS document_id, CASE WHEN strlen(text) > 2000 THEN 'too large' WHEN strlen(text) = 0 THEN 'empty' WHEN doc_id % 4 = 0 THEN 'unsupported type' ELSE 'taken' END AS verdict, length(trim(text)) BETWEEN 1 AND 4000 AS could_be_question FROM documents",
     "tag_filter": f"{_D} SELECT document_id FROM docs WHERE status = 'ready' AND list_has_all(regexp_split_to_array(lower(content), '[^a-z]+'), ['the', 'and'])",
-    "embed_pending": f"{_D} SELECT document_id, 64 AS width, 1.0::DOUBLE AS length FROM docs WHERE document_id NOT IN (SELECT vec_id FROM embeddings)",
+    "embed_pending": rf"""{_D}, t AS (SELECT document_id, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}]+')) AS term FROM docs WHERE document_id NOT IN (SELECT vec_id FROM embeddings)),
+c AS (SELECT document_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS slot, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2),
+v AS (SELECT document_id, max(n) / sqrt(sum(n * n)) AS largest, sum(n) / sqrt(sum(n * n)) AS total FROM c GROUP BY 1)
+SELECT document_id, 64 AS width, round(coalesce(largest, 0), 4) AS largest, round(coalesce(total, 0), 3) AS total FROM docs LEFT JOIN v USING (document_id) WHERE document_id NOT IN (SELECT vec_id FROM embeddings)""",
     "job_states": f"{_J} SELECT job_id, status, attempts FROM states",
     "stalled_jobs": f"{_J} SELECT job_id, attempts, CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END AS next_status FROM states WHERE status = 'running' AND heartbeat_at < TIMESTAMP '{AS_OF}' - INTERVAL 3600 SECOND",
     "claim_order": f"{_J} SELECT job_id, attempts + 1 AS attempts FROM states WHERE status = 'pending' ORDER BY created_at, job_id LIMIT 20",

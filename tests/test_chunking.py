@@ -150,3 +150,57 @@ def test_no_blocks(spark):
     assert C.assemble(C.paragraphs(spark.createDataFrame([(1, None), (2, "")], "document_id long, content string"))).collect() == []
     two = C.assemble(C.paragraphs(spark.createDataFrame([(1, "One.\r\n\r\nTwo.\n \nThree.")], "document_id long, content string"))).collect()
     assert [r.content for r in two] == ["One.\n\nTwo.\n\nThree."]
+
+
+def plain_chunks(text, target=500, overlap=75):
+    """Chunks of a text without blank lines, sentence by sentence."""
+    import re
+
+    def packed(units, limit):
+        """Units joined while they fit, a space counted with each."""
+        out, size = [], 0
+        for u in units:
+            cost = C.count(u) + 1
+            if out and size + cost <= limit:
+                out[-1] += f" {u}"
+                size += cost
+            else:
+                out.append(u)
+                size = cost
+        return out
+
+    split = lambda t: [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9])", t) if s.strip()]
+    text = text.strip()
+    if not text:
+        return []
+    parts = [text]
+    if C.count(text) > target:
+        parts = packed([u for s in split(text) for u in (packed(s.split(), target) if C.count(s) > target else [s])], target)
+    out, size = [parts[0]], C.count(parts[0])
+    for part in parts[1:]:
+        if size + C.count(part) <= target:
+            out[-1] += f"\n\n{part}"
+            size += C.count(part)
+            continue
+        kept, room = [], overlap
+        for s in reversed([s for p in out[-1].split("\n\n") for s in split(p)]):
+            if kept and C.count(s) > room or room <= 0:
+                break
+            kept.insert(0, s)
+            room -= C.count(s)
+        again = " ".join(kept)
+        out.append(f"{again}\n\n{part}" if again else part)
+        size = C.count(part) + C.count(again)
+    return out
+
+
+def test_given_documents_equal_plain_chunks(spark):
+    from docquarry.plans.catalogue import QUERIES
+    from docquarry.session import table
+
+    sf = "/root/testdata/sf0.01"
+    got = {}
+    for r in QUERIES["chunks_prose"](spark, sf).collect():
+        got.setdefault(r.doc_id, {})[r.ordinal] = r.content
+    want = {r.doc_id: dict(enumerate(c)) for r in table(spark, sf, "documents").collect() if (c := plain_chunks(r.text))}
+    assert got == want

@@ -119,12 +119,12 @@ def test_tags(spark):
 
 def test_client_batches(spark):
     rows = spark.range(70).repartition(1).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"))
-    made = A.embed_texts(rows, "id", "t", A.offline_embedder(16), 16).collect()
-    again = {r.id: r.embedding for r in A.embed_texts(rows.repartition(3), "id", "t", A.offline_embedder(16), 16, batch=5).collect()}
+    made = A.embed_texts(rows, "id", "t", A.hashing_embedder(16), 16).collect()
+    again = {r.id: r.embedding for r in A.embed_texts(rows.repartition(3), "id", "t", A.hashing_embedder(16), 16, batch=5).collect()}
     assert len(made) == 70 and all(again[r.id] == r.embedding for r in made)
     assert np.allclose([np.linalg.norm(r.embedding) for r in made], 1, atol=1e-5)
     with pytest.raises(Exception, match="width 8"):
-        A.embed_texts(rows, "id", "t", A.offline_embedder(16), 8).collect()
+        A.embed_texts(rows, "id", "t", A.hashing_embedder(16), 8).collect()
 
     def client(prompts):
         if "t30" in prompts:
