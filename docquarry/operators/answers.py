@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.operators.retrieval import message_kind
+
 # fixed values: limits of requests and uploads
 MAX_QUESTION, MAX_TOP_K, MIN_PASSWORD, MIN_USERNAME = 4000, 50, 8, 2
 SECTION_BATCH, EMBED_BATCH = 25, 32
@@ -106,3 +108,15 @@ def complete_texts(rows: DataFrame, id_col: str, prompt_col: str, client: Callab
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=[id_col, "reply"])
 
     return rows.select(id_col, prompt_col).mapInArrow(run, f"{id_col} {kind}, reply string")
+
+
+def route(messages: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Messages (workspace_id, ..., text) with ``route`` and ``reply``: small talk is answered from the workspace, a question is searched for.
+
+    workspaces: (workspace_id, names, topics, processing). A workspace that isn't there has nothing; a question's reply is null.
+    """
+    kind = message_kind(F.col("text"))
+    none = F.array().cast("array<string>")
+    joined = messages.join(workspaces, "workspace_id", "left").withColumns({"names": F.coalesce("names", none), "topics": F.coalesce("topics", none), "processing": F.coalesce("processing", F.lit(0))})
+    said = F.when(kind.isNotNull(), overview(kind, F.col("names"), F.col("topics"), F.col("processing")))
+    return joined.select(*messages.columns, F.coalesce(kind, F.lit("question")).alias("route"), said.alias("reply"))

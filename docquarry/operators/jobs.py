@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.operators.ranges import row_numbers
+
 # fixed values: attempts, heartbeat timeout, retryable replies
 MAX_ATTEMPTS = 3
 TIMEOUT_SECONDS = 3600
@@ -79,3 +81,14 @@ def server_delay(message: Column) -> Column:
 def backoff(attempt: Column, base: float = 1.0, most: float = 60.0) -> Column:
     """Centre of the local wait before an attempt's retry; callers spread it by chance."""
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
+
+
+def append_events(log: DataFrame, jobs: DataFrame, event: str, at: Column) -> DataFrame:
+    """The log (job_id, ts, event, event_id) with one more event of each job: signup queues it, view is the heartbeat of a running one.
+
+    New events are numbered after the log's, by job.
+    """
+    last = log.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("__last"))  # one row
+    numbered = row_numbers(jobs.select("job_id").distinct().withColumn("__all", F.lit(0)), ("__all",), ("job_id",), "__n")
+    fresh = numbered.join(F.broadcast(last)).select("job_id", at.alias("ts"), F.lit(event).alias("event"), (F.col("__last") + F.col("__n")).alias("event_id"))
+    return log.select("job_id", "ts", "event", "event_id").unionByName(fresh)

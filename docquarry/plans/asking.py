@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.operators import answers as A
+from docquarry.operators import catalog as C
+from docquarry.operators import enrich as E
 from docquarry.operators import intake as I
 from docquarry.operators import jobs as J
 from docquarry.operators import questions as Q
 from docquarry.operators import retrieval as R
-from docquarry.plans import model, search
+from docquarry.plans import model, search, tenancy
 from docquarry.session import prepare, table
 
 QUESTION = 'the attion tion or "anea eriner" -onwh'
@@ -102,7 +104,33 @@ def admin_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.join(users, "user_id").where(A.may_act(F.col("role"), F.lit("upload"))).select("event_id", "user_id")
 
 
-QUERIES = {f.__name__: f for f in (search_question, search_chunks, cited_sources, answers_assembled, intake_decisions, retry_plan, name_clashes, admin_sessions)}
+def section_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat turns as chunks, two a section, under headers with what is said of their section: the begin of its first chunk."""
+    chats = table(prepare(spark), sf_dir, "conversations")
+    section = F.floor(F.col("turn") / 2).cast("string")
+    chunks = chats.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.concat(F.lit("chat "), F.col("conv_id").cast("string")).alias("document"), section.alias("section"), F.array(section).alias("path"), F.col("text").alias("content"))
+    return E.contextualise(chunks, lambda texts: [t or "" for t in texts]).select("doc_id", "ordinal", "header")
+
+
+def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles from replies in fences, of which every fifth is broken."""
+    docs = model.documents(spark, sf_dir)
+    said = F.to_json(F.struct(F.col("status").alias("document_type"), F.filter(F.split("content", "[ \n]+"), lambda w: w != "").alias("topics")))
+    reply = F.when(F.col("document_id") % 5 == 0, F.concat(F.lit("Sorry {"), said)).otherwise(F.concat(F.lit("Here:\n```json\n"), said, F.lit("\n```")))
+    p = docs.select("document_id", E.profile(reply).alias("p"))
+    return p.select("document_id", "p.document_type", F.array_join("p.topics", ",").alias("topics"), F.size("p.entities").alias("n_entities"))
+
+
+def chat_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a message, some as small talk, with what a workspace says to it."""
+    docs = model.documents(spark, sf_dir)
+    states = C.corpus_state(docs).select("workspace_id", F.filter(F.split("ready_names", ","), lambda x: x != "").alias("names"), F.array().cast("array<string>").alias("topics"), "processing")
+    said = F.when(F.col("turn") % 5 == 0, "Hello there!").when(F.col("turn") % 5 == 1, "thanks a lot.").otherwise(F.col("text"))
+    turns = table(spark, sf_dir, "conversations").join(docs.select(F.col("document_id").alias("conv_id"), "workspace_id"), "conv_id").select("workspace_id", "conv_id", "turn", said.alias("text"))
+    return A.route(turns, states).select("conv_id", "turn", "route", F.coalesce("reply", F.lit("")).alias("reply"))
+
+
+QUERIES = {f.__name__: f for f in (search_question, search_chunks, cited_sources, answers_assembled, intake_decisions, retry_plan, name_clashes, admin_sessions, section_headers, document_profiles, chat_routes)}
 
 
 def _scores_sql(source: str, key: str, question: str) -> str:
@@ -174,5 +202,16 @@ w AS (SELECT *, CASE WHEN k % 4 = 0 THEN least(value, 65.0::DOUBLE) + {_JITTER.f
 SELECT event_id, k + 420 IN (408, 429, 500, 502, 503, 504) OR k % 5 = 0 OR k % 4 = 1 AS again, k + 420 = 429 OR k % 4 = 1 AS quota, round(wait, 4) AS wait, CASE WHEN wait <= 8 THEN round(wait, 4) ELSE -1.0::DOUBLE END AS interactive_wait FROM w""",
     "name_clashes": """WITH w AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'EN ' ELSE c_mktsegment || (c_custkey // 2) END AS slug FROM customer)
 SELECT id, slug FROM w WHERE lower(trim(slug)) IN (SELECT lang FROM documents) OR id > (SELECT min(id) FROM w x WHERE lower(trim(x.slug)) = lower(trim(w.slug)))""",
+    "section_headers": """WITH s AS (SELECT conv_id, turn // 2 AS section, trim(left(trim(min_by(text, turn)), 200)) AS d FROM conversations GROUP BY 1, 2)
+SELECT c.conv_id AS doc_id, turn AS ordinal, 'chat ' || c.conv_id || ' > ' || section || CASE WHEN d <> '' THEN ' - ' || d ELSE '' END AS header FROM conversations c JOIN s ON s.conv_id = c.conv_id AND s.section = turn // 2""",
+    "document_profiles": rf"""{_DOCS}, w AS (SELECT document_id, unnest(regexp_split_to_array(content, '[ \n]+')) AS v, generate_subscripts(regexp_split_to_array(content, '[ \n]+'), 1) AS i FROM docs WHERE document_id % 5 > 0),
+f AS (SELECT document_id, lower(v) AS l, min_by(v, i) AS v, min(i) AS i FROM w WHERE v <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY i) AS k FROM f),
+t AS (SELECT document_id, string_agg(v, ',' ORDER BY k) AS topics FROM r WHERE k <= 12 GROUP BY 1)
+SELECT document_id, CASE WHEN document_id % 5 = 0 THEN '' ELSE status END AS document_type, coalesce(topics, '') AS topics, 0 AS n_entities FROM docs LEFT JOIN t USING (document_id)""",
+    "chat_routes": f"""{_DOCS}, r AS (SELECT workspace_id, list_sort(list_distinct(list(filename) FILTER (status = 'ready'))) AS names, count(*) FILTER (status IN ({tenancy._WORKING})) AS processing FROM docs GROUP BY 1),
+o AS (SELECT workspace_id, 'Hi. ' || CASE WHEN len(coalesce(names, [])) = 0 THEN CASE WHEN processing > 0 THEN processing || ' document(s) are in work.' ELSE 'There are no documents yet.' END
+  ELSE 'This workspace has ' || len(names) || CASE WHEN len(names) = 1 THEN ' document: ' ELSE ' documents: ' END || {tenancy._LIST("names", 5)} || '.' || CASE WHEN processing > 0 THEN ' In work: ' || processing || '.' ELSE '' END END AS hello FROM r)
+SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'greeting' WHEN 1 THEN 'thanks' ELSE 'question' END AS route, CASE turn % 5 WHEN 0 THEN hello WHEN 1 THEN 'You''re welcome.' ELSE '' END AS reply
+FROM conversations JOIN docs ON document_id = conv_id JOIN o USING (workspace_id)""",
     "admin_sessions": "SELECT event_id, user_id FROM events JOIN customer ON user_id = c_custkey WHERE c_acctbal > 0",
 }

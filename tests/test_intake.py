@@ -76,3 +76,37 @@ def test_citations_name_their_result(spark):
     replies = spark.createDataFrame([("g", " yes [1] "), ("h", "That is Not in the Documents."), ("i", "made up"), ("j", None)], "g string, reply string")
     got = {r.g: (r.text, r.refused) for r in R.answer(results, replies, ("g",), "no").collect()}
     assert got == {"g": ("yes [1]", False), "h": ("no", True), "i": ("no", True), "j": ("no", True)}
+
+
+def test_sections_are_described_by_their_first_chunk(spark):
+    from docquarry.operators import enrich as E
+
+    rows = [(1, 0, "d.md", "a", ["a"], "first of a"), (1, 1, "d.md", "a", ["a"], "second of a"), (1, 2, "d.md", None, None, "no section"), (2, 0, "e.md", "a", ["a", "b"], "fails")]
+    chunks = spark.createDataFrame(rows, "doc_id long, ordinal int, document string, section string, path array<string>, content string")
+
+    def client(texts):
+        if "fails" in texts:
+            raise RuntimeError("busy")
+        return [f" about: {t} " if t != "no section" else "  " for t in texts]
+
+    got = {(r.doc_id, r.ordinal): r.header for r in E.contextualise(chunks.repartition(1, "doc_id").where("doc_id = 1"), client).collect()}
+    assert got == {(1, 0): "d.md > a - about: first of a", (1, 1): "d.md > a - about: first of a", (1, 2): "d.md"}
+    assert [r.header for r in E.contextualise(chunks.where("doc_id = 2"), client).collect()] == ["e.md > a > b"]
+    assert {r.ordinal: r.header for r in E.contextualise(chunks.where("doc_id = 1"), client, per_chunk=True).collect()}[1] == "d.md > a - about: second of a"
+
+
+def test_profiles(spark):
+    from docquarry.operators import enrich as E
+
+    replies = ['```json\n{"document_type": " policy ", "topics": ["A", "a ", "", "B"]}\n```', 'so {"topics": []} it is', "nothing", None, "{broken"]
+    df = spark.createDataFrame(list(enumerate(replies)), "i int, reply string")
+    got = [(r.p.document_type, r.p.topics, r.p.entities) for r in df.select("i", E.profile(F.col("reply")).alias("p")).orderBy("i").collect()]
+    assert got == [("policy", ["A", "B"], []), ("", [], []), ("", [], []), ("", [], []), ("", [], [])]
+
+
+def test_events_are_appended(spark):
+    log = spark.createDataFrame([(1, "2024-01-01 00:00:00", "signup", 5)], "job_id long, ts string, event string, event_id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    jobs = spark.createDataFrame([(2,), (1,), (2,)], "job_id long")
+    after = J.append_events(log, jobs, "view", F.lit("2024-01-02").cast("timestamp"))
+    assert sorted((r.job_id, r.event, r.event_id) for r in after.collect()) == [(1, "signup", 5), (1, "view", 6), (2, "view", 7)]
+    assert {r.job_id: r.status for r in J.job_states(after).collect()} == {1: "running", 2: "running"}
