@@ -88,6 +88,12 @@ def delete_where(rows: DataFrame, cond: Column) -> tuple[DataFrame, DataFrame]:
     return rows.where(~sure), rows.where(sure)
 
 
+def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """(kept, deleted) rows of every table, by the keys in ``gone``; rows with a null key are kept. Deleting again deletes nothing."""
+    keys = gone.select(key).where(F.col(key).isNotNull()).distinct()
+    return {name: (t.join(keys, key, "left_anti"), t.join(keys, key, "left_semi")) for name, t in tables.items()}
+
+
 def cascade_counts(docs: DataFrame, chunks: DataFrame, messages: DataFrame) -> DataFrame:
     """What deleting each workspace would remove: (workspace_id, documents, chunks, messages)."""
     kinds = (("documents", docs), ("chunks", chunks), ("messages", messages))

@@ -97,6 +97,17 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cascade_counts(model.documents(spark, sf_dir), _chunks(spark, sf_dir), _messages(spark, sf_dir))
 
 
+def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary rebuilt after the failed documents and their chunks are deleted, and how many chunks went."""
+    docs = model.documents(spark, sf_dir)
+    tables = {"documents": docs, "chunks": _chunks(spark, sf_dir).drop("workspace_id")}
+    left = C.delete_cascade(tables, docs.where("status = 'failed'"), "document_id")
+    kept = left["documents"][0].join(left["chunks"][0], "document_id", "left")
+    counts = C.value_counts(kept, {"topic": F.col("tag"), "type": F.col("status")})
+    gone = left["chunks"][1].agg(F.count("*").alias("n")).select(F.lit("").alias("workspace_id"), F.lit("deleted").alias("kind"), F.lit("chunks").alias("value"), "n")
+    return counts.unionByName(gone)
+
+
 def delete_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each source after the failed documents are deleted."""
     kept, _ = C.delete_where(model.documents(spark, sf_dir), F.col("status") == "failed")
@@ -179,7 +190,7 @@ def retry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", J.retryable(F.col("code"), F.col("message")).alias("again"), F.coalesce(F.round(J.server_delay(F.col("message")), 4), F.lit(-1.0)).alias("wait"), J.backoff(F.col("event_id") % 8 + 1).alias("local_wait"))
 
 
-QUERIES = {f.__name__: f for f in (status_counts, workspace_cards, document_list, corpus_state, top_values, vocabulary, spellings, history, session_join, content_hash, exact_dedup, version_chain, cascade_delete, delete_documents, chunk_upsert, pending_embedding_batches, workspace_replies, upload_guards, tag_filter, embed_pending, job_states, stalled_jobs, claim_order, pending_jobs, progress_pct, retry_rules)}
+QUERIES = {f.__name__: f for f in (status_counts, workspace_cards, document_list, corpus_state, top_values, vocabulary, spellings, history, session_join, content_hash, exact_dedup, version_chain, cascade_delete, delete_rows, delete_documents, chunk_upsert, pending_embedding_batches, workspace_replies, upload_guards, tag_filter, embed_pending, job_states, stalled_jobs, claim_order, pending_jobs, progress_pct, retry_rules)}
 
 _WORKING = ", ".join(f"'{s}'" for s in C.WORKING)
 _D = f"WITH {model.DOCUMENTS_SQL}"
@@ -217,6 +228,9 @@ n AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> sha256(content) THEN 1
 SELECT document_id, 'v' || n::BIGINT AS version, later IS NOT NULL AS superseded, 'v' || (n::BIGINT + 1) AS next_version FROM n""",
     "cascade_delete": f"""{_M} SELECT workspace_id, count(*) FILTER (k = 'd') AS documents, count(*) FILTER (k = 'c') AS chunks, count(*) FILTER (k = 'm') AS messages
 FROM (SELECT workspace_id, 'd' AS k FROM docs UNION ALL SELECT workspace_id, 'c' FROM chunks UNION ALL SELECT workspace_id, 'm' FROM messages) GROUP BY 1""",
+    "delete_rows": f"""{_C}, k AS (SELECT d.workspace_id, d.status, c.tag FROM docs d LEFT JOIN chunks c USING (document_id) WHERE d.status <> 'failed')
+SELECT workspace_id, 'topic' AS kind, tag::VARCHAR AS value, count(*) AS n FROM k WHERE tag IS NOT NULL GROUP BY ALL UNION ALL SELECT workspace_id, 'type', status, count(*) FROM k GROUP BY ALL
+UNION ALL SELECT '', 'deleted', 'chunks', count(*) FROM chunks JOIN docs USING (document_id) WHERE status = 'failed'""",
     "delete_documents": f"{_D} SELECT filename, count(*) AS n FROM docs WHERE status <> 'failed' GROUP BY 1",
     "chunk_upsert": f"{_C} SELECT document_id, workspace_id, (CASE WHEN tag = 3 THEN 30 ELSE tag END)::INT AS tag FROM chunks UNION ALL SELECT document_id + 10000000, workspace_id, 30 FROM chunks WHERE tag = 3",
     "pending_embedding_batches": f"{_D} SELECT workspace_id, document_id, ((row_number() OVER (PARTITION BY workspace_id ORDER BY document_id) - 1) // 32)::BIGINT AS batch FROM docs WHERE document_id NOT IN (SELECT vec_id FROM embeddings)",
