@@ -25,7 +25,7 @@ def lower_ascii(text: str) -> str:
 def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[str, Iterable]]) -> DataFrame:
     """mapInArrow over column lists: ``fn`` gets and returns a dict of equally long columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: F401
+    from pyspark.sql.types import StructType
 
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
