@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import terms
-from docquarry.operators.retrieval import BODY_WEIGHT, HEADER_WEIGHT, SNIPPET_CHARS, fuse, pool_size, vector_pool
+from docquarry.operators.retrieval import BODY_WEIGHT, HEADER_WEIGHT, SNIPPET_CHARS, fuse, pool_size, vector_pool, winners
 
 # fixed values: English words that ask for nothing, endings that stems leave out
 STOP_WORDS = tuple(
@@ -129,4 +129,4 @@ def search_chunks(chunks: DataFrame, question: str, query: Sequence[float] | Non
     text = question_pool(ready, question, pool_size(k)).select(key, "text_score", "text_rank")
     best = fuse(vector, text, k, "chunk", order=("chunk.ordinal", "chunk.document_id")).select("chunk.document_id", "chunk.ordinal", "score", "vec_rank", "text_rank")
     shown = ready.select("document_id", "ordinal", "filename", "header", "section", "tags", F.substring("content", 1, SNIPPET_CHARS).alias("snippet"))
-    return shown.join(F.broadcast(best), ["document_id", "ordinal"])  # k rows
+    return winners(shown, best, ("document_id", "ordinal"))

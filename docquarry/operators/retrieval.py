@@ -147,7 +147,7 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, query: Sequence[float] |
     """The k best ready documents: (document_id, filename, header, score, vec_rank, text_rank, snippet).
 
     where filters documents (tenant), tags filters vectors; only ready documents take part. Both pools hold
-    max(4k, 20) rows; texts are read again for the k winners only.
+    max(4k, 20) rows. The k winners come to the driver, so that what is shown of them is read by their ids.
     """
     ready = docs.where("status = 'ready'")
     ready = ready.where(where) if where is not None else ready
@@ -157,8 +157,14 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, query: Sequence[float] |
     pool = pool_size(k)
     vector = None if query is None else vector_pool(vectors.join(ready.select("document_id"), "document_id", "left_semi"), query, pool)
     best = fuse(vector, text_pool(ready, must, pool), k)
-    shown = ready.select("document_id", "filename", "header", F.substring("content", 1, SNIPPET_CHARS).alias("snippet"))
-    return shown.join(F.broadcast(best), "document_id").select("document_id", "filename", "header", "snippet", F.round("score", 5).alias("score"), "vec_rank", "text_rank")
+    return winners(ready, best, ("document_id",)).select("document_id", "filename", "header", F.substring("content", 1, SNIPPET_CHARS).alias("snippet"), F.round("score", 5).alias("score"), "vec_rank", "text_rank")
+
+
+def winners(rows: DataFrame, best: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``rows`` of the k keys in ``best`` with its other columns; the first key goes to the scan as a filter. k bounds what is collected."""
+    found = best.collect()
+    held = rows.sparkSession.createDataFrame(found, best.schema)
+    return rows.where(F.col(key[0]).isin([r[key[0]] for r in found])).join(F.broadcast(held), list(key))
 
 
 def citations(answers: DataFrame, answer_col: str, count_col: str, id_cols: Sequence[str]) -> DataFrame:
