@@ -163,7 +163,7 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 128 << 20, slack: float = 0.005) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = 32 << 20, slack: float = 0.005) -> DataFrame:
     """The input with ``size``, ``shard`` and ``slot``, exchanged to parts of one shard each.
 
     size: UTF-8 bytes of the text (null: none) plus 1. Shards differ from an
@@ -172,7 +172,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     equal texts. An empty table gives an empty result; input columns named size, shard or slot are replaced, all others kept.
 
     There are as many parts as ``part_bytes`` asks for, each a partition of the result and an entry of the
-    broadcast table; for more than some 100 TB ask for parts of a gigabyte.
+    broadcast table; for more than some 10 TB ask for larger parts, of a gigabyte at 100 TB.
     """
     spark = docs.sparkSession
     docs = docs.drop("size", "shard", "slot")
