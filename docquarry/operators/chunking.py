@@ -109,26 +109,6 @@ ROWS = ((str.splitlines, "\n"), WORD_LEVEL)
 STEPS = ((_steps, "\n"), *PROSE)
 
 
-def cut(text: str, limit: int, levels: Sequence[tuple[Callable[[str], list[str]], str]]) -> list[str]:
-    """The text in parts of at most ``limit`` tokens, a joining glue counted with each unit; a word over the limit stands alone."""
-    (units_of, glue), *finer = levels
-    units = []
-    for unit in units_of(text):
-        units += (cut(unit, limit, finer) if finer and count(unit) > limit else None) or [unit]
-    ends = group_ends(np.array([count(u) + count(glue) for u in units], np.int64), limit)
-    return [glue.join(units[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
-
-
-def prose_parts(text: str, limit: int) -> list[str]:
-    return cut(text, limit, PROSE) or [text]
-
-
-def framed_parts(text: str, limit: int, levels: Sequence, first: str, later: str) -> list[str]:
-    """Parts that leave room for the line which the later ones begin with."""
-    parts = cut(text, max(1, limit - count(later)), levels)
-    return [(later if i else first) + part for i, part in enumerate(parts)]
-
-
 @dataclass
 class Piece:
     """A block, or a part of one too large to be left whole; alone ones are chunks of their own."""
@@ -138,38 +118,59 @@ class Piece:
     block: dict
 
 
-def pieces_of(block: dict, target: int, ceiling: int) -> list[Piece]:
-    text, header = block["text"], block["table_header"] if block["kind"] == "table" else None
-    size = count(text)
-    if size <= (ceiling if block["atomic"] and not header else target):
-        return [Piece(text, False, block)]
-    if header:
-        body = "\n".join(text.splitlines()[len(header.splitlines()) :])
-        parts = framed_parts(body, target, ROWS, f"{header}\n", f"{header}\n") or [text]
-    elif block["atomic"]:
-        parts = framed_parts(text, ceiling, STEPS, "", f"{CONTINUED}\n") if len(_steps(text)) > 1 else prose_parts(text, ceiling)
-    else:
-        parts = prose_parts(text, target)
-    return [Piece(part, block["atomic"] or header is not None, block) for part in parts if part.strip()]
-
-
-def _contents(blocks: list[dict], target: int, overlap: int, ceiling: int) -> Iterator[tuple[str, dict]]:
-    """(content, first block) of a document's chunks in order; texts are joined once a range is known."""
-    pieces = [p for block in blocks for p in pieces_of(block, target, ceiling)]
-    content = again = ""
-
-    def repeat(lo: int, hi: int) -> int:
-        """The last sentences of the chunk before, which the next one begins with."""
-        nonlocal again
-        units = _sentences(content)
-        again = " ".join(units[len(units) - tail_units(np.array([count(u) for u in units], np.int64), overlap) :])
-        return count(again)
-
-    sizes, alone = np.array([count(p.text) for p in pieces], np.int64), np.array([p.alone for p in pieces], bool)
-    for lo, hi in chunk_ranges(sizes, alone, target, repeat):
-        content = "\n\n".join([*filter(None, [again]), *(p.text for p in pieces[lo:hi])]).strip()
-        again = ""
-        yield content, pieces[lo].block
+@dataclass
+class Cutter:
+    """Cuts texts and documents by a token counter; limits are in its tokens."""
+
+    count: Callable[[str], int] = count
+
+    def cut(self, text: str, limit: int, levels: Sequence[tuple[Callable[[str], list[str]], str]]) -> list[str]:
+        """The text in parts of at most ``limit`` tokens, a joining glue counted with each unit; a word over the limit stands alone."""
+        (units_of, glue), *finer = levels
+        units = []
+        for unit in units_of(text):
+            units += (self.cut(unit, limit, finer) if finer and self.count(unit) > limit else None) or [unit]
+        ends = group_ends(np.array([self.count(u) + self.count(glue) for u in units], np.int64), limit)
+        return [glue.join(units[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+    def prose(self, text: str, limit: int) -> list[str]:
+        return self.cut(text, limit, PROSE) or [text]
+
+    def framed(self, text: str, limit: int, levels: Sequence, first: str, later: str) -> list[str]:
+        """Parts that leave room for the line which the later ones begin with."""
+        parts = self.cut(text, max(1, limit - self.count(later)), levels)
+        return [(later if i else first) + part for i, part in enumerate(parts)]
+
+    def pieces(self, block: dict, target: int, ceiling: int) -> list[Piece]:
+        text, header = block["text"], block["table_header"] if block["kind"] == "table" else None
+        if self.count(text) <= (ceiling if block["atomic"] and not header else target):
+            return [Piece(text, False, block)]
+        if header:
+            body = "\n".join(text.splitlines()[len(header.splitlines()) :])
+            parts = self.framed(body, target, ROWS, f"{header}\n", f"{header}\n") or [text]
+        elif block["atomic"]:
+            parts = self.framed(text, ceiling, STEPS, "", f"{CONTINUED}\n") if len(_steps(text)) > 1 else self.prose(text, ceiling)
+        else:
+            parts = self.prose(text, target)
+        return [Piece(part, block["atomic"] or header is not None, block) for part in parts if part.strip()]
+
+    def contents(self, blocks: list[dict], target: int, overlap: int, ceiling: int) -> Iterator[tuple[str, dict]]:
+        """(content, first block) of a document's chunks in order; texts are joined once a range is known."""
+        pieces = [p for block in blocks for p in self.pieces(block, target, ceiling)]
+        content = again = ""
+
+        def repeat(lo: int, hi: int) -> int:
+            """The last sentences of the chunk before, which the next one begins with."""
+            nonlocal again
+            units = _sentences(content)
+            again = " ".join(units[len(units) - tail_units(np.array([self.count(u) for u in units], np.int64), overlap) :])
+            return self.count(again)
+
+        sizes, alone = np.array([self.count(p.text) for p in pieces], np.int64), np.array([p.alone for p in pieces], bool)
+        for lo, hi in chunk_ranges(sizes, alone, target, repeat):
+            content = "\n\n".join([*filter(None, [again]), *(p.text for p in pieces[lo:hi])]).strip()
+            again = ""
+            yield content, pieces[lo].block
 
 
 def _slides(blocks: list[dict]) -> Iterator[tuple[str, dict]]:
@@ -218,26 +219,26 @@ def gather(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return blocks.groupBy(id_col).agg(rows.alias("blocks"))
 
 
-def assemble(docs: DataFrame, id_col: str = "doc_id", target: int = TARGET, ratio: float = OVERLAP_RATIO, ceiling: int = CEILING) -> DataFrame:
+def assemble(docs: DataFrame, id_col: str = "doc_id", target: int = TARGET, ratio: float = OVERLAP_RATIO, ceiling: int = CEILING, counter: Callable[[str], int] = count) -> DataFrame:
     """(doc_id, ordinal, section, content, token_count, page, slide) from rows (doc_id, blocks).
 
     Every document is cut where its row is; nothing is shuffled. Blank blocks are dropped; documents
     without blocks have no chunks; documents with slides get one chunk a slide. A chunk has the section, page and slide of its
-    first block; the page of a slide is its number. Fields that the blocks lack count as null.
+    first block; the page of a slide is its number. Fields that the blocks lack count as null. ``counter`` tells the tokens of a text.
     """
     have = docs.schema["blocks"].dataType.elementType.names
     rows = docs.select(id_col, F.transform("blocks", lambda b: F.struct(*[(b[f] if f in have else F.lit(None)).cast(k).alias(f) for f, k in KINDS.items()])).alias("blocks"))
     kind = dict(rows.dtypes)[id_col]
-    overlap = int(target * ratio)
+    overlap, cutter = int(target * ratio), Cutter(counter)
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for doc, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = [b for b in blocks or () if b["text"] and b["text"].strip()]
-                made = _slides(held) if any(b["slide"] is not None for b in held) else _contents(_merge_steps(held), target, overlap, ceiling)
-                parts = [(p, b) for content, b in made for p in ([content] if count(content) <= ceiling else prose_parts(content, ceiling))]
-                out += [(doc, i, b["section"], p, count(p), b["slide"] if b["page"] is None else b["page"], b["slide"]) for i, (p, b) in enumerate(parts)]
+                made = _slides(held) if any(b["slide"] is not None for b in held) else cutter.contents(_merge_steps(held), target, overlap, ceiling)
+                parts = [(p, b) for content, b in made for p in ([content] if counter(content) <= ceiling else cutter.prose(content, ceiling))]
+                out += [(doc, i, b["section"], p, counter(p), b["slide"] if b["page"] is None else b["page"], b["slide"]) for i, (p, b) in enumerate(parts)]
             cols = list(zip(*out, strict=True)) or [()] * 7
             types = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[id_col, "ordinal", "section", "content", "token_count", "page", "slide"])

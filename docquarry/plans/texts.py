@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import sentences, token_count
 from docquarry.operators import chunking as C
 from docquarry.operators import enrich as E
+from docquarry.operators.ranges import row_numbers
 from docquarry.plans import model
 from docquarry.session import prepare, table
 from docquarry.sources import formats as S
@@ -126,10 +127,12 @@ def procedure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts of each brand as a pipe table, cut to parts that repeat the header."""
+    """The parts of each brand as pipe tables of at most 5,000 rows, cut to chunks that repeat the header."""
     rows = S.markdown_table(table(prepare(spark), sf_dir, "part"), "p_brand", "p_partkey", ["p_partkey", "p_name", "p_type", "p_size"])
-    blocks = rows.select(F.col("p_brand").alias("doc_id"), F.lit(0).alias("block_no"), F.lit("table").alias("kind"), "text", F.col("p_brand").alias("section"), S.table_header(F.col("text")).alias("table_header"), F.lit(False).alias("atomic"), F.lit(None).cast("int").alias("slide"))
-    return C.assemble(C.gather(blocks), target=200).drop("page", "slide")
+    block = F.struct(F.lit("table").alias("kind"), F.col("text"), F.col("p_brand").alias("section"), S.table_header(F.col("text")).alias("table_header"), F.lit(False).alias("atomic"))
+    chunks = C.assemble(rows.select(F.struct("p_brand", "slice").alias("doc_id"), F.array(block).alias("blocks")), target=200)
+    numbered = row_numbers(chunks.select(F.col("doc_id.p_brand").alias("doc_id"), "doc_id.slice", "ordinal", "section", "content", "token_count"), ("doc_id",), ("slice", "ordinal"))
+    return numbered.select("doc_id", (F.col("n") - 1).cast("int").alias("ordinal"), "section", "content", "token_count")
 
 
 def slide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,9 +223,9 @@ ORACLE_SQL |= {
     "markdown_blocks": _MD.replace("MARKS", _MARKS).replace("LIVE", _LIVE),
     "html_headings": """SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')) <> ''))::BIGINT AS headings,
 len(regexp_extract_all(html, '(?i)</(?:ul|ol)>'))::BIGINT AS lists FROM pages""",
-    "table_chunks": f"""WITH r AS (SELECT p_brand, p_partkey, '| ' || p_partkey || ' | ' || p_name || ' | ' || p_type || ' | ' || p_size || ' |' AS line FROM part),
-b AS (SELECT p_brand, list({{'line': line, 'cost': {_tokens("line")} + 1}} ORDER BY p_partkey) AS rows, {_HEADER} || string_agg(line, chr(10) ORDER BY p_partkey) AS whole, greatest(1, 200 - {_tokens("(" + _HEADER + ")")}) AS room FROM r GROUP BY 1),
-p AS (SELECT p_brand, CASE WHEN {_tokens("whole")} <= 200 THEN [whole] ELSE list_transform({_PACK_ROWS}, lambda x: {_HEADER} || x) END AS parts FROM b),
-c AS (SELECT p_brand, unnest(parts) AS content, generate_subscripts(parts, 1) - 1 AS ordinal FROM p)
-SELECT p_brand AS doc_id, ordinal::INT AS ordinal, p_brand AS section, content, {_tokens("content")} AS token_count FROM c""",
+    "table_chunks": f"""WITH r AS (SELECT p_brand, p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 5000 AS slice, '| ' || p_partkey || ' | ' || p_name || ' | ' || p_type || ' | ' || p_size || ' |' AS line FROM part),
+b AS (SELECT p_brand, slice, list({{'line': line, 'cost': {_tokens("line")} + 1}} ORDER BY p_partkey) AS rows, {_HEADER} || string_agg(line, chr(10) ORDER BY p_partkey) AS whole, greatest(1, 200 - {_tokens("(" + _HEADER + ")")}) AS room FROM r GROUP BY 1, 2),
+p AS (SELECT p_brand, slice, CASE WHEN {_tokens("whole")} <= 200 THEN [whole] ELSE list_transform({_PACK_ROWS}, lambda x: {_HEADER} || x) END AS parts FROM b),
+c AS (SELECT p_brand, slice, unnest(parts) AS content, generate_subscripts(parts, 1) AS i FROM p)
+SELECT p_brand AS doc_id, (row_number() OVER (PARTITION BY p_brand ORDER BY slice, i) - 1)::INT AS ordinal, p_brand AS section, content, {_tokens("content")} AS token_count FROM c""",
 }

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.ranges import row_numbers
+
 # fixed values: types, extensions and aliases
 PDF, CSV, TXT, MD, HTML = "application/pdf", "text/csv", "text/plain", "text/markdown", "text/html"
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
@@ -86,12 +88,17 @@ def serialise_row(columns: dict[str, Column], cap: int = 2000) -> Column:
     return F.concat_ws(" | ", *cells)
 
 
-def markdown_table(rows: DataFrame, group: str, order: str, columns: list[str]) -> DataFrame:
-    """(group, header, text): each bounded group's rows as a pipe table."""
+def markdown_table(rows: DataFrame, group: str, order: str, columns: list[str], most: int = 5_000) -> DataFrame:
+    """(group, slice, header, text): a group's rows as pipe tables of at most ``most`` rows each, all with the header.
+
+    Rows are numbered over range partitions, so a group of any size spreads over tasks; ``order`` should tell rows apart.
+    """
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
     header = f"| {' | '.join(columns)} |\n| {' | '.join('---' for _ in columns)} |"
-    gathered = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))).alias("rows"))
-    return gathered.select(group, F.lit(header).alias("header"), F.concat(F.lit(header + "\n"), F.array_join(F.col("rows.line"), "\n")).alias("text"))
+    numbered = row_numbers(rows.select(group, F.col(order).alias("__order"), line.alias("line")), (group,), ("__order",), "__n")
+    sliced = numbered.withColumn("slice", F.floor((F.col("__n") - 1) / most).cast("long"))
+    gathered = sliced.groupBy(group, "slice").agg(F.array_sort(F.collect_list(F.struct("__n", "line"))).alias("rows"))
+    return gathered.select(group, "slice", F.lit(header).alias("header"), F.concat(F.lit(header + "\n"), F.array_join(F.col("rows.line"), "\n")).alias("text"))
 
 
 def table_header(text: Column) -> Column:

@@ -204,3 +204,17 @@ def test_given_documents_equal_plain_chunks(spark):
         got.setdefault(r.doc_id, {})[r.ordinal] = r.content
     want = {r.doc_id: dict(enumerate(c)) for r in table(spark, sf, "documents").collect() if (c := plain_chunks(r.text))}
     assert got == want
+
+
+def test_tokens_are_told_by_a_counter(spark):
+    docs = C.paragraphs(spark.createDataFrame([(1, "One two. Three four. Five six seven. Eight.")], "document_id long, content string"))
+    out = C.assemble(docs, target=4, ratio=0.5, counter=lambda t: len(t.split())).orderBy("ordinal").collect()
+    assert [(r.content, r.token_count) for r in out] == [("One two. Three four.", 4), ("Three four.\n\nFive six seven. Eight.", 6)]
+
+
+def test_large_tables_are_sliced(spark):
+    from docquarry.sources import formats as S
+
+    rows = spark.range(25).select(F.lit("g").alias("g"), F.col("id").alias("k"))
+    got = sorted(S.markdown_table(rows, "g", "k", ["k"], most=10).collect(), key=lambda r: r.slice)
+    assert [r.text.split("\n") for r in got] == [["| k |", "| --- |", *(f"| {i} |" for i in range(lo, min(25, lo + 10)))] for lo in (0, 10, 20)]
