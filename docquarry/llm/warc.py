@@ -21,8 +21,8 @@ CRAWL_DATE = "2024-01-01T00:00:00Z"
 #: Elements whose content is no text, and elements that end a line.
 HIDDEN = ("script", "style", "noscript", "template", "svg")
 BREAKING = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-#: Named references that end with a semicolon, all of HTML's, without that.
-NAMED = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")}
+#: Named references that end with a semicolon, all of HTML's, without that; the space that doesn't break is a plain one in plain text.
+NAMED = {name[:-1]: chars for name, chars in html5.items() if name.endswith(";")} | {"nbsp": " "}
 #: What is no text: comments and hidden elements, whichever begins first; ``visible`` finds the same without a second look.
 NO_TEXT = "(?is)<(?:!--.*?--|" + "|".join(rf"{name}\b[^>]*>.*?</{name}\s*" for name in HIDDEN) + ")>"
 

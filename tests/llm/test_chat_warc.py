@@ -136,5 +136,34 @@ def test_files_are_records(spark, tmp_path):
         assert body[n:] == b"\r\n\r\n"
 
 
+@pytest.mark.parametrize("page", ["<script>" * 125_000, "<!--" * 250_000, "<script " * 125_000 + "</script>", "<title>" * 140_000, "<html " * 160_000, "<html lang='" * 80_000, "<a href " * 120_000, "&#" * 500_000, "<" * 1_000_000], ids=lambda p: p[:12])
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    warc.title_of(page), warc.language_of(page), warc.text_of(warc.visible(page))
+    assert time.process_time() - began < 2
+
+
+def test_hidden_parts_equal_the_pattern():
+    """One pass finds what the pattern finds, unclosed and nested openers included."""
+    import re
+
+    rng = random.Random(6)
+    bits = ["<script>", "</script>", "<SCRIPT x>", "</script >", "<style>", "</style>", "<!--", "-->", "<svg", ">", "</svg>", "text", "<p>", "<", "<scripty>", "<script-x>"]
+    for _ in range(3000):
+        page = "".join(rng.choices(bits, k=rng.randrange(14)))
+        assert warc.visible(page) == re.sub(warc.NO_TEXT, "", page, flags=re.ASCII), page
+
+
+@pytest.mark.parametrize(("text", "want"), [("&#x27;&#X1f642;&#000065;", "'🙂A"), ("&eacute;&rsquo;&NewLine;", "é’\n"), ("&amp;lt; &nosuch; &#xD800; &#0; &#x110000; & &;", "&lt; &nosuch; &#xD800; &#0; &#x110000; & &;")])
+def test_references(text, want):
+    assert warc.unescape(text) == want
+
+
+def test_language_in_either_quotes():
+    assert [warc.language_of(p) for p in ("<html lang='de'>", '<HTML class="a" LANG="fr">', "<html><html lang='x'>", "<html lang=en>", "<p lang='de'>")] == ["de", "fr", "x", "", ""]
+
+
 def test_no_pages(spark):
     assert warc.derivatives(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []
