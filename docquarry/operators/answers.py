@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.operators.ranges import row_numbers
 from docquarry.operators.retrieval import message_kind
 
 # fixed values: limits of requests and uploads
@@ -48,6 +49,25 @@ def question_ok(question: Column, top_k: Column) -> Column:
     return F.length(F.trim(question)).between(1, MAX_QUESTION) & top_k.between(1, MAX_TOP_K)
 
 
+def credentials_ok(username: Column, password: Column) -> Column:
+    """Whether a name, trimmed, and a password are long enough; null is not."""
+    return F.coalesce((F.length(F.trim(username)) >= MIN_USERNAME) & (F.length(password) >= MIN_PASSWORD), F.lit(False))
+
+
+def save_exchanges(messages: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """Messages (workspace_id, user_id, turn, role, content) with both turns of every exchange (workspace_id, user_id, seq, question, answer).
+
+    Turns count on from a user's last one in the workspace, in seq order; question and answer are one row of the input, so that
+    never one stands without the other.
+    """
+    key = ["workspace_id", "user_id"]
+    last = messages.groupBy(*key).agg(F.max("turn").alias("__last"))
+    numbered = row_numbers(exchanges, key, ("seq",), "__n").join(last, key, "left")
+    turn = F.coalesce(F.col("__last") + 1, F.lit(0)) + (F.col("__n") - 1) * 2
+    both = F.inline(F.array(F.struct(turn.alias("turn"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct((turn + 1).alias("turn"), F.lit("assistant").alias("role"), F.col("answer").alias("content"))))
+    return messages.select(*key, "turn", "role", "content").unionByName(numbered.select(*key, both))
+
+
 def may_act(role: Column, action: Column) -> Column:
     """Administrators may do all; readers may ask and search."""
     return F.coalesce((role == "admin") | action.isin("ask", "search", "read"), F.lit(False))
@@ -75,14 +95,18 @@ def hashing_embedder(dim: int) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
-def embed_texts(rows: DataFrame, id_col: str, text_col: str, client: Callable[[list[str]], np.ndarray], dim: int, batch: int = EMBED_BATCH) -> DataFrame:
-    """(id, embedding): the client gets ``batch`` texts at a time, in order, and must return a vector of ``dim`` for each."""
+def embed_texts(rows: DataFrame, id_col: str, text_col: str, client: Callable[..., np.ndarray], dim: int, batch: int = EMBED_BATCH, task: str | None = None) -> DataFrame:
+    """(id, embedding): the client gets ``batch`` texts at a time, in order, and must return a vector of ``dim`` for each.
+
+    With a ``task`` ("document" or "query") the client is told it too, for models that embed the two differently.
+    """
     kind = dict(rows.dtypes)[id_col]
+    more = () if task is None else (task,)
 
     def run(batches):
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            made = [np.asarray(client(texts[i : i + batch]), np.float32) for i in range(0, len(texts), batch)]
+            made = [np.asarray(client(texts[i : i + batch], *more), np.float32) for i in range(0, len(texts), batch)]
             if any(m.ndim != 2 or m.shape[1] != dim for m in made) or sum(map(len, made)) != len(texts):
                 raise ValueError(f"the client must return one vector of width {dim} a text")
             flat = np.concatenate(made).ravel() if made else np.zeros(0, np.float32)

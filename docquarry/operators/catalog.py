@@ -13,11 +13,20 @@ WORKING = ("parsing", "profiling", "chunking", "embedding", "pending")
 
 
 def status_counts(docs: DataFrame) -> DataFrame:
-    """(workspace_id, total, ready, failed, in_progress, by_status)"""
-    per = docs.groupBy("workspace_id", "status").agg(F.count("*").alias("n"))
+    """(workspace_id, total, ready, failed, in_progress, by_status), and last_change of documents that have ``changed_at``."""
+    changed = [F.max("changed_at").alias("last_change")] if "changed_at" in docs.columns else []
+    per = docs.groupBy("workspace_id", "status").agg(F.count("*").alias("n"), *changed)
     pick = lambda *s: F.coalesce(F.sum(F.when(F.col("status").isin(*s), F.col("n"))), F.lit(0))
     pairs = F.transform(F.array_sort(F.collect_list(F.struct("status", "n"))), lambda x: F.concat(x["status"], F.lit("="), x["n"].cast("string")))
-    return per.groupBy("workspace_id").agg(F.sum("n").alias("total"), pick("ready").alias("ready"), pick("failed").alias("failed"), pick(*WORKING).alias("in_progress"), F.array_join(pairs, ",").alias("by_status"))
+    return per.groupBy("workspace_id").agg(F.sum("n").alias("total"), pick("ready").alias("ready"), pick("failed").alias("failed"), pick(*WORKING).alias("in_progress"), F.array_join(pairs, ",").alias("by_status"), *[F.max("last_change").alias("last_change") for _ in changed])
+
+
+def stored_bytes(files: DataFrame, workspace_id: str, document_id: int) -> bytes:
+    """The bytes of one stored file (workspace_id, document_id, content); another tenant's file isn't there."""
+    found = files.where((F.col("workspace_id") == workspace_id) & (F.col("document_id") == document_id)).select("content").take(1)
+    if not found:
+        raise LookupError(f"no file {document_id} in {workspace_id}")
+    return bytes(found[0]["content"])
 
 
 def value_counts(docs: DataFrame, kinds: dict[str, Column], group: str = "workspace_id") -> DataFrame:

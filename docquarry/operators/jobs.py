@@ -47,6 +47,12 @@ def progress(done: Column, total: Column) -> Column:
     return (F.lit(50) + F.floor(F.when(total > 0, done * 50 / total).otherwise(F.lit(50)))).cast("int")
 
 
+def stage_progress(stage: Column, done: Column, total: Column) -> Column:
+    """Percent of an ingest job by its stage; embedding counts what is done."""
+    fixed = F.coalesce(*[F.when(stage == name, F.lit(pct)) for name, pct in STAGE_PROGRESS.items()])
+    return F.when(stage == "embed", progress(done, total)).when(stage == "done", F.lit(100)).otherwise(F.coalesce(fixed, F.lit(0)))
+
+
 def retryable(code: Column, message: Column, types: Column | None = None) -> Column:
     """Whether to try again: by reply code, by text, or by the names of the error's class and its parents (an array)."""
     text = F.lower(F.coalesce(message, F.lit("")))

@@ -130,7 +130,23 @@ def chat_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.route(turns, states).select("conv_id", "turn", "route", F.coalesce("reply", F.lit("")).alias("reply"))
 
 
-QUERIES = {f.__name__: f for f in (search_question, search_chunks, cited_sources, answers_assembled, intake_decisions, retry_plan, name_clashes, admin_sessions, section_headers, document_profiles, chat_routes)}
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percent of every job: its last event is its stage, its clicks are what is embedded of all its events."""
+    log = model.job_log(spark, sf_dir)
+    per = log.groupBy("job_id").agg(F.max_by("event", F.struct("ts", "event_id")).alias("last"), F.count(F.when(F.col("event") == "click", 1)).alias("done"), F.count("*").alias("total"))
+    stage = F.when(F.col("last") == "signup", "parse").when(F.col("last") == "view", "chunk").when(F.col("last") == "click", "embed").when(F.col("last") == "purchase", "done").otherwise(F.lit("failed"))
+    return per.select("job_id", J.stage_progress(stage, F.col("done"), F.col("total")).alias("pct"))
+
+
+def saved_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chats of even turns, with the odd ones asked again as exchanges after them."""
+    chats = table(prepare(spark), sf_dir, "conversations")
+    messages = chats.where("turn % 2 = 0").select(F.lit("w").alias("workspace_id"), F.col("conv_id").alias("user_id"), "turn", "role", F.col("text").alias("content"))
+    exchanges = chats.where("turn % 2 = 1").select(F.lit("w").alias("workspace_id"), F.col("conv_id").alias("user_id"), F.col("turn").alias("seq"), F.col("role").alias("question"), F.col("text").alias("answer"))
+    return A.save_exchanges(messages, exchanges).select("user_id", "turn", "role", "content")
+
+
+QUERIES = {f.__name__: f for f in (search_question, search_chunks, cited_sources, answers_assembled, intake_decisions, retry_plan, name_clashes, admin_sessions, section_headers, document_profiles, chat_routes, job_progress, saved_exchanges)}
 
 
 def _scores_sql(source: str, key: str, question: str) -> str:
@@ -213,5 +229,10 @@ o AS (SELECT workspace_id, 'Hi. ' || CASE WHEN len(coalesce(names, [])) = 0 THEN
   ELSE 'This workspace has ' || len(names) || CASE WHEN len(names) = 1 THEN ' document: ' ELSE ' documents: ' END || {tenancy._LIST("names", 5)} || '.' || CASE WHEN processing > 0 THEN ' In work: ' || processing || '.' ELSE '' END END AS hello FROM r)
 SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'greeting' WHEN 1 THEN 'thanks' ELSE 'question' END AS route, CASE turn % 5 WHEN 0 THEN hello WHEN 1 THEN 'You''re welcome.' ELSE '' END AS reply
 FROM conversations JOIN docs ON document_id = conv_id JOIN o USING (workspace_id)""",
+    "job_progress": """WITH j AS (SELECT user_id AS job_id, max_by(event_type, (ts, event_id)) AS last, count(*) FILTER (event_type = 'click') AS done, count(*) AS total FROM events GROUP BY 1)
+SELECT job_id, CASE last WHEN 'signup' THEN 10 WHEN 'view' THEN 40 WHEN 'click' THEN (50 + floor(done * 50.0::DOUBLE / total))::INT WHEN 'purchase' THEN 100 ELSE 0 END AS pct FROM j""",
+    "saved_exchanges": """WITH e AS (SELECT conv_id, turn, role, text FROM conversations WHERE turn % 2 = 0),
+o AS (SELECT c.conv_id, role, text, coalesce((SELECT max(turn) + 1 FROM e WHERE e.conv_id = c.conv_id), 0) + (row_number() OVER (PARTITION BY c.conv_id ORDER BY turn) - 1) * 2 AS t FROM conversations c WHERE turn % 2 = 1)
+SELECT conv_id AS user_id, turn, role, text AS content FROM e UNION ALL SELECT conv_id, t, 'user', role FROM o UNION ALL SELECT conv_id, t + 1, 'assistant', text FROM o""",
     "admin_sessions": "SELECT event_id, user_id FROM events JOIN customer ON user_id = c_custkey WHERE c_acctbal > 0",
 }

@@ -110,3 +110,28 @@ def test_events_are_appended(spark):
     after = J.append_events(log, jobs, "view", F.lit("2024-01-02").cast("timestamp"))
     assert sorted((r.job_id, r.event, r.event_id) for r in after.collect()) == [(1, "signup", 5), (1, "view", 6), (2, "view", 7)]
     assert {r.job_id: r.status for r in J.job_states(after).collect()} == {1: "running", 2: "running"}
+
+
+def test_small_rules(spark):
+    import numpy as np
+    import pytest
+
+    from docquarry.operators import answers as A
+    from docquarry.operators import catalog as C
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    lit = F.lit
+    assert [one(J.stage_progress(lit(s), lit(1), lit(4))) for s in ("parse", "profile", "chunk", "write", "embed", "done", "odd")] == [10, 25, 40, 50, 62, 100, 0]
+    assert one(A.credentials_ok(lit(" ab "), lit("12345678"))) and not one(A.credentials_ok(lit(" a "), lit("12345678"))) and not one(A.credentials_ok(lit("ab"), lit(None).cast("string")))
+    files = spark.createDataFrame([("w", 1, bytearray(b"x"))], "workspace_id string, document_id long, content binary")
+    assert C.stored_bytes(files, "w", 1) == b"x"
+    with pytest.raises(LookupError):
+        C.stored_bytes(files, "other", 1)
+    docs = spark.createDataFrame([("w", "ready", 3), ("w", "failed", 5), ("v", "ready", None)], "workspace_id string, status string, changed_at int")
+    assert {r.workspace_id: r.last_change for r in C.status_counts(docs).collect()} == {"w": 5, "v": None}
+    told = A.embed_texts(spark.createDataFrame([(1, "a")], "id long, t string"), "id", "t", lambda texts, task: np.full((len(texts), 2), float(task == "query")), 2, task="query")
+    assert told.first().embedding == [1.0, 1.0]
+    messages = spark.createDataFrame([("w", 1, 3, "user", "old")], "workspace_id string, user_id long, turn long, role string, content string")
+    exchanges = spark.createDataFrame([("w", 1, 2, "q2", "a2"), ("w", 1, 1, "q1", None), ("w", 2, 1, "q", "a")], "workspace_id string, user_id long, seq int, question string, answer string")
+    got = sorted((r.user_id, r.turn, r.role, r.content) for r in A.save_exchanges(messages, exchanges).collect())
+    assert got == [(1, 3, "user", "old"), (1, 4, "user", "q1"), (1, 5, "assistant", None), (1, 6, "user", "q2"), (1, 7, "assistant", "a2"), (2, 0, "user", "q"), (2, 1, "assistant", "a")]
