@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import Memo, map_rows
 
 NEVER = 1 << 60
-#: Words of more bytes than this aren't remembered.
-MEMO_BYTES = 256
+#: Words of more characters than this aren't remembered.
+MEMO_CHARS = 256
 
 # fixed values: letters and numbers that are younger than the library's Unicode tables, as first and last code points
 YOUNG_LETTERS = (
@@ -49,7 +51,23 @@ YOUNG_CASES = (
     (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
-_LOWER = {c: c - first + lower for first, last, lower in YOUNG_CASES for c in range(first, last + 1)} | {ord("Σ"): "σ"}
+_LOWER = {c: c - first + lower for first, last, lower in YOUNG_CASES for c in range(first, last + 1)}
+
+
+def _finder(ranges) -> Callable[[str], object]:
+    return re.compile("[" + "".join(f"{chr(r[0])}-{chr(r[1])}" for r in ranges) + "]").search
+
+
+def _latin(text: str) -> bool:
+    """Whether all code points are below 256; a quick test that passes over most texts."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+_has_young, _has_young_case = _finder(YOUNG_LETTERS + YOUNG_NUMBERS), _finder(YOUNG_CASES)
 
 
 def _without(kind: str, young: tuple[tuple[int, int], ...]) -> str:
@@ -131,7 +149,9 @@ class WordTokenizer:
 
     #: fixed values of the file format: its word pattern and the byte-to-letter table's printable ranges
     LETTER, NUMBER = _without("L", YOUNG_LETTERS), _without("N", YOUNG_NUMBERS)
-    PATTERN = rf"{LETTER}+|{NUMBER}|'(?:s|t|re|ve|m|ll|d)|(?:(?!{LETTER}|{NUMBER})\S)+"
+    PATTERN = r"\p{L}+|\p{N}|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+"
+    #: The same where a text has letters or numbers that the library doesn't know.
+    YOUNG_PATTERN = rf"{LETTER}+|{NUMBER}|'(?:s|t|re|ve|m|ll|d)|(?:(?!{LETTER}|{NUMBER})\S)+"
     PRINTABLE = ((33, 126), (161, 172), (174, 255))
 
     def __init__(self, spec: dict):
@@ -162,10 +182,9 @@ class WordTokenizer:
                     self.final.append(-1)
                 node = step
             (self.final if last else self.inside)[node] = i
-        self.words = regex.compile(self.PATTERN, regex.V1).findall
-        self.ascii_words = regex.compile(r"[a-zA-Z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zA-Z0-9]+").findall
+        self.words, self.young_words = regex.compile(self.PATTERN).findall, regex.compile(self.YOUNG_PATTERN, regex.V1).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.memo = Memo(self._word)
+        self.memo = Memo(self._word, longest=MEMO_CHARS)
 
     def encode_word(self, word: bytes) -> list[int]:
         """The one accepted path that spells the word; longer labels are tried first.
@@ -205,13 +224,15 @@ class WordTokenizer:
         return out
 
     def _piece(self, text: str) -> bytes:
-        memo = self.memo
-        if text.isascii():
-            words = self.ascii_words(text.lower())
-        else:
+        memo, words = self.memo, self.words
+        if not text.isascii():
             # lower case is by letter, without the final form of sigma
-            words = self.words(unicodedata.normalize("NFC", text).translate(_LOWER).lower())
-        return b"".join([memo[w] if len(w) <= MEMO_BYTES else self._word(w) for w in words])
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if not _latin(text):
+                text = text.translate(_LOWER) if _has_young_case(text) else text
+                words = self.young_words if _has_young(text) else words
+        words = words(text.lower())
+        return b"".join([memo[w] for w in words])
 
     def _word(self, word: str) -> bytes:
         return np.array(self.encode_word(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()

@@ -38,16 +38,18 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[st
 
 
 class Memo(dict):
-    """Word memo of one Python worker, emptied at ``limit`` entries so that memory stays bounded."""
+    """Word memo of one Python worker, emptied at ``limit`` entries and without words over ``longest`` characters, so that memory stays bounded."""
 
-    def __init__(self, make: Callable[[str], object], limit: int = 300_000):
+    def __init__(self, make: Callable[[str], object], limit: int = 300_000, longest: int = 1 << 30):
         super().__init__()
-        self._make, self._limit = make, limit
+        self._make, self._limit, self._longest = make, limit, longest
 
     def __missing__(self, word):
-        if len(self) >= self._limit:
-            self.clear()
-        self[word] = made = self._make(word)
+        made = self._make(word)
+        if len(word) <= self._longest:
+            if len(self) >= self._limit:
+                self.clear()
+            self[word] = made
         return made
 
 
