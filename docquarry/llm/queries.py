@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, chat, decontaminate, langid, licenses, quality, sharding, simhash, toxicity, warc
+from docquarry.llm import bpe, chat, decontaminate, exactdedup, langid, lexical, licenses, quality, sharding, simhash, toxicity, warc
 from docquarry.session import prepare, table
 
 
@@ -58,6 +58,16 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_digest(table(prepare(spark), sf_dir, "documents", spread=True))
 
 
+def op11_exact_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exactdedup.exact_duplicates(table(prepare(spark), sf_dir, "documents", spread=True), digest_all=True)
+    return found.withColumnRenamed("digest", "text_sha256")
+
+
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return lexical.ranked_search(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_snapshots": op1_chat_snapshots,
     "op2_bpe_automaton": op2_bpe_automaton,
@@ -69,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op10_histogram_shards": op10_histogram_shards,
     "op9_simhash": op9_simhash,
+    "op11_exact_refinement": op11_exact_refinement,
+    "op13_dual_tree_search": op13_dual_tree_search,
 }
 
 _WS = r"[\x20\x09-\x0D]"
@@ -239,10 +251,35 @@ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DE
 SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap, place AS first_word FROM best WHERE k = 1
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, count(*) AS group_size, max(points) AS most FROM d GROUP BY 1),
+k AS (SELECT text_sha256, min(doc_id) AS keep_id FROM d JOIN g USING (text_sha256) WHERE points = most GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256) JOIN k USING (text_sha256)
+"""
+
+_TERMS13 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS13} AS w FROM documents),
+b AS (SELECT item_id, unnest(list_distinct({_TERMS13})) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+c AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+x AS (
+  SELECT doc_id, term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS part
+  FROM c JOIN f USING (term), s),
+r AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM b JOIN x USING (term) GROUP BY 1, 2 HAVING sum(part) > 0),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r)
+SELECT * FROM k WHERE rank <= {lexical.TOP}
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_snapshots": OP1_SQL,
     "op5_warc_derivatives": OP5_SQL,
     "op6_decontamination_wand": OP6_SQL,
     "op7_license_diagonals": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op11_exact_refinement": OP11_SQL,
+    "op13_dual_tree_search": OP13_SQL,
 }
