@@ -7,9 +7,9 @@ and one summary row for each part, a few for each partition, carries what came b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.session import cut_lineage
@@ -52,3 +52,44 @@ def change_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str], va
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("__part", *group)]
     out = local.alias("r").join(edge.alias("o"), same, "left")
     return out.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r.__sum") + F.col("o.__upto")).alias(name), (~F.col("r.__last") | F.col("o.__more")).alias(more))
+
+
+def scan(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    sums: Mapping[str, Column] | None = None,
+    xors: Mapping[str, Column] | None = None,
+    lasts: Mapping[str, Column] | None = None,
+    lags: Mapping[str, tuple[Column, int]] | None = None,
+    leads: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """The rows with running states of their group, in order, the row itself counted; ``order`` should tell rows apart.
+
+    sums and xors: of all values so far, null counting as 0. lasts: the last value so far that isn't null. lags: the
+    value one or two rows before, leads: of the next row; both null where there is no such row. All of these are
+    associative, so a partition needs one row of what came before it and what comes after: two rows a partition are broadcast.
+    """
+    sums, xors, lasts, lags, leads = ({**(x or {})} for x in (sums, xors, lasts, lags, leads))
+    zero = F.lit(0).cast("long")
+    values = {f"__s_{k}": F.coalesce(c.cast("long"), zero) for k, c in sums.items()} | {f"__x_{k}": F.coalesce(c.cast("long"), zero) for k, c in xors.items()} | {f"__l_{k}": c for k, c in lasts.items()}
+    own = F.struct(F.lit(1).alias("__row"), *[c.alias(f"b_{k}") for k, (c, _) in lags.items()], *[c.alias(f"a_{k}") for k, c in leads.items()])
+    placed = in_ranges(df.withColumns(values | {"__own": own}), group, order)
+    side = Window.partitionBy("__part", *group).orderBy(*order)
+    upto, key = side.rowsBetween(Window.unboundedPreceding, Window.currentRow), F.struct(*order)
+    running = {f"__s_{k}": F.sum(f"__s_{k}").over(upto) for k in sums} | {f"__x_{k}": F.bit_xor(f"__x_{k}").over(upto) for k in xors} | {f"__l_{k}": F.last(f"__l_{k}", ignorenulls=True).over(upto) for k in lasts}
+    local = placed.withColumns(running | {"__i": F.row_number().over(side), "__prev": F.lag("__own").over(side), "__prev2": F.lag("__own", 2).over(side), "__next": F.lead("__own").over(side)})
+    ends = local.groupBy("__part", *group).agg(F.max_by(F.struct(*running, "__own", "__prev"), key).alias("end"), F.min_by("__own", key).alias("begin"))
+    parts = Window.partitionBy(*group).orderBy("__part")
+    before = parts.rowsBetween(Window.unboundedPreceding, -1)
+    carried = {f"__s_{k}": F.sum(f"end.__s_{k}").over(before) for k in sums} | {f"__x_{k}": F.bit_xor(f"end.__x_{k}").over(before) for k in xors} | {f"__l_{k}": F.last(f"end.__l_{k}", ignorenulls=True).over(before) for k in lasts}
+    carry = ends.withColumns(carried | {"__tail": F.lag("end.__own").over(parts), "__tail2": F.coalesce(F.lag("end.__prev").over(parts), F.lag("end.__own", 2).over(parts)), "__head": F.lead("begin").over(parts)})
+    carry = carry.where(F.col("__tail").isNotNull() | F.col("__head").isNotNull())  # groups that go on from or into another partition
+    r, o = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"o.{c}"))
+    out = local.alias("r").join(F.broadcast(carry.select("__part", *group, *carried, "__tail", "__tail2", "__head")).alias("o"), [r(c).eqNullSafe(o(c)) for c in ("__part", *group)], "left")
+    prev = F.coalesce(r("__prev"), o("__tail"))
+    prev2 = F.coalesce(r("__prev2"), F.when(r("__i") == 2, o("__tail")).when(r("__i") == 1, o("__tail2")))
+    after = F.coalesce(r("__next"), o("__head"))
+    made = [(r(f"__s_{k}") + F.coalesce(o(f"__s_{k}"), zero)).alias(k) for k in sums] + [r(f"__x_{k}").bitwiseXOR(F.coalesce(o(f"__x_{k}"), zero)).alias(k) for k in xors]
+    made += [F.coalesce(r(f"__l_{k}"), o(f"__l_{k}")).alias(k) for k in lasts] + [(prev, prev2)[n - 1][f"b_{k}"].alias(k) for k, (_, n) in lags.items()] + [after[f"a_{k}"].alias(k) for k in leads]
+    return out.select(*[r(c) for c in df.columns], *made)
