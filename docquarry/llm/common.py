@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquarry.session import cut_lineage
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -92,3 +94,16 @@ class WordRows(dict):
             self._rows[n : n + len(new)] = new
             self._fresh = []
         return self._rows[at]
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size_col: str, most_hot: int = 20_000) -> DataFrame:
+    """Inner join of rows with their groups (keys, size_col, ...), one row a group, size_col being its number of rows; keys aren't null.
+
+    Groups of more than 1 / ``most_hot`` of all rows are fewer than ``most_hot``, and are broadcast; no other key is hot.
+    """
+    groups = cut_lineage(groups)
+    total = groups.agg(F.coalesce(F.sum(size_col), F.lit(0))).first()[0]
+    hot = groups.where(F.col(size_col) > max(1_000, total // most_hot))
+    names = F.broadcast(hot.select(*keys))
+    rest = rows.join(names, list(keys), "left_anti").join(groups.join(names, list(keys), "left_anti"), list(keys))
+    return rows.join(F.broadcast(hot), list(keys)).unionByName(rest).drop(size_col)

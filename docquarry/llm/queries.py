@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, chat, decontaminate, exactdedup, langid, lexical, licenses, quality, sharding, simhash, toxicity, warc
+from docquarry.llm import bpe, chat, decontaminate, exactdedup, langid, lexical, licenses, quality, sharding, simhash, toxicity, trie, warc
 from docquarry.session import prepare, table
 
 
@@ -63,6 +63,10 @@ def op11_exact_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt_paths(table(prepare(spark), sf_dir, "conversations")))
+
+
 def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return lexical.ranked_search(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_histogram_shards": op10_histogram_shards,
     "op9_simhash": op9_simhash,
     "op11_exact_refinement": op11_exact_refinement,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_dual_tree_search": op13_dual_tree_search,
 }
 
@@ -258,6 +263,33 @@ k AS (SELECT text_sha256, min(doc_id) AS keep_id FROM d JOIN g USING (text_sha25
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256) JOIN k USING (text_sha256)
 """
 
+# crc32 of the decimal id: a byte is folded in, then eight bits are shifted out
+_BITS = "flatten(list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: [ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BITS}), lambda s, b: CASE WHEN b >= 0 THEN xor(s, b) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END), 4294967295)"
+
+OP12_SQL = f"""
+WITH t AS (
+  SELECT conv_id, sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS mark, length(coalesce(text, '')) AS points,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, '')))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS family, {_CRC32} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT ids.conv_id, 0 AS part, n, mark, points FROM ids JOIN t ON t.conv_id = family WHERE n <= h
+  UNION ALL SELECT conv_id, 1, n, mark, points FROM t JOIN ids USING (conv_id) WHERE n > h
+  UNION ALL SELECT conv_id, -1, 0, '', 0 FROM ids),
+p AS (
+  SELECT conv_id, points, row_number() OVER w - 1 AS depth, string_agg(mark, '') OVER w AS prefix, lead(n) OVER (PARTITION BY conv_id ORDER BY part, n) IS NULL AS last
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+v AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(points) AS own,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+k AS (SELECT left(prefix, 64 * (depth - 1)) AS prefix, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+f AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k USING (prefix)),
+up AS (SELECT left(prefix, 64 * d) AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN up USING (prefix) LEFT JOIN v u ON f.depth > 0 AND u.prefix = left(f.prefix, 64 * (f.depth - 1))
+"""
+
 _TERMS13 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 OP13_SQL = f"""
@@ -281,5 +313,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_license_diagonals": OP7_SQL,
     "op8_quality_rules": OP8_SQL,
     "op11_exact_refinement": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_dual_tree_search": OP13_SQL,
 }
