@@ -2,21 +2,21 @@
 
 A document's vector holds a saturated frequency of each of the items' terms, an item's vector its terms' weights;
 a score is their inner product, in integers throughout. Items form a tree, and so do the documents of each batch that a
-task reads: neighbours by a few fixed random directions share a leaf. A node holds the maxima of each coordinate
+task reads: documents that score alike for groups of items share a leaf. A node holds the maxima of each coordinate
 below it, so the product of two nodes bounds every score between them. A pair of nodes whose bound is under the
 weakest k-th score of its items is dropped with all documents and items below it. What is left at the leaves is scored; nothing
 that could stand among the k best is ever dropped, so the result is exact.
 
 Texts are cut into terms once; what later passes read are vectors over the items' terms, written to the shared
-folder. One document of SEED_SHARE only sets the first k-th scores, as lower bounds that all tasks begin with; then all
-documents are searched. A task sends on k documents an item at most.
+folder. Shares of the documents, a small one and then a larger, are searched first, only for the k-th scores that they have: lower
+bounds that all tasks begin with when all documents are searched. A task sends on k documents an item at most.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,12 +28,12 @@ from docquarry.llm.common import Batches
 from docquarry.session import cut_lineage
 
 TOP = 50
-LEAF_DOCS, LEAF_ITEMS, FAN = 8, 4, 4
+LEAF_DOCS, LEAF_ITEMS, FAN = 4, 4, 4
 #: Documents of a batch at most; numbers that a batch, and that the items of one block, may hold.
-BATCH, CELLS = 1_024, 4_000_000
+BATCH, BATCH_CELLS, CELLS = 4_096, 8_000_000, 4_000_000
 #: Bytes of items' terms that are sent out at once; a larger set of items costs more passes, not a larger broadcast.
 GROUP_BYTES = 16 << 20
-SEED_SHARE = 32
+SEED_SHARES = (64, 8)
 DIRECTIONS = 6
 NO_ID = np.iinfo(np.int64).max
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -81,6 +81,13 @@ class Block:
     dtype: type
     levels: list[list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
 
+    def affinities(self, docs: np.ndarray) -> np.ndarray:
+        """What documents score for each least group of items."""
+        out = np.empty((len(docs), len(self.levels[1])))
+        for k, (columns, values) in enumerate(self.levels[1]):
+            out[:, k] = docs[:, columns] @ values
+        return out
+
     def weakest(self, least: np.ndarray) -> list[np.ndarray]:
         """The least k-th score below each node, level by level."""
         out, width = [least[self.items]], LEAF_ITEMS
@@ -224,14 +231,14 @@ def _best_of(found: DataFrame, blocks: list[Block], least: np.ndarray, n_docs: i
         tf = np.array([x for r in rows for x in r[3]], np.int64)
         value = 1_000_000_000 * tf // (1000 * tf + 20 * sizes[doc])
         for block, place in zip(blocks, places, strict=True):
-            step = max(LEAF_DOCS, CELLS // max(1, len(block.columns)))
+            step = max(LEAF_DOCS, BATCH_CELLS // max(1, len(block.columns)))
             column = place[term]
             for lo in range(0, len(rows), step):
                 n = min(step, len(rows) - lo)
                 own = (column >= 0) & (doc >= lo) & (doc < lo + n)
                 dense = np.zeros((n, len(block.columns)), block.dtype)
                 dense[doc[own] - lo, column[own]] = value[own]
-                order = neighbours(dense @ _directions(len(block.columns)), LEAF_DOCS)
+                order = neighbours(block.affinities(dense), LEAF_DOCS)
                 for item, at, scores in dual_search(block, dense[order], best.least):
                     best.add(item, scores.astype(np.int64), ids[lo + order[at]])
 
@@ -264,7 +271,7 @@ def _best_of(found: DataFrame, blocks: list[Block], least: np.ndarray, n_docs: i
     return some.drop("part").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def ranked_search(docs: DataFrame, items: DataFrame, k: int = TOP, seed_share: int = SEED_SHARE, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def ranked_search(docs: DataFrame, items: DataFrame, k: int = TOP, seed_shares: Sequence[int] = SEED_SHARES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(item_id, rank, doc_id, score): the k documents of each item with the highest scores above 0.
 
     docs: (doc_id, text), items: (item_id, text); other columns are ignored. Equal scores go by ascending id, null ids last;
@@ -285,9 +292,9 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = TOP, seed_share: i
         blocks = blocks_of(rows, np.array([weight_of(n_docs, x) for x in df.tolist()], np.int64))
         search = lambda part, least: _best_of(part, blocks, least, n_docs, n_terms, len(terms), k)  # noqa: E731, B023
         least = np.zeros(len(ids), np.int64)
-        seeds = search(found.where(F.pmod(F.xxhash64("doc_id", "n"), F.lit(seed_share)) == 0), least)
-        for row in seeds.where(F.col("rank") == k).collect():  # a row an item
-            least[row.item] = row.score
+        for share in seed_shares:
+            for row in search(found.where(F.pmod(F.xxhash64("doc_id", "n"), F.lit(share)) == 0), least).where(F.col("rank") == k).collect():  # a row an item
+                least[row.item] = row.score
         named = spark.createDataFrame(list(enumerate(ids)), "item int, item_id long")
         best = search(found, least).join(F.broadcast(named), "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
         out = best if out is None else out.unionByName(best)
