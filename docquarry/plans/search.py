@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docquarry.operators import ann as A
 from docquarry.operators import retrieval as R
 from docquarry.plans import model
-from docquarry.session import prepare, table
+from docquarry.session import prepare, scratch_folder, table
 
 QUERY_VECTOR_ID = 7
 TERMS = ("the", "and")
@@ -36,6 +37,31 @@ def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "document_id", "rank", F.abs(F.round("distance", 6)).alias("distance"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame, DataFrame]:
+    """An index of all vectors, the vectors, and those whose id divides by 50 as questions."""
+    vectors = model.vectors(spark, sf_dir)
+    path = scratch_folder(spark, "ann")
+    A.build_index(vectors, path)
+    return path, vectors, vectors.where(F.col("document_id") % 50 == 0).select(F.col("document_id").alias("query_id"), "embedding")
+
+
+def vector_topk_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the ten nearest vectors of every vector whose id divides by 50, by an index of all."""
+    path, vectors, queries = _indexed(spark, sf_dir)
+    return A.search(path, queries, vectors, 10).select("query_id", "document_id", "rank", F.abs(F.round("distance", 6)).alias("distance"))
+
+
+def vector_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the ten nearest vectors of each question its index finds, and the share of all vectors in the cells that it reads."""
+    path, vectors, queries = _indexed(spark, sf_dir)
+    made = A.read_model(spark, path)
+    true, found = R.nearest(queries, vectors, 10), A.search(path, queries, vectors, 10)
+    hits = true.join(found.select("query_id", "document_id", F.lit(1).alias("hit")), ["query_id", "document_id"], "left").groupBy("query_id").agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+    sizes = spark.read.parquet(f"{path}/blocks").groupBy("cell").agg(F.sum(F.size("ids")).alias("rows"))
+    read = A._routed(queries, made, made.probes).join(F.broadcast(sizes), "cell").groupBy("query_id").agg(F.sum("rows").alias("rows_read"))
+    return hits.join(read, "query_id")
+
+
 def text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = R.text_pool(_docs(spark, sf_dir), TERMS, R.pool_size(K))
     return pool.select("document_id", "text_rank", F.round("text_score", 6).alias("text_score"))
@@ -101,7 +127,7 @@ def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("event_id", R.lenient_object(raw, "k long")["k"].alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_batch, text_topk, text_phrase_topk, hybrid_rrf, hybrid_filtered, text_only, citations, sources_list, message_kinds, answer_states, lenient_json)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_batch, vector_topk_ann, vector_ann_recall, text_topk, text_phrase_topk, hybrid_rrf, hybrid_filtered, text_only, citations, sources_list, message_kinds, answer_states, lenient_json)}
 
 _TERMS_SQL = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _BASE = f"""WITH {model.DOCUMENTS_SQL},
