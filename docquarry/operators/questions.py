@@ -8,7 +8,7 @@ prefixes of the words they stand for, so that a plain substring test drops most
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -44,7 +44,7 @@ class Literals:
     must_not: list[tuple[str, ...]] = field(default_factory=list)
 
 
-def parse(question: str, stop_words: Sequence[str] = STOP_WORDS) -> list[Literals]:
+def parse(question: str, stop_words: Sequence[str] = STOP_WORDS, stem: Callable[[str], str] = stem_of) -> list[Literals]:
     """Alternatives of a question; those that ask for no word are left out, so a question of stop words has none."""
     out = [Literals()]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', question):
@@ -53,7 +53,7 @@ def parse(question: str, stop_words: Sequence[str] = STOP_WORDS) -> list[Literal
             continue
         bare = word[1:] if not minus and word.startswith("-") else word
         cut = [t for t in re.split(r"[\W_]+", (phrase or bare).lower()) if t]
-        stems = tuple(stem_of(t) for t in cut if t not in stop_words)
+        stems = tuple(stem(t) for t in cut if t not in stop_words)
         if stems:
             # a word with marks inside is a phrase of its parts
             (out[-1].must_not if minus or bare != word else out[-1].must).append(stems)
@@ -115,18 +115,19 @@ def question_pool(chunks: DataFrame, question: str, k: int, key: Sequence[str] =
     return best.withColumn("text_rank", F.row_number().over(Window.orderBy(F.desc("text_score"), *key)))
 
 
-def search_chunks(chunks: DataFrame, question: str, query: Sequence[float] | None, k: int = 8, where: Column | None = None) -> DataFrame:
+def search_chunks(chunks: DataFrame, question: str, query: Sequence[float] | None, k: int = 8, where: Column | None = None, text: DataFrame | None = None) -> DataFrame:
     """The k best chunks of ready documents, as passages with all that an answer shows of them.
 
     chunks: (document_id, ordinal, filename, status, header, section, content, tags, embedding), tenant columns for ``where``.
     Both pools hold max(4k, 20) chunks, fused by reciprocal ranks; equal scores go by ordinal, then document.
-    (document_id, ordinal, filename, header, section, tags, snippet, score, vec_rank, text_rank); chunks without a vector take part by their text alone.
+    (document_id, ordinal, filename, header, section, tags, snippet, score, vec_rank, text_rank); chunks without a vector take part by their text alone. ``text`` is the text's pool (document_id, ordinal, text_score,
+    text_rank), where an index has found it.
     """
     ready = chunks.where("status = 'ready'")
     ready = ready.where(where) if where is not None else ready
     key = F.struct("document_id", "ordinal").alias("chunk")
     vector = None if query is None else vector_pool(ready.where(F.col("embedding").isNotNull()).select(key, "embedding"), query, pool_size(k), "chunk")
-    text = question_pool(ready, question, pool_size(k)).select(key, "text_score", "text_rank")
+    text = (question_pool(ready, question, pool_size(k)) if text is None else text).select(key, "text_score", "text_rank")
     best = fuse(vector, text, k, "chunk", order=("chunk.ordinal", "chunk.document_id")).select("chunk.document_id", "chunk.ordinal", "score", "vec_rank", "text_rank")
     shown = ready.select("document_id", "ordinal", "filename", "header", "section", "tags", F.substring("content", 1, SNIPPET_CHARS).alias("snippet"))
     return winners(shown, best, ("document_id", "ordinal"))
