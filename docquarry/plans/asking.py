@@ -67,13 +67,26 @@ def answers_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.answer(results, asked, ("conv_id", "turn"), "Not found.")
 
 
-def intake_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as uploads, against a catalogue of the first document of every file name."""
+def _uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as uploads, and a catalogue of the first document of every file name."""
     docs = model.documents(spark, sf_dir)
     first = docs.groupBy("workspace_id", "filename").agg(F.min(F.struct("document_id", F.sha2("content", 256).alias("file_hash"), "status")).alias("d"))
     catalogue = first.select("workspace_id", "filename", "d.*", F.lit("v4").alias("version"))
     uploads = docs.select(F.col("document_id").alias("upload_id"), "workspace_id", "filename", F.col("content").cast("binary").alias("content"), F.when(F.col("document_id") % 9 > 0, "text/plain").alias("mime_type"))
-    out = I.decide(uploads, catalogue, MOST_BYTES)
+    return uploads, catalogue
+
+
+def intake_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every upload decided against the catalogue as it is."""
+    return _decided(I.decide(*_uploads(spark, sf_dir), MOST_BYTES))
+
+
+def intake_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every upload decided once those before it have taken effect."""
+    return _decided(I.decide_in_order(*_uploads(spark, sf_dir), MOST_BYTES))
+
+
+def _decided(out: DataFrame) -> DataFrame:
     return out.select("upload_id", "decision", F.coalesce("document_id", F.lit(-1)).alias("document_id"), F.coalesce("version", F.lit("")).alias("version"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
@@ -146,7 +159,7 @@ def saved_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.save_exchanges(messages, exchanges).select("user_id", "turn", "role", "content")
 
 
-QUERIES = {f.__name__: f for f in (search_question, search_chunks, cited_sources, answers_assembled, intake_decisions, retry_plan, name_clashes, admin_sessions, section_headers, document_profiles, chat_routes, job_progress, saved_exchanges)}
+QUERIES = {f.__name__: f for f in (search_question, search_chunks, cited_sources, answers_assembled, intake_decisions, intake_batch, retry_plan, name_clashes, admin_sessions, section_headers, document_profiles, chat_routes, job_progress, saved_exchanges)}
 
 
 def _scores_sql(source: str, key: str, question: str) -> str:

@@ -1,7 +1,10 @@
 """Upload decisions, what they do to catalogue and chunks, name clashes and retries."""
 
 import hashlib
+import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import intake as I
@@ -135,3 +138,57 @@ def test_small_rules(spark):
     exchanges = spark.createDataFrame([("w", 1, 2, "q2", "a2"), ("w", 1, 1, "q1", None), ("w", 2, 1, "q", "a")], "workspace_id string, user_id long, seq int, question string, answer string")
     got = sorted((r.user_id, r.turn, r.role, r.content) for r in A.save_exchanges(messages, exchanges).collect())
     assert got == [(1, 3, "user", "old"), (1, 4, "user", "q1"), (1, 5, "assistant", None), (1, 6, "user", "q2"), (1, 7, "assistant", "a2"), (2, 0, "user", "q"), (2, 1, "assistant", "a")]
+
+
+def in_order(uploads, catalogue, most):
+    """One upload after another, as a plain loop."""
+    docs = [dict(zip(("ws", "id", "name", "hash", "status", "version"), c, strict=True)) for c in catalogue]
+    out = {}
+    for upload, ws, name, content, mime in sorted(uploads, key=lambda u: u[0]):
+        if content is None or len(content) == 0 or len(content) > most or mime is None:
+            out[upload] = ("rejected", None, None)
+            continue
+        digest = hashlib.sha256(content).hexdigest()
+        pick = lambda found: min(found, key=lambda d: (d["status"] != "ready", d["id"]), default=None)
+        same = pick([d for d in docs if d["ws"] == ws and d["hash"] == digest])
+        if same and same["status"] == "ready":
+            out[upload] = ("deduplicated", same["id"], same["version"])
+            continue
+        doc = same or pick([d for d in docs if d["ws"] == ws and name is not None and d["name"] == name])
+        decision = "requeued" if same else "new_version" if doc else "new"
+        if doc is None:
+            doc = {"ws": ws, "id": upload, "version": "v1"}
+            docs.append(doc)
+        elif not same:
+            found = re.fullmatch("v([0-9]+)", doc["version"])
+            doc["version"] = f"v{int(found[1]) + 1}" if found else "v2"
+        doc |= {"hash": digest, "name": name, "status": "pending"}
+        out[upload] = (decision, doc["id"], doc["version"])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_uploads_of_a_batch_see_each_other(spark, seed):
+    rng = random.Random(seed)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    names = [None, *(f"n{i}" for i in range(6 + 20 * seed))]
+    catalogue = [(ws, 10_000 + 10 * i + k, f"n{i}", sha(f"c{rng.randrange(8)}".encode()), rng.choice(["ready", "failed", None]), rng.choice(["v1", "v9", "draft", "v"])) for i in range(5) for k, ws in enumerate(("a", "b"))]
+    uploads = []
+    for i in range(500):
+        content = rng.choice([None, b"", b"x" * 99, *[f"c{rng.randrange(8 + 60 * seed)}".encode()] * 9])
+        uploads.append((i, rng.choice(["a", "a", "b", None]), rng.choice(names), content, rng.choice(["text/plain"] * 9 + [None])))
+    # one hot name with bytes of its own, which come again now and then
+    uploads += [(1_000 + i, "a", "hot", f"own {i // 3 if i % 100 else rng.randrange(9)}".encode(), "text/plain") for i in range(1_500)]
+    catalogue.append(("a", 99_999, "kept", sha(b"keep"), "ready", "v3"))
+    uploads += [(3_000, "a", None, b"keep", "text/plain"), (3_001, "b", "kept", b"keep", "text/plain"), (3_002, "a", "kept", b"other", "text/plain"), (3_003, "a", "x", b"keep", "text/plain")]
+    got = I.decide_in_order(spark.createDataFrame(rng.sample(uploads, len(uploads)), "upload_id long, workspace_id string, filename string, content binary, mime_type string").repartition(3), spark.createDataFrame(catalogue, "workspace_id string, document_id long, filename string, file_hash string, status string, version string"), 50).collect()
+    assert len(got) == len(uploads)
+    assert {r.upload_id: (r.decision, r.document_id, r.version) for r in got} == in_order(uploads, catalogue, 50)
+    assert {r.decision for r in got} == {"rejected", "deduplicated", "requeued", "new_version", "new"}
+
+
+def test_no_uploads_or_no_catalogue_in_order(spark):
+    uploads, catalogue = "upload_id long, workspace_id string, filename string, content binary, mime_type string", "workspace_id string, document_id long, filename string, file_hash string, status string, version string"
+    assert I.decide_in_order(spark.createDataFrame([], uploads), spark.createDataFrame([("a", 1, "n", "h", "ready", "v1")], catalogue), 50).count() == 0
+    got = I.decide_in_order(spark.createDataFrame([(1, "a", "n", b"x", "text/plain"), (2, "a", "m", b"x", "text/plain"), (3, "a", "n", b"y", "text/plain")], uploads), spark.createDataFrame([], catalogue), 50)
+    assert [(r.decision, r.document_id, r.version) for r in got.orderBy("upload_id").collect()] == [("new", 1, "v1"), ("requeued", 1, "v1"), ("new", 3, "v1")]
