@@ -1,18 +1,20 @@
-"""A positional inverted index: written once by Spark, opened by questions term by term.
+"""A positional inverted index: written once by Spark, opened by questions stem by stem.
 
 A task inverts its passages in batches of bounded size. What a batch holds of one stem is a segment: the passages, how often and where
 it stands in each, all delta-coded in variable-length bytes; places in the header are negative, those in the body begin at 1. A segment
 tells the most places that one passage of it has and whether any is in a header, which bounds what a passage of the batch can score.
-Segments are partitioned by a hash of their stem and sorted by it; a stem that is everywhere has a segment a batch, and partitions
-of many bytes are cut into several files. Beside them a directory holds the key of each passage and what searches filter by.
+Stems are dealt to slots by a hash. A row holds a batch's segments of one slot; rows are partitioned by slots and sorted by them, and
+partitions of many bytes are cut into several files, so a stem that is everywhere has a segment a batch. A directory, a partition of
+its own, holds the keys of each batch's passages and what searches filter by.
 
-A question reads the segments of its own stems. They meet by batch, so a task holds a few segments, the places of passages that have all of
+A question reads the slots of its own stems. They meet by batch, so a task holds a few rows, the places of passages that have all of
 the words are decoded, and batches whose bound is under the k-th score so far are passed over. No text is read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -26,13 +28,13 @@ from docquarry.functions.stemmer import Stems
 from docquarry.functions.text import terms
 from docquarry.operators.questions import Literals, parse, stem_of
 from docquarry.operators.retrieval import BODY_WEIGHT, HEADER_WEIGHT
-from docquarry.session import cut_lineage
 
-BATCH_ROWS, BATCH_TOKENS = 1_024, 1_000_000
-BUCKETS = 64
-FILE_BYTES = 64 << 20
-SEGMENT = ("docs", "counts", "places", "most", "head")
-SEGMENTS = "batch long, stem string, docs binary, counts binary, places binary, most int, head boolean"
+BATCH_ROWS, BATCH_CHARS = 4_096, 16_000_000
+SLOTS, BUCKETS = 1_024, 64
+DIRECTORY = -1  # its bucket
+FILE_CHARS = 256 << 20  # of texts, whose postings make one file of a bucket's, about, times BUCKETS
+ROW = ("stems", "docs", "counts", "places", "sizes", "most")
+ROWS = "batch long, slot int, stems string, docs binary, counts binary, places binary, sizes binary, most binary"
 _term = re.compile(r"[^\W_]+").findall
 
 
@@ -71,8 +73,15 @@ def _unfolded(x: np.ndarray) -> np.ndarray:
     return np.where(x % 2 == 1, -(x + 1) // 2, x // 2)
 
 
+def slot_of(stem: str) -> int:
+    return zlib.crc32(stem.encode("utf-8", "surrogatepass")) % SLOTS
+
+
 def invert(headers: list[str | None], bodies: list[str | None], stems: Stems) -> Iterator[tuple]:
-    """(stem, docs, counts, places, most, head) of each stem of some passages."""
+    """(slot, stems, docs, counts, places, sizes, most) of some passages: the segments of each slot's stems, one after another.
+
+    ``sizes`` are the bytes that a stem has in the three streams; ``most`` is twice the most places of a passage, and one more where any is in a header.
+    """
     numbers: dict[str, int] = {}
     words, docs, places = [], [], []
     for i, sides in enumerate(zip(headers, bodies, strict=True)):
@@ -82,7 +91,11 @@ def invert(headers: list[str | None], bodies: list[str | None], stems: Stems) ->
         places.append(np.concatenate([np.arange(-len(head), 0), np.arange(1, len(body) + 1)]))
     if not numbers:
         return
-    term, doc, place = (np.concatenate(x) for x in (words, docs, places))
+    names, slots = list(numbers), np.array([slot_of(s) for s in numbers])
+    by_slot = np.argsort(slots, kind="stable")
+    rank = np.empty(len(names), np.int64)
+    rank[by_slot] = np.arange(len(names))
+    term, doc, place = rank[np.concatenate(words)], np.concatenate(docs), np.concatenate(places)
     order = np.argsort(term, kind="stable")  # passages and places are in order already
     term, doc, place = term[order], doc[order], place[order]
     new_doc = np.concatenate([[True], (np.diff(term) != 0) | (np.diff(doc) != 0)])
@@ -92,59 +105,63 @@ def invert(headers: list[str | None], bodies: list[str | None], stems: Stems) ->
     post_term, post_doc = term[at], doc[at]
     new_term = np.concatenate([[True], np.diff(post_term) != 0])
     steps = np.where(new_term, post_doc, np.diff(post_doc, prepend=0))
-    streams = [written(x) for x in (steps, counts, gaps)]
     first_post = np.append(np.nonzero(new_term)[0], len(at))
     first_place = np.append(at[first_post[:-1]], len(term))
-    most, in_head = np.maximum.reduceat(counts, first_post[:-1]), np.minimum.reduceat(place, first_place[:-1]) < 0
-    names = list(numbers)
-    cuts = [np.concatenate([[0], ends[x[1:] - 1]]) for (_, ends), x in zip(streams, (first_post, first_post, first_place), strict=True)]
-    raw = [data.tobytes() for data, _ in streams]
-    for i, number in enumerate(post_term[first_post[:-1]].tolist()):
-        yield (names[number], *(raw[s][cuts[s][i] : cuts[s][i + 1]] for s in range(3)), int(most[i]), bool(in_head[i]))
+    most = 2 * np.maximum.reduceat(counts, first_post[:-1]) + (np.minimum.reduceat(place, first_place[:-1]) < 0)
+    raw, cuts = [], []
+    for values, firsts in ((steps, first_post), (counts, first_post), (gaps, first_place)):
+        data, ends = written(values)
+        raw.append(data.tobytes())
+        cuts.append(np.concatenate([[0], ends[firsts[1:] - 1]]))
+    sizes = np.stack([np.diff(c) for c in cuts], axis=1)
+    begin = np.append(np.nonzero(np.diff(slots[by_slot], prepend=-1))[0], len(names)).tolist()
+    for a, b in zip(begin, begin[1:], strict=False):
+        own = by_slot[a:b].tolist()
+        yield (int(slots[own[0]]), "\n".join(names[i] for i in own), *(r[c[a] : c[b]] for r, c in zip(raw, cuts, strict=True)), written(sizes[a:b].ravel())[0].tobytes(), written(most[a:b])[0].tobytes())
 
 
 def build(passages: DataFrame, path: str, key: Sequence[str], keep: Sequence[str] = (), stem: Callable[[str], str] = stem_of, header_col: str = "header", body_col: str = "content") -> None:
     """Writes the index of all passages: (key, keep, header, body). Null texts have no words; equal keys are passages of their own.
 
-    Each text is cut into words once, each word stemmed once a task.
+    Each text is cut into words once, each word stemmed once a task. Passages are inverted in the order of their keys, so that a task
+    which runs again makes the same batches.
     """
     rows = passages.select(F.struct(*key, *keep).alias("info"), F.col(header_col).cast("string").alias("header"), F.col(body_col).cast("string").alias("body"))
+    chars = passages.agg(F.sum(F.coalesce(F.length(header_col), F.lit(0)) + F.coalesce(F.length(body_col), F.lit(0)).cast("long"))).first()[0] or 0
+    files = max(1, -(-chars // FILE_CHARS))
     kind = to_arrow_schema(rows.select("info").schema).field(0).type
-    schema = pa.schema([("batch", pa.int64()), ("stem", pa.string()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("most", pa.int32()), ("head", pa.bool_()), ("info", pa.list_(kind))])
+    schema = pa.schema([("batch", pa.int64()), ("slot", pa.int32()), ("stems", pa.string()), *((c, pa.binary()) for c in ROW[1:]), ("info", pa.list_(kind))])
 
     def run(batches):
         from pyspark import TaskContext
 
         stems, number = Stems(stem), TaskContext.get().partitionId() << 32
-        held, size = [], 0
+        held, n_held, size = [], 0, 0
 
         def out() -> Iterator[pa.RecordBatch]:
             infos = [x for chunk, _, _ in held for x in chunk]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.nulls(1, f.type) for f in list(schema)[1:-1]), pa.array([infos], pa.list_(kind))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([DIRECTORY], pa.int32()), *(pa.nulls(1, f.type) for f in list(schema)[2:-1]), pa.array([infos], pa.list_(kind))], schema=schema)
             found = list(invert([h for _, hs, _ in held for h in hs], [b for _, _, bs in held for b in bs], stems))
-            for lo in range(0, len(found), 4_096):
-                cols = list(zip(*found[lo : lo + 4_096], strict=True))
+            for lo in range(0, len(found), 64):
+                cols = list(zip(*found[lo : lo + 64], strict=True))
                 n = len(cols[0])
                 yield pa.RecordBatch.from_arrays([pa.array([number] * n), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:-1], strict=True)), pa.nulls(n, pa.list_(kind))], schema=schema)
 
         for part in (batch.slice(lo, BATCH_ROWS) for batch in batches for lo in range(0, batch.num_rows, BATCH_ROWS)):
             infos, headers, bodies = (part.column(i).to_pylist() for i in range(3))
             held.append((infos, headers, bodies))
+            n_held += len(infos)
             size += sum(len(x or "") for x in headers) + sum(len(x or "") for x in bodies)
-            if sum(len(x[0]) for x in held) >= BATCH_ROWS or size >= 6 * BATCH_TOKENS:
+            if n_held >= BATCH_ROWS or size >= BATCH_CHARS:
                 yield from out()
-                number, held, size = number + 1, [], 0
+                number, held, n_held, size = number + 1, [], 0, 0
         if held:
             yield from out()
 
-    made = cut_lineage(rows.mapInArrow(run, f"{SEGMENTS}, info array<{rows.schema['info'].dataType.simpleString()}>"))
-    made.where("stem IS NULL").select("batch", "info").write.parquet(f"{path}/directory")
-    segments = made.where("stem IS NOT NULL").drop("info").withColumn("bucket", F.pmod(F.xxhash64("stem"), F.lit(BUCKETS)).cast("int"))
-    held = F.octet_length("docs") + F.octet_length("counts") + F.octet_length("places")
-    sizes = segments.groupBy("bucket").agg(F.sum(held.cast("long")).alias("bytes"))  # BUCKETS rows
-    files = F.ceil(F.col("bytes") / FILE_BYTES).cast("int")
-    dealt = segments.join(F.broadcast(sizes.select("bucket", files.alias("files"))), "bucket").withColumn("file", F.pmod(F.xxhash64("batch"), F.greatest(F.lit(1), "files")))
-    dealt.repartition("bucket", "file").sortWithinPartitions("bucket", "stem", "batch").drop("file", "files").write.partitionBy("bucket").parquet(f"{path}/segments")
+    made = rows.sortWithinPartitions("info").mapInArrow(run, f"{ROWS}, info array<{rows.schema['info'].dataType.simpleString()}>")
+    bucket = F.when(F.col("slot") == DIRECTORY, F.lit(DIRECTORY)).otherwise(F.floor(F.col("slot") / (SLOTS // BUCKETS))).cast("int")
+    dealt = made.withColumns({"bucket": bucket, "file": F.pmod(F.xxhash64("batch"), F.lit(files))})
+    dealt.repartition("bucket", "file").sortWithinPartitions("bucket", "slot", "batch").drop("file").write.partitionBy("bucket").parquet(path)
 
 
 def covers(hits: list[tuple[int, int, int, float]], wanted: int, length: int) -> float:
@@ -163,8 +180,17 @@ def covers(hits: list[tuple[int, int, int, float]], wanted: int, length: int) ->
 class _Batch:
     """The segments that a question reads of one batch, by stem; streams are decoded when they are asked for."""
 
-    def __init__(self, segments: list[dict]):
-        self.by_stem = {s["stem"]: s for s in segments}
+    def __init__(self, rows: list[dict], stems: set[str]):
+        self.by_stem: dict[str, dict] = {}
+        for row in rows:
+            names = row["stems"].split("\n")
+            at = [i for i, name in enumerate(names) if name in stems]
+            if at:
+                ends, most = np.cumsum(read(row["sizes"]).reshape(-1, 3), axis=0), read(row["most"])
+                for i in at:
+                    lo = ends[i - 1] if i else (0, 0, 0)
+                    streams = {c: row[c][lo[k] : ends[i, k]] for k, c in enumerate(("docs", "counts", "places"))}
+                    self.by_stem[names[i]] = streams | {"most": int(most[i]) // 2, "head": bool(most[i] % 2)}
         self._docs: dict[str, np.ndarray] = {}
         self._places: dict[str, np.ndarray] = {}
 
@@ -226,34 +252,35 @@ class _Batch:
         return {d: covers(sorted(hits), len(want.must), sum(map(len, want.must))) for d, hits in by_doc.items()}
 
 
-def opened(spark: SparkSession, path: str, stems: Sequence[str]) -> DataFrame:
-    """The segments of some stems: their partitions, and what the files' statistics leave of these."""
-    names = spark.createDataFrame([(s,) for s in stems], "stem string")
-    buckets = [r[0] for r in names.select(F.pmod(F.xxhash64("stem"), F.lit(BUCKETS)).cast("int")).distinct().collect()]  # of the question's words
-    return spark.read.schema(f"{SEGMENTS}, bucket int").parquet(f"{path}/segments").where(F.col("bucket").isin(buckets) & F.col("stem").isin(list(stems)))
+def opened(spark: SparkSession, path: str, stems: Sequence[str], info: str) -> DataFrame:
+    """The rows with some stems, and those of the directory: their partitions, and what the files' statistics leave of these."""
+    slots = sorted({slot_of(s) for s in stems})
+    buckets = sorted({s // (SLOTS // BUCKETS) for s in slots})
+    return spark.read.schema(f"{ROWS}, info {info}, bucket int").parquet(path).where(F.col("bucket").isin(DIRECTORY, *buckets) & F.col("slot").isin(DIRECTORY, *slots))
 
 
-def question_pool(spark: SparkSession, path: str, question: str, k: int, key: Sequence[str], where: Callable[[Column], Column] | None = None, stem: Callable[[str], str] = stem_of) -> DataFrame:
+def question_pool(passages: DataFrame, path: str, question: str, k: int, key: Sequence[str], keep: Sequence[str] = (), where: Callable[[Column], Column] | None = None, stem: Callable[[str], str] = stem_of) -> DataFrame:
     """The k best (key, text_score, text_rank) of the passages that answer at least one alternative; equal scores go by key.
 
-    ``where`` makes a condition of a passage's entry in the directory. ``stem`` must be the one that the index was built with.
+    ``where`` makes a condition of a passage's entry in the directory. key, keep and ``stem`` must be those that the index was
+    built with; of ``passages`` only the types of these columns are read.
     """
-    wants = parse(question, stem=stem)
-    directory = spark.read.parquet(f"{path}/directory")
-    entry = directory.schema["info"].dataType.elementType
-    kinds = [entry[c] for c in key]
+    spark, wants = passages.sparkSession, parse(question, stem=stem)
+    kinds = [passages.schema[c] for c in key]
     if not wants:
         return spark.createDataFrame([], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", text_score double, text_rank int")
-    stems = sorted({s for w in wants for literal in (*w.must, *w.must_not) for s in literal})
-    meet = opened(spark, path, stems).groupBy("batch").agg(F.collect_list(F.struct("stem", *SEGMENT)).alias("segments"), F.sum("most").alias("hits"))  # a segment a stem
+    stems = {s for w in wants for literal in (*w.must, *w.must_not) for s in literal}
+    rows = opened(spark, path, sorted(stems), f"array<{passages.select(F.struct(*key, *keep).alias('i')).schema['i'].dataType.simpleString()}>")
     allowed = F.transform("info", lambda r: F.when(where(r) if where else F.lit(True), F.struct(*[r[c].alias(c) for c in key])))
-    both = meet.join(directory.select("batch", allowed.alias("info")), "batch").sortWithinPartitions(F.desc("hits")).select("segments", "info")
+    # a batch's directory entry and its rows of the question's slots
+    meet = rows.groupBy("batch").agg(F.collect_list(F.when(F.col("slot") >= 0, F.struct(*ROW))).alias("rows"), F.first(F.when(F.col("slot") == DIRECTORY, allowed), ignorenulls=True).alias("info"))
+    both = meet.where(F.size("rows") > 0).select("rows", "info")
 
     def run(batches):
         best: list[tuple] = []
         for batch in batches:
-            for segments, info in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = _Batch(segments)
+            for held, info in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = _Batch(held, stems)
                 if len(best) == k and round(sum(own.bound(w) for w in wants), 9) < -best[-1][0]:
                     continue
                 total: dict[int, float] = {}

@@ -22,8 +22,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_question_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What search_question finds, by an index of all documents."""
     path = scratch_folder(spark, "postings")
-    P.build(_documents(spark, sf_dir), path, ("document_id",))
-    found = P.question_pool(spark, path, asking.QUESTION, 32, ("document_id",))
+    docs = _documents(spark, sf_dir)
+    P.build(docs, path, ("document_id",))
+    found = P.question_pool(docs, path, asking.QUESTION, 32, ("document_id",))
     return found.select("document_id", "text_rank", F.round("text_score", 6).alias("text_score"))
 
 
@@ -31,7 +32,7 @@ def search_chunks_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What search_chunks finds, by an index of all passages; only ready documents' passages take part."""
     path, passages = scratch_folder(spark, "postings"), asking._passages(spark, sf_dir)
     P.build(passages, path, ("document_id", "ordinal"), ("status",))
-    text = P.question_pool(spark, path, asking.SHORT, pool_size(8), ("document_id", "ordinal"), lambda r: r["status"] == "ready")
+    text = P.question_pool(passages, path, asking.SHORT, pool_size(8), ("document_id", "ordinal"), ("status",), lambda r: r["status"] == "ready")
     best = Q.search_chunks(passages, asking.SHORT, search._query(spark, sf_dir), 8, text=text)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return best.select("document_id", "ordinal", "filename", "header", F.col("tags.document_type").alias("document_type"), F.round("score", 5).alias("score"), zero("vec_rank"), zero("text_rank"), "snippet")
@@ -40,8 +41,9 @@ def search_chunks_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 documents that answer a question best, words matched by full English stems."""
     path = scratch_folder(spark, "postings")
-    P.build(_documents(spark, sf_dir), path, ("document_id",), stem=english)
-    found = P.question_pool(spark, path, ENGLISH, 50, ("document_id",), stem=english)
+    docs = _documents(spark, sf_dir)
+    P.build(docs, path, ("document_id",), stem=english)
+    found = P.question_pool(docs, path, ENGLISH, 50, ("document_id",), stem=english)
     return found.select("document_id", "text_rank", F.round("text_score", 6).alias("text_score"))
 
 
