@@ -3,7 +3,8 @@
 Test items are the indexed documents. A term's impact on an item is its BM25
 weight divided by the item's own full score, so one threshold fits all items:
 a passage's score for an item is the share of the item it covers. Items are classed by
-length, and training texts are cut for each class into overlapping passages just long enough to hold any item of it.
+length, and training texts are cut for each class into passages of twice the longest item, one at each half of that length, so that
+wherever an item's window of one and a half lengths stands, a passage holds it whole.
 For a passage, the sums of the terms' largest impacts, then of their largest
 impacts in each block of items, are upper bounds; blocks that can't reach the
 threshold are skipped. In the blocks left, cursors over the postings advance
@@ -42,7 +43,9 @@ LEAST_STRIDE = 64
 SHARD_ITEMS, SHARD_CHARS = 4_000, 8 << 20
 #: Bytes of pickled shards that are broadcast at once.
 INDEX_BYTES = 64 << 20
-#: Sums of (segment, block) are kept in an array up to this many cells, sorted beyond.
+#: Half strides of a passage.
+SEGMENTS = 4
+#: Sums of (segment, block) are kept in an array up to this many cells, sorted beyond, with the same result.
 DENSE_CELLS = 4_000_000
 _words = regex.compile(r"[\p{L}\p{N}]+").findall
 
@@ -76,7 +79,7 @@ class Index:
     block_no: np.ndarray
     block_max: np.ndarray
     n_blocks: int
-    stride: int  # words; a passage is two strides long
+    stride: int  # words; a passage is two strides long and begins at each half of one
 
 
 def stride_of(n_words: int) -> int:
@@ -166,37 +169,41 @@ def passages_of(index: Index, words: list[str], threshold: float) -> list[tuple[
     """(item, score, first word of the passage) for all passages of a text."""
     if not words:
         return []
-    get, stride = index.terms.get, index.stride
+    get, half = index.terms.get, index.stride // 2
     numbers = np.array([get(w, -1) for w in words], np.int64)
     place = np.nonzero(numbers >= 0)[0]
     if not len(place):
         return []
-    term, seg = numbers[place], place // stride
-    n_seg = len(words) // stride + 1
-    # distinct terms of each segment; two segments make a passage
+    term, seg = numbers[place], place // half
+    n_seg = len(words) // half + 1
+    # distinct terms of each segment; SEGMENTS of them make a passage
     pair = np.unique(seg * len(index.upper) + term)
     seg, term = pair // len(index.upper), pair % len(index.upper)
-    bound = np.bincount(seg, weights=index.upper[term], minlength=n_seg + 1)
-    could = bound[:-1] + bound[1:] >= threshold - 1e-9
+    bound = np.bincount(seg, weights=index.upper[term], minlength=n_seg + SEGMENTS - 1)
+    could = sum(bound[k : k + n_seg] for k in range(SEGMENTS)) >= threshold - 1e-9
     if not could.any():
         return []
     # bounds by block of items, for the segments of passages still in
-    used = np.append(could, False) | np.append(False, could)
+    used = np.zeros(n_seg + SEGMENTS - 1, bool)
+    for k in range(SEGMENTS):
+        used[k : k + n_seg] |= could
     keep = used[seg]
     seg, term = seg[keep], term[keep]
     counts = index.block_at[term + 1] - index.block_at[term]
     flat = _ragged(index.block_at[term], counts)
     cell = np.repeat(seg, counts) * index.n_blocks + index.block_no[flat]
-    if (n_seg + 1) * index.n_blocks <= DENSE_CELLS:
-        sums = np.bincount(cell, weights=index.block_max[flat], minlength=(n_seg + 1) * index.n_blocks)
-        start = np.nonzero(sums[: -index.n_blocks] + sums[index.n_blocks :] >= threshold - 1e-9)[0].tolist()
+    n_cells = (n_seg + SEGMENTS - 1) * index.n_blocks
+    if n_cells <= DENSE_CELLS:
+        sums = np.bincount(cell, weights=index.block_max[flat], minlength=n_cells).reshape(-1, index.n_blocks)
+        start = np.nonzero(sum(sums[k : k + n_seg] for k in range(SEGMENTS)).ravel() >= threshold - 1e-9)[0].tolist()
     else:
         cells, where = np.unique(cell, return_inverse=True)
         sums = np.bincount(where, weights=index.block_max[flat])
-        # a passage's bound is the sum of its two segments' bounds
-        firsts = np.union1d(cells, cells[cells >= index.n_blocks] - index.n_blocks)
+        # a passage's bound is the sum of its segments' bounds
+        shifts = [k * index.n_blocks for k in range(SEGMENTS)]
+        firsts = np.unique(np.concatenate([cells[cells >= shift] - shift for shift in shifts]))
         total = np.zeros(len(firsts))
-        for shift in (0, index.n_blocks):
+        for shift in shifts:
             at = np.minimum(np.searchsorted(cells, firsts + shift), len(cells) - 1)
             total += np.where(cells[at] == firsts + shift, sums[at], 0.0)
         start = firsts[total >= threshold - 1e-9].tolist()
@@ -205,8 +212,8 @@ def passages_of(index: Index, words: list[str], threshold: float) -> list[tuple[
         by_passage.setdefault(c // index.n_blocks, set()).add(c % index.n_blocks)
     out = []
     for p, blocks in sorted(by_passage.items()):
-        lo, hi = np.searchsorted(seg, p), np.searchsorted(seg, p + 2)
-        out += [(i, score, p * stride) for i, score in wand(index, np.unique(term[lo:hi]), blocks, threshold)]
+        lo, hi = np.searchsorted(seg, p), np.searchsorted(seg, p + SEGMENTS)
+        out += [(i, score, p * half) for i, score in wand(index, np.unique(term[lo:hi]), blocks, threshold)]
     return out
 
 

@@ -23,7 +23,7 @@ from docquarry.llm.common import Batches, WordRows, crc_mod, map_rows
 
 DIM_BITS = 16
 ORDERS = (1, 2, 3, 4)
-#: About this many documents of each language, picked by a hash of their id, are learned from.
+#: About this many distinct texts of each language, picked by their hash, are learned from.
 EXAMPLES_PER_LANGUAGE = 1_500
 #: Languages whose counts one task holds before it hands them on.
 HELD_LANGUAGES = 64
@@ -81,17 +81,18 @@ class Model:
 def train(docs: DataFrame, per_language: int = EXAMPLES_PER_LANGUAGE) -> Model:
     """Learned from text and non-null language of the documents that aren't held out.
 
-    Equal texts of a language count once, so the sample is bounded whatever repeats. Counts of n-grams are summed on the
+    Equal texts of a language count once, in the share that is drawn and in the sample, so copies push nothing out. Counts of n-grams are summed on the
     executors; at most 2**DIM_BITS rows a language come back.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", 3) != 1)).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    found = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = usable.select("lang", "text", F.xxhash64("text").alias("h"))
+    found = {r["lang"]: r["n"] for r in hashed.groupBy("lang", "h").agg(F.lit(1).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(found)
     if not languages:
         return Model([], codewords(0), np.zeros((1 << DIM_BITS, 1), np.float32), np.ones(1))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(int(min(1.0, per_language / found[k]) * (1 << 30))))])
-    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11)), F.lit(1 << 30))
-    sample = usable.where(spread < F.element_at(share, F.col("lang"))).select("lang", "text", F.xxhash64("text").alias("h")).dropDuplicates(["lang", "h"]).select("lang", "text")
+    spread = F.pmod(F.xxhash64(F.col("h"), F.lit(11)), F.lit(1 << 30))
+    sample = hashed.where(spread < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "h"]).select("lang", "text")
     at = {k: i for i, k in enumerate(languages)}
 
     def count(batches: Batches) -> Batches:

@@ -134,15 +134,15 @@ def votes(docs: DataFrame, templates: list) -> DataFrame:
 def spans(found: DataFrame, templates: list) -> DataFrame:
     """(row, template, label, whole, grams, start, stop, coverage) of merged runs of diagonals; stop is the last word.
 
-    coverage is the share of the template's k-grams that stand in the span with rising positions, 0 where the span is
-    longer than STRETCH templates.
+    coverage is the share of the template's k-grams that stand in the span with rising positions. Of a run longer than STRETCH
+    templates only what stands about its strongest diagonal is the span, that much of it at most.
     """
     spark = found.sparkSession
     schema = "hash long, gram string, template int, label string, whole boolean, position int, grams int"
     positions = F.broadcast(spark.createDataFrame(templates, schema))  # fixed size: the templates above
     hits = found.where("place IS NOT NULL").join(positions, ["hash", "gram"]).withColumn("diagonal", F.col("place") - F.col("position"))
     lines = hits.groupBy("row", "template", "label", "whole", "grams", "diagonal").agg(
-        F.collect_set("position").alias("seen"), F.min("place").alias("start"), F.max("place").alias("stop")
+        F.collect_set("position").alias("seen")
     )
     side = Window.partitionBy("row", "template").orderBy("diagonal")
     # a phrase's diagonals are places of their own; others join the run before them if near
@@ -151,12 +151,16 @@ def spans(found: DataFrame, templates: list) -> DataFrame:
     # a position on a diagonal is a place in the text
     at = F.transform("seen", lambda p: F.struct((F.col("diagonal") + p).alias("place"), p.alias("position")))
     merged = runs.withColumn("at", at).groupBy("row", "template", "label", "whole", "grams", "run").agg(
-        F.array_sort(F.flatten(F.collect_list("at"))).alias("at"), F.min("start").alias("start"), (F.max("stop") + K - 1).alias("stop")
+        F.array_sort(F.flatten(F.collect_list("at"))).alias("every"), F.max_by("diagonal", F.struct(F.size("seen"), -F.col("diagonal"))).alias("strongest")
     )
+    longest, room = (F.col("grams") + K - 1) * STRETCH, (F.col("grams") + K - 1) * (STRETCH - 1) / 2
+    fits = F.element_at("every", -1)["place"] - F.get("every", F.lit(0))["place"] + K <= longest
+    near = F.filter("every", lambda x: x["place"].between(F.col("strongest") - room, F.col("strongest") + F.col("grams") - 1 + room))
+    cut = merged.withColumn("at", F.when(fits, F.col("every")).otherwise(near))
     rising = F.filter("at", lambda x, i: (i == 0) | (x["position"] > F.get("at", i - 1)["position"]))
-    fits = F.col("stop") - F.col("start") + 1 <= (F.col("grams") + K - 1) * STRETCH
-    covered = F.when(fits, F.size(F.array_distinct(F.transform(rising, lambda x: x["position"]))) / F.col("grams")).otherwise(F.lit(0.0))
-    return merged.select("row", "template", "label", "whole", "grams", "start", "stop", covered.alias("coverage"))
+    covered = F.size(F.array_distinct(F.transform(rising, lambda x: x["position"]))) / F.col("grams")
+    start, stop = F.get("at", F.lit(0))["place"], F.element_at("at", -1)["place"] + K - 1
+    return cut.select("row", "template", "label", "whole", "grams", start.alias("start"), stop.alias("stop"), covered.alias("coverage"))
 
 
 def scan(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:

@@ -52,7 +52,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input with the columns of the contract and the ratios the rules read.
 
     A null text has no words: all counts are 0 and so are the ratios. Texts of
-    any length are measured whole. Input columns with the names of measures are replaced.
+    any length are measured whole. Input columns with the names of measures are replaced, all others kept.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     low = (1 << PLACE_BITS) - 1
@@ -107,11 +107,17 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "mean_line_words": ratio(n_words, F.col("__n_lines")),
         },
     ]
-    made = {c for step in steps for c in step}
-    out = docs.drop(*(made - {text_col}))
+    made = [c for step in steps for c in step]
+    shown = [c for c in made if not c.startswith("__")]
+    clash = [c for c in docs.columns if c in made and c not in shown]
+    aside = f"__kept_{len(docs.columns)}_{'_'.join(clash)}"
+    # input columns with the names of steps wait in a struct of their own
+    rest = [c for c in docs.columns if c not in shown and c not in clash or c == text_col]
+    out = docs.select(*[F.col(f"`{c}`") for c in rest], *([F.struct(*[F.col(f"`{c}`") for c in clash]).alias(aside)] if clash else []))
     for step in steps:
         out = out.withColumns(step)
-    return out.drop("__words", "__hashes", "__lines", "__packed", "__wide", "__places", "__n_lines", "__n_stop")
+    own = {c: F.col(f"`{aside}`.`{c}`") for c in clash}
+    return out.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns if c in clash or c in rest], *[c for c in shown if c != text_col])
 
 
 def verdict(rules=RULES) -> Column:

@@ -176,7 +176,7 @@ t AS (
   FROM bare, named),
 b AS (
   SELECT *, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(plain, '[ \t\n\x0B\f\r]{{2,}}|[\t\n\x0B\f\r]', ' ', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '') AS conversion,
-    'title: ' || title || chr(13) || chr(10) || 'language: ' || coalesce(nullif(regexp_extract(payload, '(?i)<html\b[^>]*\blang=(?:"([^"]*)"|''([^'']*)'')', 1), ''), regexp_extract(payload, '(?i)<html\b[^>]*\blang=(?:"([^"]*)"|''([^'']*)'')', 2)) || chr(13) || chr(10)
+    'title: ' || title || chr(13) || chr(10) || 'language: ' || coalesce(regexp_replace(regexp_replace(flatten(list_transform(regexp_extract_all(payload, '(?i){warc.HTML_TAG.replace("'", "''")}', 1), lambda t: list_filter(regexp_extract_all(t, '{warc.ATTRIBUTE.replace("'", "''")}'), lambda a: regexp_matches(a, '(?i){warc.LANG}'))))[1], '(?i){warc.LANG}', ''), '^["'']|["'']$', '', 'g'), '') || chr(13) || chr(10)
       || 'outlinks: ' || len(regexp_extract_all(visible, '(?i)<a\b[^<>]*\bhref=')) || chr(13) || chr(10) || 'source-content-length: ' || strlen(payload) || chr(13) || chr(10) AS metadata
   FROM t),
 d AS (
@@ -203,11 +203,13 @@ lines AS (
 fresh AS (SELECT *, whole OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {licenses.GAP}, true) AS f FROM lines),
 runs AS (SELECT *, sum(f::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM fresh),
 z AS (
-  SELECT doc_id, template, label, whole, grams, run, min(start) AS start, list_sort(flatten(list(list_transform(seen, lambda p: {{'place': diagonal + p, 'pos': p}})))) AS spots
+  SELECT doc_id, template, label, whole, grams, run, arg_max(diagonal, {{'n': len(seen), 'd': -diagonal}}) AS best, list_sort(flatten(list(list_transform(seen, lambda p: {{'place': diagonal + p, 'pos': p}})))) AS every
   FROM runs GROUP BY doc_id, template, label, whole, grams, run),
+cut AS (
+  SELECT * EXCLUDE (every), (grams + 2) * ({licenses.STRETCH} - 1) / 2 AS room, CASE WHEN every[-1].place - every[1].place + 3 <= (grams + 2) * {licenses.STRETCH} THEN every
+    ELSE list_filter(every, lambda x: x.place BETWEEN best - (grams + 2) * ({licenses.STRETCH} - 1) / 2 AND best + grams - 1 + (grams + 2) * ({licenses.STRETCH} - 1) / 2) END AS spots FROM z),
 m AS (
-  SELECT *, CASE WHEN spots[-1].place - spots[1].place + 3 <= (grams + 2) * {licenses.STRETCH}
-    THEN len(list_distinct(list_transform(list_filter(spots, lambda x, i: i = 1 OR x.pos > spots[i - 1].pos), lambda x: x.pos)))::DOUBLE / grams ELSE 0 END AS coverage FROM z),
+  SELECT *, spots[1].place AS start, len(list_distinct(list_transform(list_filter(spots, lambda x, i: i = 1 OR x.pos > spots[i - 1].pos), lambda x: x.pos)))::DOUBLE / grams AS coverage FROM cut),
 k AS (SELECT *, whole AND coverage >= 1 AS phrase, NOT whole AND coverage >= CASE WHEN grams < {licenses.SHORT} THEN 1.0 ELSE {licenses.COVERAGE} END AS notice FROM m),
 r AS (
   SELECT doc_id, count(*) FILTER (phrase) AS n_base, min(start) FILTER (phrase) AS first_word, max(start) FILTER (phrase) AS last_word,
@@ -238,7 +240,7 @@ raw AS (
   FROM tf JOIN df USING (term), n),
 impact AS (SELECT item_id, stride, term, x / sum(x) OVER (PARTITION BY item_id) AS x FROM raw JOIN st USING (item_id)),
 d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
-p AS (SELECT doc_id, stride, start, w[start + 1:start + 2 * stride] AS w FROM (SELECT doc_id, w, stride, unnest(range(0, len(w), stride)) AS start FROM d, (SELECT DISTINCT stride FROM st))),
+p AS (SELECT doc_id, stride, start, w[start + 1:start + 2 * stride] AS w FROM (SELECT doc_id, w, stride, unnest(range(0, len(w), stride // 2)) AS start FROM d, (SELECT DISTINCT stride FROM st))),
 bag AS (SELECT DISTINCT doc_id, stride, start, unnest(w) AS term FROM p),
 hit AS (SELECT doc_id, stride, start, item_id, sum(x) AS score FROM bag JOIN impact USING (stride, term) GROUP BY ALL HAVING sum(x) >= {decontaminate.THRESHOLD} - 1e-9),
 pos AS (SELECT doc_id, stride, start, item_id, score, span, own, w, unnest(range(0, len(w))) AS o FROM hit JOIN p USING (doc_id, stride, start) JOIN st USING (item_id, stride)),

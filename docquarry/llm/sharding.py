@@ -33,6 +33,7 @@ WORDS = 3  # 64-bit words of a key: hash, id, row number
 TOP = 1 << (64 * WORDS)
 LOW = -(1 << 63)
 PROBES = 128  # candidates for each open splitter and round
+MAX_PARTS = 65_536
 MAX_CANDIDATES = 1 << 18  # of one round; splitters that find no room wait for a later one
 
 
@@ -109,11 +110,12 @@ def _counts(slim: DataFrame, keys: list[int]) -> list[tuple[int, int, int, int]]
     return out
 
 
-def find_splitters(slim: DataFrame, goals: list[tuple[float, float]], max_rounds: int = 1000) -> list[Splitter]:
+def find_splitters(slim: DataFrame, goals: list[tuple[float, float]]) -> list[Splitter]:
     """Splitters for (bytes below, slack) goals, ascending by key.
 
     slim: (h, d, t, size). What a round brings to the driver has MAX_CANDIDATES
-    rows at most. A splitter that no key can settle, as rows with equal keys can't be cut, takes the nearest boundary
+    rows at most. Rounds go on until no splitter is open: each leaves a splitter a small part of the keys it had. Those with the most
+    slack, which bound shards, come first. A splitter that no key can settle, as rows with equal keys can't be cut, takes the nearest boundary
     there is and isn't ``met`` if these are more than one row.
     """
     splitters = [Splitter(goal, slack) for goal, slack in goals]
@@ -121,10 +123,8 @@ def find_splitters(slim: DataFrame, goals: list[tuple[float, float]], max_rounds
     for s in splitters:
         s.offer(0, 0, 0)
         s.offer(TOP - 1, total, n_rows)
-    open_ = [s for s in splitters if s.miss > s.slack]
-    for _ in range(max_rounds):
-        if not open_:
-            break
+    open_ = sorted((s for s in splitters if s.miss > s.slack), key=lambda s: -s.slack)
+    while open_:
         wave = open_[: max(1, MAX_CANDIDATES // PROBES)]
         keys = sorted({k for s in wave for k in _candidates(s, PROBES)})
         gaps = _counts(slim, keys)
@@ -172,7 +172,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     equal texts. An empty table gives an empty result; input columns named size, shard or slot are replaced, all others kept.
 
     There are as many parts as ``part_bytes`` asks for, each a partition of the result and an entry of the
-    broadcast table; for more than some 10 TB ask for larger parts, of a gigabyte at 100 TB.
+    broadcast table. Parts grow beyond that where there would be more than MAX_PARTS: to 1.6 GB at 100 TB.
     """
     spark = docs.sparkSession
     docs = docs.drop("size", "shard", "slot")
@@ -181,6 +181,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     keyed = docs.withColumns({h: F.xxhash64(text), d: F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)), "size": F.octet_length(text).cast("long") + 1})
     slim = cut_lineage(keyed.select(F.col(h).alias("h"), F.col(d).alias("d"), F.lit(0).cast("long").alias("t"), "size"))
     total = slim.agg(F.sum("size")).first()[0] or 0
+    part_bytes = max(part_bytes, -(-total // MAX_PARTS))
     per = max(1, -(-total // (shards * part_bytes)))
     share = total / shards
     goals = [(total * i / (shards * per), share * slack if i % per == 0 else share / per * 0.1) for i in range(1, shards * per)]
@@ -198,8 +199,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     return placed.withColumn("shard", (part / per).cast("int")).drop(h, d, t, where)
 
 
-def sharded_digest(docs: DataFrame, shards: int = 8) -> DataFrame:
+def sharded_digest(docs: DataFrame, shards: int = 8, part_bytes: int = 32 << 20) -> DataFrame:
     """The contract's columns of sharded documents."""
-    out = shard_by_bytes(docs.select("doc_id", "text"), shards)
+    out = shard_by_bytes(docs.select("doc_id", "text"), shards, part_bytes=part_bytes)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm.common import Batches, lower_ascii, map_rows
-from docquarry.llm.components import connected_components
+from docquarry.operators.components import connected_components
 from docquarry.session import cut_lineage
 
 LANES = (0, 16, 32, 48)
@@ -131,10 +131,10 @@ def near_links(distinct: DataFrame, radius: int = 2, tile_rows: int = 32_768) ->
 
     sizes = distinct.select("fp").mapInArrow(keys, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     chunks = np.zeros(BASE ** len(LANES), np.int32)
+    # a chunk's number has 16 bits; in tiles of over 2**31 values chunks grow instead
+    tile_rows = max([tile_rows, *(-(-row.n // ((1 << 16) - 1)) for row in sizes)])
     for row in sizes:
         chunks[row.k] = -(-row.n // tile_rows)
-    if chunks.max(initial=0) >= 1 << 16:
-        raise ValueError("a tile has over 65,535 chunks: raise tile_rows")
     sent, near = spark.sparkContext.broadcast(chunks), _offsets(radius)
     weight = [BASE ** (len(LANES) - 1 - i) for i in range(len(LANES))]
     span = 1 << 16
@@ -249,18 +249,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, links: DataFrame | None = None, prints: DataFrame | None = None) -> DataFrame:
     """One row of each group, with all columns: the smallest id's, nulls last, of equal ids the smallest text hash's.
 
-    Rows without an id take part like all others. Of rows that repeat both the id and the text of a group's first one stays.
+    Rows without an id take part like all others. Of rows that repeat both the id and the text of a group's first the one whose columns have
+    the smallest hash stays; only these rows are exchanged with their texts.
     ``links`` are more links (u, v) between fingerprints of these rows; ``prints`` are checkpointed rows (doc_id, h, fp) of
     these rows, where they are at hand.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col)) if prints is None else prints
     rooted = _components(prints, radius, links)
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    first = prints.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    first = prints.groupBy("fp").agg(F.min(key).alias("first"))
     best = rooted.join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    kept = best.select(F.col("first.doc_id").alias("__kept"), F.col("first.h").alias("__h"))
-    # how many rows are equal to a kept one in id and text
-    equal = prints.groupBy("doc_id", "h").agg(F.count("*").alias("__rows")).where("__rows > 1")
-    again = equal.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("h") == F.col("__h")), "left_semi")
-    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__h")), "left_semi")
-    return out if again.isEmpty() else out.dropDuplicates([id_col, text_col])
+    # a kept key that several rows have; all input columns stay in one struct, so that no name can clash
+    counts = prints.groupBy("doc_id", "h").agg(F.count("*").alias("rows"))
+    kept = cut_lineage(best.select("first.doc_id", "first.h").alias("k").join(counts.alias("c"), F.col("k.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("k.h") == F.col("c.h"))).select("k.doc_id", "k.h", "rows"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("h"))
+    out = keyed.join(kept.where("rows = 1"), same, "left_semi").select("row.*")
+    again = kept.where("rows > 1")
+    if again.isEmpty():
+        return out
+    # only rows that repeat a kept one are compared in all their columns
+    whole = F.xxhash64(F.to_json("row"))
+    one = keyed.join(again.select("doc_id", "h"), same, "left_semi").groupBy("id", "text_hash").agg(F.min_by("row", whole).alias("row"))
+    return out.unionByName(one.select("row.*"))

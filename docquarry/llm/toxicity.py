@@ -9,6 +9,7 @@ zero; the others are a small table that is broadcast to score every text.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,7 @@ from docquarry.llm.common import Batches, WordRows, crc_mod, map_rows, mix
 DIM_BITS = 22
 #: At most about this many labelled rows are learned from; they are picked by a hash of their id.
 MAX_EXAMPLES = 8_000
-#: Of an example with more features than this, those of the smallest numbers are learned from; it bounds what the learning task holds.
-MAX_FEATURES = 16_384
+EPOCHS = 3
 #: Without examples every text scores as this bias does, 0.25.
 UNKNOWN = float(np.log(1 / 3))
 STEMS = (5, 7)
@@ -71,20 +71,24 @@ class Scorer:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.table[some].sum(dtype=np.float64) + self.bias, -35, 35))))
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """(feature, weight, bias) after a few passes in the given order."""
+    return learned(x for _ in range(epochs) for x in zip(rows, labels, strict=True))
+
+
+def learned(examples: Iterable[tuple[np.ndarray, float]], alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature, weight, bias) after the examples (features, label) in the given order, of which one is held at a time."""
     z, n = np.zeros(1 << DIM_BITS), np.zeros(1 << DIM_BITS)
     bias_z = bias_n = bias = 0.0
-    for _ in range(epochs):
-        for x, y in zip(rows, labels, strict=True):
-            zx, nx = z[x], n[x]
-            w = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((beta + np.sqrt(nx)) / alpha + l2))
-            g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
-            z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha * w
-            n[x] = nx + g * g
-            bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / alpha * bias
-            bias_n += g * g
-            bias = -bias_z / ((beta + np.sqrt(bias_n)) / alpha)
+    for x, y in examples:
+        zx, nx = z[x], n[x]
+        w = np.where(np.abs(zx) <= l1, 0.0, -(zx - np.sign(zx) * l1) / ((beta + np.sqrt(nx)) / alpha + l2))
+        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
+        z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha * w
+        n[x] = nx + g * g
+        bias_z += g - (np.sqrt(bias_n + g * g) - np.sqrt(bias_n)) / alpha * bias
+        bias_n += g * g
+        bias = -bias_z / ((beta + np.sqrt(bias_n)) / alpha)
     some = np.nonzero(np.abs(z) > l1)[0]
     return some, -(z[some] - np.sign(z[some]) * l1) / ((beta + np.sqrt(n[some])) / alpha + l2), float(bias)
 
@@ -93,8 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
     """Weights from the labelled rows that aren't held out, a bounded sample of them.
 
     An id is one example: of several labels the highest counts, of several texts the one of the smallest hash, so that
-    the sample is bounded whatever repeats. Features are made where the texts are, MAX_FEATURES of an example at most; one task then
-    learns from them in hash order, so the same rows give the same weights. Rows with null labels or
+    the sample is bounded whatever repeats. Features are made where the texts are, all of an example; one task then learns from them as
+    they stream by EPOCHS times in hash order, so the same rows give the same weights. It holds a batch of examples and the weights' table. Rows with null labels or
     ids are left out. Without examples all scores are 0.25.
     """
     nothing = np.zeros(0, np.int64), np.zeros(0), UNKNOWN
@@ -109,22 +113,28 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
     sample = hit.groupBy("doc_id", "spread", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def feature_rows(cols: dict[str, list]) -> dict[str, list]:
-        return {"spread": cols["spread"], "y": [float(x > 0) for x in cols["toxic"]], "x": [features(t)[:MAX_FEATURES].astype(np.int32) for t in cols["text"]]}
+        return {"spread": cols["spread"], "y": [float(x > 0) for x in cols["toxic"]], "x": [features(t).astype(np.int32) for t in cols["text"]]}
 
     rows = map_rows(sample.select("spread", "toxic", "text"), "spread long, y double, x array<int>", feature_rows)
 
     def learn(batches: Batches) -> Batches:
-        ys, xs = [], []
-        for batch in batches:
-            ys.append(batch.column(1).to_numpy())
-            column = batch.column(2)
-            flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-            xs += [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
-        if xs:
-            f, w, bias = ftrl(xs, np.concatenate(ys))
+        some = False
+
+        def examples() -> Iterator[tuple[np.ndarray, float]]:
+            nonlocal some
+            for batch in batches:
+                column = batch.column(2)
+                flat, at = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+                for y, a, b in zip(batch.column(1).to_pylist(), at, at[1:], strict=False):
+                    some = True
+                    yield flat[a:b], y
+
+        f, w, bias = learned(examples())
+        if some:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(f, -1)), pa.array(np.append(w, bias))], names=["f", "w"])
 
-    got = rows.repartition(1).sortWithinPartitions("spread", "y", F.size("x")).mapInArrow(learn, "f long, w double").toPandas()
+    epochs = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(EPOCHS))))
+    got = epochs.repartition(1).sortWithinPartitions("epoch", "spread", "y", F.size("x")).select("spread", "y", "x").mapInArrow(learn, "f long, w double").toPandas()
     if not len(got):
         return nothing
     f, w = got["f"].to_numpy(), got["w"].to_numpy()

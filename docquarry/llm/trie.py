@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.llm.common import Batches, spread_join
-from docquarry.operators.ranges import row_numbers, scan
+from docquarry.llm.common import Batches
+from docquarry.operators.ranges import row_numbers, scan, spread_join
 from docquarry.session import cut_lineage
 
 BLOCK = 64

@@ -34,8 +34,11 @@ _tag = re.compile(r"[a-zA-Z/!?][^>]*>")
 _break = re.compile(rf"/?(?:{BREAKING})\b", _I)
 _anchor = re.compile(r"a\b[^>]*\bhref=", _I)
 _title = re.compile(r"<title\b", _I)
-_html = re.compile(r"<html\b", _I)
-_lang = re.compile(r"[^>]*\blang=(?:\"([^\"]*)\"|'([^']*)')", _I)
+#: An html tag's attributes, quoted values whole; a quote that isn't closed ends them.
+HTML_TAG = r"""<html\b((?:[^>"']|"[^"]*"|'[^']*')*)"""
+ATTRIBUTE = r"""[^\s=/"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"']+))?"""
+LANG = r"^lang\s*=\s*"
+_html, _attribute, _lang = re.compile(HTML_TAG[:-1] + "+)", _I), re.compile(ATTRIBUTE, re.ASCII), re.compile(LANG, _I)
 _reference = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9a-fA-F]+)|([a-zA-Z][a-zA-Z0-9]*));")
 _space = re.compile(r"[ \t\n\x0b\f\r]+")
 _long_space = re.compile(r"[ \t\n\x0b\f\r]{2,}|[\t\n\x0b\f\r]")
@@ -90,15 +93,12 @@ def title_of(html: str) -> str:
 
 
 def language_of(html: str) -> str:
-    """The language that an html tag names in double or single quotes."""
-    at = 0
-    while opened := _html.search(html, at):
-        if found := _lang.match(html, opened.end()):
-            return found[1] if found[1] is not None else found[2]
-        # no other tag that begins before this one's end can have more
-        at = html.find(">", opened.end()) + 1
-        if not at:
-            break
+    """What the attribute lang of the first html tag that has it says, in quotes of either kind or without."""
+    for tag in _html.finditer(html):
+        for attribute in _attribute.findall(tag[1]):
+            if found := _lang.match(attribute):
+                value = attribute[found.end() :]
+                return value[1:-1] if value[0] in "\"'" else value
     return ""
 
 

@@ -2,6 +2,8 @@ import glob
 import gzip
 import random
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,8 +164,23 @@ def test_references(text, want):
 
 
 def test_language_in_either_quotes():
-    assert [warc.language_of(p) for p in ("<html lang='de'>", '<HTML class="a" LANG="fr">', "<html><html lang='x'>", "<html lang=en>", "<p lang='de'>")] == ["de", "fr", "x", "", ""]
+    assert [warc.language_of(p) for p in ("<html lang='de'>", '<HTML class="a" LANG="fr">', "<html><html lang='x'>", "<html lang=en>", "<p lang='de'>")] == ["de", "fr", "x", "en", ""]
 
 
 def test_no_pages(spark):
     assert warc.derivatives(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []
+
+
+def test_language_is_its_own_attribute():
+    pages = {
+        '<html lang="en" data-lang="fr">': "en", '<html lang="en" xml:lang="de">': "en", "<html data-lang='fr' lang=es>": "es", '<html title="a > b" lang="pt">': "pt", "<html lang = 'it' >": "it",
+        "<html title=\"lang='xx'\">": "", "<html lang>": "", "<html lang= class=x>": "class=x", '<html lang="">': "", "<html class='a lang=en'><html lang=nl>": "nl", '<html x="open lang=en>': "",
+    }
+    assert {p: warc.language_of(p) for p in pages} == pages
+
+
+@pytest.mark.parametrize("page", ['<html x="' * 100_000, "<html a='b' " * 80_000, "<html " + "a=b " * 250_000, "<html '\"" * 100_000], ids=lambda p: p[:9])
+def test_hostile_html_tags_are_read_in_linear_time(page):
+    began = time.perf_counter()
+    warc.language_of(page)
+    assert time.perf_counter() - began < 2

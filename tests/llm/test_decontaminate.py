@@ -20,7 +20,7 @@ def make_index(texts):
 def brute(index, words, threshold):
     """Scores of all items for all passages, without any skipping."""
     out = {}
-    for p in range(0, len(words), index.stride):
+    for p in range(0, len(words), index.stride // 2):
         score = Counter()
         for t in set(words[p : p + 2 * index.stride]):
             k = index.terms.get(t)
@@ -120,3 +120,18 @@ def test_odd_rows_and_shards(spark, monkeypatch):
     nothing = items.limit(0)
     assert D.contaminated(fixtures.odd(spark), nothing).collect() == []
     assert D.keep_uncontaminated(fixtures.odd(spark), nothing).count() == 11
+
+
+def test_a_match_is_found_wherever_it_stands():
+    """Items of any length, their words spread over one and a half times that, at every offset of a passage."""
+    rng = random.Random(9)
+    for n, span in ((64, 96), (64, 89), (60, 90), (128, 192), (40, 60)):
+        words = [f"i{k}" for k in range(n)]
+        index = make_index([" ".join(words)])
+        places = sorted(rng.sample(range(1, span - 1), n - 2))
+        spread = [f"x{k}" for k in range(span)]
+        for at, w in zip([0, *places, span - 1], words, strict=True):
+            spread[at] = w
+        for offset in range(2 * index.stride):
+            text = ["y"] * offset + spread + ["z"] * 40
+            assert [m[0] for m in D.matches(index, text)] == [0], (n, span, offset)

@@ -58,3 +58,11 @@ def test_odd_rows(spark):
     assert len(rows) == 11 and {r.labels for r in rows} == {""}
     assert sorted(r.n_words for r in rows if r.doc_id == 4) == [1, 1]
     assert L.scan(fixtures.empty(spark)).collect() == []
+
+
+def test_a_whole_license_stays_where_its_words_come_again(spark):
+    mit = L.TEMPLATES[0][1]
+    texts = [f"{mit} {' of the software' * 60}", f"{'of the software ' * 60}{mit}", f"{mit}{' of the software' * 400} {mit}", "of the software " * 90]
+    rows = {r.doc_id: r for r in L.scan(fixtures.docs(spark, texts)).collect()}
+    assert [rows[i].labels for i in (1, 2, 3, 4)] == ["mit", "mit", "mit", ""]
+    assert rows[1].score >= 0.95 and rows[4].score < 0.5

@@ -173,3 +173,27 @@ def test_codewords_differ_in_many_bits(n):
     if n > 2:
         apart = [(m[i] != m[j]).sum() for i in range(n) for j in range(i)]
         assert min(apart) >= (2 ** (n - 2) if n <= 7 else 5)
+
+
+def test_long_examples_are_learned_from_whole(spark):
+    """20,000 words make over 100,000 features; each of them moves the weights, wherever its number lies."""
+    words = [f"{i:05d}{i:05d}" for i in range(20_000)]
+    docs = spark.createDataFrame([(i, " ".join(words) if i % 2 else "plain") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    f, w, bias = toxicity.train(docs, labels)
+    numbers = toxicity.features(" ".join(words))
+    assert len(numbers) > 100_000
+    learned = np.isin(f, numbers)
+    assert learned.sum() > 50_000 and f[learned].max() > numbers[int(0.99 * len(numbers))]
+
+
+def test_copies_push_no_text_out_of_the_sample(spark):
+    from docquarry.llm import langid
+
+    german = ["das ist ein deutscher satz", "wir gehen heute in den garten", "der hund schläft unter dem baum", *(f"ein anderer satz über dinge und leute nummer {chr(97 + i)}" for i in range(17))]
+    english = [f"this is an english sentence about things and people number {chr(97 + i)}" for i in range(26)]
+    rows = [*(("guten tag welt", "de") for _ in range(4_000)), *((t, "de") for t in german for _ in range(2)), *((t, "en") for t in english for _ in range(40))]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.train(docs, per_language=200)
+    classify = langid.Classifier(model)
+    assert [classify(t)[0] for t in (*german, "guten tag welt", english[0])] == ["de"] * (len(german) + 1) + ["en"]

@@ -43,3 +43,10 @@ def test_plan_has_no_python_and_no_shuffle(spark):
 def test_other_rules(spark):
     kept = quality.apply_rules(fixtures.docs(spark, ["word " + " ".join(f"w{i}" for i in range(30))]), rules=(("n_words", 100, None),)).first().kept
     assert kept is False
+
+
+def test_columns_named_like_steps_are_kept(spark):
+    df = spark.createDataFrame([(1, "some words " * 20, "mine", 7)], "doc_id long, text string, `__words` string, `__packed` int")
+    got = quality.apply_rules(df).first()
+    assert (got["__words"], got["__packed"], got["n_words"]) == ("mine", 7, 40)
+    assert quality.apply_rules(df).columns[:4] == df.columns

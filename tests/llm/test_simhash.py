@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from pyspark.sql import Row
 
@@ -95,3 +96,14 @@ def test_tiles_cut_into_chunks_lose_no_link(spark, tile_rows):
     label = simhash.forest(len(values), np.array([at[u] for u, _ in links]), np.array([at[v] for _, v in links]))
     assert label.tolist() == brute_components(values, 2)
     assert len(links) < 40 * len(values)
+
+
+def test_one_of_each_with_clashing_names_and_rows_that_repeat(spark):
+    rows = [(1, "a b c d", 5), (1, "a b c d", 7), (1, "a b c d", 5), (2, "a b c d", 1), (3, "w x y z", 2), (None, "w x y z", 3), (4, None, 1), (4, None, 1)]
+    names = ("__kept", "__h", "__rows", "rows", "row", "id", "h", "fp", "text_hash", "root")
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int").select("*", *[F.lit("x").alias(c) for c in names])
+    got = simhash.keep_one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted((r.doc_id, r.text) for r in got.collect())
+    assert [k[0] for k in kept] == [1, 3, 4] and all(r["__kept"] == "x" for r in got.collect())
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in simhash.keep_one_of_each(df.orderBy(F.desc("extra"))).collect()}
