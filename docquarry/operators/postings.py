@@ -32,7 +32,6 @@ from docquarry.operators.retrieval import BODY_WEIGHT, HEADER_WEIGHT
 BATCH_ROWS, BATCH_CHARS = 4_096, 16_000_000
 SLOTS, BUCKETS = 1_024, 64
 DIRECTORY = -1  # its bucket
-FILE_CHARS = 256 << 20  # of texts, whose postings make one file of a bucket's, about, times BUCKETS
 ROW = ("stems", "docs", "counts", "places", "sizes", "most")
 ROWS = "batch long, slot int, stems string, docs binary, counts binary, places binary, sizes binary, most binary"
 _term = re.compile(r"[^\W_]+").findall
@@ -127,8 +126,7 @@ def build(passages: DataFrame, path: str, key: Sequence[str], keep: Sequence[str
     which runs again makes the same batches.
     """
     rows = passages.select(F.struct(*key, *keep).alias("info"), F.col(header_col).cast("string").alias("header"), F.col(body_col).cast("string").alias("body"))
-    chars = passages.agg(F.sum(F.coalesce(F.length(header_col), F.lit(0)) + F.coalesce(F.length(body_col), F.lit(0)).cast("long"))).first()[0] or 0
-    files = max(1, -(-chars // FILE_CHARS))
+    files = max(1, int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)  # of a bucket
     kind = to_arrow_schema(rows.select("info").schema).field(0).type
     schema = pa.schema([("batch", pa.int64()), ("slot", pa.int32()), ("stems", pa.string()), *((c, pa.binary()) for c in ROW[1:]), ("info", pa.list_(kind))])
 

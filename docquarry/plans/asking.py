@@ -20,11 +20,15 @@ SHORT = "the onening of tions"
 MOST_BYTES = 2000
 
 
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line with text is a passage of its document; the first has the document's vector."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with text is a passage of its document."""
     docs = model.documents(spark, sf_dir).withColumn("header", F.concat_ws(" > ", "filename", "workspace_id"))
-    lines = docs.select("workspace_id", "document_id", "filename", "status", "header", F.posexplode(F.split("content", "\n")).alias("ordinal", "content")).where("content <> ''")
-    rows = lines.join(model.vectors(spark, sf_dir).withColumn("ordinal", F.lit(0)), ["document_id", "ordinal"], "left")
+    return docs.select("workspace_id", "document_id", "filename", "status", "header", F.posexplode(F.split("content", "\n")).alias("ordinal", "content")).where("content <> ''")
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages; the first of a document has its vector."""
+    rows = _lines(spark, sf_dir).join(model.vectors(spark, sf_dir).withColumn("ordinal", F.lit(0)), ["document_id", "ordinal"], "left")
     return rows.withColumns({"section": F.col("workspace_id"), "tags": F.struct(F.col("status").alias("document_type"), F.col("tag").alias("topic"))})
 
 

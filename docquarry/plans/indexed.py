@@ -9,14 +9,16 @@ from docquarry.functions.stemmer import english
 from docquarry.operators import postings as P
 from docquarry.operators import questions as Q
 from docquarry.operators.retrieval import pool_size
-from docquarry.plans import asking, model, search
+from docquarry.plans import asking, search
 from docquarry.session import prepare, scratch_folder, table
 
 ENGLISH = 'onening the or "ndering tions" -onwhs'
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.documents(spark, sf_dir).withColumn("header", F.concat_ws(" > ", "filename", "workspace_id"))
+    """All documents, whatever their status, so that no text is exchanged for it."""
+    docs = table(prepare(spark), sf_dir, "documents", spread=True)
+    return docs.select(F.col("doc_id").alias("document_id"), F.concat_ws(" > ", "source", "lang").alias("header"), F.col("text").alias("content"))
 
 
 def search_question_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +33,7 @@ def search_question_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_chunks_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What search_chunks finds, by an index of all passages; only ready documents' passages take part."""
     path, passages = scratch_folder(spark, "postings"), asking._passages(spark, sf_dir)
-    P.build(passages, path, ("document_id", "ordinal"), ("status",))
+    P.build(asking._lines(spark, sf_dir), path, ("document_id", "ordinal"), ("status",))
     text = P.question_pool(passages, path, asking.SHORT, pool_size(8), ("document_id", "ordinal"), ("status",), lambda r: r["status"] == "ready")
     best = Q.search_chunks(passages, asking.SHORT, search._query(spark, sf_dir), 8, text=text)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -83,7 +83,7 @@ def test_a_question_reads_its_stems_and_no_text(spark, monkeypatch):
 
 def test_many_bytes_of_a_bucket_are_several_files(spark, monkeypatch):
     monkeypatch.setattr(P, "BATCH_ROWS", 10)
-    monkeypatch.setattr(P, "FILE_CHARS", 1_000)
+    monkeypatch.setattr(P, "BUCKETS", 1)
     rows = corpus(200)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small files would be written together
     try:
