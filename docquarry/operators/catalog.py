@@ -76,9 +76,9 @@ def document_list(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def corpus_state(docs: DataFrame) -> DataFrame:
-    """(workspace_id, n_ready, ready_names, processing): file names are distinct and sorted."""
-    names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") == "ready", F.col("filename")))), ",")
-    return docs.groupBy("workspace_id").agg(F.count(F.when(F.col("status") == "ready", 1)).alias("n_ready"), names.alias("ready_names"), F.count(F.when(F.col("status").isin(*WORKING), 1)).alias("processing"))
+    """(workspace_id, n_ready, names, processing): names is an array of the ready files' distinct names, sorted."""
+    names = F.array_sort(F.collect_set(F.when(F.col("status") == "ready", F.col("filename"))))
+    return docs.groupBy("workspace_id").agg(F.count(F.when(F.col("status") == "ready", 1)).alias("n_ready"), names.alias("names"), F.count(F.when(F.col("status").isin(*WORKING), 1)).alias("processing"))
 
 
 def live_sessions(sessions: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.packing import chunk_ranges, group_ends, grouped, pack_ends, tail_count, tail_units
 from docquarry.functions.text import CHARS_PER_TOKEN, TOKENS_PER_WORD, sentences, strip, token_count, words
+from docquarry.operators.ranges import scan
 
 # fixed values: default sizes, sentence boundary, step markers and the mark of a continued procedure
 TARGET, OVERLAP_RATIO, CEILING = 500, 0.15, 8192
@@ -65,21 +66,23 @@ def procedures(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Blocks with ``run``: blocks of one ascending numbered procedure share it, null elsewhere.
 
     A step belongs to the run of the step before it if its number is larger and what lies between is at most one
-    unnumbered block; a run starts at 0 or 1 and has two steps or more. Headings and images end runs. It is
-    window functions over the document's blocks, in block order.
+    unnumbered block; a run starts at 0 or 1 and has two steps or more. Headings and images end runs. Runs are found by scans over
+    the blocks' numbers in block order, whatever number of blocks a document has; numbers have three digits and rise, so a run is
+    short. block_no tells a document's blocks apart.
     """
-    side = Window.partitionBy(id_col).orderBy("block_no")
     can = F.col("kind").isin(*STEP_KINDS)
-    b = blocks.withColumn("__n", F.when(can, step_number(F.col("text")))).withColumn("__can", can)
-    b = b.withColumns({"__prev": F.lag("__n").over(side), "__prev2": F.lag("__n", 2).over(side), "__between": F.lag("__can").over(side), "__next": F.lead("__n").over(side)})
-    goes_on = F.col("__n").isNotNull() & ((F.col("__n") > F.col("__prev")) | (F.col("__prev").isNull() & F.col("__between") & (F.col("__n") > F.col("__prev2"))))
+    slim = blocks.select(id_col, "block_no", F.when(can, step_number(F.col("text"))).alias("n"), can.alias("can"))
+    b = scan(slim, [id_col], ["block_no"], lags={"prev": (F.col("n"), 1), "prev2": (F.col("n"), 2), "between": (F.col("can"), 1)}, leads={"next": F.col("n")})
+    goes_on = F.col("n").isNotNull() & ((F.col("n") > F.col("prev")) | (F.col("prev").isNull() & F.col("between") & (F.col("n") > F.col("prev2"))))
     # an unnumbered block is inside if the step after it goes on from the one before it
-    inside = F.col("__n").isNull() & F.col("__can") & (F.col("__next") > F.col("__prev"))
+    inside = F.col("n").isNull() & F.col("can") & (F.col("next") > F.col("prev"))
     starts = ~F.coalesce(goes_on, F.lit(False)) & ~F.coalesce(inside, F.lit(False))
-    b = b.withColumn("__run", F.sum(starts.cast("int")).over(side))
-    group = Window.partitionBy(id_col, "__run")
-    good = (F.count("__n").over(group) >= 2) & (F.min("__n").over(group) <= 1)
-    return b.withColumn("run", F.when(good, F.min("block_no").over(group))).drop("__n", "__can", "__prev", "__prev2", "__between", "__next", "__run")
+    b = scan(b.select(id_col, "block_no", "n", starts.alias("starts")), [id_col], ["block_no"], sums={"number": F.col("starts").cast("int")})
+    group = Window.partitionBy(id_col, "number")
+    good = (F.count("n").over(group) >= 2) & (F.min("n").over(group) <= 1)
+    runs = b.withColumn("run", F.when(good, F.min("block_no").over(group))).where("run IS NOT NULL")
+    same = [F.col(f"b.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (id_col, "block_no")]
+    return blocks.alias("b").join(runs.alias("r"), same, "left").select("b.*", "r.run")
 
 
 def count(text: str) -> int:

@@ -73,10 +73,12 @@ def answers_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All documents as uploads, and a catalogue of the first document of every file name."""
-    docs = model.documents(spark, sf_dir)
-    first = docs.groupBy("workspace_id", "filename").agg(F.min(F.struct("document_id", F.sha2("content", 256).alias("file_hash"), "status")).alias("d"))
-    catalogue = first.select("workspace_id", "filename", "d.*", F.lit("v4").alias("version"))
-    uploads = docs.select(F.col("document_id").alias("upload_id"), "workspace_id", "filename", F.col("content").cast("binary").alias("content"), F.when(F.col("document_id") % 9 > 0, "text/plain").alias("mime_type"))
+    docs = table(prepare(spark), sf_dir, "documents", spread=True).select(F.col("doc_id").alias("document_id"), F.col("lang").alias("workspace_id"), F.col("source").alias("filename"), F.col("text").cast("binary").alias("content"))
+    first = docs.groupBy("workspace_id", "filename").agg(F.min(F.struct("document_id", F.sha2("content", 256).alias("file_hash"))).alias("d"))
+    # only digests meet the labels
+    status = model.statuses(table(spark, sf_dir, "labels"))
+    catalogue = first.select("workspace_id", "filename", "d.*").join(status, "document_id", "left").select("workspace_id", "document_id", "filename", "file_hash", F.coalesce("status", F.lit("pending")).alias("status"), F.lit("v4").alias("version"))
+    uploads = docs.select(F.col("document_id").alias("upload_id"), "workspace_id", "filename", "content", F.when(F.col("document_id") % 9 > 0, "text/plain").alias("mime_type"))
     return uploads, catalogue
 
 
@@ -141,7 +143,7 @@ def document_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn as a message, some as small talk, with what a workspace says to it."""
     docs = model.documents(spark, sf_dir)
-    states = C.corpus_state(docs).select("workspace_id", F.filter(F.split("ready_names", ","), lambda x: x != "").alias("names"), F.array().cast("array<string>").alias("topics"), "processing")
+    states = C.corpus_state(docs).select("workspace_id", "names", F.array().cast("array<string>").alias("topics"), "processing")
     said = F.when(F.col("turn") % 5 == 0, "Hello there!").when(F.col("turn") % 5 == 1, "thanks a lot.").otherwise(F.col("text"))
     turns = table(spark, sf_dir, "conversations").join(docs.select(F.col("document_id").alias("conv_id"), "workspace_id"), "conv_id").select("workspace_id", "conv_id", "turn", said.alias("text"))
     return A.route(turns, states).select("conv_id", "turn", "route", F.coalesce("reply", F.lit("")).alias("reply"))

@@ -12,12 +12,20 @@ from pyspark.sql import functions as F
 from docquarry.session import prepare, table
 
 
+def _status():
+    return F.when(F.col("quality").isNull(), "pending").when(F.col("quality") == 0, "failed").when(F.col("toxic") == 1, "embedding").otherwise("ready")
+
+
+def statuses(labels: DataFrame) -> DataFrame:
+    """(document_id, status) of the labelled documents."""
+    return labels.select(F.col("doc_id").alias("document_id"), _status().alias("status"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(workspace_id, document_id, filename, content, status)"""
     docs, labels = table(prepare(spark), sf_dir, "documents", spread=True), table(spark, sf_dir, "labels")
-    status = F.when(F.col("quality").isNull(), "pending").when(F.col("quality") == 0, "failed").when(F.col("toxic") == 1, "embedding").otherwise("ready")
     joined = docs.join(labels, "doc_id", "left")
-    return joined.select(F.col("lang").alias("workspace_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), F.col("text").alias("content"), status.alias("status"))
+    return joined.select(F.col("lang").alias("workspace_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("filename"), F.col("text").alias("content"), _status().alias("status"))
 
 
 #: The same in SQL.

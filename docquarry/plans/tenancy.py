@@ -48,7 +48,8 @@ def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.corpus_state(model.documents(spark, sf_dir))
+    state = C.corpus_state(model.documents(spark, sf_dir))
+    return state.select("workspace_id", "n_ready", F.array_join("names", ",").alias("ready_names"), "processing")
 
 
 def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,7 @@ def pending_embedding_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workspace_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each workspace says to a greeting."""
     docs = model.documents(spark, sf_dir)
-    state = C.corpus_state(docs).withColumn("names", F.filter(F.split("ready_names", ","), lambda x: x != ""))
+    state = C.corpus_state(docs)
     best = C.top_values(_values(spark, sf_dir).where("kind = 'topic'"), 8, ("workspace_id",))
     topics = best.groupBy("workspace_id").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("t")).select("workspace_id", F.col("t.value").alias("topics"))
     both = state.join(topics, "workspace_id", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))

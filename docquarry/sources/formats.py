@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquarry.operators.ranges import row_numbers
+from docquarry.operators.ranges import row_numbers, scan
 
 # fixed values: types, extensions and aliases
 PDF, CSV, TXT, MD, HTML = "application/pdf", "text/csv", "text/plain", "text/markdown", "text/html"
@@ -108,45 +109,102 @@ def table_header(text: Column) -> Column:
 
 
 def markdown_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, block_no, kind, level, text, section) of markdown texts, by window functions over their lines.
+    """(doc_id, block_no, kind, level, text, section) of markdown texts, by scans over their lines, spread whatever a document's length.
 
     Blocks end at headings, fences, blank lines and where a pipe table begins or ends; section is the
-    path of headings above. An unclosed fence runs to the end.
+    path of headings above. An unclosed fence runs to the end. Ids tell documents apart.
     """
     lines = docs.select(id_col, F.posexplode(F.split(F.regexp_replace(text_col, r"\r\n?", "\n"), "\n")).alias("n", "line"))
-    side = Window.partitionBy(id_col).orderBy("n")
-    fence = F.col("line").rlike(r"^\s*(```|~~~)")
-    d = lines.withColumn("fence", fence.cast("int")).withColumn("fences", F.sum("fence").over(side))
-    inside = (F.col("fences") % 2 == 1) | (F.col("fence") == 1)
     title = F.regexp_extract("line", r"^(#{1,6})\s+(.+?)\s*#*\s*$", 2)
-    d = d.withColumns({"code": inside, "level": F.when(~inside & (title != ""), F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))), "title": title})
-    kind = F.when(F.col("code"), "code").when(F.col("level").isNotNull(), "heading").when(F.trim("line") == "", "blank").when(F.col("line").rlike(r"^\s*\|.*\|\s*$"), "table").otherwise("text")
-    d = d.withColumn("kind", kind)
-    opens = (F.col("code") & (F.col("fence") == 1) & (F.col("fences") % 2 == 1)) | (F.col("kind") != F.lag("kind").over(side)) | (F.col("kind") == "heading") | F.lag("kind").over(side).isNull()
-    d = d.withColumn("block", F.sum(F.coalesce(opens, F.lit(True)).cast("int")).over(side))
+    plain = F.when(title != "", "heading").when(F.trim("line") == "", "blank").when(F.col("line").rlike(r"^\s*\|.*\|\s*$"), "table").otherwise("text")
+    d = lines.withColumns({"fence": F.col("line").rlike(r"^\s*(```|~~~)").cast("int"), "plain": plain})
+    # how many fences there are up to a line tells whether it is code, and what the line before it is
+    d = scan(d, [id_col], ["n"], sums={"fences": F.col("fence")}, lags={"before": (F.struct("fence", "plain"), 1)})
+    inside = lambda fences, fence: (fences % 2 == 1) | (fence == 1)
+    kind = F.when(inside(F.col("fences"), F.col("fence")), "code").otherwise(F.col("plain"))
+    above = F.when(inside(F.col("fences") - F.col("fence"), F.col("before.fence")), "code").otherwise(F.col("before.plain"))
+    d = d.withColumns({"kind": kind, "above": F.when(F.col("before").isNotNull(), above)}).withColumn("title", F.when(F.col("kind") == "heading", title))
+    d = d.withColumn("level", F.when(F.col("title").isNotNull(), F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))))
+    opens = ((F.col("kind") == "code") & (F.col("fence") == 1) & (F.col("fences") % 2 == 1)) | (F.col("kind") == "heading") | ~F.col("kind").eqNullSafe(F.col("above"))
+    marks = {f"h{k}": F.when(F.col("level") == k, F.struct("n", "title")) for k in range(1, 7)}
+    d = d.withColumn("opens", (opens & (F.col("kind") != "blank")).cast("int")).drop("before", "above", "plain", "fence", "fences")
+    d = scan(d, [id_col], ["n"], sums={"block": F.col("opens")}, lasts=marks)
     # the path: for each level the last heading of it that no higher one has ended since
-    marks = {f"h{k}": F.last(F.when(F.col("level") == k, F.struct("n", "title")), ignorenulls=True).over(side) for k in range(1, 7)}
-    d = d.withColumns(marks)
     live = [F.when(F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"h{j}.n"), F.lit(-1)) for j in range(1, k)]) < F.col(f"h{k}.n"), F.col(f"h{k}.title")) for k in range(1, 7)]
     d = d.withColumn("section", F.concat_ws(" > ", *live))
     gathered = d.where("kind <> 'blank'").groupBy(id_col, "block", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows"), F.first("level").alias("level"), F.first("title").alias("title"), F.first("section").alias("section"))
     text = F.when(F.col("kind") == "heading", F.col("title")).otherwise(F.array_join(F.col("rows.line"), "\n"))
-    n = F.row_number().over(Window.partitionBy(id_col).orderBy("block"))
-    return gathered.select(id_col, (n - 1).alias("block_no"), "kind", "level", text.alias("text"), "section")
+    return gathered.select(id_col, (F.col("block") - 1).cast("int").alias("block_no"), "kind", "level", text.alias("text"), "section")
 
 
-class _Blocks(HTMLParser):
-    """Blocks of one page: headings with their path, paragraphs, lists, tables as pipe rows."""
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_TAG_PART = re.compile(r"""[>]|=\s*(["'])""")
+
+
+class _Blocks:
+    """Blocks of one page: headings with their path, paragraphs, lists, tables as pipe rows.
+
+    The page is read once from left to right. A tag ends at the first > outside quoted values; where quotes never close, at the
+    first > there is. A < that begins no tag or whose tag never ends is text; comments, scripts and styles that never end run to
+    the end of the page.
+    """
 
     SKIP = ("script", "style", "noscript", "head", "svg", "template")
     ENDS = ("p", "div", "section", "article", "blockquote", "pre", "figcaption", "ul", "ol", "table")
+    RAW = {name: re.compile(f"</{name}(?=[\\s/>])", re.I) for name in ("script", "style")}
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.out: list[tuple[str, int | None, str, str]] = []
         self.path: list[tuple[int, str]] = []
         self.kind, self.text, self.skip, self.cells = "text", [], 0, []
 
+    def feed(self, html: str) -> None:
+        at = done = 0
+        last, quoted = html.rfind(">"), True
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                end = len(html) if end < 0 else end + 3
+            elif html[at + 1 : at + 2] in ("!", "?"):
+                end = html.find(">", at) + 1 if last > at else 0
+            else:
+                closes = html.startswith("/", at + 1)
+                name = _TAG_NAME.match(html, at + 1 + closes)
+                end = 0
+                if name and last > at:
+                    end = self._end(html, name.end()) if quoted else 0
+                    if not end:
+                        quoted, end = False, html.find(">", name.end()) + 1
+            if not end:
+                at += 1
+                continue
+            self.handle_data(unescape(html[done:at]))
+            if html[at + 1] not in "!?":
+                tag = name[0].lower()
+                if closes:
+                    self.handle_endtag(tag)
+                else:
+                    self.handle_starttag(tag)
+                    if html[end - 2] == "/":
+                        self.handle_endtag(tag)
+                    elif tag in self.RAW:
+                        close = self.RAW[tag].search(html, end)
+                        at = done = close.start() if close else len(html)
+                        continue
+            at = done = end
+        self.handle_data(unescape(html[done:]))
+
+    @staticmethod
+    def _end(html: str, at: int) -> int:
+        """After the > that ends a tag, 0 if it never ends."""
+        while found := _TAG_PART.search(html, at):
+            if not found[1]:
+                return found.end()
+            at = html.find(found[1], found.end()) + 1
+            if not at:
+                return 0
+        return 0
+
     def flush(self, level: int | None = None):
         lines = [" ".join(x.split()) for x in "".join(self.text).split("\n")]
         text, self.text = "\n".join(x for x in lines if x), []
@@ -156,7 +214,7 @@ class _Blocks(HTMLParser):
             self.path = [p for p in self.path if p[0] < level] + [(level, text)]
         self.out.append(("heading" if level else self.kind, level, text, " > ".join(t for _, t in self.path)))
 
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag):
         if tag in self.SKIP:
             self.skip += 1
         elif tag in ("ul", "ol", "table"):
@@ -200,7 +258,6 @@ def html_documents(pages: DataFrame, id_col: str = "page_id", html_col: str = "h
             for html in batch.column(1).to_pylist():
                 parser = _Blocks()
                 parser.feed(html or "")
-                parser.close()
                 parser.flush()
                 rows.append([dict(zip(("kind", "level", "text", "section"), b, strict=True)) for b in parser.out])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=[id_col, "blocks"])

@@ -182,7 +182,6 @@ def _plain(content: bytes) -> list[dict]:
 def _html(content: bytes) -> list[dict]:
     parser = S._Blocks()
     parser.feed(_text(content))
-    parser.close()
     parser.flush()
     return [_block(kind, text, section or None) for kind, _, text, section in parser.out]
 
@@ -273,15 +272,21 @@ def sniff_delimiter(sample: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A delimited file with a header row; delimiter and encoding are told from its first 8,192 characters, which is all the driver reads.
+    """Delimited files with a header row. The delimiter is told from the first 8,192 characters, which is all text that the driver reads.
 
-    Quoted cells may hold line ends, which needs each file in one task; files without such cells can be split by
-    ``multi_line=False``.
+    A file is UTF-8 if all its bytes are, else ISO 8859-1; that takes a pass over the files in parallel. Quoted cells may hold line ends, which needs
+    each file in one task; files without such cells can be split by ``multi_line=False``. Columns that a file lacks are null.
     """
-    head = spark.read.text(path, wholetext=False).limit(40).collect()
+    lines = spark.read.text(path)
+    head = lines.limit(40).collect()
     sample = "\n".join(r.value for r in head)[:SAMPLE_CHARS].removeprefix("\ufeff")
-    encoding = "ISO-8859-1" if "\ufffd" in sample else "UTF-8"
-    return spark.read.csv(path, header=True, sep=sniff_delimiter(sample), multiLine=multi_line, encoding=encoding, escape='"')
+    odd = {r[0] for r in lines.where(~F.is_valid_utf8("value")).select(F.input_file_name()).distinct().collect()}  # names of files
+    read = lambda files, encoding: spark.read.csv(files, header=True, sep=sniff_delimiter(sample), multiLine=multi_line, encoding=encoding, escape='"')
+    if not odd:
+        return read(path, "UTF-8")
+    rest = [f for f in lines.inputFiles() if f not in odd]
+    latin = read(sorted(odd), "ISO-8859-1")
+    return read(rest, "UTF-8").unionByName(latin, allowMissingColumns=True) if rest else latin
 
 
 def row_blocks(rows: DataFrame, sheet: str | None = None) -> DataFrame:

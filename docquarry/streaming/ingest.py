@@ -30,25 +30,28 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFra
 
 
 def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The document's last row of this batch, if its content isn't what was seen last; the state is one digest a document."""
+    """The document's last row of this batch, if it isn't older than the last one seen and its content isn't the same; the state is (seq, digest)."""
     rows = pd.concat(list(frames))
     last = rows.sort_values(["seq", "digest"]).iloc[[-1]]
-    digest = str(last["digest"].iloc[0])
-    if not state.exists or state.get[0] != digest:
-        state.update((digest,))
+    seq, digest = int(last["seq"].iloc[0]), str(last["digest"].iloc[0])
+    seen = state.get if state.exists else None
+    if seen is not None and seq < seen[0]:
+        return
+    state.update((seq, digest))
+    if seen is None or seen[1] != digest:
         yield last[["document_id", "content"]]
 
 
 def chunk_stream(docs: DataFrame, out: str, checkpoint: str, target: int = C.TARGET) -> StreamingQuery:
     """Documents (document_id, content[, seq]) to chunk files; a document that comes again is cut again only if its content changed.
 
-    Spark's state store holds one digest a document, so a batch costs its own rows and not all that was written before. Of a
-    document's rows in one batch that of the largest seq counts. A batch's documents and chunks go to its own folder, so a crash
+    Spark's state store holds one number and digest a document, so a batch costs its own rows and not all that was written before. Of a
+    document's rows that of the largest seq counts; an older one that comes in a later batch changes nothing. A batch's documents and chunks go to its own folder, so a crash
     between writing and committing leaves no doubles; ``latest_chunks`` reads the newest of each document.
     """
     seq = F.col("seq").cast("long") if "seq" in docs.columns else F.lit(0).cast("long")
     keyed = docs.select(F.col("document_id").cast("long").alias("document_id"), F.coalesce(F.col("content"), F.lit("")).alias("content"), seq.alias("seq")).withColumn("digest", F.sha2("content", 256))
-    changed = keyed.groupBy("document_id").applyInPandasWithState(_changed, "document_id long, content string", "digest string", "append", GroupStateTimeout.NoTimeout)
+    changed = keyed.groupBy("document_id").applyInPandasWithState(_changed, "document_id long, content string", "seq long, digest string", "append", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, number: int) -> None:
         held = batch.persist()
