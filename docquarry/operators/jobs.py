@@ -16,6 +16,7 @@ RETRYABLE_TYPES = ("ReadError", "WriteError", "ConnectError", "CloseError", "Con
 RATE_LIMIT_STATUS, RATE_LIMIT_TEXT = 429, ("resource_exhausted", "resource exhausted")
 MAX_SERVER_DELAY = 65.0
 SERVER_JITTER, LOCAL_JITTER, FAIL_FAST_SECONDS = (0.5, 2.0), (0.5, 1.5), 8.0
+ENDS = ("purchase", "signup", "error")  # after these a job isn't running
 STAGE_PROGRESS = {"parse": 10, "profile": 25, "chunk": 40, "write": 50}
 
 

@@ -26,5 +26,16 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.latest_chunks(spark, f"{folder}/out").select("document_id", "ordinal", "content", "token_count")
 
 
-QUERIES = {f.__name__: f for f in (stream_job_states, stream_chunks)}
-ORACLE_SQL = {"stream_job_states": tenancy.ORACLE_SQL["job_states"]}
+def stream_stalled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream with a timer a job: the jobs that are stalled when the newest event is the watermark."""
+    log = I.source(prepare(spark), f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job_id"), "ts", F.col("event_type").alias("event"), "event_id")
+    folder = I.fresh_folder(spark, "stalled")
+    I.stalled_stream(log, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return I.stalled_now(spark, f"{folder}/out").select("job_id", "attempts", "next_status")
+
+
+QUERIES = {f.__name__: f for f in (stream_job_states, stream_chunks, stream_stalled_jobs)}
+ORACLE_SQL = {
+    "stream_job_states": tenancy.ORACLE_SQL["job_states"],
+    "stream_stalled_jobs": tenancy.ORACLE_SQL["stalled_jobs"].replace(f"TIMESTAMP '{tenancy.AS_OF}'", "(SELECT max(ts) FROM events)"),
+}

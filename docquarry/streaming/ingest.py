@@ -10,9 +10,9 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docquarry.operators import chunking as C
@@ -98,3 +98,68 @@ def latest_states(spark: SparkSession, out: str, upto: int | None = None) -> Dat
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+class _Heartbeats(StatefulProcessor):
+    """One job: (last event's microsecond and number, attempts, event, whether it was told as stalled), and a timer where its heartbeat runs out."""
+
+    def __init__(self, timeout: int):
+        self.timeout = timeout
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "us long, event_id long, attempts int, event string, told boolean")
+
+    def _running(self, event: str) -> bool:
+        return event not in J.ENDS
+
+    def handleInputRows(self, key, rows, timerValues):
+        seen = self.state.get() if self.state.exists() else None
+        us, number, attempts, event, told = seen if seen is not None else (None, -1, 0, None, False)
+        for row in rows:
+            attempts += row.event == "error"
+            if us is None or (row.us, row.event_id) > (us, number):
+                us, number, event = row.us, row.event_id, row.event
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.state.update((us, number, attempts, event, False))
+        if self._running(event):
+            self.handle.registerTimer(self._due(us))
+        if told:
+            yield Row(job_id=key[0], us=us, attempts=attempts, stalled=False)
+
+    def _due(self, us: int) -> int:
+        """The millisecond at which a heartbeat (in microseconds) is older than the timeout."""
+        return us // 1000 + self.timeout * 1000 + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        us, number, attempts, event, _ = self.state.get()
+        self.state.update((us, number, attempts, event, True))
+        yield Row(job_id=key[0], us=us, attempts=attempts, stalled=True)
+
+    def close(self) -> None:
+        pass
+
+
+def stalled_stream(log: DataFrame, out: str, checkpoint: str, timeout: int = J.TIMEOUT_SECONDS, delay: str = "0 seconds") -> StreamingQuery:
+    """Event log (job_id, ts, event, event_id) to the jobs whose heartbeat runs out, by a timer of event time for each job.
+
+    A running job that is silent for ``timeout`` seconds before the watermark is told as stalled, and told as alive again by its next
+    event. State is one row and one timer a job; jobs that have ended have no timer. Events older than the watermark, the newest event less
+    ``delay``, are dropped by Spark. Each batch writes its changes under its number; ``stalled_now`` reads the newest of each job.
+    """
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = log.select(F.col("job_id").cast("long").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event", F.col("event_id").cast("long").alias("event_id")).where("job_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
+    told = rows.groupBy("job_id").transformWithState(_Heartbeats(timeout), "job_id long, us long, attempts int, stalled boolean", "update", "eventTime")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select("job_id", F.timestamp_micros("us").alias("heartbeat_at"), "attempts", "stalled").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return told.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stalled_now(spark: SparkSession, out: str) -> DataFrame:
+    """(job_id, heartbeat_at, attempts, next_status) of the jobs that are stalled."""
+    rows = spark.read.schema("job_id long, heartbeat_at timestamp, attempts int, stalled boolean, batch long").parquet(out)
+    last = rows.groupBy("job_id").agg(F.max_by(F.struct("heartbeat_at", "attempts", "stalled"), F.struct("batch", "stalled")).alias("s")).where("s.stalled")
+    return last.select("job_id", "s.heartbeat_at", "s.attempts", F.when(F.col("s.attempts") >= J.MAX_ATTEMPTS, "failed").otherwise("pending").alias("next_status"))

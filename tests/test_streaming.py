@@ -1,5 +1,7 @@
 """Streams: the same as the batch forms, resumable, without doubles."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from docquarry.operators import chunking as C
@@ -38,3 +40,22 @@ def test_states_follow_the_log(spark, tmp_path):
     got = I.latest_states(spark, out).select("job_id", "status", "attempts").collect()
     want = J.job_states(log).select("job_id", "status", "attempts").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_timers_tell_silent_jobs_at_each_watermark(spark, tmp_path):
+    """Stopped and started again between files; a job that beats again is alive, whatever timer it had."""
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(400_000), rng.randrange(60), rng.choice(["view", "view", "click", "error", "purchase", "signup"])) for _ in range(900))
+    rows = [(job, t, event, i) for i, (t, job, event) in enumerate(rows)]
+    log = spark.createDataFrame(rows, "job_id long, t long, event string, event_id long").select("job_id", F.timestamp_seconds("t").alias("ts"), "event", "event_id")
+    for lo, hi in ((0, 300), (300, 310), (310, 700), (700, 900)):
+        log.where(f"event_id >= {lo} AND event_id < {hi}").coalesce(1).write.mode("append").parquet(src)
+        I.stalled_stream(I.source(spark, src, 1), out, mark, timeout=20_000).awaitTermination()
+        seen = log.where(f"event_id < {hi}")
+        as_of = seen.agg(F.max("ts")).first()[0]
+        want = J.stalled(J.job_states(seen), F.lit(as_of), 20_000).select("job_id", "heartbeat_at", "attempts", "next_status").collect()
+        got = I.stalled_now(spark, out).select("job_id", "heartbeat_at", "attempts", "next_status").collect()
+        assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    I.stalled_stream(I.source(spark, src, 1), out, mark, timeout=20_000).awaitTermination()
+    assert sorted(map(tuple, I.stalled_now(spark, out).collect())) == sorted(map(tuple, want))
