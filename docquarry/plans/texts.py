@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import sentences, token_count
+from docquarry.operators import boxes as B
 from docquarry.operators import chunking as C
 from docquarry.operators import enrich as E
 from docquarry.operators.ranges import row_numbers
@@ -147,7 +148,16 @@ def section_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.section_digest(rows, budget=300, sections=3).select("doc_id", "section_no", "digest", "omitted")
 
 
-QUERIES = {f.__name__: f for f in (token_estimate, sentence_split, pack_groups, word_fallback, tail_overlap, chunks_prose, chunks_html, chunk_counts, contextual_header, embedding_text, mime_detect, row_serialise, html_headings, html_blocks, markdown_blocks, heading_tree, procedure_groups, procedure_chunks, table_chunks, slide_chunks, section_digest)}
+def boxes_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages as boxes of lines and columns, within frames of six lines that are as wide as every fourth line."""
+    lines = table(prepare(spark), sf_dir, "pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "(</[a-z0-9]+>)", "$1\n"), "\n")).alias("n", "line"))
+    width = F.length("line")
+    inner = lines.where(width > 0).select("page_id", F.col("n").alias("line_no"), F.lit(0).alias("x0"), F.col("n").alias("y0"), width.alias("x1"), F.col("n").alias("y1"))
+    outer = lines.where("n % 4 = 0").select("page_id", F.col("n").alias("frame_no"), F.lit(0).alias("x0"), F.col("n").alias("y0"), width.alias("x1"), (F.col("n") + 5).alias("y1"))
+    return B.contained(inner, outer, "page_id", "line_no", "frame_no", slack=2.0)
+
+
+QUERIES = {f.__name__: f for f in (boxes_contained, token_estimate, sentence_split, pack_groups, word_fallback, tail_overlap, chunks_prose, chunks_html, chunk_counts, contextual_header, embedding_text, mime_detect, row_serialise, html_headings, html_blocks, markdown_blocks, heading_tree, procedure_groups, procedure_chunks, table_chunks, slide_chunks, section_digest)}
 
 
 def _tokens(c: str) -> str:
@@ -169,6 +179,8 @@ _TAIL = "list_reduce(list_prepend({'n': 0, 'total': 0, 'done': false}, list_tran
 _STEP = r"CASE WHEN turn % 5 = 4 THEN NULL ELSE turn % 6 END"
 
 ORACLE_SQL = {
+    "boxes_contained": r"""WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(html, '(</[a-z0-9]+>)', '\1' || chr(10), 'g'), chr(10))) AS line, generate_subscripts(string_split(regexp_replace(html, '(</[a-z0-9]+>)', '\1' || chr(10), 'g'), chr(10)), 1) - 1 AS n FROM pages)
+SELECT i.page_id, i.n::INT AS line_no, o.n::INT AS frame_no FROM l i JOIN l o ON i.page_id = o.page_id AND o.n % 4 = 0 AND i.n BETWEEN o.n - 2 AND o.n + 7 AND length(i.line) <= length(o.line) + 2 WHERE length(i.line) > 0""",
     "token_estimate": f"WITH {model.DOCUMENTS_SQL} SELECT document_id, {_tokens('content')} AS tokens FROM docs",
     "sentence_split": f"{_S} SELECT document_id, len(units)::INT AS n_sentences, list_max(sizes)::INT AS longest FROM t",
     "pack_groups": f"{_GROUPS} SELECT document_id, (i - 1)::INT AS part_no, len(g)::INT AS n_units, list_sum(g)::INT AS tokens FROM p",
