@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.operators import answers as A
 from docquarry.operators import catalog as C
 from docquarry.operators import enrich as E
+from docquarry.operators import flow as W
 from docquarry.operators import intake as I
 from docquarry.operators import jobs as J
 from docquarry.operators import questions as Q
@@ -45,6 +46,15 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("document_id", "ordinal", "filename", "header", F.col("tags.document_type").alias("document_type"), F.round("score", 5).alias("score"), zero("vec_rank"), zero("text_rank"), "snippet")
 
 
+def ask_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the answer to a question in one workspace cites, from a reply that names sources 3, 1 and one that isn't there."""
+    states = C.corpus_state(model.documents(spark, sf_dir)).withColumn("topics", F.array().cast("array<string>"))
+    messages = table(spark, sf_dir, "conversations").select(F.lit("en").alias("workspace_id"), F.col("conv_id").alias("user_id"), "turn", "role", F.col("text").alias("content"))
+    vector = search._query(spark, sf_dir)
+    done = W.ask(_passages(spark, sf_dir), states, messages, "en", 1, SHORT, lambda _: vector, lambda _: "As [3] and [1] say, and [40] and [3].")
+    return done.cited.select("rank", "number", "document_id", "ordinal", "filename", F.round("score", 5).alias("score"), "snippet")
+
+
 def _newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(workspace_id, rank, document_id, filename) of each workspace's eight newest ready documents."""
     docs = model.documents(spark, sf_dir).where("status = 'ready'").select("workspace_id", "document_id", "filename")
@@ -165,7 +175,7 @@ def saved_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.save_exchanges(messages, exchanges).select("user_id", "turn", "role", "content")
 
 
-QUERIES = {f.__name__: f for f in (search_question, search_chunks, cited_sources, answers_assembled, intake_decisions, intake_batch, retry_plan, name_clashes, admin_sessions, section_headers, document_profiles, chat_routes, job_progress, saved_exchanges)}
+QUERIES = {f.__name__: f for f in (search_question, search_chunks, ask_question, cited_sources, answers_assembled, intake_decisions, intake_batch, retry_plan, name_clashes, admin_sessions, section_headers, document_profiles, chat_routes, job_progress, saved_exchanges)}
 
 
 def _scores_sql(source: str, key: str, question: str) -> str:
@@ -255,3 +265,8 @@ o AS (SELECT c.conv_id, role, text, coalesce((SELECT max(turn) + 1 FROM e WHERE
 SELECT conv_id AS user_id, turn, role, text AS content FROM e UNION ALL SELECT conv_id, t, 'user', role FROM o UNION ALL SELECT conv_id, t + 1, 'assistant', text FROM o""",
     "admin_sessions": "SELECT event_id, user_id FROM events JOIN customer ON user_id = c_custkey WHERE c_acctbal > 0",
 }
+
+# the same search in one workspace, its third and first result
+_FOUND = ORACLE_SQL["search_chunks"].replace("WHERE status = 'ready')", "WHERE status = 'ready' AND workspace_id = 'en')", 1)
+ORACLE_SQL["ask_question"] = f"""WITH f AS ({_FOUND}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, ordinal, document_id) AS number FROM f)
+SELECT CASE number WHEN 3 THEN 0 ELSE 1 END::INT AS rank, number::INT AS number, document_id, ordinal, filename, score, snippet FROM r WHERE number IN (1, 3)"""
