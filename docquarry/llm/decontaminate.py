@@ -212,8 +212,15 @@ def passages_of(index: Index, words: list[str], threshold: float) -> list[tuple[
         by_passage.setdefault(c // index.n_blocks, set()).add(c % index.n_blocks)
     out = []
     for p, blocks in sorted(by_passage.items()):
-        lo, hi = np.searchsorted(seg, p), np.searchsorted(seg, p + SEGMENTS)
-        out += [(i, score, p * half) for i, score in wand(index, np.unique(term[lo:hi]), blocks, threshold)]
+        own = np.unique(term[np.searchsorted(seg, p) : np.searchsorted(seg, p + SEGMENTS)])
+        # the same bounds with each term of the passage once, whatever number of segments has it
+        if index.upper[own].sum() < threshold - 1e-9:
+            continue
+        counts = index.block_at[own + 1] - index.block_at[own]
+        flat = _ragged(index.block_at[own], counts)
+        sums = np.bincount(index.block_no[flat], weights=index.block_max[flat], minlength=index.n_blocks)
+        if left := {b for b in blocks if sums[b] >= threshold - 1e-9}:
+            out += [(i, score, p * half) for i, score in wand(index, own, left, threshold)]
     return out
 
 
