@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.operators.ranges import row_numbers
+
 from docquarry.operators.ranges import change_numbers, row_numbers
 
 WORKING = ("parsing", "profiling", "chunking", "embedding", "pending")
@@ -138,3 +140,32 @@ def pending_batches(chunks: DataFrame, vectors: DataFrame, size: int = 32) -> Da
     left = chunks.join(vectors.select("document_id"), "document_id", "left_anti")
     numbered = row_numbers(left.select("workspace_id", "document_id"), ("workspace_id",), ("document_id",))
     return numbered.select("workspace_id", "document_id", F.floor((F.col("n") - 1) / size).cast("long").alias("batch"))
+
+
+def status_log(log: DataFrame) -> DataFrame:
+    """(document_id, status, page_count, indexed_at, error_message) after all changes (document_id, ts, seq, status, page_count, error_message).
+
+    The last change by time, then by seq, tells the status and the error; a page count stays until another is told; indexed_at is when the
+    document last became ready, null where a later change has sent it back.
+    """
+    order = F.struct("ts", "seq")
+    last = F.max_by(F.struct("status", "error_message", "ts"), order)
+    per = log.groupBy("document_id").agg(last.alias("l"), F.max_by("page_count", F.when(F.col("page_count").isNotNull(), order)).alias("page_count"))
+    ready = F.col("l.status") == "ready"
+    return per.select("document_id", "l.status", "page_count", F.when(ready, F.col("l.ts")).alias("indexed_at"), F.when(F.col("l.status") == "failed", F.col("l.error_message")).alias("error_message"))
+
+
+def listing(rows: DataFrame, group: list[str], order: str, newest_first: bool) -> DataFrame:
+    """The rows with ``position`` (from 1) in their group's list, by ``order`` (a number that tells them apart), over spread groups."""
+    key = "__order"
+    placed = row_numbers(rows.withColumn(key, F.negative(F.col(order)) if newest_first else F.col(order)), group, [key], "position")
+    return placed.drop(key)
+
+
+def global_counts(jobs: DataFrame, chunks: DataFrame, vectors: DataFrame, messages: DataFrame, users: DataFrame) -> DataFrame:
+    """One row: pending jobs, chunks without a vector, messages and users of all workspaces."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    out = count(jobs.where(F.col("status") == "pending"), "pending_jobs")
+    for df, name in ((chunks.join(vectors.select("document_id"), "document_id", "left_anti"), "pending_embeddings"), (messages, "messages"), (users, "users")):
+        out = out.join(F.broadcast(count(df, name)))  # one row each
+    return out

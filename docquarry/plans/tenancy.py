@@ -191,7 +191,37 @@ def retry_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", J.retryable(F.col("code"), F.col("message")).alias("again"), F.coalesce(F.round(J.server_delay(F.col("message")), 4), F.lit(-1.0)).alias("wait"), J.backoff(F.col("event_id") % 8 + 1).alias("local_wait"))
 
 
-QUERIES = {f.__name__: f for f in (status_counts, workspace_cards, document_list, corpus_state, top_values, vocabulary, spellings, history, session_join, content_hash, exact_dedup, version_chain, cascade_delete, delete_rows, delete_documents, chunk_upsert, pending_embedding_batches, workspace_replies, upload_guards, tag_filter, embed_pending, job_states, stalled_jobs, claim_order, pending_jobs, progress_pct, retry_rules)}
+def document_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as documents whose events are changes: a purchase makes one ready, an error fails it, a view tells its pages."""
+    log = table(prepare(spark), sf_dir, "events")
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "ready").when(kind == "error", "failed").when(kind == "signup", "pending").otherwise(F.lit("chunking"))
+    pages = F.when(kind == "view", F.get_json_object("props", "$.k").cast("int"))
+    changes = log.select(F.col("user_id").alias("document_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), status.alias("status"), pages.alias("page_count"), F.concat(F.lit("error "), F.col("event_id").cast("string")).alias("error_message"))
+    told = C.status_log(changes)
+    return told.select("document_id", "status", F.coalesce("page_count", F.lit(-1)).alias("page_count"), F.coalesce(F.unix_micros("indexed_at"), F.lit(-1)).alias("indexed_at"), F.coalesce("error_message", F.lit("")).alias("error_message"))
+
+
+def document_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every workspace's documents, newest first."""
+    docs = table(prepare(spark), sf_dir, "documents").select(F.col("lang").alias("workspace_id"), F.col("doc_id").alias("document_id"), F.col("source").alias("filename"))
+    return C.listing(docs, ["workspace_id"], "document_id", newest_first=True)
+
+
+def workspace_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workspaces by their first document, oldest first."""
+    docs = table(prepare(spark), sf_dir, "documents")
+    first = docs.groupBy(F.col("lang").alias("workspace_id")).agg(F.min("doc_id").alias("created"))
+    return C.listing(first.withColumn("all", F.lit(0)), ["all"], "created", newest_first=False).drop("all")
+
+
+def global_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select(F.col("doc_id").alias("document_id"))
+    jobs = J.job_states(model.job_log(spark, sf_dir))
+    return C.global_counts(jobs, docs, model.vectors(spark, sf_dir), table(spark, sf_dir, "conversations"), table(spark, sf_dir, "customer"))
+
+
+QUERIES = {f.__name__: f for f in (document_states, document_listing, workspace_listing, global_counts, status_counts, workspace_cards, document_list, corpus_state, top_values, vocabulary, spellings, history, session_join, content_hash, exact_dedup, version_chain, cascade_delete, delete_rows, delete_documents, chunk_upsert, pending_embedding_batches, workspace_replies, upload_guards, tag_filter, embed_pending, job_states, stalled_jobs, claim_order, pending_jobs, progress_pct, retry_rules)}
 
 _WORKING = ", ".join(f"'{s}'" for s in C.WORKING)
 _D = f"WITH {model.DOCUMENTS_SQL}"
@@ -209,6 +239,12 @@ states AS (SELECT *, CASE last WHEN 'purchase' THEN 'succeeded' WHEN 'signup' TH
 _LIST = lambda c, n: f"CASE WHEN len({c}) > {n} THEN array_to_string({c}[1:{n}], ', ') || ', and ' || (len({c}) - {n}) || ' more' WHEN len({c}) > 1 THEN array_to_string({c}[:-2], ', ') || ' and ' || {c}[-1] ELSE {c}[1] END"
 
 ORACLE_SQL = {
+    "document_states": """WITH c AS (SELECT user_id AS document_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'chunking' END AS status, CASE event_type WHEN 'view' THEN (props->>'$.k')::INT END AS pages FROM events),
+l AS (SELECT document_id, arg_max({'status': status, 'ts': ts, 'id': event_id}, (ts, event_id)) AS l, arg_max(pages, (ts, event_id)) FILTER (pages IS NOT NULL) AS pages FROM c GROUP BY 1)
+SELECT document_id, l.status AS status, coalesce(pages, -1) AS page_count, CASE WHEN l.status = 'ready' THEN epoch_us(l.ts) ELSE -1 END AS indexed_at, CASE WHEN l.status = 'failed' THEN 'error ' || l.id ELSE '' END AS error_message FROM l""",
+    "document_listing": "SELECT lang AS workspace_id, doc_id AS document_id, source AS filename, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS position FROM documents",
+    "workspace_listing": "SELECT lang AS workspace_id, min(doc_id) AS created, row_number() OVER (ORDER BY min(doc_id)) AS position FROM documents GROUP BY 1",
+    "global_counts": f"{_J} SELECT count(*) FILTER (status = 'pending') AS pending_jobs, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS pending_embeddings, (SELECT count(*) FROM conversations) AS messages, (SELECT count(*) FROM customer) AS users FROM states",
     "status_counts": f"{_D}, s AS (SELECT workspace_id, status, count(*) AS n FROM docs GROUP BY 1, 2), b AS (SELECT workspace_id, string_agg(status || '=' || n, ',' ORDER BY status) AS by_status FROM s GROUP BY 1) SELECT workspace_id, {_COUNTS}, any_value(by_status) AS by_status FROM docs JOIN b USING (workspace_id) GROUP BY 1",
     "workspace_cards": f"""{_V}, c AS (SELECT workspace_id, {_COUNTS} FROM docs GROUP BY 1), k AS (SELECT workspace_id, count(*) AS chunks FROM chunks GROUP BY 1),
 q AS (SELECT workspace_id, max(turn) AS last_question FROM messages WHERE role = 'user' GROUP BY 1), t AS (SELECT workspace_id, string_agg(value, ',' ORDER BY rank) AS topics FROM ranked WHERE kind = 'topic' AND rank <= 5 GROUP BY 1)
