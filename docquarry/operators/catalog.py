@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from docquarry.operators.ranges import change_numbers, row_numbers
 
 WORKING = ("parsing", "profiling", "chunking", "embedding", "pending")
