@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -29,33 +30,68 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFra
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch).parquet(glob)
 
 
+#: Groups that documents are dealt to by a hash of their ids; a checkpoint belongs to one number of them.
+BUCKETS = 4_096
+_ENTRY = np.dtype([("document_id", "<i8"), ("seq", "<i8"), ("digest", "S32")])
+
+
+def _newest(frames: list[pd.DataFrame]) -> pd.DataFrame:
+    """Each document's row of the largest seq, of equal ones that of the largest digest."""
+    return pd.concat(frames).sort_values(["document_id", "seq", "digest"]).drop_duplicates("document_id", keep="last")
+
+
 def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The document's last row of this batch, if it isn't older than the last one seen and its content isn't the same; the state is (seq, digest)."""
-    rows = pd.concat(list(frames))
-    last = rows.sort_values(["seq", "digest"]).iloc[[-1]]
-    seq, digest = int(last["seq"].iloc[0]), str(last["digest"].iloc[0])
-    seen = state.get if state.exists else None
-    if seen is not None and seq < seen[0]:
-        return
-    state.update((seq, digest))
-    if seen is None or seen[1] != digest:
-        yield last[["document_id", "content"]]
+    """Of a bucket's documents the last row of this batch each, if it isn't older than the last one seen and its content isn't the same.
+
+    The state is the bucket's (document_id, seq, digest), sorted by id, as one string of bytes. ``again`` tells documents that were given out in an earlier batch.
+    """
+    parts, size, most = [], 0, 4_096
+    for frame in frames:
+        parts, size = [*parts, frame], size + len(frame)
+        if size > 2 * most:  # rows that a later one replaces aren't held
+            parts = [_newest(parts)]
+            size = len(parts[0])
+            most = max(most, size)
+    last = _newest(parts)
+    own = np.empty(len(last), _ENTRY)
+    for name in ("document_id", "seq"):
+        own[name] = last[name].to_numpy()
+    own["digest"] = [bytes(x) for x in last["digest"]]
+    seen = np.frombuffer(state.get[0], _ENTRY) if state.exists else np.empty(0, _ENTRY)
+    at = np.searchsorted(seen["document_id"], own["document_id"])
+    again = np.zeros(len(own), bool)
+    again[at < len(seen)] = seen["document_id"][at[at < len(seen)]] == own["document_id"][at < len(seen)]
+    newer, same = np.ones(len(own), bool), np.zeros(len(own), bool)
+    newer[again] = own["seq"][again] >= seen["seq"][at[again]]
+    same[again] = own["digest"][again] == seen["digest"][at[again]]
+    held = seen.copy()
+    held[at[again & newer]] = own[again & newer]
+    held = np.insert(held, at[~again], own[~again])
+    if len(held) > len(seen) or (held != seen).any():
+        state.update((held.tobytes(),))
+    cut = newer & ~same
+    if cut.any():
+        yield last.loc[cut, ["document_id", "content"]].assign(again=again[cut], bucket=key[0])
 
 
 def chunk_stream(docs: DataFrame, out: str, checkpoint: str, target: int = C.TARGET) -> StreamingQuery:
     """Documents (document_id, content[, seq]) to chunk files; a document that comes again is cut again only if its content changed.
 
-    Spark's state store holds one number and digest a document, so a batch costs its own rows and not all that was written before. Of a
+    Spark's state store holds two numbers and a digest a document, in buckets of documents, so that a task calls Python once a bucket and
+    not once a document. A batch reads and writes the states of the buckets that its rows are in, and no text that was written before. Of a
     document's rows that of the largest seq counts; an older one that comes in a later batch changes nothing. A batch's documents and chunks go to its own folder, so a crash
     between writing and committing leaves no doubles; ``latest_chunks`` reads the newest of each document.
     """
-    seq = F.col("seq").cast("long") if "seq" in docs.columns else F.lit(0).cast("long")
-    keyed = docs.select(F.col("document_id").cast("long").alias("document_id"), F.coalesce(F.col("content"), F.lit("")).alias("content"), seq.alias("seq")).withColumn("digest", F.sha2("content", 256))
-    changed = keyed.groupBy("document_id").applyInPandasWithState(_changed, "document_id long, content string", "seq long, digest string", "append", GroupStateTimeout.NoTimeout)
+    seq = F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))) if "seq" in docs.columns else F.lit(0).cast("long")
+    number = F.col("document_id").cast("long")
+    bucket = F.when(number.isNull(), -1).otherwise(F.pmod(F.xxhash64(number), F.lit(BUCKETS))).cast("int")  # that of no number is its own
+    keyed = docs.select(bucket.alias("bucket"), F.coalesce(number, F.lit(0)).alias("document_id"), F.coalesce(F.col("content"), F.lit("")).alias("content"), seq.alias("seq")).withColumn("digest", F.unhex(F.sha2("content", 256)))
+    given = keyed.groupBy("bucket").applyInPandasWithState(_changed, "document_id long, content string, again boolean, bucket int", "seen binary", "append", GroupStateTimeout.NoTimeout)
+    changed = given.select(F.when(F.col("bucket") >= 0, F.col("document_id")).alias("document_id"), "content", "again")
 
     def write(batch: DataFrame, number: int) -> None:
         held = batch.persist()
-        held.select("document_id").write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+        held.select("document_id", "again").write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
         chunks = C.assemble(C.paragraphs(held), target=target)
         chunks.withColumnRenamed("doc_id", "document_id").write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
         held.unpersist()
@@ -64,9 +100,13 @@ def chunk_stream(docs: DataFrame, out: str, checkpoint: str, target: int = C.TAR
 
 
 def latest_chunks(spark: SparkSession, out: str) -> DataFrame:
-    """Chunks of each document's newest content."""
-    newest = spark.read.parquet(f"{out}/documents").groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{out}/chunks").join(newest, ["document_id", "batch"]).drop("batch")
+    """Chunks of each document's newest content; only what was cut again is looked up, and nothing is exchanged where nothing was."""
+    chunks = spark.read.parquet(f"{out}/chunks")
+    again = spark.read.parquet(f"{out}/documents").where("again")
+    if again.isEmpty():
+        return chunks.drop("batch")
+    newest = again.groupBy(F.col("document_id").alias("id")).agg(F.max("batch").alias("newest"))
+    return chunks.join(newest, F.col("document_id").eqNullSafe(F.col("id")), "left").where("newest IS NULL OR batch = newest").drop("batch", "id", "newest")
 
 
 def state_stream(log: DataFrame, out: str, checkpoint: str, compact_every: int = 20) -> StreamingQuery:

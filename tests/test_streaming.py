@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docquarry.operators import chunking as C
@@ -30,6 +31,48 @@ def test_ingest_resumes_and_never_doubles(spark, tmp_path):
     assert shown() == want and spark.read.parquet(f"{out}/documents").count() == 63
 
 
+def test_state_is_one_row_a_bucket_and_new_documents_are_not_exchanged(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
+    docs = spark.range(9_000).select(F.when(F.col("id") > 0, F.col("id") + (1 << 60)).alias("document_id"), F.concat(F.lit("Text "), F.col("id").cast("string")).alias("content"))
+    docs.write.parquet(src)
+    query = I.chunk_stream(I.source(spark, src), out, mark)
+    query.awaitTermination()
+    assert sum(s["numRowsTotal"] for s in query.recentProgress[0]["stateOperators"]) <= I.BUCKETS + 1
+    shown = I.latest_chunks(spark, out)
+    assert "Exchange" not in shown._jdf.queryExecution().executedPlan().toString()
+    want = set(map(tuple, docs.collect()))
+    assert set(map(tuple, shown.select("document_id", "content").collect())) == want  # ids beyond doubles, and one that is missing
+    spark.createDataFrame([(None, "New."), ((1 << 60) + 1, "New."), ((1 << 60) + 2, "Text 2")], docs.schema).write.mode("append").parquet(src)
+    I.chunk_stream(I.source(spark, src), out, mark).awaitTermination()
+    want = {(d, "New." if d in (None, (1 << 60) + 1) else c) for d, c in want}
+    got = list(map(tuple, I.latest_chunks(spark, out).select("document_id", "content").collect()))
+    assert len(got) == 9_000 and set(got) == want
+
+
+class _State:
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_a_bucket_gives_out_what_a_document_alone_does():
+    """Against one entry a document, with rows that are late, equal, doubled, or many in frames of few."""
+    rng, state, seen = random.Random(4), _State(), {}
+    for _ in range(60):
+        rows = [(rng.choice((-5, 0, 3, 1 << 60, (1 << 60) + 1, *range(10, 60))), rng.randrange(4), rng.randrange(3)) for _ in range(rng.choice((1, 5, 40, 9_000)))]
+        frame = pd.DataFrame([(d, f"text {c}", q, bytes([c] * 31 + [0])) for d, q, c in rows], columns=["document_id", "content", "seq", "digest"])
+        got = [r for f in I._changed((7,), (frame[lo : lo + 512] for lo in range(0, len(frame), 512)), state) for r in f.itertuples(index=False, name=None)]
+        want = []
+        for d in sorted({d for d, _, _ in rows}):
+            q, c = max((q, c) for x, q, c in rows if x == d)
+            if d not in seen or q >= seen[d][0]:
+                if d not in seen or seen[d][1] != c:
+                    want.append((d, f"text {c}", d in seen, 7))
+                seen[d] = q, c
+        assert got == want and len(state.get[0]) == 48 * len(seen)
+
+
 def test_states_follow_the_log(spark, tmp_path):
     src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
     log = spark.range(300).select((F.col("id") % 7).alias("job_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("id"))).alias("ts"), F.element_at(F.array(*[F.lit(x) for x in ("signup", "view", "error", "click", "purchase")]), (F.col("id") * 3 % 5 + 1).cast("int")).alias("event"), F.col("id").alias("event_id"))
