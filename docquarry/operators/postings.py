@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator, Sequence
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +34,30 @@ from docquarry.operators.retrieval import BODY_WEIGHT, HEADER_WEIGHT
 BATCH_ROWS, BATCH_CHARS = 4_096, 16_000_000
 SLOTS, BUCKETS = 1_024, 64
 DIRECTORY = -1  # its bucket
+SLICE, TERMS_KEPT = 1 << 17, 1 << 17  # numbers written at once; terms whose stems a task keeps
 ROW = ("stems", "docs", "counts", "places", "sizes", "most")
 ROWS = "batch long, slot int, stems string, docs binary, counts binary, places binary, sizes binary, most binary"
 _term = re.compile(r"[^\W_]+").findall
 
 
 def written(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whole numbers from 0 as bytes of seven bits, low ones first, and where each number ends."""
-    values = values.astype(np.uint64)
-    size = np.ones(len(values), np.int64)
-    for k in range(1, 9):
-        size += values >= np.uint64(1 << 7 * k)
-    ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    starts = ends - size
-    for k in range(int(size.max(initial=0))):
-        own = size > k
-        more = (size[own] > k + 1).astype(np.uint8) << np.uint8(7)
-        out[starts[own] + k] = ((values[own] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
-    return out, ends
+    """Whole numbers from 0 as bytes of seven bits, low ones first, and where each number ends; worked out by slices, so that little is held beside the result."""
+    parts, ends = [np.zeros(0, np.uint8)], np.zeros(len(values), np.int64)
+    for at in range(0, len(values), SLICE):
+        own = values[at : at + SLICE].astype(np.uint64)
+        size = np.ones(len(own), np.int64)
+        for k in range(1, 9):
+            size += own >= np.uint64(1 << 7 * k)
+        stops = np.cumsum(size)
+        out = np.zeros(int(stops[-1]), np.uint8)
+        starts = stops - size
+        for k in range(int(size.max())):
+            has = size > k
+            more = (size[has] > k + 1).astype(np.uint8) << np.uint8(7)
+            out[starts[has] + k] = ((own[has] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | more
+        ends[at : at + SLICE] = stops + (ends[at - 1] if at else 0)
+        parts.append(out)
+    return np.concatenate(parts), ends
 
 
 def read(data: bytes) -> np.ndarray:
@@ -76,34 +83,57 @@ def slot_of(stem: str) -> int:
     return zlib.crc32(stem.encode("utf-8", "surrogatepass")) % SLOTS
 
 
+class Words:
+    """Some passages as the numbers of their stems, four bytes a word; a text isn't held once it is cut."""
+
+    def __init__(self, stems: Stems):
+        self.stems, self.numbers = stems, {}
+        self.words, self.sizes = array("i"), array("i")
+
+    def add(self, header: str | None, body: str | None) -> None:
+        for text in (header, body):
+            own = [self.numbers.setdefault(self.stems[t], len(self.numbers)) for t in _term((text or "").lower())]
+            self.words.fromlist(own)
+            self.sizes.append(len(own))
+
+
 def invert(headers: list[str | None], bodies: list[str | None], stems: Stems) -> Iterator[tuple]:
+    """The segments of some passages."""
+    made = Words(stems)
+    for header, body in zip(headers, bodies, strict=True):
+        made.add(header, body)
+    yield from segments(made)
+
+
+def segments(made: Words) -> Iterator[tuple]:
     """(slot, stems, docs, counts, places, sizes, most) of some passages: the segments of each slot's stems, one after another.
 
     ``sizes`` are the bytes that a stem has in the three streams; ``most`` is twice the most places of a passage, and one more where any is in a header.
     """
-    numbers: dict[str, int] = {}
-    words, docs, places = [], [], []
-    for i, sides in enumerate(zip(headers, bodies, strict=True)):
-        head, body = ([numbers.setdefault(stems[t], len(numbers)) for t in _term((x or "").lower())] for x in sides)
-        words.append(np.array(head + body, np.int64))
-        docs.append(np.full(len(head) + len(body), i))
-        places.append(np.concatenate([np.arange(-len(head), 0), np.arange(1, len(body) + 1)]))
+    numbers = made.numbers
     if not numbers:
         return
     names, slots = list(numbers), np.array([slot_of(s) for s in numbers])
     by_slot = np.argsort(slots, kind="stable")
-    rank = np.empty(len(names), np.int64)
+    rank = np.empty(len(names), np.int32)
     rank[by_slot] = np.arange(len(names))
-    term, doc, place = rank[np.concatenate(words)], np.concatenate(docs), np.concatenate(places)
+    head, body = np.array(made.sizes, np.int32).reshape(-1, 2).T
+    first_body = np.cumsum(head + body) - body
+    term, doc = rank[np.frombuffer(made.words, np.int32)], np.repeat(np.arange(len(head), dtype=np.int32), head + body)
+    place = np.arange(len(term), dtype=np.int32) - first_body.astype(np.int32)[doc]
+    place += place >= 0
     order = np.argsort(term, kind="stable")  # passages and places are in order already
-    term, doc, place = term[order], doc[order], place[order]
+    term = term[order]
+    doc = doc[order]
+    place = place[order]
+    del order
     new_doc = np.concatenate([[True], (np.diff(term) != 0) | (np.diff(doc) != 0)])
     at = np.nonzero(new_doc)[0]
     counts = np.diff(np.append(at, len(term)))
-    gaps = np.where(new_doc, _folded(place), np.diff(place, prepend=0))
+    gaps = np.where(new_doc, _folded(place), np.diff(place, prepend=np.int32(0)))
     post_term, post_doc = term[at], doc[at]
     new_term = np.concatenate([[True], np.diff(post_term) != 0])
-    steps = np.where(new_term, post_doc, np.diff(post_doc, prepend=0))
+    steps = np.where(new_term, post_doc, np.diff(post_doc, prepend=np.int32(0)))
     first_post = np.append(np.nonzero(new_term)[0], len(at))
     first_place = np.append(at[first_post[:-1]], len(term))
     most = 2 * np.maximum.reduceat(counts, first_post[:-1]) + (np.minimum.reduceat(place, first_place[:-1]) < 0)
@@ -133,27 +163,26 @@ def build(passages: DataFrame, path: str, key: Sequence[str], keep: Sequence[str
     def run(batches):
         from pyspark import TaskContext
 
-        stems, number = Stems(stem), TaskContext.get().partitionId() << 32
-        held, n_held, size = [], 0, 0
+        stems, number = Stems(stem, limit=TERMS_KEPT), TaskContext.get().partitionId() << 32
+        infos, words, size = [], Words(stems), 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            infos = [x for chunk, _, _ in held for x in chunk]
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([DIRECTORY], pa.int32()), *(pa.nulls(1, f.type) for f in list(schema)[2:-1]), pa.array([infos], pa.list_(kind))], schema=schema)
-            found = list(invert([h for _, hs, _ in held for h in hs], [b for _, _, bs in held for b in bs], stems))
-            for lo in range(0, len(found), 64):
-                cols = list(zip(*found[lo : lo + 64], strict=True))
+            for some in batched(segments(words), 64):
+                cols = list(zip(*some, strict=True))
                 n = len(cols[0])
                 yield pa.RecordBatch.from_arrays([pa.array([number] * n), *(pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:-1], strict=True)), pa.nulls(n, pa.list_(kind))], schema=schema)
 
         for part in (batch.slice(lo, BATCH_ROWS) for batch in batches for lo in range(0, batch.num_rows, BATCH_ROWS)):
-            infos, headers, bodies = (part.column(i).to_pylist() for i in range(3))
-            held.append((infos, headers, bodies))
-            n_held += len(infos)
-            size += sum(len(x or "") for x in headers) + sum(len(x or "") for x in bodies)
-            if n_held >= BATCH_ROWS or size >= BATCH_CHARS:
+            infos += part.column(0).to_pylist()
+            for header, body in zip(part.column(1), part.column(2), strict=True):
+                header, body = header.as_py(), body.as_py()
+                words.add(header, body)
+                size += len(header or "") + len(body or "")
+            if len(infos) >= BATCH_ROWS or size >= BATCH_CHARS:
                 yield from out()
-                number, held, n_held, size = number + 1, [], 0, 0
-        if held:
+                number, infos, words, size = number + 1, [], Words(stems), 0
+        if infos:
             yield from out()
 
     made = rows.sortWithinPartitions("info").mapInArrow(run, f"{ROWS}, info array<{rows.schema['info'].dataType.simpleString()}>")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -103,6 +104,29 @@ def test_batches_under_the_kth_score_are_passed_over(spark, monkeypatch):
     assert P._Batch([], {"alpha"}).bound(want) == 0.0
 
 
+def peak(work) -> int:
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_inverting_holds_few_bytes_a_word():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=400)) for _ in range(1_000)]
+    used = peak(lambda: [None for _ in P.invert([None] * len(texts), texts, P.Stems(Q.stem_of))])
+    assert used < 80 * 400_000, used
+
+
+def test_numbers_are_written_by_slices(monkeypatch):
+    values = np.array([random.Random(1).randrange(1 << 40) >> i % 40 for i in range(1_000)])
+    whole = P.written(values)
+    monkeypatch.setattr(P, "SLICE", 7)
+    assert all((a == b).all() for a, b in zip(whole, P.written(values), strict=True)) and P.read(whole[0].tobytes()).tolist() == values.tolist()
+
+
 def test_no_passages_and_equal_keys(spark):
     path = built(spark, [(1, "ready", "", "alpha"), (1, "ready", "", "alpha")])
     assert [r.document_id for r in pool(spark, path, "alpha", 5).collect()] == [1, 1]
