@@ -286,6 +286,24 @@ def opened(spark: SparkSession, path: str, stems: Sequence[str], info: str) -> D
     return spark.read.schema(f"{ROWS}, info {info}, bucket int").parquet(path).where(F.col("bucket").isin(DIRECTORY, *buckets) & F.col("slot").isin(DIRECTORY, *slots))
 
 
+def _best(batches: Iterator[pa.RecordBatch], wants: Sequence[Literals], stems: set[str], k: int, key: Sequence[str]) -> list[tuple]:
+    """The k best (-score, key as (there, value) pairs) of batches with a row (rows, keys) each; one is decoded at a time, and of its keys those of hits."""
+    best: list[tuple] = []
+    for batch in batches:
+        for held, info in zip(batch.column(0), batch.column(1), strict=True):
+            own = _Batch(held.as_py(), stems)
+            if len(best) == k and round(sum(own.bound(w) for w in wants), 9) < -best[-1][0]:
+                continue
+            total: dict[int, float] = {}
+            for want in wants:
+                for d, s in own.scores(want).items():
+                    total[d] = total.get(d, 0.0) + s
+            keys = info.values.take(pa.array(list(total), pa.int64())).to_pylist()
+            rows = [(-round(s, 9), tuple((x[c] is not None, x[c]) for c in key)) for x, s in zip(keys, total.values(), strict=True) if x is not None]
+            best = sorted([*best, *rows])[:k]
+    return best
+
+
 def question_pool(passages: DataFrame, path: str, question: str, k: int, key: Sequence[str], keep: Sequence[str] = (), where: Callable[[Column], Column] | None = None, stem: Callable[[str], str] = stem_of) -> DataFrame:
     """The k best (key, text_score, text_rank) of the passages that answer at least one alternative; equal scores go by key.
 
@@ -304,18 +322,7 @@ def question_pool(passages: DataFrame, path: str, question: str, k: int, key: Se
     both = meet.where(F.size("rows") > 0).select("rows", "info")
 
     def run(batches):
-        best: list[tuple] = []
-        for batch in batches:
-            for held, info in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = _Batch(held, stems)
-                if len(best) == k and round(sum(own.bound(w) for w in wants), 9) < -best[-1][0]:
-                    continue
-                total: dict[int, float] = {}
-                for want in wants:
-                    for d, s in own.scores(want).items():
-                        total[d] = total.get(d, 0.0) + s
-                rows = [(-round(s, 9), tuple((info[d][c] is not None, info[d][c]) for c in key)) for d, s in total.items() if info[d] is not None]
-                best = sorted([*best, *rows])[:k]
+        best = _best(batches, wants, stems, k, key)
         cols = [pa.array([r[1][i][1] for r in best], f.type) for i, f in enumerate(arrow)] + [pa.array([-r[0] for r in best], pa.float64())]
         yield pa.RecordBatch.from_arrays(cols, names=[*key, "text_score"])
 

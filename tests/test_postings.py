@@ -5,6 +5,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,16 @@ def test_numbers_are_written_by_slices(monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, P.written(values), strict=True)) and P.read(whole[0].tobytes()).tolist() == values.tolist()
 
 
+def test_a_search_makes_the_keys_of_hits_only():
+    """Sixty batches of 4,096 passages in one Arrow batch, of which two passages answer."""
+    held = [dict(zip(("slot", *P.ROW), row, strict=True)) for row in P.invert([None] * 4_096, ["beta"] * 4_094 + ["alpha"] * 2, P.Stems(Q.stem_of))]
+    keys = [{"document_id": i} for i in range(4_094)] + [None, {"document_id": 5_000}]
+    batch = pa.RecordBatch.from_arrays([pa.array([held] * 60), pa.array([keys] * 60)], names=["rows", "info"])
+    want, found = Q.parse("alpha"), []
+    used = peak(lambda: found.extend(P._best(iter([batch]), want, {"alpha"}, 3, ("document_id",))))
+    assert found == [(-0.4, ((True, 5_000),))] * 3 and used < 4 << 20, used
+
+
 def test_no_passages_and_equal_keys(spark):
     path = built(spark, [(1, "ready", "", "alpha"), (1, "ready", "", "alpha")])
     assert [r.document_id for r in pool(spark, path, "alpha", 5).collect()] == [1, 1]
