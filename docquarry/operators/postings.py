@@ -34,7 +34,7 @@ from docquarry.operators.retrieval import BODY_WEIGHT, HEADER_WEIGHT
 BATCH_ROWS, BATCH_CHARS = 4_096, 16_000_000
 SLOTS, BUCKETS = 1_024, 64
 DIRECTORY = -1  # its bucket
-SLICE, TERMS_KEPT = 1 << 17, 1 << 17  # numbers written at once; terms whose stems a task keeps
+SLICE = 1 << 17  # numbers written at once
 ROW = ("stems", "docs", "counts", "places", "sizes", "most")
 ROWS = "batch long, slot int, stems string, docs binary, counts binary, places binary, sizes binary, most binary"
 _term = re.compile(r"[^\W_]+").findall
@@ -163,7 +163,7 @@ def build(passages: DataFrame, path: str, key: Sequence[str], keep: Sequence[str
     def run(batches):
         from pyspark import TaskContext
 
-        stems, number = Stems(stem, limit=TERMS_KEPT), TaskContext.get().partitionId() << 32
+        stems, number = Stems(stem), TaskContext.get().partitionId() << 32
         infos, words, size = [], Words(stems), 0
 
         def out() -> Iterator[pa.RecordBatch]:
